@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, quality
+from gridloom.llm import language, mixing, neardup, pieces, quality, toxicity
 from gridloom.session import ship
 
 
@@ -21,6 +21,14 @@ def fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(fold(4) != 2)
+    found = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    return found.withColumn("held_out", fold(4) == 2).select("doc_id", "held_out", "score", "predicted", "n_hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op7_language_id, op9_mixing)
+    f.__name__: f for f in (op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op7_language_id, op9_mixing, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
