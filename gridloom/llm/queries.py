@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, neardup, pieces, quality, toxicity
+from gridloom.llm import language, mixing, neardup, ngram, pieces, quality, repeats, toxicity
 from gridloom.session import ship
 
 
@@ -33,12 +33,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.measure(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.train_profiles(docs.filter(fold(4) != 2))
     return language.identify(docs, profiles).withColumn("held_out", fold(4) == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram.train(docs.filter(fold(7) != 2))
+    found = ngram.score(docs, model).withColumn("held_out", fold(7) == 2)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(table(spark, sf_dir, "documents"))
 
@@ -50,6 +61,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op7_language_id, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}

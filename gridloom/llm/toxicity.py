@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text
+from gridloom.llm._store import written
 
 #: Signs trimmed from a word's ends before it is looked up; quotation opens and closes with these.
 TRIM = " \t\n\r\v\f.,;:!?()[]{}<>*_~|\"'`«»„“”‚‘’…-"
@@ -30,12 +31,12 @@ REPORTS = ("said", "says", "called", "wrote", "quote", "quoted", "word", "term",
 @dataclass(frozen=True)
 class Lexicon:
     """Learning: at most `sample` labelled documents, chosen by hash of doc_id (a documented bound on the classifier's sample);
-    entries that `least` documents hold and whose smoothed share of toxic documents is `purity`;
+    entries that `least` toxic documents hold (a tenth of the toxic ones, but 3, where that is less, and at least a hundredth: rarer ones are pure by chance) and whose smoothed share of toxic documents is `purity`;
     at most `entries` entries and word beginnings of `prefix` to `prefix_to` letters.
     Matching: terms of at least `fuzzy` letters also match at distance 1; windows of `window` words."""
 
     sample: int = 20_000
-    least: int = 4
+    least: int = 12
     purity: float = 0.8
     entries: int = 400
     prefix: int = 4
@@ -192,6 +193,31 @@ def hits(data: np.ndarray, offsets: np.ndarray, matcher: Matcher, window: int) -
     return rows[at], found[which[at]].astype(np.int64) * 2 + quoted
 
 
+def without_copies(documents: DataFrame, draws: int = 3) -> DataFrame:
+    """The rows (doc_id, text) but those that share a least shingle hash, in any of `draws` orders, with a smaller doc_id.
+
+    Copies and near copies would otherwise turn one text's chance words into
+    evidence.  Meant for the bounded sample that teaches the lexicon.
+    """
+    from gridloom.llm.neardup import shingle_sets
+
+    names = [f"m{i}" for i in range(draws)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in _text.slices(batch.column(1)):
+                row, element, _ = shingle_sets(data, offsets, 5)
+                least = np.full((draws, hi - lo), (1 << 64) - 1, np.uint64)
+                for i in range(draws):
+                    np.minimum.at(least[i], row, _text.mix(element + np.uint64(i)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(x.view(np.int64)) for x in least]], names=["doc_id", *names])
+
+    kept = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    for name in names:
+        kept = kept.withColumn("first", F.min("doc_id").over(Window.partitionBy(name))).filter("doc_id = first").drop("first")
+    return documents.join(kept.select("doc_id"), "doc_id", "left_semi")
+
+
 def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]:
     """The lexicon of (text, toxic 0/1) rows: (entry, open) in order of evidence, at most lexicon.entries.
 
@@ -227,7 +253,9 @@ def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]
 
     counted = labelled.select("text", F.col("toxic").cast("double").alias("toxic")).mapInArrow(count, "term string, open boolean, n long, t long")
     sums = counted.groupBy("term", "open").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    pure = sums.filter((F.col("t") >= lexicon.least) & ((F.col("t") + 0.5) / (F.col("n") + 1.0) >= lexicon.purity))
+    toxic_docs = labelled.agg(F.sum(F.col("toxic").cast("double"))).first()[0] or 0
+    least = max(3, min(lexicon.least, int(toxic_docs / 10)), int(toxic_docs / 100))
+    pure = sums.filter((F.col("t") >= least) & ((F.col("t") + 0.5) / (F.col("n") + 1.0) >= lexicon.purity))
     rows = pure.orderBy(F.desc("t"), "open", F.length("term"), "term").limit(4 * lexicon.entries).collect()  # bounded by a parameter
     chosen: list[tuple[str, bool]] = []
     begun: set[str] = set()
@@ -285,7 +313,8 @@ def score(documents: DataFrame, labels: DataFrame, lexicon: Lexicon | None = Non
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     part = known if n <= lexicon.sample else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * lexicon.sample / n)))
-    labelled = documents.select("doc_id", "text").filter("text is not null").join(part, "doc_id").select("text", "toxic")
+    labelled = documents.select("doc_id", "text").filter("text is not null").join(part, "doc_id")
+    labelled = written(without_copies(labelled).select("text", "toxic"))
     matcher = Matcher(learn_terms(labelled, lexicon), lexicon.fuzzy)
     weights, rest = learn_weights(labelled, matcher, lexicon)
     shared = documents.sparkSession.sparkContext.broadcast((matcher, weights, rest))  # bounded by lexicon.entries
