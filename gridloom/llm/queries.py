@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, neardup, ngram, pieces, quality, repeats, toxicity
+from gridloom.llm import language, mixing, neardup, ngram, pieces, quality, quotes, repeats, topk, toxicity
 from gridloom.session import ship
 
 
@@ -21,6 +21,11 @@ def fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.measure(table(spark, sf_dir, "documents"))
 
@@ -61,6 +70,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op1_topk_search, op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op5_quotation_linking, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
