@@ -35,7 +35,9 @@ from gridloom.llm.ngram import _pack, _save, _send, _spread, _unpack
 
 _U = np.uint64
 #: Text bytes for each bucket file; anchors or segment bytes that a task gathers before it sends them.
-SHARD_BYTES, GATHER = 24 << 20, 1 << 20
+SHARD_BYTES, GATHER = 8 << 20, 1 << 20
+#: Text bytes looked at together; small enough for a processor's cache.
+SLICE = 1 << 17
 _LAST = np.iinfo(np.int64).max
 
 
@@ -64,18 +66,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, how: Repeats) -> tuple[np.nda
     """
     n = len(data)
     words = _words_at(data)
-    seeds = words * _U(0x9E3779B97F4A7C15)
     m = max(n - how.seed + 1, 0)
-    seeds = seeds[:m] + words[8 : 8 + m] * _U(0xC2B2AE3D27D4EB4F) + words[16 : 16 + m] * _U(0x165667B19E3779F9) if m else seeds[:0]
+    seeds = words[:m] * _U(0x9E3779B97F4A7C15)
+    seeds ^= seeds >> _U(29)
+    seeds += words[8 : 8 + m]
+    seeds *= _U(0xC2B2AE3D27D4EB4F)
+    seeds ^= seeds >> _U(31)
+    seeds += words[16 : 16 + m]
+    seeds *= _U(0x165667B19E3779F9)
     for k in range(24, how.seed):
-        seeds = seeds * _U(0x27D4EB2F165667C5) + data[k : k + m]
-    seeds = _text.mix(seeds)
+        seeds ^= seeds >> _U(31)
+        seeds += data[k : k + m]
+        seeds *= _U(0x27D4EB2F165667C5)
+    seeds ^= seeds >> _U(32)
     out = np.full(n, -1, np.int64)
     reach = how.length - how.seed + 1
     if m < reach:
         return out, seeds
     bits = _U(max(20, n.bit_length()))
-    key = (seeds >> bits << bits) | np.arange(m, dtype=_U)
+    key = seeds >> bits
+    key <<= bits
+    key |= np.arange(m, dtype=_U)
     span = 1
     while 2 * span <= reach:
         key = np.minimum(key[:-span], key[span:])
@@ -189,7 +200,7 @@ def sort_bucket(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchor:
         fresh[1:] |= p[order][1:] != p[order][:-1]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    keys = [word[place], delta, rank[which], word[place + length - 8]]
+    keys = [word[place], rank[which] * 8 + delta, word[place + length - 8]]
     order = np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
     if len(order) > 1:
@@ -219,7 +230,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
 
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, _, data, offsets in _text.slices(batch.column(1)):
+            for lo, _, data, offsets in _text.slices(batch.column(1), SLICE):
                 anchor, hashes = anchors(data, offsets, how)
                 first, _ = _segments(anchor)
                 if len(first):
@@ -261,7 +272,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
 
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, _, data, offsets in _text.slices(batch.column(1)):
+            for lo, _, data, offsets in _text.slices(batch.column(1), SLICE):
                 anchor, hashes = anchors(data, offsets, how)
                 first, end = _segments(anchor)
                 key = _text.mix(hashes[anchor[first]])
@@ -294,6 +305,13 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
             del n
         sizes, anchor, doc, many, text = (np.concatenate(x) for x in (sizes, anchor, doc, many, texts))
         starts = np.cumsum(sizes) - sizes
+        # equal segments of several tasks count once
+        same = _text.mix(_text.spans_hash(text, starts, starts + sizes) + anchor.astype(_U))
+        order = np.lexsort((doc, same))
+        edge = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+        many = (np.maximum.reduceat(doc[order], edge) != doc[order][edge]) | np.logical_or.reduceat(many[order], edge)
+        order = order[edge]
+        starts, sizes, anchor, doc = starts[order], sizes[order], anchor[order], doc[order]
         place, segment, new = sort_bucket(text, starts, sizes, anchor, how.length)
         edge = np.flatnonzero(new)
         owner = doc[segment]
@@ -342,7 +360,7 @@ def measure(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, hi, data, offsets in _text.slices(batch.column(1)):
+            for lo, hi, data, offsets in _text.slices(batch.column(1), SLICE):
                 gone = cover(data, offsets, ids[lo:hi], found)
                 starts, ends, rows = _text.runs(gone, offsets)
                 removed = np.bincount(rows, ends - starts, hi - lo).astype(np.int64)
@@ -369,7 +387,7 @@ def remove(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
         for batch in batches:
             text, ids = batch.column(names.index("text")), _ids(batch.column(names.index("doc_id")))
             out: list[str | None] = []
-            for lo, hi, data, offsets in _text.slices(text):
+            for lo, hi, data, offsets in _text.slices(text, SLICE):
                 gone = cover(data, offsets, ids[lo:hi], found)
                 left, places = data[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[offsets].tolist()
                 out += [left[a:b].decode("utf-8", "ignore") for a, b in zip(places[:-1], places[1:], strict=True)]
