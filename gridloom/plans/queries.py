@@ -1,4 +1,583 @@
-"""All registered queries of the engine with their SQL."""
+"""The engine's registered queries, bound to the test tables, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import columns as C
+from gridloom.operators import catalog, ids, layouts, pyramid, search, view
+from gridloom.session import ship
+from gridloom.sources.tables import scalar_columns, table
+from gridloom.streaming import stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda n: table(spark, sf_dir, n))
+
+        QUERIES[name or f.__name__] = run
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles to six places, on both sides of the comparison; -0 as 0."""
+    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+
+
+# ids, joins, integrity
+
+@query("select row_number() over (order by c_name, c_custkey) - 1 as id, c_name as filename from customer")
+def dense_ids(t):
+    return ids.dense_ids(t("customer"), "c_name", "c_custkey").select("id", F.col("c_name").alias("filename"))
+
+
+@query("select row_number() over (order by c_custkey) - 1 as id, c_custkey as old_id, c_name as filename from customer where c_custkey % 7 <> 0")
+def survivors_redensify(t):
+    base = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("filename"))
+    kept = base.filter(F.col("id") % 7 != 0)
+    return ids.survivors(base, kept, "filename").select("id", "old_id", "filename")
+
+
+@query("""select c_custkey as id, o.o_orderkey as first_order, o.o_orderpriority as priority, o.o_orderkey is not null as matched from customer
+left join (select * from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1) o on o_custkey = c_custkey""")
+def metadata_left_join_first_wins(t):
+    md = t("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("first_order"), F.col("o_orderpriority").alias("priority"))
+    return ids.join_first(t("customer").select(F.col("c_custkey").alias("id")), md, "id", "first_order")
+
+
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+def unmatched_anti_join(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("""with a as (select distinct c_custkey k from customer where c_custkey % 3 <> 0), b as (select distinct o_custkey k from orders),
+d as (select 'left' side, k from a where k not in (select k from b) union all select 'right', k from b where k not in (select k from a)),
+r as (select *, row_number() over (partition by side order by k) rn from d)
+select side, count(*) as n, (select string_agg(k::varchar, ',' order by k::varchar) from r r2 where r2.side = d.side and rn <= 5) as examples from d group by side""")
+def id_integrity_guard(t):
+    return ids.integrity(t("customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), t("orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+# validation, casts, profiles
+
+@query("select count(value) as n_values, count(*) filter (isfinite(value)) as n_finite, count(*) filter (value > 0) as n_positive, count(props) as n_props, count(try_cast(json_extract_string(props, '$.k') as double)) as n_parsed from events")
+def validate_counts(t):
+    k = C.to_number(F.get_json_object("props", "$.k"))
+    return t("events").agg(F.count("value").alias("n_values"), F.count_if(C.finite(F.col("value"))).alias("n_finite"), F.count_if(F.col("value") > 0).alias("n_positive"), F.count("props").alias("n_props"), F.count(k).alias("n_parsed"))
+
+
+@query("select min(l_quantity) as x_min, max(l_quantity) as x_max, min(l_extendedprice) as y_min, max(l_extendedprice) as y_max from lineitem where isfinite(l_quantity) and isfinite(l_extendedprice)")
+def coordinate_extents(t):
+    both = C.finite(F.col("l_quantity")) & C.finite(F.col("l_extendedprice"))
+    return t("lineitem").filter(both).agg(F.min("l_quantity").alias("x_min"), F.max("l_quantity").alias("x_max"), F.min("l_extendedprice").alias("y_min"), F.max("l_extendedprice").alias("y_max"))
+
+
+@query("select round(avg(length(p_name)), 6) as p_name, round(avg(length(p_brand)), 6) as p_brand, round(avg(length(p_type)), 6) as p_type from part")
+def text_lengths(t):
+    return r6(search.mean_lengths(t("part"), ["p_name", "p_brand", "p_type"]), "p_name", "p_brand", "p_type")
+
+
+@query("select unnest(['label', 'vec_id']) as column_name")
+def scalar_columns_profile(t):
+    e = t("embeddings")
+    return e.sparkSession.createDataFrame([(c,) for c in scalar_columns(e)], "column_name string")
+
+
+@query("select c_custkey as id, c_name, round(c_acctbal, 2) as bal from customer where c_custkey in (3, 5, 8, 13, 21, 34)")
+def metadata_lookup_by_ids(t):
+    return t("customer").filter(F.col("c_custkey").isin([21, 3, 5, 3, 8, 13, 34])).orderBy("c_custkey").select(F.col("c_custkey").alias("id"), "c_name", F.round("c_acctbal", 2).alias("bal"))
+
+
+@query("select o_orderkey as id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso from orders where o_orderkey % 10 = 1")
+def iso_times(t):
+    return t("orders").filter("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("id"), C.iso(F.col("o_orderdate")).alias("iso"))
+
+
+@query("select doc_id as id, case when length(text) > 160 then substr(text, 1, 159) || '…' else text end as sample from documents")
+def samples(t):
+    return t("documents").select(F.col("doc_id").alias("id"), C.ellipsis(F.col("text")).alias("sample"))
+
+
+# tags
+
+def _tagged(t):
+    tags = C.split_tags(F.col("p_name"), " ")
+    return t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 != 0, tags).alias("tags"))
+
+
+@query("select p_partkey as id, case when p_partkey % 7 <> 0 then array_to_string(string_split(p_name, ' '), '|') end as tags from part")
+def tag_split(t):
+    return _tagged(t).select("id", F.array_join("tags", "|").alias("tags"))
+
+
+@query("select value, count(*) as n from (select unnest(string_split(p_name, ' ')) as value from part where p_partkey % 7 <> 0) group by value")
+def tag_facets(t):
+    return search.facets(_tagged(t), "tags")
+
+
+@query("select value, count(distinct p_partkey) as n from (select p_partkey, unnest(string_split(p_name, ' ')) as value from part where p_partkey % 7 <> 0) group by value")
+def tag_members(t):
+    return search.members(_tagged(t), "tags")
+
+
+@query("select p_partkey as id from part where p_partkey % 7 <> 0 and (list_contains(string_split(p_name, ' '), 'cold') or list_contains(string_split(p_name, ' '), 'widget'))")
+def tag_filter_or(t):
+    return search.tagged(_tagged(t), "tags", ["cold", "widget"]).select("id")
+
+
+@query("select p_partkey as id from part where p_partkey % 7 <> 0 and list_contains(string_split(p_name, ' '), 'cold') and list_contains(string_split(p_name, ' '), 'widget')")
+def tag_filter_and(t):
+    return search.tagged(_tagged(t), "tags", ["cold", "widget"], "and").select("id")
+
+
+# search
+
+PART_ROLES = [("p_name", "title"), ("p_brand", "categorical"), ("p_type", "freeform")]
+
+
+def _search_sql(q: str, limit: int) -> str:
+    return f"""with p as (select p_partkey id, p_name, p_brand, p_type from part where contains(lower(p_name), '{q}') or contains(lower(p_brand), '{q}') or contains(lower(p_type), '{q}')
+order by case when starts_with(lower(p_name), '{q}') or starts_with(lower(p_brand), '{q}') or starts_with(lower(p_type), '{q}') then 0 else 1 end, id limit {limit}),
+h as (select id, case when contains(lower(p_brand), '{q}') then 'p_brand' when contains(lower(p_name), '{q}') then 'p_name' else 'p_type' end as field,
+case when contains(lower(p_brand), '{q}') then p_brand when contains(lower(p_name), '{q}') then p_name else p_type end as value,
+case when contains(lower(p_brand), '{q}') then 0 when contains(lower(p_name), '{q}') then 1 else 3 end as p from p)
+select id, field, value, (row_number() over (order by case when starts_with(lower(value), '{q}') then 0 else 1 end, p, id) - 1)::int as position from h"""
+
+
+@query(_search_sql("co", 50))
+def search_ranked(t):
+    return search.search(t("part").withColumn("id", F.col("p_partkey")), PART_ROLES, " CO ", 50)
+
+
+@query(_search_sql("brand#1", 20))
+def search_prefix_topk(t):
+    return search.search(t("part").withColumn("id", F.col("p_partkey")), PART_ROLES, "brand#1", 20)
+
+
+@query(f"select field, value, count(*) as n, min(position) as first from ({_search_sql('brand#1', 50)}) group by field, value, case when field = 'p_brand' then -1 else id end")
+def search_group_rows(t):
+    hits = search.search(t("part").withColumn("id", F.col("p_partkey")), PART_ROLES, "brand#1", 50)
+    return search.grouped_hits(hits, ["p_brand"])
+
+
+# layouts
+
+GRID_SQL = "select c_custkey as id, round((c_custkey % cols + 0.5) / cols, 6) as x, round(((c_custkey // cols) + 0.5) / rws, 6) as y, round(0.9 / cols, 6) as w, round(0.9 / rws, 6) as h from customer, (select ceil(sqrt(count(*)))::bigint as cols, ceil(count(*) / ceil(sqrt(count(*))))::bigint as rws from customer)"
+
+
+@query(GRID_SQL)
+def grid_layout(t):
+    return r6(layouts.grid(t("customer").select(F.col("c_custkey").alias("id"))), "x", "y", "w", "h")
+
+
+SCATTER_SQL = """with raw as (select vec_id as id, embedding[1]::double as px, embedding[2]::double as py from embeddings),
+s as (select median(px) mx, median(py) my, min(px) ax, max(px) bx, min(py) ay, max(py) b2, count(*) n from raw),
+f as (select *, least(0.5 / greatest(bx - mx, mx - ax), 0.475 / greatest(b2 - my, my - ay)) sc, 0.9 / greatest(1, ceil(sqrt(n))) side from s),
+cells as (select id, 0.5 + (px - mx) * sc as x, 0.95 - (0.475 + (py - my) * sc) as y, side as w, side as h from raw, f)"""
+
+
+def _vectors(t):
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"))
+
+
+def _scattered(t):
+    return layouts.scatter(_vectors(t)).drop("placed")
+
+
+@query(SCATTER_SQL + " select id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(w, 6) as w, round(h, 6) as h from cells")
+def scatter_fit(t):
+    return r6(_scattered(t), "x", "y", "w", "h")
+
+
+@query("""with raw as (select l_orderkey * 8 + l_linenumber as id, ln(l_quantity) px, ln(l_extendedprice) py from lineitem),
+s as (select median(px) mx, median(py) my, min(px) ax, max(px) bx, min(py) ay, max(py) b2, count(*) n from raw),
+f as (select *, least(0.5 / greatest(bx - mx, mx - ax), 0.475 / greatest(b2 - my, my - ay)) sc, 0.9 / greatest(1, ceil(sqrt(n))) side from s)
+select id, round(0.5 + (px - mx) * sc, 6) + 0.0 as x, round(0.95 - (0.475 + (py - my) * sc), 6) + 0.0 as y, round(side, 6) as w, round(side, 6) as h from raw, f""")
+def scatter_log(t):
+    items = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("px"), F.col("l_extendedprice").alias("py"))
+    return r6(layouts.scatter(items, log=True).drop("placed"), "x", "y", "w", "h")
+
+
+@query("""with raw as (select vec_id as id, abs(embedding[1]::double) px, abs(embedding[2]::double) py from embeddings),
+s as (select greatest(max(px) - min(px), max(py) - min(py)) * 0.9 / greatest(1, ceil(sqrt(count(*)))) side from raw)
+select id, round(px * 0.95, 6) as x, round(py * 0.95, 6) as y, round(side, 6) as w, round(side, 6) as h from raw, s""")
+def scatter_passthrough(t):
+    items = _vectors(t).withColumn("px", F.abs("px")).withColumn("py", F.abs("py"))
+    return r6(layouts.scatter(items, normalize="none").drop("placed"), "x", "y", "w", "h")
+
+
+def _geo_sql(px: str, py: str) -> str:
+    return f"""with raw as (select c_custkey as id, case when c_custkey % 29 <> 0 then ((c_custkey * 47) % 360 - 180)::double end lon, ((c_custkey * 31) % 171 - 85)::double lat from customer),
+p as (select id, {px} px, {py} py from raw where lon is not null),
+s as (select median(px) mx, median(py) my, min(px) ax, max(px) bx, min(py) ay, max(py) b2, count(*) n from p),
+f as (select *, least(0.5 / greatest(bx - mx, mx - ax), 0.475 / greatest(b2 - my, my - ay)) sc, 0.9 / greatest(1, ceil(sqrt(n))) side from s),
+u as (select id, row_number() over (order by id) - 1 as k, count(*) over () as m from raw where lon is null),
+g as (select side, floor(1 / side)::bigint cols from f)
+select id, round(0.5 + (px - mx) * sc, 6) + 0.0 as x, round(0.95 - (0.475 + (py - my) * sc), 6) + 0.0 as y, true as placed from p, f
+union all select id, round((k % cols + 0.5) / cols, 6) as x, round(0.96 + (k // cols + 0.5) * (0.04 / ceil(m / cols)), 6) as y, false from u, g"""
+
+
+def _places(t):
+    c = F.col("c_custkey")
+    return t("customer").select(c.alias("id"), F.when(c % 29 != 0, (c * 47 % 360 - 180).cast("double")).alias("lon"), (c * 31 % 171 - 85).cast("double").alias("lat"))
+
+
+@query(_geo_sql("lon", "lat"))
+def geo_equirect(t):
+    return r6(layouts.geographic(_places(t)).select("id", "x", "y", "placed"), "x", "y")
+
+
+@query(_geo_sql("radians(lon)", "ln(tan(pi() / 4 + radians(lat) / 2))"))
+def geo_mercator(t):
+    return r6(layouts.geographic(_places(t), mercator=True).select("id", "x", "y", "placed"), "x", "y")
+
+
+@query("select coalesce(p_type, '') as value, count(*) as n from part group by 1")
+def category_counts(t):
+    return layouts.category_counts(t("part"), "p_type")
+
+
+@query("""with c as (select p_brand as value, count(*) as n from part group by 1), s as (select value, n, n / (select sum(n) from c) as s from c)
+select value, n, round(s, 6) as area from s""")
+def treemap_areas(t):
+    return layouts.treemap_rects(layouts.category_counts(t("part"), "p_brand")).select("value", "n", F.round(F.col("w") * F.col("h"), 6).alias("area"))
+
+
+@query()
+def treemap_rects(t):
+    return r6(layouts.treemap_rects(layouts.category_counts(t("part"), "p_brand")), "x0", "y0", "w", "h")
+
+
+@query()
+def treemap_cells(t):
+    return r6(layouts.treemap_cells(t("part").withColumn("id", F.col("p_partkey")), "p_type"), "x", "y", "w", "h")
+
+
+@query("select p_brand as value, count(*) as n, false as missing from part group by 1 order by n desc, value limit 10")
+def treemap_labels(t):
+    return layouts.treemap_labels(layouts.category_counts(t("part"), "p_brand"), 10)
+
+
+@query("select date_trunc('month', o_orderdate)::timestamp as bucket, count(*) as n from orders group by 1")
+def dt_buckets(t):
+    return t("orders").groupBy(layouts.floor_time(F.col("o_orderdate"), "month", 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select min(gap) as least_gap, max(n) as deepest from (select n, epoch(b)::bigint - lag(epoch(b)::bigint) over (order by b) as gap from (select date_trunc('day', o_orderdate) b, count(*) n from orders group by 1))")
+def dt_gaps(t):
+    from pyspark.sql import Window
+
+    b = t("orders").groupBy(layouts.floor_time(F.col("o_orderdate"), "day", 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.unix_seconds(F.col("b").cast("timestamp"))
+    return b.withColumn("gap", at - F.lag(at).over(Window.orderBy("b"))).agg(F.min("gap").alias("least_gap"), F.max("n").alias("deepest"))
+
+
+DT_SQL = """with d as (select o_orderkey as id, o_orderdate as t, {floor} as b from orders),
+bins as (select b, count(*) n, epoch(b) ep from d group by b), g as (select *, ep - lag(ep) over (order by b) gap from bins),
+p as (select max(n) deepest, min(gap) gap, min(ep) a, max(ep) z, arg_max(n, ep) tail from g),
+k as (select k, least(0.92 / (k * ((z - a) / {least} + 1) + 0.25 * (z - a) / {least}), 0.96 / ceil(deepest / k)) pitch, p.* from p, unnest(generate_series(1, greatest(1, case when gap / {least} < 1 then least(deepest, floor(0.25 * (gap / {least}) / (1 - gap / {least}))::bigint) else deepest end))) u(k)),
+s as (select * from k order by pitch desc, k limit 1),
+q as (select *, (k + 0.25) * pitch / {least} as kt from s), r as (select *, 0.04 + greatest(0, (0.92 - (kt * (z - a) + least(tail, k) * pitch)) / 2) as x0 from q),
+c as (select id, b, ep, row_number() over (partition by d.b order by t, id) - 1 as slot from d join bins using (b))"""
+
+
+@query(DT_SQL.format(floor="date_trunc('day', o_orderdate)", least="86400.0") + " select id, b::timestamp as bucket, slot::int as slot, round(x0 + (ep - a) * kt + (slot % k + 0.5) * pitch, 6) as x, round(0.96 - (slot // k + 0.5) * pitch, 6) as y from c, r where (select ceil(epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0) <= least(2000, ceil(5 * sqrt(count(*)))) from orders)"
++ " union all select id, b::timestamp, slot::int, round(x, 6), round(y, 6) from (" + DT_SQL.format(floor="date_trunc('month', o_orderdate)", least="2419200.0") + " select id, b, slot, x0 + (ep - a) * kt + (slot % k + 0.5) * pitch as x, 0.96 - (slot // k + 0.5) * pitch as y from c, r) where not (select ceil(epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0) <= least(2000, ceil(5 * sqrt(count(*)))) from orders)")
+def dt_layout(t):
+    cells, _ = layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")
+    return r6(cells.select("id", "bucket", "slot", "x", "y"), "x", "y")
+
+
+@query()
+def dt_histogram_tiles(t):
+    cells, _ = layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")
+    box = pyramid.bbox(cells)
+    tiles = pyramid.tiled(cells, box, 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.orderBy(F.desc("n"), "ty", "tx").limit(20)
+
+
+@query()
+def dt_axis(t):
+    items = t("orders").withColumn("id", F.col("o_orderkey"))
+    _, a = layouts.histogram(items, "o_orderdate")
+    return items.sparkSession.createDataFrame([(a.get("kind"), a.get("step"), a.get("k"), *a.get("range", [None, None]))], "kind string, step int, k int, range_start double, range_end double")
+
+
+# pyramid over the scatter of embeddings
+
+BOX_SQL = SCATTER_SQL + ", box as (select greatest(0, least(1, min(x - w / 2))) x0, greatest(0, least(1, min(y - h / 2))) y0, greatest(0, least(1, max(x + w / 2))) x1, greatest(0, least(1, max(y + h / 2))) y1 from cells)"
+
+
+def _tile_sql(z: int) -> str:
+    n = 1 << z
+    return f"least({n - 1}, greatest(0, trunc((x - x0) / (x1 - x0) * {n})))::int as tx, least({n - 1}, greatest(0, trunc((y - y0) / (y1 - y0) * {n})))::int as ty"
+
+
+@query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box) select tx, ty, count(*) as n from z group by tx, ty")
+def tile_counts(t):
+    c = _scattered(t)
+    return pyramid.tiled(c, pyramid.bbox(c), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BOX_SQL + " " + " union all ".join(f"select {z} as z, count(*) as tiles, max(n) as fullest, count(*) filter (n > 16) as over, sum(greatest(n - 16, 0))::bigint as dropped from (select {_tile_sql(z)}, count(*) as n from cells, box group by 1, 2)" for z in range(7)))
+def level_summary(t):
+    c = _scattered(t)
+    return pyramid.level_summary(pyramid.levels(c, pyramid.bbox(c)), 16).filter("z <= 6").drop("separable")
+
+
+@query(BOX_SQL + " " + " union all ".join(f"select {z} as z, tx, ty from (select distinct {_tile_sql(z)} from cells, box)" for z in range(5)))
+def occupied_levels(t):
+    c = _scattered(t)
+    return pyramid.levels(c, pyramid.bbox(c)).filter("z <= 4").select("z", "tx", "ty")
+
+
+@query()
+def choose_z(t):
+    c = _scattered(t)
+    box, n = pyramid.bbox(c), c.count()
+    e = c.agg(F.max("w"), F.max("h")).first()
+    z, why = pyramid.choose_z(pyramid.level_summary(pyramid.levels(c, box), 16), n, 16, box, *e)
+    return c.sparkSession.createDataFrame([(z, why)], "z int, reason string")
+
+
+@query(BOX_SQL + f", z as (select id, {_tile_sql(3)} from cells, box), sl as (select *, row_number() over (partition by tx, ty order by id) - 1 as slot from z) select id, tx, ty, slot::int as slot, (slot % 4) / 4.0 as u, (slot // 4) / 4.0 as v from sl where slot < 16")
+def fine_tile_keep(t):
+    c = _scattered(t)
+    return pyramid.fine(c, pyramid.bbox(c), 3, 16).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+
+
+@query("select count(*) as items, true as whole from embeddings")
+def reconcile(t):
+    c = _scattered(t)
+    box = pyramid.bbox(c)
+    kept = pyramid.fine(c, box, 3, 16).agg(F.countDistinct("id").alias("kept"))
+    lost = pyramid.level_summary(pyramid.levels(c, box), 16).filter("z = 3").select("dropped")
+    n = c.agg(F.count(F.lit(1)).alias("items"))
+    row = kept.join(lost, F.lit(True)).join(n, F.lit(True))  # single rows
+    return row.select("items", (F.col("kept") + F.col("dropped") == F.col("items")).alias("whole"))
+
+
+# views
+
+OVERLAP = "x + w / 2 > 0.3 and x - w / 2 < 0.6 and y + h / 2 > 0.3 and y - h / 2 < 0.55"
+VIEW = (0.3, 0.3, 0.6, 0.55)
+
+
+@query(SCATTER_SQL + f" select count(*) as n from cells where {OVERLAP}")
+def viewport_count(t):
+    return view.in_view(_scattered(t), VIEW)
+
+
+@query(SCATTER_SQL + f", v as (select id from cells where {OVERLAP}) select id from v where (select count(*) from v) <= 1000")
+def range_scan_cap(t):
+    return view.range_scan(_scattered(t), VIEW, 1000)
+
+
+@query(SCATTER_SQL + " select id, round((x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), 9) as d2 from cells where abs(x - 0.5) <= w / 2 and abs(y - 0.475) <= h / 2 order by (x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), id desc limit 1")
+def point_pick(t):
+    return view.pick(_scattered(t), 0.5, 0.475).withColumn("d2", F.round("d2", 9))
+
+
+@query(BOX_SQL + f", z as (select *, {_tile_sql(2)} from cells, box) select tx, ty, count(*) as n, count(*) - 40 as dropped, round(arg_min(x, id), 6) as x, round(arg_min(y, id), 6) as y from z group by tx, ty having count(*) > 40")
+def hotspots(t):
+    c = _scattered(t)
+    return r6(view.hotspots(c, pyramid.bbox(c), 2, 40), "x", "y")
+
+
+@query(SCATTER_SQL + ", e as (select min(x) ax, max(x) bx, min(y) ay, max(y) b2 from cells) select least(5, floor((x - ax) / (bx - ax) * 6))::int as gx, least(5, floor((y - ay) / (b2 - ay) * 6))::int as gy, id % 3 = 0 as matched, count(*) as n, round(min(x - w / 2), 6) as x0, round(min(y - h / 2), 6) as y0, round(max(x + w / 2), 6) as x1, round(max(y + h / 2), 6) as y1 from cells, e group by 1, 2, 3")
+def marker_bins(t):
+    return r6(view.marker_bins(_scattered(t), F.col("id") % 3 == 0, 6), "x0", "y0", "x1", "y1")
+
+
+@query(SCATTER_SQL + " select floor(x / 0.05 + 0.5)::bigint as bx, floor(y / 0.05 + 0.5)::bigint as by, min(id) as id, count(*) as n from cells group by 1, 2")
+def coincident_reps(t):
+    return view.coincident(_scattered(t), 0.05)
+
+
+@query(SCATTER_SQL + " (select id from cells order by x, id limit 8) union (select id from cells order by x desc, id limit 8)")
+def extreme_x_ids(t):
+    return view.extremes(_scattered(t), 8)
+
+
+@query("select l_extendedprice as median from lineitem order by l_extendedprice limit 1 offset (select (count(*) // 2)::bigint from lineitem)")
+def upper_median(t):
+    return view.upper_median(t("lineitem"), "l_extendedprice")
+
+
+@query("select round(regr_slope(l_extendedprice, l_quantity), 4) as a, round(regr_intercept(l_extendedprice, l_quantity), 4) as b from lineitem")
+def time_fit(t):
+    return view.time_fit(t("lineitem"), "l_quantity", "l_extendedprice").select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+@query("select tx::int as tx, ty::int as ty from unnest(generate_series(1, 5)) a(tx), unnest(generate_series(1, 5)) b(ty)")
+def visible_tiles(t):
+    return view.visible_tiles(t("region").sparkSession, (0.0, 0.0, 1.0, 1.0), (0.3, 0.3, 0.6, 0.55), 3)
+
+
+@query("select tx::int as tx, ty::int as ty, round(((tx + 0.5) / 8 - 0.4) * ((tx + 0.5) / 8 - 0.4) + ((ty + 0.5) / 8 - 0.4) * ((ty + 0.5) / 8 - 0.4), 9) as d2 from unnest(generate_series(1, 5)) a(tx), unnest(generate_series(1, 5)) b(ty)")
+def focal_tiles(t):
+    tiles = view.visible_tiles(t("region").sparkSession, (0.0, 0.0, 1.0, 1.0), (0.3, 0.3, 0.6, 0.55), 3)
+    return view.focal_order(tiles, (0.0, 0.0, 1.0, 1.0), 3, 0.4, 0.4).withColumn("d2", F.round("d2", 9))
+
+
+@query("select 'o_orderpriority' as field, o_orderpriority as value, count(*) as n from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(o_orderdate) from orders where o_custkey % 5 = 0")
+def selection_digest(t):
+    return view.selection_digest(t("orders").filter("o_custkey % 5 = 0"), ["o_orderpriority", "o_orderstatus"], "o_orderdate")
+
+
+@query()
+def declutter_chips(t):
+    c = _scattered(t)
+    chips = view.hotspots(c, pyramid.bbox(c), 3, 4).select((F.col("ty") * 8 + F.col("tx")).cast("long").alias("id"), "n", "x", "y")
+    return r6(view.declutter(chips, 0.15, 12), "x", "y")
+
+
+# catalogue; small tables derived from nation, supplier, part
+
+@query("""with disk as (select s_suppkey id from supplier where s_suppkey % 4 <> 0), rec as (select s_suppkey id, s_suppkey + 1000 job from supplier where s_suppkey % 5 <> 0), jobs as (select s_suppkey + 1000 job, case s_suppkey % 3 when 0 then 'queued' when 1 then 'failed' else 'finished' end state from supplier)
+select coalesce(disk.id, rec.id) as dataset_id, case when disk.id is not null and rec.id is null then 'unassigned' when disk.id is not null then 'ready' when state in ('queued', 'started') then 'processing' else 'error' end as status, case when state in ('queued', 'started') then rec.job end as active_job from disk full join rec on disk.id = rec.id left join jobs on rec.job = jobs.job""")
+def catalog_status(t):
+    k = F.col("s_suppkey")
+    s = t("supplier")
+    disk = s.filter(k % 4 != 0).select(k.alias("dataset_id"))
+    rec = s.filter(k % 5 != 0).select(k.alias("dataset_id"), (k + 1000).alias("last_job_id"))
+    jobs = s.select((k + 1000).alias("job_id"), F.when(k % 3 == 0, "queued").when(k % 3 == 1, "failed").otherwise("finished").alias("state"))
+    return catalog.listing(disk, rec, jobs)
+
+
+@query("select s_suppkey as dataset_id, case when s_nationkey = 3 then 'u3' else '' end as owner from supplier where s_suppkey % 2 = 0 or s_nationkey = 3")
+def readable_datasets(t):
+    d = t("supplier").select(F.col("s_suppkey").alias("dataset_id"), F.concat(F.lit("u"), "s_nationkey").alias("owner"), F.when(F.col("s_suppkey") % 2 == 0, "public").otherwise("private").alias("visibility"))
+    return catalog.readable(d, "u3").select("dataset_id", "owner")
+
+
+@query("""with dec as (select p_brand k, p_type f from part where p_partkey % 3 = 0), bak as (select p_size l, p_brand k, case when p_size % 7 = 0 then null else p_type end f from part where p_partkey % 3 = 1),
+sup as (select k, f, count(*) s from dec group by 1, 2), need as (select l, k, f, count(*) n from bak group by 1, 2, 3)
+select need.l as layout_id, case when max((need.f is not null)::int) = 0 then 'unknown' when max((need.f is not null and coalesce(s, 0) < n)::int) = 1 then 'stale' else 'fresh' end as state from need left join sup on need.k = sup.k and need.f is not distinct from sup.f group by 1""")
+def staleness_bag(t):
+    p = t("part")
+    dec = p.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("key"), F.col("p_type").alias("fingerprint"))
+    bak = p.filter("p_partkey % 3 = 1").select(F.col("p_size").alias("layout_id"), F.col("p_brand").alias("key"), F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("fingerprint"))
+    return catalog.stale_layouts(dec, bak)
+
+
+@query("""with a as (select p_brand c, list_sort(list(distinct p_type)) f from part where p_partkey % 40 < 20 group by 1), b as (select p_brand c, list_sort(list(distinct p_type)) f from part where p_partkey % 40 >= 10 and p_brand <> 'Brand#11' group by 1)
+select coalesce(a.c, b.c) as "column", case when a.f is null then 'added' when b.f is null then 'removed' else 'changed' end as change from a full join b on a.c = b.c where a.f is distinct from b.f""")
+def role_diff(t):
+    p = t("part").select("p_partkey", F.col("p_brand").alias("column"), F.col("p_type").alias("fingerprint"))
+    return catalog.role_diff(p.filter("p_partkey % 40 < 20"), p.filter("p_partkey % 40 >= 10 and column <> 'Brand#11'"))
+
+
+@query("""with c as (select n_nationkey::bigint id, 't' || n_regionkey ty, n_name c from nation), p as (select ty, c, min(id + case when id % 3 = 0 then 100 else 0 end) i from c where id % 4 <> 0 group by 1, 2)
+select c.id as layout_id, p.i as new_id, case when p.i is null then 'orphaned' when p.i = c.id then 'same' else 'renamed' end as state from c left join p on c.ty = p.ty and c.c = p.c""")
+def rename_orphan(t):
+    n = t("nation").select(F.col("n_nationkey").cast("long").alias("layout_id"), F.concat(F.lit("t"), "n_regionkey").alias("type"), F.array("n_name").alias("columns"))
+    now = n.filter("layout_id % 4 <> 0").withColumn("layout_id", F.col("layout_id") + F.when(F.col("layout_id") % 3 == 0, 100).otherwise(0))
+    return catalog.renamed(n, now)
+
+
+@query("select coalesce(a.n_nationkey, b.n_nationkey) as layout_id, case when b.n_nationkey is not null then 'new ' || b.n_name else a.n_name end as body, (case when a.n_nationkey is not null then a.n_nationkey else b.n_nationkey + 15 end)::int as at from (select * from nation where n_nationkey < 15) a full join (select * from nation where n_nationkey % 2 = 0) b using (n_nationkey)")
+def manifest_merge(t):
+    n = t("nation")
+    old = n.filter("n_nationkey < 15").select(F.col("n_nationkey").alias("layout_id"), F.col("n_name").alias("body"), F.col("n_nationkey").alias("at"))
+    new = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("layout_id"), F.concat(F.lit("new "), "n_name").alias("body"), F.col("n_nationkey").alias("at"))
+    return catalog.merge_manifest(old, new).withColumn("at", F.col("at").cast("int"))
+
+
+@query("select 'd' || (s_suppkey % 3) as dir, 'tiles.v' || s_suppkey || '.bin' as name, s_suppkey as version from supplier where s_suppkey % 6 <> 0")
+def stale_assets(t):
+    s = t("supplier").select(F.concat(F.lit("d"), F.col("s_suppkey") % 3).alias("dir"), F.concat(F.lit("tiles.v"), "s_suppkey", F.lit(".bin")).alias("name"), "s_suppkey")
+    extra = s.select("dir", F.lit("notes.txt").alias("name")).distinct()
+    return catalog.unreferenced(s.select("dir", "name").union(extra), s.filter("s_suppkey % 6 = 0").select("dir", "name"))
+
+
+@query("select p_name || p_partkey as name, case when p_partkey % 3 = 0 then 'needed' when p_partkey % 5 = 0 or (p_partkey % 7 = 0 and p_partkey % 2 = 0) then 'mismatched' else 'present' end as state from part")
+def upload_check(t):
+    k = F.col("p_partkey")
+    p = t("part").withColumn("name", F.concat("p_name", "p_partkey"))
+    asked = p.select("name", F.col("p_size").alias("size"), F.when(k % 2 == 0, "a").alias("sha"))
+    held = p.filter(k % 3 != 0).select("name", (F.col("p_size") + F.when(k % 5 == 0, 1).otherwise(0)).alias("size"), F.when(k % 7 == 0, "b").otherwise("a").alias("sha"))
+    return catalog.upload_check(asked, held)
+
+
+@query("select count(*) as n, sum(p_size)::bigint as bytes from part")
+def bundle_tally(t):
+    p = t("part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    return catalog.tally(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"))
+
+
+@query("select lower(p_name) as key, arg_min(case when p_partkey % 2 = 0 then upper(p_name) else p_name end, p_partkey) as name, min(p_partkey) as at, count(*) - 1 as duplicates from part group by 1")
+def dedupe_selection(t):
+    f = t("part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), F.col("p_partkey").alias("at"))
+    return catalog.unique_selection(f)
+
+
+# keyed state
+
+LIMIT_SQL = """with recursive e as (select user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events),
+w as (select user_id, i, t as o, 1 as n, t from e where i = 1 union all select e.user_id, e.i, case when e.t - w.o >= {us} then e.t else w.o end, case when e.t - w.o >= {us} then 1 else w.n + 1 end, e.t from w join e on e.user_id = w.user_id and e.i = w.i + 1)"""
+
+
+@query(LIMIT_SQL.format(us="21600000000") + " select user_id as key, count(*) filter (n = 1) as windows, count(*) as events, count(*) filter (n > 5) as rejected from w group by 1")
+def rate_limit_fixed_window(t):
+    return stream.limited(t("events"), "user_id", "ts", 5, 21600)
+
+
+@query(LIMIT_SQL.format(us="3600000000") + " select user_id as key, count(*) filter (n = 1) as kept from w group by 1")
+def throttle_hourly(t):
+    return stream.throttled(t("events"), "user_id", "ts", 3600)
+
+
+@query("select user_id as job, event_type as stage, max(event_id) as done, arg_max(round(value, 6), event_id) as total, arg_max(props, event_id) as state from events group by 1, 2")
+def progress_max(t):
+    e = t("events").select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("event_id").alias("done"), F.round("value", 6).alias("total"), F.col("props").alias("state"))
+    return stream.progress(e)
+
+
+@query("""with s as (select o_custkey job, o_orderpriority unit, o_totalprice total, o_totalprice * (o_orderkey % 4) / 4 done, (o_orderkey % 100 + 1)::double seconds, case when o_orderkey % 3 = 0 then 'running' else 'done' end state, o_orderkey ordinal from orders),
+r as (select job, unit, arg_max(done / seconds, ordinal) rate from s where state = 'done' group by 1, 2), l as (select s.job, (total - done) / nullif(rate, 0) e from s left join r using (job, unit) where state <> 'done')
+select job, round(case when count(e) = count(*) then sum(e) end, 2) as eta from l group by 1""")
+def eta(t):
+    k = F.col("o_orderkey")
+    s = t("orders").select(F.col("o_custkey").alias("job"), F.col("o_orderpriority").alias("unit"), F.col("o_totalprice").alias("total"), (F.col("o_totalprice") * (k % 4) / 4).alias("done"), (k % 100 + 1).cast("double").alias("seconds"), F.when(k % 3 == 0, "running").otherwise("done").alias("state"), k.alias("ordinal"))
+    return stream.eta(s).select("job", F.round("eta", 2).alias("eta"))
+
+
+@query("select user_id as session, min(ts) as created, max(ts) as last from events where event_id % 50 = 0 group by 1 having max(ts) <= timestamp '2024-01-31 00:00:00' - interval 7 days and not bool_or(user_id % 5 = 0)")
+def session_sweep(t):
+    f = t("events").filter("event_id % 50 = 0").select(F.col("user_id").alias("session"), "ts", (F.col("user_id") % 5 == 0).alias("final"))
+    return stream.sessions_to_reap(f, "2024-01-31 00:00:00")
+
+
+@query("select time_bucket(interval '1 hour', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def events_tumbling(t):
+    return stream.tumbling(t("events"), "ts", "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("with h as (select time_bucket(interval '30 minutes', ts)::timestamp b from events), s as (select b as start from h union all select b - interval '30 minutes' from h) select start::timestamp as start, count(*) as n from s group by 1")
+def events_sliding(t):
+    return stream.sliding(t("events"), "ts", "1 hour", "30 minutes")
+
+
+@query("with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '2 hours' then 0 else 1 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id as key, min(ts)::timestamp as start, count(*) as n from s group by user_id, k")
+def events_sessions(t):
+    return stream.session_windows(t("events"), "user_id", "ts", "2 hours")
+
+
+@query("""with c as (select user_id session, event_type name, event_id seq, case when event_id % 5 = 0 then 0 else (event_id % 3) * 10 end off, 10 len, 30 size from events) select session, name, 1 as present from c group by 1, 2""", name="append_files")
+def append_files(t):
+    i = F.col("event_id")
+    c = t("events").select(F.col("user_id").alias("session"), F.col("event_type").alias("name"), i.alias("seq"), F.when(i % 5 == 0, 0).otherwise(i % 3 * 10).cast("long").alias("offset"), F.lit(10).cast("long").alias("length"), F.lit(30).cast("long").alias("size"))
+    return stream.appended(c).select("session", "name", F.lit(1).alias("present"))
