@@ -28,8 +28,6 @@ from gridloom.llm import _text
 from gridloom.llm._store import written
 
 _U = np.uint64
-#: Pairs across components that are met pair by pair; above that, at most so many rounds of one meeting a member come first.
-PAIRS_AT_ONCE, ROUNDS = 100_000, 8
 
 
 @dataclass(frozen=True)
@@ -176,24 +174,6 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "doc_id")
 
 
-def _open(labelled: DataFrame) -> DataFrame:
-    """The rows (band, a, c) of bands that hold several components c."""
-    bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    return labelled.join(bands, "band", "left_semi")
-
-
-def _pairs_across(labelled: DataFrame) -> int:
-    """How many pairs of rows of different components the bands hold."""
-    each = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return each.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-
-
-def _relabelled(labelled: DataFrame, column: str, joined: DataFrame) -> DataFrame:
-    """labelled with the components in column replaced by those that they were joined into."""
-    to = joined.select(F.col("doc_id").alias(column), F.col("class_id").alias("_to"))
-    return labelled.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).select(*labelled.columns)
-
-
 def _keyed(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, copy_of: the least doc_id with exactly the same text (itself, for a text without words)."""
     hashed = documents.select("doc_id", F.when(F.regexp_like("text", F.lit(_text.WORD_PATTERN)), F.unhex(F.md5("text"))).alias("digest"))
@@ -209,12 +189,11 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     no word are classes of their own.  Rows that repeat a doc_id count as one
     document.
 
-    Within a band's bucket, the members meet the bucket's least document, not each
-    other.  While buckets still hold many pairs across components, their members
-    meet one other member each round, chosen by hash; most of a group of near
-    copies joins at once.  What is then left meets pair by pair, only across
-    components: no link between different texts is lost, and no group pairs
-    within itself.
+    Within a band's bucket, the members meet one of them, not each other: the one
+    that shares buckets with the most documents, as the text that near copies were
+    made from does.  A bucket that then still holds several components goes on:
+    the components' members meet, pair by pair, only across components, so that no
+    link between different texts is lost and no group pairs within itself.
     """
     near = near or Near()
     spark = documents.sparkSession
@@ -224,32 +203,29 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     bands = written(band_rows(documents, near))
     copies = keyed.filter("copy_of != doc_id").select("doc_id")
     bands_of_firsts = bands.join(copies, "doc_id", "left_anti") if not copies.isEmpty() else bands
-    shared = bands_of_firsts.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("band", "b")
-    members = written(bands_of_firsts.join(shared, "band").select("band", F.col("doc_id").alias("a"), "b").distinct())
+    shared = bands_of_firsts.groupBy("band").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1")
+    members = written(bands_of_firsts.join(shared, "band").select("band", F.col("doc_id").alias("a"), "n").distinct())
+    # the document that shares buckets with the most others is most likely what near copies were made from
+    known = members.groupBy("a").agg(F.sum("n").alias("met"))
+    ranked = members.join(known, "a").select("band", "a", F.struct((-F.col("met")).alias("met"), "a").alias("r"))
+    center = ranked.groupBy("band").agg(F.min("r").alias("r")).select("band", F.col("r.a").alias("b"))
+    members = written(members.join(center, "band").select("band", "a", "b"))
     involved = members.select(F.col("a").alias("doc_id")).distinct()
     sets = written(_sets(documents.join(involved, "doc_id", "left_semi"), near).dropDuplicates(["doc_id"]))
-    stars = written(_linked(members.filter("a != b").select("a", "b").distinct(), sets, near))
+    stars = written(_linked(members.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, near))
     found = components(stars)
-    alone = involved.join(found, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
-    found = written(found.unionByName(alone))
-    # what a bucket's least document did not settle: its members of different components go on
-    left = written(_open(members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("band", "a", F.coalesce("class_id", "a").alias("c"))))
-    done = stars.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    merged, turn = [], 0
-    while turn < ROUNDS and _pairs_across(left) > PAIRS_AT_ONCE:
-        turn += 1
-        center = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a", "c")).alias("m")).select("band", F.col("m.a").alias("b"), F.col("m.c").alias("cb"))
-        asked = left.join(center, "band").filter("c != cb").select("a", "b", "c", "cb").distinct()
-        met = written(_linked(asked.select("a", "b"), sets, near))
-        joined = components(met.join(asked, ["a", "b"]).select(F.col("c").alias("a"), F.col("cb").alias("b")))
-        merged.append(joined)
-        left = written(_open(_relabelled(left, "c", joined)))
-    x, y = left.select("band", "a", F.col("c").alias("ca")), left.select("band", F.col("a").alias("b"), F.col("c").alias("cb"))
-    across = written(x.join(y, "band").filter("ca < cb").select("a", "b", "ca", "cb").distinct())
-    met = _linked(across.select("a", "b").join(done.select(F.col("x").alias("a"), F.col("y").alias("b")).union(done.select(F.col("y").alias("a"), F.col("x").alias("b"))), ["a", "b"], "left_anti"), sets, near)
-    merged.append(components(met.join(across, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-    for joined in merged:
-        found = _relabelled(found, "class_id", joined)
+    # what a bucket's centre did not settle: members of different components meet
+    labelled = members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("band", "a", F.coalesce("class_id", "a").alias("c"))
+    open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+    labelled = written(labelled.join(open_bands, "band", "left_semi"))
+    labelled = labelled.join(sets.select(F.col("doc_id").alias("a"), F.size("shingles").alias("n")), "a")
+    x, y = labelled.select("band", "a", F.col("c").alias("ca"), "n"), labelled.select("band", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("n").alias("m"))
+    alike = F.least("n", "m") >= F.lit(near.similarity) * F.greatest("n", "m")  # sets of other sizes can't be similar enough
+    across = x.join(y, "band").filter((F.col("ca") < F.col("cb")) & alike).select("a", "b").distinct()
+    done = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = written(_linked(across.join(done, ["a", "b"], "left_anti"), sets, near))
+    if not more.isEmpty():
+        found = components(stars.union(more))
     per_first = firsts.join(found, "doc_id", "left").select(F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return keyed.join(per_first, "copy_of").select("doc_id", "class_id", "copy_of")
 
