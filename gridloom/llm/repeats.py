@@ -267,7 +267,8 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                 own = [keys[k] for k in order[i:j]]
                 text = np.frombuffer(b"".join(k[2] for k in own), np.uint8)
                 about = [np.array([len(k[2]) for k in own], np.uint32), np.array([k[1] for k in own], np.uint32), np.array([values[k][0] for k in order[i:j]], np.int64), np.array([values[k][1] for k in order[i:j]], np.bool_)]
-                blobs.append(_pack(*about) + text.tobytes())
+                whole = _pack(*about) + text.tobytes()
+                blobs.append(len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True))
             return pa.RecordBatch.from_arrays([pa.array(shard[edge]), pa.array(np.diff(np.append(edge, len(shard))).astype(np.int64)), pa.array(blobs, pa.binary())], names=["shard", "n", "blob"])
 
         for batch in batches:
@@ -299,6 +300,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         sizes, anchor, doc, many, texts = [], [], [], [], []
         for n, blob in zip(table.column("n").to_pylist(), table.column("blob"), strict=True):
             blob = blob.as_py()
+            blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
             a, b, c, d = _unpack(blob, np.uint32, np.uint32, np.int64, np.bool_)
             sizes.append(a.astype(np.int64)), anchor.append(b.astype(np.int64)), doc.append(c), many.append(d)
             texts.append(np.frombuffer(blob, np.uint8, count=int(a.sum()), offset=len(blob) - int(a.sum())))
