@@ -546,8 +546,8 @@ def progress_max(t):
     return stream.progress(e)
 
 
-@query("""with s as (select o_custkey job, o_orderpriority unit, o_totalprice total, o_totalprice * (o_orderkey % 4) / 4 done, (o_orderkey % 100 + 1)::double seconds, case when o_orderkey % 3 = 0 then 'running' else 'done' end state, o_orderkey ordinal from orders),
-r as (select job, unit, arg_max(done / seconds, ordinal) rate from s where state = 'done' group by 1, 2), l as (select s.job, (total - done) / nullif(rate, 0) e from s left join r using (job, unit) where state <> 'done')
+@query("""with s as (select o_custkey job, o_orderpriority unit, o_totalprice total, o_totalprice * (o_orderkey % 4) / 4 done, (o_orderkey % 100 + 1)::double secs, case when o_orderkey % 3 = 0 then 'running' else 'done' end state, o_orderkey ordinal from orders),
+r as (select job, unit, arg_max(done / secs, ordinal) rate from s where state = 'done' group by 1, 2), l as (select s.job, (total - done) / nullif(rate, 0) e from s left join r using (job, unit) where state <> 'done')
 select job, round(case when count(e) = count(*) then sum(e) end, 2) as eta from l group by 1""")
 def eta(t):
     k = F.col("o_orderkey")
