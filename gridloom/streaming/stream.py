@@ -35,8 +35,10 @@ def limited(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int
     return c.groupBy("key").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("events"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("rejected"))
 
 
-def limiter_stream(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60) -> DataFrame:
-    """The limiter over a stream of (key, ts): key, ts, allowed; one (opened, n) state a key that expires after a window."""
+def limiter_stream(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60, expire: bool = True) -> DataFrame:
+    """The limiter over a stream of (key, ts): key, ts, allowed; one (opened, n) state a key that expires after a window.
+
+    Without expire, states stay; a stream that must end by itself (availableNow) needs that."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,10 +55,11 @@ def limiter_stream(events: DataFrame, key: str, ts: str, limit: int = 10, window
                 out.append((k[0], t, n <= limit))
             yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
         state.update((opened, n))
-        state.setTimeoutDuration(window_s * 1000)
+        if expire:
+            state.setTimeoutDuration(window_s * 1000)
 
     keyed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return keyed.groupBy("key").applyInPandasWithState(step, f"key {keyed.schema['key'].dataType.simpleString()}, ts timestamp, allowed boolean", "opened double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(step, f"key {keyed.schema['key'].dataType.simpleString()}, ts timestamp, allowed boolean", "opened double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def test_limiter_windows_open_at_the_first_event(spark):
 def test_limiter_stream_equals_batch(spark, tmp_path):
     e = spark.createDataFrame([("a", s) for s in (0, 10, 59, 60, 61, 200)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = stream.limiter_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "k", "ts", 2, 60)
-    q.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    q = stream.limiter_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "k", "ts", 2, 60, expire=False)
+    q.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(40)
     assert spark.table("limited").filter("not allowed").count() == 1 and spark.table("limited").count() == 6
 
 
