@@ -28,6 +28,8 @@ from gridloom.llm import _text
 from gridloom.llm._store import written
 
 _U = np.uint64
+#: 64-bit words of a shingle set's bitmap.
+MARKS = 16
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,7 @@ def band_rows(documents: DataFrame, near: Near) -> DataFrame:
 
 
 def _sets(documents: DataFrame, near: Near) -> DataFrame:
-    """doc_id and the sorted shingle hashes (with occurrence numbers mixed in, if counted) of each document."""
+    """doc_id, the sorted shingle hashes (with occurrence numbers mixed in, if counted) and their bitmap of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +139,12 @@ def _sets(documents: DataFrame, near: Near) -> DataFrame:
                     turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                     row, element = np.repeat(row, count), _text.mix(np.repeat(element, count) + turn.astype(_U))
                 places = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(places), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+                marks = np.zeros((hi - lo, MARKS), _U)
+                np.bitwise_or.at(marks, (row, (element >> _U(6)).astype(np.int64) % MARKS), _U(1) << (element & _U(63)))
+                flat = np.arange(0, marks.size + 1, MARKS, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(places), pa.array(element.view(np.int64))), pa.ListArray.from_arrays(pa.array(flat), pa.array(marks.reshape(-1).view(np.int64)))], names=["doc_id", "shingles", "marks"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, marks array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -151,6 +156,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return both.filter(F.col("common") >= F.lit(near.similarity - 1e-12) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _may_link(near: Near):
+    """Whether sets of n and m shingles with bitmaps p and q can be similar enough, as a column: never false for a link.
+
+    Each bit in which the bitmaps differ is a shingle of only one set, and a link
+    has at most (n + m) * (1 - s) / (1 + s) of those.
+    """
+    apart = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(1, MARKS)), F.bit_count(F.col("p")[0].bitwiseXOR(F.col("q")[0])))
+    alike = F.least("n", "m") >= F.lit(near.similarity - 1e-12) * F.greatest("n", "m")
+    return alike & (apart <= F.lit((1 - near.similarity) / (1 + near.similarity) + 1e-12) * (F.col("n") + F.col("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its component) of all ids on links (a, b).
 
@@ -192,8 +208,10 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     Within a band's bucket, the members meet one of them, not each other: the one
     that shares buckets with the most documents, as the text that near copies were
     made from does.  A bucket that then still holds several components goes on:
-    the components' members meet, pair by pair, only across components, so that no
-    link between different texts is lost and no group pairs within itself.
+    the components' members meet only across components, and a pair goes on to the
+    exact check once, from the least bucket it shares, and only if the sets' sizes
+    and bitmaps allow a link.  So no link between different texts is lost and no
+    component pairs within itself.
     """
     near = near or Near()
     spark = documents.sparkSession
@@ -218,10 +236,12 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     labelled = members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("band", "a", F.coalesce("class_id", "a").alias("c"))
     open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
     labelled = written(labelled.join(open_bands, "band", "left_semi"))
-    labelled = labelled.join(sets.select(F.col("doc_id").alias("a"), F.size("shingles").alias("n")), "a")
-    x, y = labelled.select("band", "a", F.col("c").alias("ca"), "n"), labelled.select("band", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("n").alias("m"))
-    alike = F.least("n", "m") >= F.lit(near.similarity) * F.greatest("n", "m")  # sets of other sizes can't be similar enough
-    across = x.join(y, "band").filter((F.col("ca") < F.col("cb")) & alike).select("a", "b").distinct()
+    kinds = labelled.groupBy("a").agg(F.collect_set("band").alias("bands"))  # near.bands at most
+    labelled = labelled.join(kinds, "a").join(sets.select(F.col("doc_id").alias("a"), F.size("shingles").alias("n"), F.col("marks").alias("p")), "a")
+    x = labelled.select("band", "a", F.col("c").alias("ca"), F.col("bands").alias("va"), "n", "p")
+    y = labelled.select("band", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("bands").alias("vb"), F.col("n").alias("m"), F.col("p").alias("q"))
+    once = F.col("band") == F.array_min(F.array_intersect("va", "vb"))  # of the bands that a pair shares, the least one brings it
+    across = x.withColumnRenamed("band", "k").join(y, (F.col("k") == F.col("band")) & (F.col("ca") < F.col("cb")) & _may_link(near) & once).select("a", "b")
     done = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = written(_linked(across.join(done, ["a", "b"], "left_anti"), sets, near))
     if not more.isEmpty():
