@@ -108,54 +108,77 @@ def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
     return best.view(_U).reshape(n, k)
 
 
-def band_rows(documents: DataFrame, near: Near) -> DataFrame:
-    """doc_id, band (64-bit hash of band number and coordinates) of each document with a word."""
+def _elements(data: np.ndarray, offsets: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row and hash of each set element (if counted, one an occurrence, its number mixed in); and each distinct shingle's row, hash and weight."""
+    row, element, count = shingle_sets(data, offsets, near.words)
+    if not near.counted:
+        return row, element, (row, element, np.ones(len(count)))
+    turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(row, count), _text.mix(np.repeat(element, count) + turn.astype(_U)), (row, element, count.astype(float))
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list column of a two-dimensional array's rows."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+
+
+def prints(documents: DataFrame, near: Near) -> DataFrame:
+    """doc_id, bands (64-bit hashes of band number and coordinates), n (size of the shingle set) and marks (its bitmap) of each document with a word."""
     k = near.bands * near.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in _text.slices(batch.column(1)):
-                row, element, count = shingle_sets(data, offsets, near.words)
-                weights = count.astype(float) if near.counted else np.ones(len(count))
+                row, element, weighted = _elements(data, offsets, near)
                 some = np.unique(row)
-                sig = signatures(row, element, weights, hi - lo, k)[some].reshape(len(some), near.bands, near.rows)
+                sig = signatures(*weighted, hi - lo, k)[some].reshape(len(some), near.bands, near.rows)
                 band = np.tile(np.arange(near.bands, dtype=_U), (len(some), 1))
                 for i in range(near.rows):
                     band = _text.mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, i])
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(some, near.bands)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(band.reshape(-1).view(np.int64))], names=["doc_id", "band"])
+                marks = np.zeros((hi - lo, MARKS), _U)
+                np.bitwise_or.at(marks, (row, (element >> _U(6)).astype(np.int64) % MARKS), _U(1) << (element & _U(63)))
+                n = np.bincount(row, minlength=hi - lo)[some]
+                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, _lists(band), pa.array(n.astype(np.int64)), _lists(marks[some])], names=["doc_id", "bands", "n", "marks"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, band long")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, n long, marks array<long>")
 
 
 def _sets(documents: DataFrame, near: Near) -> DataFrame:
-    """doc_id, the sorted shingle hashes (with occurrence numbers mixed in, if counted) and their bitmap of each document."""
+    """doc_id and the sorted shingle hashes (with occurrence numbers mixed in, if counted) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in _text.slices(batch.column(1)):
-                row, element, count = shingle_sets(data, offsets, near.words)
-                if near.counted:
-                    turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    row, element = np.repeat(row, count), _text.mix(np.repeat(element, count) + turn.astype(_U))
+                row, element, _ = _elements(data, offsets, near)
                 places = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                marks = np.zeros((hi - lo, MARKS), _U)
-                np.bitwise_or.at(marks, (row, (element >> _U(6)).astype(np.int64) % MARKS), _U(1) << (element & _U(63)))
-                flat = np.arange(0, marks.size + 1, MARKS, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(places), pa.array(element.view(np.int64))), pa.ListArray.from_arrays(pa.array(flat), pa.array(marks.reshape(-1).view(np.int64)))], names=["doc_id", "shingles", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(places), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, marks array<long>")
 
+def _linked(pairs: DataFrame, documents: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold.
 
-def _linked(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    Only the texts on pairs are read for it.  Their ids are written first, so that
+    Spark knows their size: it broadcasts them below its threshold and deals texts
+    and ids by doc_id beyond.
+    """
+    pairs = written(pairs)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = written(_sets(documents.join(ids, "doc_id", "left_semi"), near).dropDuplicates(["doc_id"]))
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    size_ok = F.least(F.size("sa"), F.size("sb")) >= F.lit(near.similarity) * F.greatest(F.size("sa"), F.size("sb"))
-    both = both.filter(size_ok).withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("common") >= F.lit(near.similarity - 1e-12) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _close(pairs: DataFrame, marks: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to be links."""
+    left = marks.select(F.col("doc_id").alias("a"), "n", F.col("marks").alias("p"))
+    right = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("marks").alias("q"))
+    return pairs.join(left, "a").join(right, "b").filter(_may_link(near)).select("a", "b")
+
+
 def _may_link(near: Near):
     """Whether sets of n and m shingles with bitmaps p and q can be similar enough, as a column: never false for a link.
 
@@ -218,32 +241,34 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     documents = documents.select("doc_id", "text")
     keyed = written(_keyed(spark, documents).distinct())
     firsts = keyed.filter("copy_of = doc_id").select("doc_id")
-    bands = written(band_rows(documents, near))
+    own = written(prints(documents.filter("doc_id is not null"), near))
     copies = keyed.filter("copy_of != doc_id").select("doc_id")
-    bands_of_firsts = bands.join(copies, "doc_id", "left_anti") if not copies.isEmpty() else bands
-    shared = bands_of_firsts.groupBy("band").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1")
-    members = written(bands_of_firsts.join(shared, "band").select("band", F.col("doc_id").alias("a"), "n").distinct())
+    own = own.join(copies, "doc_id", "left_anti") if not copies.isEmpty() else own
+    bands = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo < hi").select("band", "n")
+    members = written(bands.join(shared, "band").select("band", "a", "n").distinct())
     # the document that shares buckets with the most others is most likely what near copies were made from
     known = members.groupBy("a").agg(F.sum("n").alias("met"))
     ranked = members.join(known, "a").select("band", "a", F.struct((-F.col("met")).alias("met"), "a").alias("r"))
     center = ranked.groupBy("band").agg(F.min("r").alias("r")).select("band", F.col("r.a").alias("b"))
     members = written(members.join(center, "band").select("band", "a", "b"))
     involved = members.select(F.col("a").alias("doc_id")).distinct()
-    sets = written(_sets(documents.join(involved, "doc_id", "left_semi"), near).dropDuplicates(["doc_id"]))
-    stars = written(_linked(members.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, near))
+    marks = written(own.select("doc_id", "n", "marks").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    met = members.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = written(_linked(_close(met, marks, near), documents, near))
     found = components(stars)
     # what a bucket's centre did not settle: members of different components meet
     labelled = members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("band", "a", F.coalesce("class_id", "a").alias("c"))
     open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
     labelled = written(labelled.join(open_bands, "band", "left_semi"))
     kinds = labelled.groupBy("a").agg(F.collect_set("band").alias("bands"))  # near.bands at most
-    labelled = labelled.join(kinds, "a").join(sets.select(F.col("doc_id").alias("a"), F.size("shingles").alias("n"), F.col("marks").alias("p")), "a")
+    labelled = labelled.join(kinds, "a").join(marks.select(F.col("doc_id").alias("a"), "n", F.col("marks").alias("p")), "a")
     x = labelled.select("band", "a", F.col("c").alias("ca"), F.col("bands").alias("va"), "n", "p")
     y = labelled.select("band", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("bands").alias("vb"), F.col("n").alias("m"), F.col("p").alias("q"))
     once = F.col("band") == F.array_min(F.array_intersect("va", "vb"))  # of the bands that a pair shares, the least one brings it
     across = x.withColumnRenamed("band", "k").join(y, (F.col("k") == F.col("band")) & (F.col("ca") < F.col("cb")) & _may_link(near) & once).select("a", "b")
     done = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(_linked(across.join(done, ["a", "b"], "left_anti"), sets, near))
+    more = written(_linked(across.join(done, ["a", "b"], "left_anti"), documents, near))
     if not more.isEmpty():
         found = components(stars.union(more))
     per_first = firsts.join(found, "doc_id", "left").select(F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
