@@ -226,7 +226,8 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     A class is a connected component of links of similarity >= near.similarity;
     exact copies join their first document's class.  Texts that are null or hold
     no word are classes of their own.  Rows that repeat a doc_id count as one
-    document.
+    document.  Those with a null doc_id take no part: they have a null class_id,
+    or the class of the document that they copy exactly.
 
     Within a band's bucket, the members meet one of them, not each other: the one
     that shares buckets with the most documents, as the text that near copies were
@@ -272,10 +273,10 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     if not more.isEmpty():
         found = components(stars.union(more))
     per_first = firsts.join(found, "doc_id", "left").select(F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return keyed.join(per_first, "copy_of").select("doc_id", "class_id", "copy_of")
+    return keyed.join(per_first, "copy_of", "left").select("doc_id", "class_id", "copy_of")
 
 
 def keep_firsts(documents: DataFrame, near: Near | None = None) -> DataFrame:
-    """The documents that are the least of their class, with all their columns; rows that repeat a doc_id stay once."""
+    """The documents that are the least of their class, with all their columns; rows that repeat a doc_id stay once, rows with a null one all stay."""
     firsts = classes(documents, near).filter("doc_id = class_id").select("doc_id")
-    return documents.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    return documents.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns).union(documents.filter("doc_id is null"))

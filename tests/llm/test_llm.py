@@ -59,6 +59,13 @@ def test_near_duplicates(spark, docs):
     assert all(got[i] == i for i in (4, 5, 6, 9, 10, 11, 12))
 
 
+def test_near_duplicates_with_null_ids(spark):
+    docs = spark.createDataFrame([(1, words(40, 1)), (2, words(40, 1)), (None, words(40, 2)), (None, words(40, 1))], "doc_id long, text string")
+    got = neardup.classes(docs).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(1, 1), (2, 1), (None, None), (None, 1)}
+    assert [r["doc_id"] for r in neardup.keep_firsts(docs).orderBy(F.col("doc_id").desc_nulls_last()).collect()] == [1, None, None]
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = np.arange(300, dtype=np.uint64), np.arange(100, 400, dtype=np.uint64)
     rows, items = np.repeat([0, 1], 300), np.concatenate((a, b))
