@@ -10,6 +10,7 @@ quoted or not, by term) meant in the labelled documents.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,16 +105,22 @@ class Matcher:
 
         start = close({(0, 0)})
         number = {start: 0}
-        rows, hits, reached, queue = [], [], [], [start]
+        place = {c: i + 1 for i, c in enumerate(letters)}
+        rows, hits, reached, queue = [], [], [], deque([start])
         while queue:
-            states = queue.pop(0)
-            row = []
-            for c in [None, *letters]:
+            states = queue.popleft()
+            # letters that no state goes on with act as one outside the lexicon
+            on = {c for node, _ in states for c in nodes[node]}
+            row = [0] * (len(letters) + 1)
+            for c in [None, *sorted(on)]:
                 to = step(states, c)
                 if to not in number:
                     number[to] = len(number)
                     queue.append(to)
-                row.append(number[to])
+                if c is None:
+                    row = [number[to]] * (len(letters) + 1)
+                else:
+                    row[place[c]] = number[to]
             rows.append(row)
             hits.append(hit(states))
             begun = [opened[n] for n, e in states if e == 0 and n in opened]
@@ -222,7 +229,9 @@ def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]
     """The lexicon of (text, toxic 0/1) rows: (entry, open) in order of evidence, at most lexicon.entries.
 
     Counts documents that hold each word and word beginning; an entry that a
-    shorter chosen beginning covers is left out.
+    shorter chosen beginning covers is left out, but for words of at least
+    lexicon.fuzzy letters: beginnings match exactly only, so misspellings inside
+    them are found by the whole word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +269,8 @@ def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]
     chosen: list[tuple[str, bool]] = []
     begun: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r["open"], len(r["term"]))):
-        if not any(r["term"][:k] in begun for k in range(1, len(r["term"]) + 1)):
+        covered = any(r["term"][:k] in begun for k in range(1, len(r["term"]) + 1))
+        if not covered or (not r["open"] and len(r["term"]) >= lexicon.fuzzy):
             chosen.append((r["term"], r["open"]))
             if r["open"]:
                 begun.add(r["term"])

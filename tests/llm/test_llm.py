@@ -161,6 +161,14 @@ def test_levenshtein_automaton():
     assert [h >= 0 for h in m.match(words_)] == [True, True, True, True, True, False, True, False, True, False, False, False]
 
 
+def test_misspellings_inside_a_learned_beginning(spark):
+    rows = [(words(30, i) + (" grobian" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(120)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"), toxicity.Lexicon())
+    assert ("grob", True) in terms and ("grobian", False) in terms
+    m = toxicity.Matcher(terms, 5)
+    assert [h >= 0 for h in m.match(["grobian", "gxobian", "gobian", "grrobian", "grobianus", "gxxbian"])] == [True, True, True, True, True, False]
+
+
 def test_language_model(spark, docs):
     model = ngram.train(docs.filter("doc_id < 10"))
     rows = {r["doc_id"]: r for r in ngram.score(docs.filter("doc_id != 10"), model).collect()}
