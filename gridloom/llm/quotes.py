@@ -1,11 +1,13 @@
 """Quotation linking: from messages with nested quotes to reply-ordered conversations without them.
 
-Lines are parsed into quote levels (leading '>' signs).  Quoted lines are hashed
-after normalising case and white space and joined to the messages that first
-wrote them: in the same conversation if one did so earlier, else in any other.
-Each message's sources vote by lines.  All of it is DataFrame work: the joins are
-by hash against one row per hash, pre-aggregated, so a common line is one row a
-task and no group of messages meets itself.
+Lines are parsed into quote levels (leading '>' signs).  The neighbouring lines of
+one level are a passage; case and white space are normalised and the passage is
+hashed by runs of words, whatever its line breaks, beside its lines as such.  The
+hashes are joined to the messages that first wrote them: in the same conversation
+if one did so earlier, else in any other.  Each message's sources vote by lines.
+All of it is DataFrame work: the joins are by hash against one row per hash,
+pre-aggregated, so a common line or run is one row a task and no group of messages
+meets itself.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from gridloom.llm._store import written
 LEVEL = r"^[ \t]*(>[ \t]*)+"
 ANNOUNCES = r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]{0,40}:\s*$"
 
+#: Words in a hashed run of a passage; a passage of fewer words is one run.
+RUN = 5
+
 
 def parsed_lines(messages: DataFrame) -> DataFrame:
     """conv_id, turn, row, at, level, line, announces of each line of each message with text; level 0 is the message's own."""
@@ -40,29 +45,84 @@ def own_text():
     return F.when(~quotes, F.col("text")).otherwise(F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")))
 
 
+def _words(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, ws: the words of each message with text, in order, each with its line's number and quote level (-1 for announcing lines)."""
+    raw = F.split("text", "\n")
+
+    def line(x, at):
+        mark = F.regexp_extract(x, LEVEL, 0)
+        plain = F.trim(F.regexp_replace(F.lower(F.substring(x, F.length(mark) + 1, F.length(x))), r"\s+", " "))
+        level = F.length(F.regexp_replace(mark, r"[ \t]", ""))
+        level = F.when((level == 0) & F.regexp_like(F.trim(x), F.lit(ANNOUNCES)), -1).otherwise(level)
+        return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), at.alias("at"), level.alias("level")))
+
+    return messages.filter("text is not null").select("conv_id", "turn", F.flatten(F.transform(raw, line)).alias("ws"))
+
+
+def _runs(words: DataFrame, size: int, whole: bool) -> DataFrame:
+    """conv_id, turn, level, lo, hi (first and last line), h of each run of `size` words within one passage; whole: only those that are a passage."""
+    begins = F.when(F.size("ws") >= size, F.sequence(F.lit(0), F.size("ws") - size)).otherwise(F.array().cast("array<int>"))
+    at = words.select("conv_id", "turn", "ws", F.explode(begins).alias("i"))
+    level = lambda k: F.get(F.col("ws"), F.col("i") + k)["level"]
+    same = F.lit(True)
+    for k in range(1, size):
+        same = same & (level(k) == level(0))
+    if whole:
+        same = same & ~level(-1).eqNullSafe(level(0)) & ~level(size).eqNullSafe(level(0))
+    run = F.slice("ws", F.col("i") + 1, size)
+    return at.filter(same).select("conv_id", "turn", level(0).alias("level"), run[0]["at"].alias("lo"), run[size - 1]["at"].alias("hi"), F.xxhash64(run["w"], F.lit(size)).alias("h"))
+
+
+def _sources(quoted: DataFrame, first: DataFrame, abroad) -> DataFrame:
+    """quoted's rows with src_conv, src_turn: the conversation's own first message of first (h, conv_id, src_turn), if earlier; else, where `abroad`, the first of the others."""
+    own = quoted.join(first, ["conv_id", "h"], "left").withColumn("src_conv", F.when(F.col("src_turn") < F.col("turn"), F.col("conv_id")))
+    # the two first conversations of a hash: one of them is another than the quoting one
+    where = F.struct("conv_id", "src_turn")
+    least = first.groupBy("h").agg(F.min(where).alias("one"))
+    second = first.join(least, "h").filter(F.col("conv_id") != F.col("one.conv_id")).groupBy("h").agg(F.min(where).alias("two"))
+    lost = own.filter(F.col("src_conv").isNull() & abroad).drop("src_conv", "src_turn")
+    other = lost.join(least, "h").join(second, "h", "left").withColumn("src", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))).filter("src is not null")
+    out = [*quoted.columns, "src_conv", "src_turn"]
+    return own.filter("src_conv is not null").select(*out).unionByName(other.withColumn("src_conv", F.col("src.conv_id")).withColumn("src_turn", F.col("src.src_turn")).select(*out))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, src_conv, src_turn, n_lines: for each message and quote level, the message that most of its quoted lines come from.
 
-    A line's original is the first message of the conversation that wrote it
-    itself, if earlier than the quoting one; else the first (conv_id, turn) of the
-    other conversations that did.  Votes tie to the conversation's own, then to
+    A quoted passage is looked up by its lines (equal to whole lines of the
+    original) and by all its runs of RUN words, so that re-wrapped and partial quotes
+    link; a passage of fewer words is one run, looked up in its own conversation
+    only, as a few words stand anywhere.  The original of a line or run is the first
+    message of the conversation that wrote it itself, if earlier than the quoting
+    one; else the first (conv_id, turn) of the other conversations that did.  A
+    source's votes are the quoted lines that its lines and runs touch.  Votes tie to
+    the source of more whole lines, of more runs, to the conversation's own, then to
     the later turn.
     """
+    marked = messages.filter(F.regexp_like("text", F.lit(f"(?m){LEVEL}")))
     lines = parsed_lines(messages).filter("line != ''").withColumn("h", _hash())
-    quoted = written(lines.filter("level > 0").groupBy("conv_id", "turn", "level", "h").agg(F.count(F.lit(1)).alias("n")))
+    words = _words(marked)
+    by_line = lines.filter("level > 0").select("conv_id", "turn", "level", F.col("at").alias("lo"), F.col("at").alias("hi"), "h", F.lit(0).alias("size"))
+    runs = [_runs(words, k, k < RUN).filter("level > 0").withColumn("size", F.lit(k)) for k in range(1, RUN + 1)]
+    for more in runs:
+        by_line = by_line.unionByName(more)
+    quoted = written(by_line.distinct())
+    sizes = [r["size"] for r in quoted.select("size").distinct().collect()]  # 0 to RUN
+    wrote = lines.filter("level = 0 and not announces").select("h", F.lit(0).alias("size"), "conv_id", "turn")
+    for k in sizes:
+        if k > 0:
+            wrote = wrote.unionByName(_runs(_words(messages), k, False).filter("level = 0").select("h", F.lit(k).alias("size"), "conv_id", "turn"))
     wanted = quoted.select("h").distinct()
-    first = written(lines.filter("level = 0 and not announces").join(wanted, "h", "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("src_turn")))
-    own = quoted.join(first, ["conv_id", "h"], "left").withColumn("src_conv", F.when(F.col("src_turn") < F.col("turn"), F.col("conv_id")))
-    # the two first conversations of a line: one of them is another than the quoting one
-    where = F.struct("conv_id", "src_turn")
-    least = first.groupBy("h").agg(F.min(where).alias("one"))
-    second = first.join(least, "h").filter(F.col("conv_id") != F.col("one.conv_id")).groupBy("h").agg(F.min(where).alias("two"))
-    lost = own.filter("src_conv is null").select("conv_id", "turn", "level", "h", "n")
-    other = lost.join(least, "h").join(second, "h", "left").withColumn("src", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))).filter("src is not null")
-    votes = own.filter("src_conv is not null").select("conv_id", "turn", "level", "src_conv", "src_turn", "n").unionByName(other.select("conv_id", "turn", "level", F.col("src.conv_id").alias("src_conv"), F.col("src.src_turn").alias("src_turn"), "n"))
-    votes = votes.groupBy("conv_id", "turn", "level", "src_conv", "src_turn").agg(F.sum("n").alias("n_lines"))
-    rank = F.struct("n_lines", (F.col("src_conv") == F.col("conv_id")).alias("same"), "src_turn", "src_conv")
-    best = votes.groupBy("conv_id", "turn", "level").agg(F.max(rank).alias("b"))
+    first = written(wrote.join(wanted, "h", "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("src_turn")))
+    votes = written(_sources(quoted, first, (F.col("size") == 0) | (F.col("size") == RUN)).withColumn("whole", (F.col("size") == 0).cast("int")))
+    key = ["conv_id", "turn", "level", "src_conv", "src_turn"]
+    units = votes.groupBy(key).agg(F.sum("whole").alias("n_whole"), F.count(F.lit(1)).alias("n_units"))
+    # a run over several lines touches all lines between that hold words of its level
+    touched = votes.select(*key, F.explode(F.sequence("lo", "hi")).alias("lo")).distinct()
+    held = quoted.filter("size = 0").select("conv_id", "turn", "level", "lo").distinct()
+    touched = touched.join(held, ["conv_id", "turn", "level", "lo"], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"))
+    rank = F.struct("n_lines", "n_whole", "n_units", (F.col("src_conv") == F.col("conv_id")).alias("same"), "src_turn", "src_conv")
+    best = touched.join(units, key).groupBy("conv_id", "turn", "level").agg(F.max(rank).alias("b"))
     return best.select("conv_id", "turn", "level", F.col("b.src_conv").alias("src_conv"), F.col("b.src_turn").alias("src_turn"), F.col("b.n_lines").alias("n_lines"))
 
 

@@ -129,6 +129,21 @@ def test_quotes_link_nested_levels(spark):
     assert got[2, 1]["text"] is None and len(got) == 8
 
 
+def test_quotes_link_rewrapped_and_partial_passages(spark):
+    long = "One two three four five six seven eight nine ten. A second sentence that stands in the same line."
+    rows = [
+        (1, 0, "u", long), (1, 1, "a", "A common answer that nobody else gives here"),
+        (1, 2, "u", "> One two three\n> four FIVE six seven\n>\n> eight nine ten.\nYes"),  # re-wrapped
+        (1, 3, "a", "> a second sentence that stands in\nNo"),  # one sentence of a line
+        (1, 4, "u", "> nobody else\n>> seven eight\n>> nine ten. A second\nOh"),  # few words, and a nested re-wrapped run
+        (2, 0, "u", "> three four five six\n> seven\n\n> else gives\nfrom elsewhere"), (2, 1, "a", "> five six nine seven eight one\nnot written so"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[k]["reply_conv"], got[k]["reply_turn"]) for k in ((1, 2), (1, 3), (1, 4), (2, 0), (2, 1))] == [(1, 0), (1, 0), (1, 1), (1, 0), (None, None)]
+    assert [(q["level"], q["src_turn"], q["n_lines"]) for q in got[1, 4]["quotes"]] == [(1, 1, 1), (2, 0, 2)]
+    assert got[1, 2]["quotes"][0]["n_lines"] == 3 and got[1, 2]["text"] == "Yes"
+
+
 def test_repeats_equal_brute_force(spark, docs):
     rows = sorted(((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()))
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.measure(docs).collect())
