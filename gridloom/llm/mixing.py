@@ -57,14 +57,14 @@ def finish_times(docs: DataFrame, targets: DataFrame, seed: int = 17, most: int
     """
     passes = docs.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(most)])))
     j = passes.join(targets, passes["source"].eqNullSafe(targets["t_source"]), "inner").drop("t_source")
-    at = F.xxhash64("doc_id", F.lit(seed), "pass")
+    at = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed), "pass")).otherwise(F.xxhash64("doc_id", F.lit(seed), "pass"))
     n = F.ceil(F.col("n_docs") / F.lit(CELL))
     j = j.withColumn("at", at).withColumn("cell", F.pmod(F.shiftrightunsigned("at", 24), n))
     # a cell's rank is its number, the order inside it is the hash's: together one fixed shuffle of the source
     cells = j.groupBy("source", "pass", "cell").agg(F.sum("size").alias("cell_size"))
     order = Window.partitionBy("source").orderBy("pass", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("base", F.coalesce(F.sum("cell_size").over(order), F.lit(0))).select(F.col("source").alias("c_source"), F.col("pass").alias("c_pass"), F.col("cell").alias("c_cell"), "base")
-    inside = Window.partitionBy("source", "pass", "cell").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "pass", "cell").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("inside", F.sum("size").over(inside))
     j = j.join(cells, j["source"].eqNullSafe(cells["c_source"]) & (F.col("pass") == F.col("c_pass")) & (F.col("cell") == F.col("c_cell")))
     finish = F.when(F.col("target") > 0, (F.col("base") + F.col("inside")) / F.col("target")).otherwise(F.lit(2.0))
@@ -97,9 +97,14 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), bu
     document exceeds `most` times its size.  The mix itself is the taken copies
     sorted by finish.  Null texts have size 0 and are taken (they cost nothing)
     once their time is due; sources of size 0 have target 0 and give nothing.  An
-    empty table gives no rows.  Rows that repeat a doc_id are documents of their own.
+    empty table gives no rows.  Rows that repeat a doc_id, or have a null one, are
+    documents of their own; row is their key.
     """
-    sized = written(documents.select("doc_id", "source", word_count().alias("size")).withColumn("row", F.monotonically_increasing_id()))
+    return _mixed(written(documents.select("doc_id", "source", word_count().alias("size")).withColumn("row", F.monotonically_increasing_id())), weights, budget, most, seed)
+
+
+def _mixed(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+    """mix_sources of (doc_id, source, size, row) rows that are written already."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(by_source, weights, budget, most).withColumnRenamed("source", "t_source")
     copies = written(finish_times(sized, targets, seed, most))
@@ -119,7 +124,10 @@ def mix_totals(documents: DataFrame, **knobs) -> DataFrame:
 def mixed_documents(documents: DataFrame, **knobs) -> DataFrame:
     """The taken documents with all their columns, one row per taken copy, in the mix's order of finish times.
 
-    Rows that share a doc_id are taken alike, each at the first of their finish times.
+    The documents are written once with a row key, by which the taken copies are
+    joined back: rows that repeat a doc_id, or have a null one, are taken each alone.
     """
-    taken = mix_sources(documents, **knobs).filter("taken").groupBy("doc_id", "pass").agg(F.min("finish").alias("_finish"))
-    return documents.join(taken.drop("pass"), "doc_id").orderBy("_finish", "doc_id").select(*documents.columns)
+    keyed = written(documents.withColumn("_size", word_count()).withColumn("_row", F.monotonically_increasing_id()))
+    sized = keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row"))
+    taken = _mixed(sized, **knobs).filter("taken").select(F.col("row").alias("_row"), F.col("finish").alias("_finish"))
+    return keyed.join(taken, "_row").orderBy("_finish", "doc_id", "_row").select(*documents.columns)

@@ -226,6 +226,17 @@ def test_mix_reaches_targets(spark):
         assert target == pytest.approx(want[s]) and abs(taken - target) <= 2 * most
 
 
+def test_mix_takes_rows_with_null_and_repeated_ids(spark):
+    rows = [(i if i < 40 else 7 if i < 50 else None, f"text{i} " + words(19, i), "xx", f"s{i % 2}", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    copies = mixing.mix_sources(docs)
+    taken = copies.filter("taken")
+    got = Counter(r["text"] for r in mixing.mixed_documents(docs).collect())
+    assert sum(got.values()) == 150 == taken.count() and max(got.values()) <= 2
+    assert sum(n for t, n in got.items() if int(t.split()[0][4:]) >= 50) == taken.filter("doc_id is null").count() > 50
+    assert copies.filter("doc_id is null").select("at").distinct().count() == 100
+
+
 def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = [r["doc_id"] for r in out.collect()]
