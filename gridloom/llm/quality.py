@@ -30,7 +30,7 @@ class Bands:
     chars_per_token: lowest and highest mean; byte_share: the most byte-fallback
     tokens; evenness: the least entropy of the text's tokens, as a part of the
     log2 of 2,000 or of their number if smaller; symbols: the most symbol
-    characters a word; upper: the most upper-case letters among cased letters;
+    characters a word; upper: the most upper-case letters among the letters of any script;
     repeats: the most words, per cent, in repeated 8-word windows.
     """
 
@@ -84,6 +84,32 @@ def _entropy_parts(keys: np.ndarray, n_docs: int, vocab: int) -> np.ndarray:
     return np.bincount(keys[edge] // vocab, c * np.log2(c), n_docs)
 
 
+_letters: dict[str, np.ndarray] = {}
+
+
+def _kinds() -> np.ndarray:
+    """1 for letters, 3 for upper-case ones, by code point; kept while the worker lives."""
+    if not _letters:
+        _letters["all"] = np.fromiter((c.isalpha() + 2 * (c.isalpha() and c.isupper()) for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+    return _letters["all"]
+
+
+def _letter_kinds(data: np.ndarray) -> np.ndarray:
+    """_kinds of the character that begins at each byte of UTF-8 data, 0 at bytes inside characters."""
+    kinds = _kinds()
+    out = kinds[data]
+    wide = np.flatnonzero(data >= 0x80)
+    out[wide] = 0
+    for size, low, high, mask in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF8, 0x07)):
+        at = wide[(data[wide] >= low) & (data[wide] < high)]
+        at = at[at + size <= len(data)]
+        point = (data[at] & mask).astype(np.int64)
+        for k in range(1, size):
+            point = (point << 6) | (data[at + k] & 0x3F)
+        out[at] = kinds[np.minimum(point, 0x10FFFF)]
+    return out
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules, vocabulary: str) -> dict[str, np.ndarray]:
     """The rule's measures of each text of a slice."""
     n = len(offsets) - 1
@@ -149,7 +175,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules, vocabulary: str
     beyond = per_row(data >= 0xE0)
     latin = ascii_letters + latin2
     out["script"] = np.where(latin >= np.maximum(greek, beyond), "latin", np.where(greek >= beyond, "greek-cyrillic", "other"))
-    out["upper_share"] = per_row((data >= 65) & (data <= 90)) / np.maximum(ascii_letters, 1)
+    letters = _letter_kinds(data)
+    out["upper_share"] = per_row(letters == 3) / np.maximum(per_row(letters > 0), 1)
     return out
 
 
