@@ -32,14 +32,13 @@ REPORTS = ("said", "says", "called", "wrote", "quote", "quoted", "word", "term",
 @dataclass(frozen=True)
 class Lexicon:
     """Learning: at most `sample` labelled documents, chosen by hash of doc_id (a documented bound on the classifier's sample);
-    entries that `least` toxic documents hold (a tenth of the toxic ones, but 3, where that is less, and at least a hundredth: rarer ones are pure by chance) and whose smoothed share of toxic documents is `purity`;
-    at most `entries` entries and word beginnings of `prefix` to `prefix_to` letters.
+    entries whose smoothed share of toxic documents is `purity` and whose counts chance explains with probability `chance` at most, whatever the sample's size;
+    word beginnings of `prefix` to `prefix_to` letters are entries too.  The sample alone bounds the entries' number.
     Matching: terms of at least `fuzzy` letters also match at distance 1; windows of `window` words."""
 
     sample: int = 20_000
-    least: int = 12
+    chance: float = 0.005
     purity: float = 0.8
-    entries: int = 400
     prefix: int = 4
     prefix_to: int = 7
     fuzzy: int = 5
@@ -226,7 +225,15 @@ def without_copies(documents: DataFrame, draws: int = 3) -> DataFrame:
 
 
 def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]:
-    """The lexicon of (text, toxic 0/1) rows: (entry, open) in order of evidence, at most lexicon.entries.
+    """The entries of learn_lexicon."""
+    return learn_lexicon(labelled, lexicon)[0]
+
+
+def learn_lexicon(labelled: DataFrame, lexicon: Lexicon) -> tuple[list[tuple[str, bool]], np.ndarray]:
+    """The lexicon of (text, toxic 0/1) rows: (entry, open) in order of evidence, and how far each is to be trusted, 0 to 1.
+
+    Trust is 1 less the part of the entries of like counts that chance alone would
+    bring, so that weak entries weigh little instead of being dropped.
 
     Counts documents that hold each word and word beginning; an entry that a
     shorter chosen beginning covers is left out, but for words of at least
@@ -261,11 +268,22 @@ def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in names], pa.string()), pa.array([o for _, o in names], pa.bool_()), pa.array(n), pa.array(t)], names=["term", "open", "n", "t"])
 
     counted = labelled.select("text", F.col("toxic").cast("double").alias("toxic")).mapInArrow(count, "term string, open boolean, n long, t long")
-    sums = counted.groupBy("term", "open").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    toxic_docs = labelled.agg(F.sum(F.col("toxic").cast("double"))).first()[0] or 0
-    least = max(3, min(lexicon.least, int(toxic_docs / 10)), int(toxic_docs / 100))
-    pure = sums.filter((F.col("t") >= least) & ((F.col("t") + 0.5) / (F.col("n") + 1.0) >= lexicon.purity))
-    rows = pure.orderBy(F.desc("t"), "open", F.length("term"), "term").limit(4 * lexicon.entries).collect()  # bounded by a parameter
+    sums = written(counted.groupBy("term", "open").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    whole = sums.agg(F.sum("t"), F.sum("n")).first()
+    base = min(max((whole[0] or 0) / (whole[1] or 1), 1e-9), 1 - 1e-9)
+    # n times the divergence of t / n from the share of toxic ones among all words' documents: chance reaches it with probability exp(-it) at most
+    n, t = F.col("n"), F.col("t")
+    far = t * F.log(t / n / base) + F.when(n > t, (n - t) * F.log((n - t) / n / (1 - base))).otherwise(0.0)
+    pure = sums.filter((t / n > base) & ((t + 0.5) / (n + 1.0) >= lexicon.purity)).withColumn("far", far).filter(F.col("far") >= -float(np.log(lexicon.chance)))
+    rows = pure.orderBy(F.desc("t"), "open", F.length("term"), "term").collect()  # bounded by the sample
+    alike = {(r["open"], r["n"]): r["count"] for r in sums.groupBy("open", "n").count().collect()} if rows else {}
+    same: dict[tuple[bool, int], list[int]] = {}
+    for r in rows:
+        same.setdefault((r["open"], r["n"]), []).append(r["t"])  # from most to least
+    trust = {}
+    for r in rows:
+        of = same[r["open"], r["n"]]
+        trust[r["term"], r["open"]] = max(0.0, 1 - alike[r["open"], r["n"]] * float(np.exp(-r["far"])) / sum(x >= r["t"] for x in of))
     chosen: list[tuple[str, bool]] = []
     begun: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r["open"], len(r["term"]))):
@@ -275,13 +293,15 @@ def learn_terms(labelled: DataFrame, lexicon: Lexicon) -> list[tuple[str, bool]]
             if r["open"]:
                 begun.add(r["term"])
     order = {(r["term"], r["open"]): i for i, r in enumerate(rows)}
-    return sorted(chosen, key=order.__getitem__)[: lexicon.entries]
+    chosen.sort(key=order.__getitem__)
+    return chosen, np.array([trust[c] for c in chosen])
 
 
-def learn_weights(labelled: DataFrame, matcher: Matcher, lexicon: Lexicon) -> tuple[np.ndarray, float]:
+def learn_weights(labelled: DataFrame, matcher: Matcher, lexicon: Lexicon, trust: np.ndarray) -> tuple[np.ndarray, float]:
     """Share of toxic documents among those with a hit of each kind, and among those without any hit; both smoothed.
 
-    A kind seen too little leans to its class: misspelled or quoted hits as such.
+    A kind seen too little leans to its class: misspelled or quoted hits as such; the
+    less a term is to be trusted, the nearer its kinds are to no hit.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +324,11 @@ def learn_weights(labelled: DataFrame, matcher: Matcher, lexicon: Lexicon) -> tu
             rest = (r["t"] + 0.2) / (r["n"] + 10.0)
         else:
             n[r["kind"]], t[r["kind"]] = r["n"], r["t"]
-    prior = np.zeros(4)
+    prior, sure = np.zeros(4), np.repeat(trust, 4)
     for k, start in enumerate((0.9, 0.2, 0.5, 0.15)):  # exact, exact quoted, misspelled, misspelled quoted
-        prior[k] = (t[k::4].sum() + 5 * start) / (n[k::4].sum() + 5)
+        prior[k] = ((sure * t)[k::4].sum() + 5 * start) / ((sure * n)[k::4].sum() + 5)
     firm = np.tile(np.array([2.0, 4.0, 12.0, 12.0]), len(matcher.terms))  # a chance likeness to a term needs more evidence
-    return (t + firm * np.tile(prior, len(matcher.terms))) / (n + firm), rest
+    return sure * (t + firm * np.tile(prior, len(matcher.terms))) / (n + firm) + (1 - sure) * rest, rest
 
 
 def score(documents: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None, threshold: float = 0.3) -> DataFrame:
@@ -325,9 +345,10 @@ def score(documents: DataFrame, labels: DataFrame, lexicon: Lexicon | None = Non
     part = known if n <= lexicon.sample else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * lexicon.sample / n)))
     labelled = documents.select("doc_id", "text").filter("text is not null").join(part, "doc_id")
     labelled = written(without_copies(labelled).select("text", "toxic"))
-    matcher = Matcher(learn_terms(labelled, lexicon), lexicon.fuzzy)
-    weights, rest = learn_weights(labelled, matcher, lexicon)
-    shared = documents.sparkSession.sparkContext.broadcast((matcher, weights, rest))  # bounded by lexicon.entries
+    terms, trust = learn_lexicon(labelled, lexicon)
+    matcher = Matcher(terms, lexicon.fuzzy)
+    weights, rest = learn_weights(labelled, matcher, lexicon, trust)
+    shared = documents.sparkSession.sparkContext.broadcast((matcher, weights, rest))  # bounded by lexicon.sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, weights, rest = shared.value

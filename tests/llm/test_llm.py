@@ -193,6 +193,16 @@ def test_misspellings_inside_a_learned_beginning(spark):
     assert [h >= 0 for h in m.match(["grobian", "gxobian", "gobian", "grrobian", "grobianus", "gxxbian"])] == [True, True, True, True, True, False]
 
 
+def test_rare_terms_are_learned_whatever_the_sample(spark):
+    """500 terms, each in 4 of 2,000 toxic rows (0.2 %) of 16,000, are all learned and trusted; words of single rows are not."""
+    stem = lambda i: "".join("bdfgklmnprstvz"[i // 14**k % 14] + "aeiou"[(i >> k) % 5] for k in range(3))
+    rows = [(words(12, i % 3000) + (f" {stem(i // 8 % 500)}" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(16000)]
+    terms, trust = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), toxicity.Lexicon())
+    found = toxicity.Matcher(terms, 5).match([stem(i) for i in range(500)])
+    assert (found >= 0).all() and (found % 2 == 0).all() and (trust[found // 2] > 0.9).all()
+    assert (toxicity.Matcher(terms, 5).match([b + "0" for b in BASE.split()]) < 0).all()
+
+
 def test_language_model(spark, docs):
     model = ngram.train(docs.filter("doc_id < 10"))
     rows = {r["doc_id"]: r for r in ngram.score(docs.filter("doc_id != 10"), model).collect()}
