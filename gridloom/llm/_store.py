@@ -51,3 +51,14 @@ def put(path: str, content: bytes) -> None:
     with open(part, "wb") as f:
         f.write(content)
     os.replace(part, path)
+
+
+def begin(path: str):
+    """A file to be written in pieces, under another name until end()."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return open(f"{path}.{uuid.uuid4().hex}.part", "wb")
+
+
+def end(file, path: str) -> None:
+    file.close()
+    os.replace(file.name, path)

@@ -1,26 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
-
-Counting.  Each task folds the words of its texts into distinct (context, word)
-counts and sends them, packed, to the shard of the context's hash.  A shard adds
-up its contexts and writes two sorted arrays to the shared folder: contexts
-(total and numbers of followers seen once, twice, more) and bigrams.  The numbers
-of different contexts before each word travel once more, by the word's hash.
-The number of shards grows with the text, so a shard's size does not; a hot
-context reaches its shard as one entry per follower and task.
-
-Scoring.  Workers map the arrays into memory, so the operating system shares one
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
+
+Counting goes down the orders.  Each task folds its texts into distinct (context,
+word) counts and sends them, packed, to the range of the context's hash.  A range
+adds up its blobs as they arrive, appends its sorted arrays to its file, and hands
+the next lower order one entry per distinct n-gram, so that each n-gram is counted
+by the number of different words before it.  At order 1 the words are left.  A
+range holds about RANGE_BYTES of text however large the corpus is; the number of
+files stops at FILES, beyond which a file takes more ranges.  A range's memory is
+bounded by its distinct n-grams, as blobs are added up whenever enough are held.
+
+Scoring.  Workers map the files into memory, so the operating system shares one
 copy a machine and loads only the pages in use, and look up a slice's distinct
-bigrams in sorted order.
+n-grams in sorted order.
 """
 
 from __future__ import annotations
 
+import io
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import io
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,27 +31,36 @@ from gridloom.llm import _store, _text
 
 _U = np.uint64
 BEGIN, END = _U(0x1234567890ABCDEF), _U(0x0FEDCBA987654321)
-#: Words have 64-bit hashes; as followers they keep 48 bits.
-_SHORT = _U((1 << 48) - 1)
-#: Texts' bytes for each shard; distinct bigrams a task gathers before it sends them.
-SHARD_BYTES, GATHER = 24 << 20, 1 << 20
+#: Texts' bytes for each range of context hashes; files a level at most; n-grams that a task gathers before it sends or adds up.
+RANGE_BYTES, FILES, GATHER = 10 << 20, 1 << 16, 1 << 20
+#: Files that a worker keeps mapped.
+MAPPED = 512
+
 
+def tokens(data: np.ndarray, offsets: np.ndarray, order: int = 2) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Row and word hash of all tokens, each text's end included, and the hashes of the 1 … order - 1 words before; A to Z count as a to z.
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word hash and hash of the word before of all tokens, each text's end included; A to Z count as a to z."""
+    A context's last bit says whether it reaches the text's beginning.
+    """
     data = _text.lower_ascii(data)
     n = len(offsets) - 1
     starts, ends, rows = _text.words(data, offsets)
     word = _text.spans_hash(data, starts, ends)
     at = np.searchsorted(rows, np.arange(n), "right")  # each text's end goes behind its words
     rows, word = np.insert(rows, at, np.arange(n)), np.insert(word, at, END)
-    before = np.concatenate((np.array([BEGIN]), word[:-1]))
-    before[before == END] = BEGIN
-    return rows, word, before
+    place = np.arange(len(word)) - np.searchsorted(rows, np.arange(n))[rows]
+    contexts: list[np.ndarray] = []
+    for k in range(1, order):
+        before = np.full(len(word), BEGIN)
+        before[k:] = word[:-k]
+        before[place < k] = BEGIN
+        h = before if k == 1 else _text.mix(contexts[-1] * _U(0x9E3779B97F4A7C15) + before)
+        contexts.append((h & ~_U(1)) | (place < k).astype(_U))
+    return rows, word, contexts
 
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _text.mix(before * _U(0x9E3779B97F4A7C15) + (word & _SHORT))
+def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _text.mix(context * _U(0x9E3779B97F4A7C15) + word)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -66,17 +76,17 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.load(f).T).reshape(-1).view(t) for t in types]
 
 
-def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sum_by(key: np.ndarray, *n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, an index of each, and their summed counts."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return key[edge], order[edge], np.add.reduceat(n[order], edge) if len(edge) else n[:0]
+    return key[edge], order[edge], *(np.add.reduceat(x[order], edge) if len(edge) else x[:0] for x in n)
 
 
-def _spread(x: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each hash, by its high bits: sorted shards make one sorted order."""
-    return ((x >> _U(32)) * _U(shards) >> _U(32)).astype(np.int32)
+def _spread(x: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash, by its high bits: sorted parts make one sorted order."""
+    return ((x >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
 
 
 def _send(shard: np.ndarray, order_key: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -109,14 +119,16 @@ class Model:
     """A stored model: its folder, as workers open it, and its constants."""
 
     folder: str
-    shards: int
+    order: int
+    files: int
+    #: Ranges of context hashes in a file.
+    ranges: int
     train_tokens: int
     distinct: int
-    texts: int
-    low: tuple[float, float, float]
-    high: tuple[float, float, float]
-    pairs: int
-    #: Weight of the uniform distribution below the continuation counts.
+    #: Discounts of each order, from 1.
+    discounts: tuple[tuple[float, float, float], ...]
+    #: Sum of the words' counts at order 1, and the weight of the uniform distribution below them.
+    mass: int
     rest: float
 
 
@@ -126,147 +138,235 @@ def _save(path: str, array: np.ndarray) -> None:
     _store.put(path, out.getvalue())
 
 
-def train(texts: DataFrame) -> Model:
-    """The model of all rows' whole texts (column text; null: empty)."""
+def _narrow(a: np.ndarray) -> np.ndarray:
+    most = a.max(initial=0)
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+class _Writer:
+    """One file of ranges: their arrays one after the other, then an index file of (place, length, bytes a number) by range and array."""
+
+    def __init__(self, path: str, ranges: int, arrays: int):
+        self.path, self.at = path, 0
+        self.index = np.zeros((ranges, arrays, 3), np.int64)
+        self.file = _store.begin(path)
+
+    def add(self, number: int, *arrays: np.ndarray) -> None:
+        for i, a in enumerate(arrays):
+            self.index[number, i] = self.at, a.size, a.itemsize
+            raw = np.ascontiguousarray(a).tobytes()
+            raw += bytes(-len(raw) % 8)
+            self.file.write(raw)
+            self.at += len(raw)
+
+    def close(self) -> None:
+        _store.end(self.file, self.path)
+        _save(f"{self.path}.index", self.index)
+
+
+_TYPES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+class _Mapped:
+    """A stored model's files, mapped when first used; the MAPPED last used stay."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.open: OrderedDict[tuple[int, int], tuple | None] = OrderedDict()
+
+    def arrays(self, level: int, part: int) -> list[np.ndarray] | None:
+        """The arrays of one range of context hashes, None where it holds nothing."""
+        file, number = divmod(part, self.model.ranges)
+        if (level, file) not in self.open:
+            path = f"{self.model.folder}/{level}-{file}"
+            try:
+                self.open[level, file] = np.load(f"{path}.index"), np.memmap(path, np.uint8, "r")
+            except (FileNotFoundError, ValueError):  # a file without entries is empty or was never begun
+                self.open[level, file] = None
+            if len(self.open) > MAPPED:
+                self.open.popitem(last=False)
+        self.open.move_to_end((level, file))
+        found = self.open[level, file]
+        if found is None or not found[0][number, 0, 1]:
+            return None
+        return [found[1][at : at + size * width].view(_TYPES[width]) for at, size, width in found[0][number].tolist()]
+
+    def look_up(self, level: int, keys: int, values: list[int], part: np.ndarray, key: np.ndarray, width: int = 1) -> np.ndarray:
+        """Values (one column for each array of `values`, or `width` columns of one) of the distinct keys, 0 where unknown."""
+        out = np.zeros((len(key), max(width, len(values))), np.int64)
+        order = np.lexsort((key, part))
+        part, key = part[order], key[order]
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
+        for i, j in zip(edge, [*edge[1:], len(part)], strict=True):
+            arrays = self.arrays(level, int(part[i]))
+            if arrays is None:
+                continue
+            known = arrays[keys]
+            at = np.minimum(np.searchsorted(known, key[i:j]), len(known) - 1)
+            same = np.flatnonzero(known[at] == key[i:j])
+            for c, v in enumerate(values):
+                got = arrays[v].reshape(len(known), -1)[at[same]]
+                out[order[i + same], c : c + got.shape[1]] = got
+        return out
+
+
+def _reduced(level: int, order: int, folder: str, files: int, ranges: int):
+    """The mapInArrow function of one level: rows (shard, blob) sorted by shard, in whole files, become stored ranges and the next level's rows.
+
+    Rows with shard -1 carry statistics: the level's counts of counts; at order 1 also the sums.
+    """
+    lower = level - 1
+    top = level == order
+    types = [np.uint64] * level + ([np.uint32] if top else [np.uint64, np.uint64])  # contexts from the longest, word, count, and below the top the tokens behind it
+
+    def added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        names, counts = columns[:level], [c.astype(np.int64) for c in columns[level:]]
+        key, at, *counts = _sum_by(gram_key(names[0], names[-1]) if level > 1 else names[0], *counts)
+        return [*(c[at] for c in names), *counts, key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer: _Writer | None = None
+        out: list[list[np.ndarray]] = []
+        parts: list[list[np.ndarray]] = []
+        held = sent = 0
+        stats = np.zeros(7, np.int64)
+        current = -1
+
+        def finish() -> None:
+            """Stores the range that is complete."""
+            nonlocal writer, parts, held, sent, stats
+            *columns, key = added(parts)
+            n, raw = columns[level], columns[-1]
+            columns = columns[:level]
+            parts, held = [], 0
+            file, number = divmod(current, ranges)
+            path = f"{folder}/{level}-{file}"
+            if writer is None or writer.path != path:
+                if writer is not None:
+                    writer.close()
+                writer = _Writer(path, ranges, 4 if level > 1 else 3)
+            stats[:4] += _of_counts(n)
+            if level == 1:
+                writer.add(number, key, _narrow(n), _narrow(raw))
+                stats[4:] += int(n.sum()), len(n), int(raw.sum())
+                return
+            context, which = np.unique(columns[0], return_inverse=True)
+            of = [np.bincount(which, w, len(context)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
+            writer.add(number, key, _narrow(n), context, _narrow(np.stack(of, axis=1)))
+            # one entry a distinct n-gram; those that reach the text's beginning have nothing before it to tell apart and keep their counts
+            once = np.where((columns[1] & _U(1)) == 1, n, 1) if level > 2 else np.ones(len(n), np.int64)
+            key = gram_key(columns[1], columns[-1]) if level > 2 else columns[-1]
+            _, at, n, raw = _sum_by(key, once, raw)
+            out.append([*(c[at] for c in columns[1:]), n, raw])
+            sent += len(at)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, sent
+            *columns, n, raw = (np.concatenate(x) for x in zip(*out, strict=True))
+            key, at, n, raw = _sum_by(gram_key(columns[0], columns[-1]) if lower > 1 else columns[0], n, raw)
+            columns = [c[at] for c in columns]
+            out, sent = [], 0
+            return _send(_spread(_text.mix(columns[0]), files * ranges), columns[0], *columns, n.astype(np.uint64), raw.astype(np.uint64))
+
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != current and parts:
+                    finish()
+                    if sent > GATHER:
+                        yield flush()
+                current = shard
+                parts.append(_unpack(blob.as_py(), *types))
+                held += len(parts[-1][0])
+                if held > GATHER and len(parts) > 1:
+                    parts = [added(parts)[:-1]]
+                    held = len(parts[0][0]) // 2  # added up again once it has grown by half
+        if parts:
+            finish()
+        if writer is not None:
+            writer.close()
+        if out:
+            yield flush()
+        if current >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([stats.tobytes()], pa.binary())], names=["shard", "blob"])
+
+    return run
+
+
+def train(texts: DataFrame, order: int = 3) -> Model:
+    """The model of all rows' whole texts (column text; null: empty), of n-grams up to `order` (2 or more)."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, math.ceil(size / SHARD_BYTES))
-    home = _store.shared_dir(spark)
-    folder = _store.mounted(home)
+    parts = max(8, math.ceil(size / RANGE_BYTES))
+    ranges = math.ceil(parts / FILES)
+    files = math.ceil(parts / ranges)
+    folder = _store.mounted(_store.shared_dir(spark))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        held: list[list[np.ndarray]] = []
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            key, before, word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key, at, n = _sum_by(key, n)
-            before, word = before[at], word[at] & _SHORT
-            return _send(_spread(_text.mix(before), shards), before, before, (word >> _U(16)).astype(np.uint32), (word & _U(0xFFFF)).astype(np.uint16), n.astype(np.uint32))
+            *columns, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, n = _sum_by(gram_key(columns[0], columns[-1]), n)
+            columns, n = [c[at] for c in columns], n.astype(np.uint32)
+            return _send(_spread(_text.mix(columns[0]), files * ranges), columns[0], *columns, n)
 
         for batch in batches:
             for _, _, data, offsets in _text.slices(batch.column(0)):
-                _, word, before = tokens(data, offsets)
-                key, at, n = _sum_by(pair_key(before, word), np.ones(len(word), np.int64))
-                parts.append((key, before[at], word[at], n))
-                held += len(key)
-                if held > GATHER:
+                _, word, contexts = tokens(data, offsets, order)
+                _, at, n = _sum_by(gram_key(contexts[-1], word), np.ones(len(word), np.int64))
+                held.append([*(c[at] for c in reversed(contexts)), word[at], n])
+                n_held += len(at)
+                if n_held > GATHER:
                     yield flush()
-                    parts, held = [], 0
-        if parts:
+                    held, n_held = [], 0
+        if held:
             yield flush()
 
-    def add_up(key: tuple, table: pa.Table) -> pa.Table:
-        """One shard of contexts: writes its arrays, returns its statistics and its followers' context counts."""
-        shard = key[0].as_py()
-        loaded = [_unpack(b.as_py(), np.uint64, np.uint32, np.uint16, np.uint32) for b in table.column("blob")]
-        before = np.concatenate([x[0] for x in loaded])
-        word = np.concatenate([(x[1].astype(_U) << _U(16)) | x[2] for x in loaded])
-        n = np.concatenate([x[3] for x in loaded]).astype(np.int64)
-        del loaded
-        pair, at, n = _sum_by(pair_key(before, word), n)
-        before, word = before[at], word[at]
-        small = np.uint16 if n.max() < 65536 else np.uint32 if n.max() < 1 << 32 else np.uint64
-        _save(f"{folder}/pairs-{shard}.npy", pair)
-        _save(f"{folder}/pair-counts-{shard}.npy", n.astype(small))
-        context, which = np.unique(before, return_inverse=True)
-        of = [np.bincount(which, w, len(context)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
-        _save(f"{folder}/contexts-{shard}.npy", context)
-        _save(f"{folder}/context-counts-{shard}.npy", np.stack(of, axis=1))
-        begin = context == BEGIN
-        stats = [int(of[0][~begin].sum()), int((~begin).sum()), int(of[0][begin].sum()), *_of_counts(n)]
-        follower, _, contexts = _sum_by(word, np.ones(len(word), np.int64))
-        sent = _send(_spread(_text.mix(follower), shards), follower, follower, contexts.astype(np.uint32))
-        return pa.table({"shard": pa.concat_arrays([pa.array([-1], pa.int32()), sent.column(0)]), "blob": pa.concat_arrays([pa.array([np.array(stats, np.int64).tobytes()], pa.binary()), sent.column(1)])})
-
-    def continuations(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        loaded = [_unpack(b.as_py(), np.uint64, np.uint32) for b in table.column("blob")]
-        word, _, n = _sum_by(np.concatenate([x[0] for x in loaded]), np.concatenate([x[1] for x in loaded]).astype(np.int64))
-        _save(f"{folder}/words-{shard}.npy", word)
-        _save(f"{folder}/word-counts-{shard}.npy", n)
-        return pa.table({"stats": pa.array([np.array([int(n.sum()), int((n == 1).sum()), int((n == 2).sum()), int((n > 2).sum()), *_of_counts(n)], np.int64).tobytes()], pa.binary())})
-
-    pairs = texts.select("text").mapInArrow(count, "shard int, blob binary")
-    firsts = _store.written(pairs.groupBy("shard").applyInArrow(add_up, "shard int, blob binary"))
-    stats = [np.frombuffer(r["blob"], np.int64) for r in firsts.filter("shard = -1").collect()]  # one small row a shard
-    total = np.sum(stats, axis=0) if stats else np.zeros(7, np.int64)
-    lower = firsts.filter("shard >= 0").groupBy("shard").applyInArrow(continuations, "stats binary")
-    low = [np.frombuffer(r["stats"], np.int64) for r in lower.collect()]
-    below = np.sum(low, axis=0) if low else np.zeros(8, np.int64)
-    d = _discounts(below[4:8].tolist())
-    texts_seen = int(total[2])
-    rest = float(d[0] * below[1] + d[1] * below[2] + d[2] * below[3]) / below[0] if below[0] else 1.0
-    return Model(folder, shards, int(total[0]) + texts_seen, int(total[1]) + (texts_seen > 0), texts_seen, d, _discounts(total[3:7].tolist()), int(below[0]), rest)
-
-
-class _Arrays:
-    """A model's arrays, mapped into memory when first used."""
-
-    def __init__(self, model: Model):
-        self.model, self.maps = model, {}
-
-    def get(self, name: str, shard: int) -> np.ndarray | None:
-        if (name, shard) not in self.maps:
-            try:
-                self.maps[name, shard] = np.load(f"{self.model.folder}/{name}-{shard}.npy", mmap_mode="r")
-            except FileNotFoundError:
-                self.maps[name, shard] = None  # a shard without entries
-        return self.maps[name, shard]
-
-    def look_up(self, keys: str, values: str, shard: np.ndarray, key: np.ndarray, width: int = 1) -> np.ndarray:
-        """Values of the distinct keys, 0 where unknown; shard and key sorted together."""
-        out = np.zeros((len(key), width), np.int64)
-        edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-        for i, j in zip(edge, [*edge[1:], len(shard)], strict=True):
-            known = self.get(keys, int(shard[i]))
-            if known is None or not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, key[i:j]), len(known) - 1)
-            same = np.flatnonzero(known[at] == key[i:j])
-            out[i + same] = self.get(values, int(shard[i]))[at[same]].reshape(len(same), width)
-        return out if width > 1 else out[:, 0]
+    rows = texts.select("text").mapInArrow(count, "shard int, blob binary")
+    discounts, stats = [], np.zeros(7, np.int64)
+    for level in range(order, 0, -1):
+        # whole files come to one task each, in order of their ranges
+        dealt = rows.repartition(F.floor(F.col("shard") / ranges)).sortWithinPartitions("shard")
+        done = _store.written(dealt.mapInArrow(_reduced(level, order, folder, files, ranges), "shard int, blob binary"))
+        stats = np.sum([np.frombuffer(r["blob"], np.int64) for r in done.filter("shard = -1").collect()] or [np.zeros(7, np.int64)], axis=0)  # one small row a task
+        discounts.append(_discounts(stats[:4].tolist()))
+        rows = done.filter("shard >= 0")
+    mass, distinct, train_tokens = (int(x) for x in stats[4:])
+    d, (n1, n2) = discounts[-1], stats[:2].tolist()
+    rest = (d[0] * n1 + d[1] * n2 + d[2] * (distinct - n1 - n2)) / mass if mass else 1.0
+    return Model(folder, order, files, ranges, train_tokens, distinct, tuple(reversed(discounts)), mass, rest)
 
 
 def _minus(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(n == 0, 0.0, np.where(n == 1, n - d[0], np.where(n == 2, n - d[1], n - d[2])))
 
 
-_opened: dict[str, _Arrays] = {}
-
-
-def _score_slice(arrays: _Arrays, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    m, n = arrays.model, len(offsets) - 1
-    rows, word, before = tokens(data, offsets)
-    # all words and contexts of the slice, each looked up once
-    every, which = np.unique(np.concatenate((word, np.array([BEGIN]))), return_inverse=True)
-    place = _spread(_text.mix(every), m.shards)
-    order = np.lexsort((every, place))
-    context = np.zeros((len(every), 4), np.int64)
-    context[order] = arrays.look_up("contexts", "context-counts", place[order], every[order], 4)
-    seen = np.where(every == END, m.texts, context[:, 0])
-    short = every & _SHORT
-    place = _spread(_text.mix(short), m.shards)
-    order = np.lexsort((short, place))
-    cont = np.zeros(len(every), np.int64)
-    cont[order] = arrays.look_up("words", "word-counts", place[order], short[order])
-    lower = _minus(cont, m.low) / max(m.pairs, 1) + m.rest / (m.distinct + 1)
-    # all bigrams of the slice
-    w = which[: len(word)]
-    b = np.concatenate((which[-1:], w[:-1]))
-    b[1:][word[:-1] == END] = which[-1]
-    pair, first, back = np.unique(w * len(every) + b, return_index=True, return_inverse=True)
-    key, at = pair_key(before[first], word[first]), b[first]
-    place = _spread(_text.mix(every), m.shards)[at]
-    order = np.lexsort((key, place))
-    n_pair = np.zeros(len(key), np.int64)
-    n_pair[order] = arrays.look_up("pairs", "pair-counts", place[order], key[order])
-    total = context[at, 0]
-    kept = (m.high[0] * context[at, 1] + m.high[1] * context[at, 2] + m.high[2] * context[at, 3]) / np.maximum(total, 1)
-    p = np.where(total > 0, _minus(n_pair, m.high) / np.maximum(total, 1) + kept * lower[w[first]], lower[w[first]])
-    score = np.bincount(rows, np.log10(p)[back], n)
+_opened: dict[str, _Mapped] = {}
+
+
+def _score_slice(mapped: _Mapped, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    m, n = mapped.model, len(offsets) - 1
+    rows, word, contexts = tokens(data, offsets, m.order)
+    place = lambda h: _spread(_text.mix(h), m.files * m.ranges)
+    every, which = np.unique(word, return_inverse=True)
+    of_word = mapped.look_up(1, 0, [1, 2], place(every), every)
+    seen = of_word[:, 1]
+    p = (_minus(of_word[:, 0], m.discounts[0]) / max(m.mass, 1) + m.rest / (m.distinct + 1))[which]
+    for level in range(2, m.order + 1):
+        context, d = contexts[level - 2], m.discounts[level - 1]
+        known, back = np.unique(context, return_inverse=True)
+        total, *few = mapped.look_up(level, 2, [3], place(known), known, 4).T
+        kept = (d[0] * few[0] + d[1] * few[1] + d[2] * few[2]) / np.maximum(total, 1)
+        gram, first, at = np.unique(gram_key(context, word), return_index=True, return_inverse=True)
+        count = mapped.look_up(level, 0, [1], place(context[first]), gram)[at, 0]
+        total, kept = total[back], kept[back]
+        p = np.where(total > 0, _minus(count, d) / np.maximum(total, 1) + kept * p, p)
     base = np.log10((seen + 1) / (m.train_tokens + m.distinct + 1))
-    return [_text.counts(rows, n), _text.counts(rows[seen[w] > 0], n), np.bincount(rows, base[w], n), score]
+    return [_text.counts(rows, n), _text.counts(rows[seen[which] > 0], n), np.bincount(rows, base[which], n), np.bincount(rows, np.log10(p), n)]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -274,12 +374,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     score is the model's log10 probability of the text's words and end.  Null and
     empty texts are one end.  A model of no text gives every token 1 / (0 + 1).
+    Rows that repeat a doc_id, or have a null one, are scored each alone; in
+    training every row counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.folder not in _opened:
             _opened.clear()
-            _opened[model.folder] = _Arrays(model)
+            _opened[model.folder] = _Mapped(model)
         for batch in batches:
             for lo, hi, data, offsets in _text.slices(batch.column(1), 4 * _text.SLICE_BYTES):
                 n, known, base, total = _score_slice(_opened[model.folder], data, offsets)

@@ -54,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ngram.train(docs.filter(fold(7) != 2))
+    model = ngram.train(docs.filter(fold(7) != 2), order=2)
     found = ngram.score(docs, model).withColumn("held_out", fold(7) == 2)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
