@@ -8,6 +8,11 @@ partial score and the number of dimensions seen.  What is unseen can add at most
 the next level a dimension, so after a level the vectors that may still be
 members are known; once there are few, which is the proof, these are rescored
 exactly.
+
+Blocks and query chunks are stored once in the shared folder and mapped by the
+workers.  What Spark deals out are pairs of names: a group of blocks and a chunk of
+queries.  Inside a group a query takes the blocks in order of their bounds and
+carries its k-th score on: a block whose bound lies below it is not opened.
 """
 
 from __future__ import annotations
@@ -22,79 +27,89 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in an index block (at most 65,536, places have 16 bits); queries that travel together.
-BLOCK, CHUNK = 16384, 256
+from gridloom.llm import _store
+
+#: Vectors in an index block (at most 65,536, places have 16 bits); blocks in a group; queries in a chunk.
+BLOCK, GROUP, CHUNK = 8192, 16, 128
 #: Values of one posting segment, and the number of impact levels of a query.
 STEP, LEVELS = 4, 12
+#: Whole numbers below this size have exact float64 sums.
+_EXACT = 1 << 53
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (floor(scale * x), x as double) of the usable vectors: not null, without null or non-finite components.
+    """vec_id, v (floor(scale * x), x as double), row (a key) of the usable vectors: not null, without null or non-finite components; written once.
 
-    Rows that repeat a vec_id count once, with the least of their vectors.
+    Rows that repeat a vec_id are vectors of their own; a null vec_id takes no part.
+    Numbers beyond 64 bits count as the nearest 64-bit integer.
     """
     x = F.col("embedding").cast("array<double>")
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    ints = vectors.filter(usable).select("vec_id", F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("int")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v"))
+    ints = vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
+    return _store.written(ints.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _save(*arrays: np.ndarray) -> bytes:
+def _save(path: str, *arrays: np.ndarray) -> None:
     out = io.BytesIO()
     for a in arrays:
         np.save(out, a)
-    return out.getvalue()
+    _store.put(path, out.getvalue())
 
 
-def _load(blob: bytes, n: int) -> list[np.ndarray]:
-    f = io.BytesIO(blob)
-    return [np.load(f) for _ in range(n)]
+def _load(path: str, n: int) -> list[np.ndarray]:
+    with open(path, "rb") as f:
+        return [np.load(f) for _ in range(n)]
 
 
-def _matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of a task's rows, `size` rows at a time; vectors of another length form blocks of their own."""
-    held: dict[int, tuple[list, list]] = {}
+def _matrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, row keys and vectors of a task's (vec_id, row, v), `size` rows at a time; vectors of another length form blocks of their own."""
+    held: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        lists = batch.column(2)
         lengths = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         for width in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == width)
-            own = held.setdefault(width, ([], []))
-            own[0].append(ids[at])
-            own[1].append(flat[(ends[at] - width)[:, None] + np.arange(width)])
+            own = held.setdefault(width, [[], [], []])
+            for k in (0, 1):
+                own[k].append(batch.column(k).to_numpy(zero_copy_only=False)[at])
+            own[2].append(flat[(ends[at] - width)[:, None] + np.arange(width)])
             while sum(map(len, own[0])) >= size:
-                a, b = np.concatenate(own[0]), np.concatenate(own[1])
-                yield a[:size], b[:size]
-                held[width] = own = [a[size:]], [b[size:]]
+                whole = [np.concatenate(x) for x in own]
+                yield tuple(x[:size] for x in whole)  # type: ignore[misc]
+                held[width] = own = [[x[size:]] for x in whole]
     for own in held.values():
         if sum(map(len, own[0])):
-            yield np.concatenate(own[0]), np.concatenate(own[1])
+            yield tuple(np.concatenate(x) for x in own)  # type: ignore[misc]
 
 
-def build_index(vectors: DataFrame) -> DataFrame:
-    """width, block: the index over all of (vec_id, v), one row a block of at most BLOCK vectors.
-
-    A block stores its vectors and ids and, per dimension, the places in order of
-    value with the bounds of each segment of STEP values.
-    """
+def _stored(rows: DataFrame, folder: str, kind: str, size: int) -> DataFrame:
+    """width, file: what (vec_id, v, row) rows were stored as, `size` rows a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, v in _matrices(batches, BLOCK):
-            small = v.astype(np.int16) if np.abs(v).max(initial=0) < 1 << 15 else v.astype(np.int32)
-            places = np.argsort(v, axis=0, kind="stable").astype(np.uint16).T
-            yield pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([_save(ids, small, np.ascontiguousarray(places))], pa.binary())], names=["width", "block"])
+        part = TaskContext.get().partitionId()
+        for k, (ids, keys, v) in enumerate(_matrices(batches, size)):
+            name = f"{folder}/{kind}-{part}-{k}"
+            if kind == "block":
+                most = max(int(v.max(initial=0)), -int(v.min(initial=0)))
+                small = v.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+                _save(name, ids, keys, v.min(axis=0), v.max(axis=0), small, np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").astype(np.uint16).T))
+            else:
+                _save(name, ids, keys, v)
+            yield pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([name])], names=["width", "file"])
 
-    return vectors.mapInArrow(run, "width int, block binary")
+    return _store.written(rows.select("vec_id", "row", "v").mapInArrow(run, "width int, file string"))
 
 
 class Block:
     """One index block, opened for search."""
 
-    def __init__(self, blob: bytes):
-        self.ids, v, places = _load(blob, 3)
-        self.v = v.astype(np.float64)  # whole numbers below 2**53: products are exact
+    def __init__(self, path: str):
+        self.ids, self.rows, _, _, v, places = _load(path, 6)
+        self.most = max(int(v.max()), -int(v.min()))
+        self.whole = v
+        self.v = v.astype(np.float64)
         self.places = places.astype(np.intp)
         width, n = places.shape
         values = np.take_along_axis(v.T.astype(np.int64), self.places, axis=1)
@@ -110,17 +125,21 @@ class Block:
         self.least, self.greatest = values[:, 0], values[:, -1]
         self.digit = 1 << width.bit_length()
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the block's members of the query's top k, its own id left out."""
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int, int]]:
+        """(-score, id, row) of the members of the query's top k that the block can have, its own row left out; least: a score that members reach."""
         n, width = self.v.shape
-        q = query.astype(np.int64)
-        live = self._candidates(q, own, k) if n > 8 * k else np.arange(n)
-        live = live[self.ids[live] != own]
-        score = (self.v[live] @ q.astype(np.float64)).astype(np.int64)
-        best = np.lexsort((self.ids[live], -score))[:k]
-        return self.ids[live][best], score[best]
-
-    def _candidates(self, q: np.ndarray, own: int, k: int) -> np.ndarray:
+        exact = self.most * max(int(query.max()), -int(query.min())) * width * 2 * self.digit < _EXACT
+        if not exact:
+            live = np.flatnonzero(self.rows != own)
+            score = self.whole[live].astype(object) @ query.astype(object)
+        else:
+            live = self._candidates(query, own, k, least) if n > 8 * k else np.arange(n)
+            live = live[self.rows[live] != own]
+            score = (self.v[live] @ query.astype(np.float64)).astype(np.int64)
+        best = np.lexsort((self.rows[live], self.ids[live], -score))[:k] if exact else sorted(range(len(live)), key=lambda i: (-score[i], self.ids[live[i]], self.rows[live[i]]))[:k]
+        return [(-int(score[i]), int(self.ids[live[i]]), int(self.rows[live[i]])) for i in best]
+
+    def _candidates(self, q: np.ndarray, own: int, k: int, known: int | None) -> np.ndarray:
         """Places of a superset of the members: segments by descending impact, until few can still be members."""
         n, width = self.v.shape
         size, up = np.abs(q), q >= 0
@@ -132,7 +151,8 @@ class Block:
         top = int(reach.max())
         if top == 0:
             return np.arange(n)
-        mine = np.flatnonzero(self.ids == own)
+        mine = np.flatnonzero(self.rows == own)
+        base = int(np.where(up, q * self.least, q * self.greatest).sum())  # what every vector has
         sums = np.zeros(n)
         # how far each dimension is processed: segments [begin, done) from the low end or [done, end) from the high end
         done = np.where(up, self.begin[1:], self.begin[:-1])
@@ -158,39 +178,58 @@ class Block:
             # what unseen dimensions can add: the greatest of them, each at most the bar
             ahead = np.concatenate(([0], np.cumsum(np.sort(np.minimum(reach, bar))[::-1])))
             proof = np.partition(partial, n - k)[n - k]
+            proof = proof if known is None else max(proof, known - base)
             live = np.flatnonzero(partial + ahead[width - seen] + hidden >= proof)
             if len(live) <= max(8 * k, n // 16):
                 return live
         return live
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k greatest inner products among all other vectors, ties to the smaller vec_id.
+def _bound(path: str, q: np.ndarray) -> list[int]:
+    """For each query, what no vector of the block exceeds."""
+    _, _, least, greatest = _load(path, 4)
+    if max(map(abs, (int(least.min()), int(greatest.max())))) * max(int(q.max()), -int(q.min())) * q.shape[1] < _EXACT:
+        return np.maximum(q * least, q * greatest).sum(axis=1).tolist()
+    return np.maximum(q.astype(object) * least, q.astype(object) * greatest).sum(axis=1).tolist()
 
-    Both are (vec_id, v).  Queries go out in chunks of about CHUNK and meet every
-    index block once: a join of chunk numbers with blocks, not of rows with rows.
-    Each pair returns k rows a query.  Vectors of another length than the query's
-    are no candidates.  Empty tables give no rows.
-    """
-    chunks = max(1, math.ceil(queries.count() / CHUNK))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        for ids, v in _matrices(batches, 2 * CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([v.shape[1]], pa.int32()), pa.array([_save(ids, v.astype(np.int32))], pa.binary())], names=["chunk", "width", "queries"])
 
-    asked = queries.repartition(chunks).mapInArrow(pack, "chunk int, width int, queries binary")
-    blocks = build_index(vectors).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k greatest inner products among all other vectors, ties to the smaller vec_id, then row.
+
+    Both are (vec_id, v, row) of quantised(); a row is not its own candidate, other
+    rows of its vec_id are.  Rows that repeat a query's vec_id are queries of their
+    own under one query_id.  Vectors of another length than the query's are no
+    candidates.  Ranks follow the exact sums; a score beyond 64 bits is shown as the
+    nearest 64-bit integer.  Empty tables give no rows.  Every query meets every
+    group of blocks, as an exact search must, but as a pair of names.
+    """
+    folder = _store.mounted(_store.shared_dir(vectors.sparkSession))
+    blocks, chunks = _stored(vectors, folder, "block", BLOCK), _stored(queries.repartition(max(1, math.ceil(queries.count() / CHUNK))), folder, "chunk", 2 * CHUNK)
+    n_groups = max(1, math.ceil(blocks.count() / GROUP))
+    grouped = blocks.groupBy("width", F.pmod(F.xxhash64("file"), F.lit(n_groups)).alias("g")).agg(F.sort_array(F.collect_list("file")).alias("blocks"))  # about GROUP names
+    asked = chunks.select("width", F.col("file").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"))
+    pairs = _store.written(asked.join(grouped, ["width", "g"]).select("chunk", "blocks"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked_blob, block in zip(batch.column(0), batch.column(1), strict=True):
-                query_ids, q = _load(asked_blob.as_py(), 2)
-                opened = Block(block.as_py())
-                out = [(i, *opened.search(x, i, k)) for i, x in zip(query_ids.tolist(), q, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    pairs = blocks.join(asked, ["chunk", "width"]).select("queries", "block")
-    found = pairs.repartition(max(8, 2 * chunks)).mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for chunk, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, rows, q = _load(chunk, 3)
+                best: list[list[tuple[int, int, int]]] = [[] for _ in ids]
+                bounds = {name: _bound(name, q) for name in names}
+                for name in sorted(names, key=lambda x: -sum(bounds[x])):
+                    block = None
+                    for i, own in enumerate(rows.tolist()):
+                        least = -best[i][-1][0] if len(best[i]) == k else None
+                        if least is None or bounds[name][i] >= least:
+                            block = block or Block(name)
+                            best[i] = sorted(best[i] + block.search(q[i], own, k, least))[:k]
+                flat = [(int(ids[i]), int(rows[i]), v, r, -s) for i, found in enumerate(best) for s, v, r in found]
+                columns = [pa.array([f[j] for f in flat], pa.int64()) for j in range(4)]
+                clipped = [min(max(f[4], -(1 << 63)), (1 << 63) - 1) for f in flat]
+                keys = [(f[4] + (1 << 199)).to_bytes(25, "big") for f in flat]  # bytes in the order of the scores
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(clipped, pa.int64()), pa.array(keys, pa.binary())], names=["query_id", "query_row", "vec_id", "row", "score", "key"])
+
+    dealt = pairs.repartition(max(8, min(pairs.count(), 1 << 17)))
+    found = dealt.mapInArrow(search, "query_id long, query_row long, vec_id long, row long, score long, key binary")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("key"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
