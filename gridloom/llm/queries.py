@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(parts: int):
-    """crc32(doc_id as text) mod parts; 2 is the held-out part."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+    """crc32(doc_id as text) mod parts; 2 is the held-out part, a null doc_id is in none (-1): not held out, so it teaches."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
