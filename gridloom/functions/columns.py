@@ -56,4 +56,29 @@ def short_count(c: Column) -> Column:
 
 
 def iso(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """A time as ISO text; a fraction of a second shows as six digits where there is one."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(c.cast("timestamp")) % 1_000_000
+    return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")))
+
+
+def bytes_text(c: Column) -> Column:
+    """999 B, 1.5 KB, 2.0 MB: units of 1,000."""
+    out = F.concat(c.cast("string"), F.lit(" B"))
+    for size, unit in ((1e3, "KB"), (1e6, "MB"), (1e9, "GB"), (1e12, "TB")):
+        out = F.when(c >= F.lit(int(size)), F.concat(F.format_string("%.1f", c / F.lit(size)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def duration_text(seconds: Column) -> Column:
+    """45s, 2m 5s, 3h 10m."""
+    s = F.round(seconds).cast("long")
+    h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(m, F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(h, F.lit("h "), m, F.lit("m")))
+
+
+def instant(c: Column, form: str) -> Column:
+    """Milliseconds since 1970 of text: a number scaled by its form, else a time as ISO text; null beyond what calendars hold."""
+    n = to_number(c)
+    ms = F.when(n.isNotNull(), n * (1.0 if form == "unix_millis" else 1000.0)).otherwise(F.unix_millis(F.trim(c).try_cast("timestamp")))
+    return F.when(F.abs(ms) <= F.lit(8.64e15), F.round(ms).cast("long"))

@@ -79,6 +79,63 @@ def unique_selection(files: DataFrame) -> DataFrame:
     return files.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", "at").alias("name"), F.min("at").alias("at"), (F.count(F.lit(1)) - 1).alias("duplicates"))
 
 
-def presentation(columns: DataFrame, fallback: DataFrame) -> DataFrame:
-    """column, label: the file's record wins as a block; the fallback counts only where there is no file record."""
-    return columns if columns.limit(1).count() else fallback
+def newly_stale(before: DataFrame, after: DataFrame, baked: DataFrame) -> DataFrame:
+    """layout_id, state of baked layouts under a change of the declared prints: newly (stale by this change), still, fresh, unknown or never."""
+    was, now = stale_layouts(before, baked).withColumnRenamed("state", "was"), stale_layouts(after, baked)
+    return now.join(was, "layout_id").select("layout_id", F.when((F.col("state") == "stale") & (F.col("was") != "stale"), "newly").when(F.col("state") == "stale", "still").otherwise(F.col("state")).alias("state"))
+
+
+def changed_columns(before: DataFrame, after: DataFrame) -> DataFrame:
+    """n: how many columns a change of roles reads in another way."""
+    return role_diff(before, after).agg(F.count(F.lit(1)).alias("n"))
+
+
+def presentation(records: DataFrame, fallback: DataFrame) -> DataFrame:
+    """dataset, columns (render by column), links of (dataset, columns) maps: a dataset's own record wins as a block, the fallback counts only where there is none."""
+    j = records.withColumnRenamed("columns", "own").join(fallback.withColumnRenamed("columns", "old"), "dataset", "full_outer").select("dataset", F.coalesce("own", "old").alias("columns"))
+    links = F.array_sort(F.map_keys(F.map_filter("columns", lambda k, v: F.coalesce(v == "url", F.lit(False)))))
+    return j.select("dataset", "columns", F.coalesce(links, F.array().cast("array<string>")).alias("links"))
+
+
+def updated(records: DataFrame, updates: DataFrame) -> DataFrame:
+    """dataset, columns after (dataset, columns) updates: a key with a value is written, with null or blank text cleared, without one kept."""
+    j = records.withColumnRenamed("columns", "own").join(updates.withColumnRenamed("columns", "new"), "dataset", "full_outer")
+    empty = F.create_map().cast("map<string,string>")
+    own, new = F.coalesce("own", empty), F.coalesce("new", empty)
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(new, k))
+    return j.select("dataset", F.map_concat(kept, F.map_filter(new, lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))).alias("columns"))
+
+
+def unresolved(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """dataset, key of presented keys that name nothing known."""
+    return keys.join(known, ["dataset", "key"], "left_anti").select("dataset", "key").distinct()
+
+
+def layout_states(committed: DataFrame, planned: DataFrame, stages: DataFrame) -> DataFrame:
+    """layout_id, committed, state of (layout_id) committed and planned layouts and (layout_id, stage) of a running job.
+
+    A committed layout has the state of its new bake, or none; another one shows only
+    while it waits or runs: what is done is committed, what failed does not exist.
+    """
+    every = committed.select("layout_id", F.lit(True).alias("c")).union(planned.select("layout_id", F.lit(False))).union(stages.select("layout_id", F.lit(False)))
+    every = every.groupBy("layout_id").agg(F.bool_or("c").alias("committed"))
+    j = every.join(planned.select("layout_id", F.lit(True).alias("plan")).distinct(), "layout_id", "left").join(stages, "layout_id", "left")
+    state = F.when(F.col("stage") == "running", "baking").when((F.col("stage") == "queued") | (F.col("stage").isNull() & F.col("plan")), "queued")
+    return j.select("layout_id", "committed", state.alias("state")).filter("committed or state is not null")
+
+
+def band_of(hits: DataFrame, bands: DataFrame) -> DataFrame:
+    """hits (label, value) with the band's (label, type, text, missing, x0 … y1) box: same label and exact text, of a category that is not the missing one."""
+    b = bands.filter("type = 'categorical' and not missing").select("label", F.col("text").alias("value"), "x0", "y0", "x1", "y1")
+    return hits.join(b, ["label", "value"], "left")
+
+
+def selection_print(files: DataFrame) -> DataFrame:
+    """selection, print of (selection, name, size) files, whatever their order: FNV-1a of 32 bits over the sorted lines, as hex.
+
+    A selection is one value here, as it is one request of a user.
+    """
+    lines = files.groupBy("selection").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", F.col("size").cast("string")))), "\n").alias("t"))
+    units = F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("long"))
+    fnv = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return lines.select("selection", F.lpad(F.lower(F.hex(fnv)), 8, "0").alias("print"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     meets in one place, so no task holds the whole table.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return ranged.join(base, "_part").withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+    ranged = stored(ranged.withColumn("_dense_part", F.spark_partition_id()).withColumn("_dense_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("_dense_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_dense_part").agg(F.count(F.lit(1)).alias("_dense_n")).withColumn("_dense_base", F.coalesce(F.sum("_dense_n").over(before), F.lit(0))).drop("_dense_n")
+    return ranged.join(base, "_dense_part").withColumn(name, F.col("_dense_base") + F.col("_dense_at")).drop("_dense_part", "_dense_at", "_dense_base")
 
 
 def join_first(base: DataFrame, metadata: DataFrame, key: str, order: str) -> DataFrame:
@@ -40,3 +42,15 @@ def integrity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
     top = both.withColumn("r", F.row_number().over(Window.partitionBy("side").orderBy(key))).filter("r <= 5").groupBy("side").agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("examples"))
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n")).join(top, "side")
+
+
+#: The most ids of one look-up.
+IDS = 250
+
+
+def by_ids(df: DataFrame, key: str, asked: str) -> DataFrame:
+    """Rows of the ids in a comma-separated list, blanks ignored; an error for anything but whole numbers, for none, or for over IDS."""
+    parts = [p.strip() for p in asked.split(",") if p.strip()]
+    if not parts or len(parts) > IDS or not all(re.fullmatch(r"-?\d+", p) for p in parts):
+        raise ValueError(f"ids are 1 to {IDS} whole numbers")
+    return df.filter(F.col(key).isin(sorted(set(map(int, parts)))))

@@ -38,37 +38,70 @@ def levels(cells: DataFrame, box: tuple, deepest: int = DEEPEST) -> DataFrame:
     return every.groupBy("z", "tx", "ty").agg(F.sum("n").alias("n"), F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by"))
 
 
-def level_summary(tiles: DataFrame, cap: int) -> DataFrame:
-    """z, tiles, fullest, over (tiles above the cap), dropped, separable (a full tile's cells differ in place)."""
+def level_summary(tiles: DataFrame, cap: int, box: tuple = (0.0, 0.0, 1.0, 1.0), w: float = 0.0, h: float = 0.0, deepest: int = DEEPEST) -> DataFrame:
+    """z, tiles, fullest, over (tiles above the cap), dropped, separable, packable.
+
+    separable: some overfull tile's cells lie further apart than a tile of the deepest
+    level, so deeper levels part them.  packable: some overfull tile's cells, each as
+    large as the largest (w, h), have room side by side in the area that they span.
+    """
     over = F.col("n") > cap
-    apart = over & ((F.col("bx") > F.col("ax")) | (F.col("by") > F.col("ay")))
-    return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.max("n").alias("fullest"), F.count_if(over).alias("over"), F.sum(F.greatest(F.col("n") - cap, F.lit(0))).alias("dropped"), F.bool_or(apart).alias("separable"))
-
-
-def choose_z(summary: DataFrame, n: int, cap: int, box: tuple, w: float, h: float) -> tuple[int, str]:
-    """The deepest level to bake, and why it stops: all fit, same places, cells as large as tiles, too many tiles, deepest."""
-    rows = {r["z"]: r for r in summary.collect()}  # at most 25
-    spans = [s / m for s, m in ((box[2] - box[0], w), (box[3] - box[1], h)) if m > 0 and s > 0]
-    ceiling = max(0, math.floor(min(math.log2(s) for s in spans))) if spans else DEEPEST
-    budget = 16 * max(1, math.ceil(n / cap))
-    for z in range(DEEPEST + 1):
-        r = rows.get(z)
-        if r is None or r["fullest"] <= cap:
-            return z, "fits"
-        if not r["separable"]:
-            return z, "coincident"
-        if z >= ceiling:
-            return z, "ceiling"
-        if z + 1 in rows and rows[z + 1]["tiles"] > budget:
-            return z, "budget"
-    return DEEPEST, "depth"
+    wide, tall = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    apart = over & ((wide > F.lit((box[2] - box[0]) / (1 << deepest))) | (tall > F.lit((box[3] - box[1]) / (1 << deepest))))
+    room = over & (F.col("n") * F.lit(w * h) <= (wide + F.lit(w)) * (tall + F.lit(h)))
+    return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.max("n").alias("fullest"), F.count_if(over).alias("over"), F.sum(F.greatest(F.col("n") - cap, F.lit(0))).alias("dropped"), F.bool_or(apart).alias("separable"), F.bool_or(room).alias("packable"))
+
+
+def size_ceiling(box: tuple, w: float, h: float, deepest: int = DEEPEST) -> int:
+    """The deepest level whose tiles are no smaller than the largest cell."""
+    fits = [math.floor(math.log2(span / cell)) for span, cell in ((box[2] - box[0], w), (box[3] - box[1], h)) if cell > 0 and span > 0]
+    return max(0, min([deepest, *fits]))
+
+
+def choose_z(summary: DataFrame, n: int, cap: int, box: tuple, w: float, h: float, deepest: int = DEEPEST) -> tuple[int, str]:
+    """The deepest level to bake, and why it stops there.
+
+    fits: no tile is overfull; coincident: what overfills a tile never parts;
+    ceiling: deeper tiles are smaller than a cell and the cells lie in piles;
+    budget: the next level has too many tiles; depth: the deepest level.
+    summary: level_summary with the same cap, box, w and h.
+    """
+    if not n:
+        return 0, "empty"
+    ceiling, budget = size_ceiling(box, w, h, deepest), 16 * max(1, math.ceil(n / cap))
+    after = F.lead("tiles").over(Window.orderBy("z"))  # one row a level
+    why = (
+        F.when(F.col("fullest") <= cap, "fits").when(~F.col("separable"), "coincident")
+        .when((F.col("z") >= ceiling) & ~F.col("packable"), "ceiling").when(after > budget, "budget")
+    )
+    stop = summary.withColumn("why", F.when(F.col("z") < deepest, why)).filter("why is not null").orderBy("z").select("z", "why").first()
+    return (stop["z"], stop["why"]) if stop else (deepest, "depth")
+
+
+def tile_spans(cells: DataFrame, box: tuple, z: int) -> DataFrame:
+    """widest, tallest: how many tiles of level z the largest cell spans on each axis."""
+    x, y = ((1 << z) / (b - a) if b > a else 0.0 for a, b in ((box[0], box[2]), (box[1], box[3])))
+    return cells.agg((F.max("w") * F.lit(x)).alias("widest"), (F.max("h") * F.lit(y)).alias("tallest"))
+
+
+def page_id(tx: Column, ty: Column, z: int) -> Column:
+    """One number for a tile of a level up to 15: row by row."""
+    if not 0 <= z <= 15:
+        raise ValueError("levels of pages are 0 to 15")
+    return ty.cast("long") * (1 << z) + tx
+
+
+def covered(children: DataFrame, least: float = 0.45) -> DataFrame:
+    """tx, ty, coverage, kept of the parents of tiles (tx, ty, alpha): the mean of four children, absent ones empty, and whether it is at least `least`."""
+    parent = children.groupBy(F.shiftright("tx", 1).alias("tx"), F.shiftright("ty", 1).alias("ty")).agg((F.sum("alpha") / 4).alias("coverage"))
+    return parent.withColumn("kept", F.col("coverage") >= least)
 
 
 def fine(cells: DataFrame, box: tuple, z: int, cap: int) -> DataFrame:
     """id, tx, ty, slot, u, v of the `cap` lowest ids of each tile, with their places in the tile's small atlas."""
     per = math.isqrt(cap)
-    slot = F.row_number().over(Window.partitionBy("tx", "ty").orderBy("id")) - 1
-    kept = tiled(cells, box, z).withColumn("slot", slot).filter(F.col("slot") < cap)
+    rank = F.row_number().over(Window.partitionBy("tx", "ty").orderBy("id"))
+    kept = tiled(cells, box, z).withColumn("rank", rank).filter(F.col("rank") <= cap).withColumn("slot", F.col("rank") - 1)  # a rank's bound cuts each sort early
     return kept.select("id", "tx", "ty", "slot", ((F.col("slot") % per) / per).alias("u"), (F.floor(F.col("slot") / per) / per).alias("v"))
 
 

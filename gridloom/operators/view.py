@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import half_up
 from gridloom.operators.pyramid import tiled
+from gridloom.operators.ranks import ranked
 
 
 def overlaps(view: tuple[float, float, float, float]):
@@ -65,9 +66,10 @@ def extremes(cells: DataFrame, k: int) -> DataFrame:
 
 
 def upper_median(cells: DataFrame, column: str) -> DataFrame:
-    """The value at place floor(n / 2) of the sorted column: a count, then that row."""
-    n = cells.filter(F.col(column).isNotNull()).count()
-    return cells.filter(F.col(column).isNotNull()).orderBy(column).offset(n // 2).limit(1).select(F.col(column).alias("median"))
+    """The value at place floor(n / 2) of the sorted column; no row without values."""
+    value = ranked(cells, {column: 0.5}, upper=True)[column][0]
+    out = cells.select(F.col(column).alias("median")).limit(0)
+    return out if value is None else cells.sparkSession.createDataFrame([(value,)], out.schema)
 
 
 def time_fit(points: DataFrame, x: str, t: str) -> DataFrame:
@@ -114,13 +116,28 @@ def selection_digest(items: DataFrame, categories: list[str], time: str) -> Data
 def declutter(chips: DataFrame, gap: float, most: int) -> DataFrame:
     """The chips (id, n, x, y) that stay: by count, each at least `gap` from all before, at most `most`.
 
-    Only the 16 * most fullest chips are candidates, which bounds the fold.
+    A round takes the 16 * most fullest chips that are far enough from all taken ones
+    and folds them; rounds go on until `most` are taken or no chip is left.
     """
-    top = chips.orderBy(F.desc("n"), "id").limit(16 * most)
-    one = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "id", "n", "x", "y"))).alias("c"))
-    kind = "array<struct<m:bigint,id:bigint,n:bigint,x:double,y:double>>"
-    fold = f"aggregate(c, cast(array() as {kind}), (a, p) -> if(size(a) < {most} and forall(a, q -> pow(q.x - p.x, 2) + pow(q.y - p.y, 2) >= {gap * gap}D), concat(a, array(p)), a))"
-    return one.select(F.expr(f"inline(transform({fold}, p -> named_struct('id', p.id, 'n', p.n, 'x', p.x, 'y', p.y)))"))
+    spark, kind = chips.sparkSession, "array<struct<m:bigint,id:bigint,n:bigint,x:double,y:double>>"
+    taken: list = []
+    while len(taken) < most:
+        far = chips
+        for t in taken:  # at most `most` tests
+            far = far.filter((F.col("x") - F.lit(t["x"])) ** 2 + (F.col("y") - F.lit(t["y"])) ** 2 >= F.lit(gap * gap))
+        one = far.orderBy(F.desc("n"), "id").limit(16 * most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "id", "n", "x", "y"))).alias("c"))
+        fold = f"aggregate(c, cast(array() as {kind}), (a, p) -> if(size(a) < {most - len(taken)} and forall(a, q -> pow(q.x - p.x, 2) + pow(q.y - p.y, 2) >= {gap * gap}D), concat(a, array(p)), a))"
+        more = one.select(F.expr(fold).alias("c")).first()["c"]
+        if not more:
+            break
+        taken += more
+    return spark.createDataFrame([(t["id"], t["n"], t["x"], t["y"]) for t in taken], "id long, n long, x double, y double")
+
+
+def members_box(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """value, n and the box x0, y0, x1, y1 around the footprints of each value's members (value, id)."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return cells.join(members, "id").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(x - w / 2).alias("x0"), F.min(y - h / 2).alias("y0"), F.max(x + w / 2).alias("x1"), F.max(y + h / 2).alias("y1"))
 
 
 def evictions(resident: DataFrame, kept: DataFrame, budget: int) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import columns as C
-from gridloom.operators import catalog, ids, layouts, pyramid, search, view
+from gridloom.operators import catalog, checks, ids, layouts, positions, profile, pyramid, roles, search, ticks, view
 from gridloom.session import ship
-from gridloom.sources.tables import scalar_columns, table
+from gridloom.sources.tables import fixture, scalar_columns, table
 from gridloom.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,9 +57,10 @@ def metadata_left_join_first_wins(t):
     return ids.join_first(t("customer").select(F.col("c_custkey").alias("id")), md, "id", "first_order")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def unmatched_anti_join(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    rich = t("orders").filter("o_totalprice > 400000")
+    return t("customer").join(rich, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("""with a as (select distinct c_custkey k from customer where c_custkey % 3 <> 0), b as (select distinct o_custkey k from orders),
@@ -89,20 +90,99 @@ def text_lengths(t):
     return r6(search.mean_lengths(t("part"), ["p_name", "p_brand", "p_type"]), "p_name", "p_brand", "p_type")
 
 
-@query("select unnest(['label', 'vec_id']) as column_name")
+@query("select column_name from (describe select * from embeddings) where column_type not like '%[]'")
 def scalar_columns_profile(t):
     e = t("embeddings")
     return e.sparkSession.createDataFrame([(c,) for c in scalar_columns(e)], "column_name string")
 
 
+@query("""with k(name, type) as (values ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')),
+f as (select c_custkey::varchar c_custkey, c_name, c_nationkey::varchar c_nationkey, c_mktsegment from customer order by customer.c_custkey limit 1)
+select 'c_custkey' as name, c_custkey as sample from f union all select 'c_name', c_name from f union all select 'c_nationkey', c_nationkey from f union all select 'c_mktsegment', c_mktsegment from f""")
+def column_profile(t):
+    return profile.column_profile(t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey").select("name", "sample")
+
+
+@query("select p_partkey, p_name, (select count(*) from part) as total from part order by p_name, p_partkey limit 20 offset 40")
+def name_page(t):
+    named = t("part").withColumn("_o", F.concat("p_name", F.lpad(F.col("p_partkey").cast("string"), 12, "0")))
+    return profile.page(named, "_o", 40, 20).select("p_partkey", "p_name", "total")
+
+
+@query("""select 'value' as "column", count(value) as n_values, count(*) filter (isfinite(value)) as n_parsed, count(value) = count(*) filter (isfinite(value)) as whole from events
+union all select 'event_type', count(nullif(trim(event_type), '')), count(try_cast(event_type as bigint)), count(nullif(trim(event_type), '')) = count(try_cast(event_type as bigint)) from events
+union all select 'ts', count(ts), count(ts), true from events""")
+def strict_parse(t):
+    return checks.parse_counts(t("events"), {"value": "number", "event_type": "unix_seconds", "ts": "iso8601"})
+
+
+@query("""with e as (select embedding[1]::double x, embedding[2]::double y from embeddings), l as (select min(x) ax, max(x) bx, min(y) ay, max(y) b2 from e)
+select 'x' as "column", 'log' as rule, round(ax, 6) as value from l where ax <= 0 union all select 'x', 'unit', round(case when ax < 0 then ax else bx end, 6) from l where ax < 0 or bx > 1
+union all select 'y', 'unit', round(case when ay < 0 then ay else b2 end, 6) from l where ay < 0 or b2 > 1""")
+def coordinate_findings(t):
+    e = t("embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return r6(checks.coordinate_findings(e, [checks.Pair("x", "y", x_scale="log", normalize="none")]), "value")
+
+
+@query("""with c as (select (c_custkey % 400 - 200)::double lon, case when c_custkey % 7 <> 0 then (c_custkey % 178 - 89)::double end lat from customer), e as (select min(lon) a, max(lon) b, min(lat) c, max(lat) d from c where lat is not null)
+select 'lon' as "column", 'longitude' as rule, case when a < -180 then a else b end as value from e where a < -180 or b > 180 union all select 'lat', 'mercator', case when c < -85.051129 then c else d end from e where c < -85.051129 or d > 85.051129""")
+def degree_findings(t):
+    k = F.col("c_custkey")
+    c = t("customer").select((k % 400 - 200).cast("double").alias("lon"), F.when(k % 7 != 0, (k % 178 - 89).cast("double")).alias("lat"))
+    return checks.degree_findings(c, [checks.Pair("lon", "lat", projection="mercator")])
+
+
+@query("""with d as (select column_name c, column_type t from (describe select * from events)), r(role, c) as (values ('datetime', 'ts'), ('scatter', 'value'), ('scatter', 'user_id'), ('tag', 'event_type'), ('categorical', 'colour'))
+select role, r.c as "column", case when t is null then 'missing' when role = 'datetime' then 'timestamp' when role = 'scatter' then 'float' else 'list' end as finding from r left join d on d.c = r.c
+where t is null or (role = 'datetime' and t not like 'TIMESTAMP%') or (role = 'scatter' and t not in ('DOUBLE', 'FLOAT')) or (role = 'tag' and t not like '%[]')""")
+def role_findings(t):
+    return checks.role_findings(t("events"), [("datetime", "ts"), ("scatter", "value"), ("scatter", "user_id"), ("tag", "event_type"), ("categorical", "colour")])
+
+
+@query("select event_id::varchar as _key, ts as ts, event_type, [event_type] as tags, value from events")
+def role_projection(t):
+    e = t("events").select(F.col("event_id").cast("string").alias("k"), F.col("ts").cast("string").alias("ts"), "event_type", F.col("event_type").alias("tags"), F.col("value").cast("string").alias("value"))
+    known = [roles.Role("datetime", ("ts",)), roles.Role("categorical", ("event_type",)), roles.Role("tag", ("tags",)), roles.Role("scatter", ("value", "value"))]
+    return roles.project(e, "k", known).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""select layout_id, count(*) as n, count(distinct id) as ids from (select c_custkey as id, unnest(['grid', 'categorical_c-mktsegment', 'categorical_c_nationkey', 'scatter']) as layout_id from customer) group by 1""".replace("c-mkt", "c_mkt"))
+def expanded_layouts(t):
+    c = t("customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey", "c_acctbal", F.col("c_custkey").cast("double").alias("k"))
+    known = [roles.Role("categorical", ("c_mktsegment",)), roles.Role("categorical", ("c_nationkey",)), roles.Role("scatter", ("k", "c_acctbal"))]
+    return roles.expanded(c, known).groupBy("layout_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("""with e as (select p_partkey entry, case when p_partkey % 3 = 0 then 'scatter' else 'tag' end kind, p_brand a, p_type b, p_size::varchar o from part)
+select entry, a as "column", '["scatter","first","' || b || '","' || o || '"]' as print from e where kind = 'scatter' union all select entry, b, '["scatter","second","' || a || '","' || o || '"]' from e where kind = 'scatter'
+union all select entry, a, '["tag","' || o || '"]' from e where kind = 'tag'""")
+def role_prints(t):
+    pair = F.col("p_partkey") % 3 == 0
+    e = t("part").select(F.col("p_partkey").alias("entry"), F.when(pair, "scatter").otherwise("tag").alias("kind"), F.when(pair, F.array("p_brand", "p_type")).otherwise(F.array("p_brand")).alias("columns"), F.array(F.col("p_size").cast("string")).alias("options"))
+    return roles.prints(e)
+
+
+@query("""select doc_id, 'title_' || source as columns from documents""")
+def declared_columns(t):
+    json = F.concat(F.lit('{"roles": [{"kind": "tag", "column": "title_'), "source", F.lit('", "label": "column"}], "x_column": "title_'), "source", F.lit('"}'))
+    return t("documents").select("doc_id", F.array_join(roles.declared_columns(json), ",").alias("columns"))
+
+
 @query("select c_custkey as id, c_name, round(c_acctbal, 2) as bal from customer where c_custkey in (3, 5, 8, 13, 21, 34)")
 def metadata_lookup_by_ids(t):
-    return t("customer").filter(F.col("c_custkey").isin([21, 3, 5, 3, 8, 13, 34])).orderBy("c_custkey").select(F.col("c_custkey").alias("id"), "c_name", F.round("c_acctbal", 2).alias("bal"))
+    return ids.by_ids(t("customer"), "c_custkey", "21,3, 5,3,8,13,34").orderBy("c_custkey").select(F.col("c_custkey").alias("id"), "c_name", F.round("c_acctbal", 2).alias("bal"))
 
 
-@query("select o_orderkey as id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso from orders where o_orderkey % 10 = 1")
+@query("select event_id as id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || lpad((epoch_us(ts) % 1000000)::varchar, 6, '0') end as iso from events")
 def iso_times(t):
-    return t("orders").filter("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("id"), C.iso(F.col("o_orderdate")).alias("iso"))
+    return t("events").select(F.col("event_id").alias("id"), C.iso(F.col("ts")).alias("iso"))
+
+
+@query("select p_partkey as id, case when p_partkey % 3 = 0 then p_size * 1000 when p_partkey % 3 = 1 then epoch_ms(timestamp '2001-02-03 04:05:06' + to_days(p_size::int)) end as ms from part")
+def instants(t):
+    k = F.col("p_partkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit(" "), "p_size")).when(k % 3 == 1, F.expr("cast(timestamp_ntz'2001-02-03 04:05:06' + make_dt_interval(p_size) as string)")).otherwise("1e30")
+    return t("part").select(k.alias("id"), C.instant(raw, "unix_seconds").alias("ms"))
 
 
 @query("select doc_id as id, case when length(text) > 160 then substr(text, 1, 159) || '…' else text end as sample from documents")
@@ -122,6 +202,17 @@ def tag_split(t):
     return _tagged(t).select("id", F.array_join("tags", "|").alias("tags"))
 
 
+@query("select p_partkey as id, case when p_brand in ('Brand#11', 'Brand#22') then '' else p_brand end as tags, case when p_brand in ('Brand#11', 'Brand#22') then 0 else 1 end as n from part")
+def tag_single(t):
+    one = C.split_tags(F.when(~F.col("p_brand").isin("Brand#11", "Brand#22"), F.col("p_brand")), None)
+    return t("part").select(F.col("p_partkey").alias("id"), F.array_join(one, "|").alias("tags"), F.size(one).alias("n"))
+
+
+@query("select value, count(*) as n from (select unnest(string_split(p_name, ' ')) as value from part where p_partkey % 7 <> 0) group by value order by n desc, value limit 50")
+def tag_top(t):
+    return search.top_facets(search.facets(_tagged(t), "tags"))
+
+
 @query("select value, count(*) as n from (select unnest(string_split(p_name, ' ')) as value from part where p_partkey % 7 <> 0) group by value")
 def tag_facets(t):
     return search.facets(_tagged(t), "tags")
@@ -147,13 +238,13 @@ def tag_filter_and(t):
 PART_ROLES = [("p_name", "title"), ("p_brand", "categorical"), ("p_type", "freeform")]
 
 
-def _search_sql(q: str, limit: int) -> str:
-    return f"""with p as (select p_partkey id, p_name, p_brand, p_type from part where contains(lower(p_name), '{q}') or contains(lower(p_brand), '{q}') or contains(lower(p_type), '{q}')
-order by case when starts_with(lower(p_name), '{q}') or starts_with(lower(p_brand), '{q}') or starts_with(lower(p_type), '{q}') then 0 else 1 end, id limit {limit}),
-h as (select id, case when contains(lower(p_brand), '{q}') then 'p_brand' when contains(lower(p_name), '{q}') then 'p_name' else 'p_type' end as field,
-case when contains(lower(p_brand), '{q}') then p_brand when contains(lower(p_name), '{q}') then p_name else p_type end as value,
-case when contains(lower(p_brand), '{q}') then 0 when contains(lower(p_name), '{q}') then 1 else 3 end as p from p)
-select id, field, value, (row_number() over (order by case when starts_with(lower(value), '{q}') then 0 else 1 end, p, id) - 1)::int as position from h"""
+def _search_sql(q: str, limit: int, columns: list[tuple[str, int]] = [("p_brand", 0), ("p_name", 1), ("p_type", 3)]) -> str:  # noqa: B006
+    """columns: (column, priority) in order."""
+    any_ = lambda f, on: " or ".join(f"{f}(lower({c}::varchar), '{q}')" for c, _ in on)
+    pick = lambda of: "case " + " ".join(f"when contains(lower({c}::varchar), '{q}') then {of(c, p)}" for c, p in columns) + " end"
+    return f"""with m as (select *, p_partkey id, row_number() over (order by case when {any_("starts_with", columns)} then 0 else 1 end, p_partkey) rn, count(*) over () all_ from part where {any_("contains", columns)}),
+h as (select id, all_ > {limit} capped, {pick(lambda c, p: f"'{c}'")} as field, {pick(lambda c, p: f"{c}::varchar")} as value, {pick(lambda c, p: p)} as p from m where rn <= {limit})
+select id, field, value, (row_number() over (order by case when starts_with(lower(value), '{q}') then 0 else 1 end, p, id) - 1)::int as position, capped from h"""
 
 
 @query(_search_sql("co", 50))
@@ -172,6 +263,33 @@ def search_group_rows(t):
     return search.grouped_hits(hits, ["p_brand"])
 
 
+#: p_brand is a category, p_comment-like text goes by its name, p_type by its length.
+ROLE_MAP = {"p_brand": ("categorical", "Brand"), "p_name": ("freeform", "Item"), "p_type": ("freeform", "Finish notes")}
+
+
+def _searchable(t):
+    return t("part").select(F.col("p_partkey").alias("id"), "p_partkey", "p_name", "p_brand", "p_type", "p_size", F.concat(F.lit("https://x/"), "p_partkey").alias("p_link"))
+
+
+@query("""select c as "column", r as role from (values ('p_brand', 'categorical'), ('p_name', 'title'), ('p_partkey', 'title'), ('p_size', 'title'), ('id', 'id')) v(c, r)
+union all select 'p_type', 'freeform'""")
+def title_like_columns(t):
+    found = search.search_columns(_searchable(t), ROLE_MAP, ("p_link",), "all")
+    return t("part").sparkSession.createDataFrame(found, "column string, role string")
+
+
+@query("select id, field, value, position, capped from (" + _search_sql("11", 50, [("p_brand", 0), ("p_name", 1), ("p_partkey", 1), ("p_size", 1)]) + ")")
+def search_default(t):
+    p = _searchable(t)
+    return search.search(p, search.search_columns(p, ROLE_MAP, ("p_link",)), "11", 50)
+
+
+@query("select id, field, value, position, capped from (" + _search_sql("econ", 50, [("p_brand", 0), ("p_name", 1), ("p_partkey", 1), ("p_size", 1), ("p_type", 3)]) + ")")
+def search_all(t):
+    p = _searchable(t)
+    return search.search(p, search.search_columns(p, ROLE_MAP, ("p_link",), "all"), "econ", 50)
+
+
 # layouts
 
 GRID_SQL = "select c_custkey as id, round((c_custkey % cols + 0.5) / cols, 6) as x, round(((c_custkey // cols) + 0.5) / rws, 6) as y, round(0.9 / cols, 6) as w, round(0.9 / rws, 6) as h from customer, (select ceil(sqrt(count(*)))::bigint as cols, ceil(count(*) / ceil(sqrt(count(*))))::bigint as rws from customer)"
@@ -255,19 +373,45 @@ def treemap_areas(t):
     return layouts.treemap_rects(layouts.category_counts(t("part"), "p_brand")).select("value", "n", F.round(F.col("w") * F.col("h"), 6).alias("area"))
 
 
-@query()
+def _treemap_sql(value: str, table: str = "part") -> str:
+    """Bands by recursion over the groups by falling count, one group a step."""
+    return f"""with recursive c as (select {value} as value, count(*) as n from {table} group by 1),
+g as (select value, n, n / (select sum(n) from c) as s, row_number() over (order by n desc, value) as i from c),
+f as (select i, 1::double as w, 1::double as h, 0::double as x, 0::double as y, 1::double as len, s as top, s as low, s as sum, 0 as band from g where i = 1
+union all select i, case when j then w else nw end, case when j then h else nh end, case when j then x else nx end, case when j then y else ny end, case when j then len else least(nw, nh) end,
+case when j then top else s end, s, case when j then sum + s else s end, case when j then band else band + 1 end
+from (select g.i, g.s, f.w, f.h, f.x, f.y, f.len, f.top, f.sum, f.band,
+greatest(top * len * len / ((sum + g.s) * (sum + g.s)), (sum + g.s) * (sum + g.s) / (g.s * len * len)) <= greatest(top * len * len / (sum * sum), sum * sum / (low * len * len)) as j,
+w - case when w <= h then 0 else sum / len end as nw, h - case when w <= h then sum / len else 0 end as nh, x + case when w <= h then 0 else sum / len end as nx, y + case when w <= h then sum / len else 0 end as ny
+from f join g on g.i = f.i + 1)),
+b as (select g.value, g.n, g.s, f.x, f.y, f.w, f.h, max(f.sum) over (partition by band) / least(f.w, f.h) as deep, coalesce(sum(g.s) over (partition by band order by i rows between unbounded preceding and 1 preceding), 0) as off_ from f join g using (i)),
+r as (select value, n, case when w <= h then x + off_ / deep else x end as x0, case when w <= h then y else y + off_ / deep end as y0, case when w <= h then s / deep else deep end as rw, case when w <= h then deep else s / deep end as rh from b)"""
+
+
+@query(_treemap_sql("p_brand") + " select value, n, round(x0, 6) + 0.0 as x0, round(y0, 6) + 0.0 as y0, round(rw, 6) as w, round(rh, 6) as h from r")
 def treemap_rects(t):
     return r6(layouts.treemap_rects(layouts.category_counts(t("part"), "p_brand")), "x0", "y0", "w", "h")
 
 
-@query()
+@query(_treemap_sql("p_type") + """, k as (select p_partkey as id, p_type as value, row_number() over (partition by p_type order by p_partkey) - 1 as j from part),
+q as (select *, greatest(1, least(n, round_even(sqrt(n * rw / rh), 0))) as c from r)
+select id, value, round(x0 + rw * (0.05 + 0.9 * (j % c + 0.5) / c), 6) + 0.0 as x, round(y0 + rh * (0.05 + 0.9 * (floor(j / c) + 0.5) / ceil(n / c)), 6) + 0.0 as y, round(rw * 0.9 / c * 0.9, 6) as w, round(rh * 0.9 / ceil(n / c) * 0.9, 6) as h from k join q using (value)""")
 def treemap_cells(t):
     return r6(layouts.treemap_cells(t("part").withColumn("id", F.col("p_partkey")), "p_type"), "x", "y", "w", "h")
 
 
-@query("select p_brand as value, count(*) as n, false as missing from part group by 1 order by n desc, value limit 10")
+@query(_treemap_sql("case when p_partkey % 97 = 0 then '' else p_brand end") + ", o as (select *, row_number() over (order by n desc, value) as k from r) select value, n, value = '' as missing, round(x0, 6) + 0.0 as x0, round(y0, 6) + 0.0 as y0, round(x0 + rw, 6) as x1, round(y0 + rh, 6) as y1 from o where k <= 10 - (select max((value = '' and k > 10)::int) from o) or value = ''")
 def treemap_labels(t):
-    return layouts.treemap_labels(layouts.category_counts(t("part"), "p_brand"), 10)
+    part = t("part").withColumn("brand", F.when(F.col("p_partkey") % 97 != 0, F.col("p_brand")))
+    return r6(layouts.treemap_labels(layouts.category_counts(part, "brand"), 10), "x0", "y0", "x1", "y1")
+
+
+@query(_treemap_sql("p_brand") + """, k as (select p_partkey as id, p_brand as value, row_number() over (partition by p_brand order by p_partkey) - 1 as j from part), q as (select *, greatest(1, least(n, round_even(sqrt(n * rw / rh), 0))) as c from r),
+cells as (select id, x0 + rw * (0.05 + 0.9 * (j % c + 0.5) / c) as x, y0 + rh * (0.05 + 0.9 * (floor(j / c) + 0.5) / ceil(n / c)) as y, rw * 0.9 / c * 0.9 as w, rh * 0.9 / ceil(n / c) * 0.9 as h from k join q using (value))
+select p_type as value, count(*) as n, round(min(x - w / 2), 6) + 0.0 as x0, round(min(y - h / 2), 6) + 0.0 as y0, round(max(x + w / 2), 6) as x1, round(max(y + h / 2), 6) as y1 from cells join part on p_partkey = id group by 1""")
+def category_bbox(t):
+    part = t("part").withColumn("id", F.col("p_partkey"))
+    return r6(view.members_box(layouts.treemap_cells(part, "p_brand").drop("value"), part.select("id", F.col("p_type").alias("value"))), "x0", "y0", "x1", "y1")
 
 
 @query("select date_trunc('month', o_orderdate)::timestamp as bucket, count(*) as n from orders group by 1")
@@ -284,89 +428,194 @@ def dt_gaps(t):
     return b.withColumn("gap", at - F.lag(at).over(Window.orderBy("b"))).agg(F.min("gap").alias("least_gap"), F.max("n").alias("deepest"))
 
 
-DT_SQL = """with d as (select o_orderkey as id, o_orderdate as t, {floor} as b from orders),
+DT_SQL = """with u as (select ceil(epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0) <= least(2000, ceil(5 * sqrt(count(*)))) as by_day from orders),
+v as (select by_day, case when by_day then 86400.0 else 2419200.0 end as least from u),
+d as (select o_orderkey as id, o_orderdate as t, case when by_day then date_trunc('day', o_orderdate) else date_trunc('month', o_orderdate) end as b from orders, u),
 bins as (select b, count(*) n, epoch(b) ep from d group by b), g as (select *, ep - lag(ep) over (order by b) gap from bins),
-p as (select max(n) deepest, min(gap) gap, min(ep) a, max(ep) z, arg_max(n, ep) tail from g),
-k as (select k, least(0.92 / (k * ((z - a) / {least} + 1) + 0.25 * (z - a) / {least}), 0.96 / ceil(deepest / k)) pitch, p.* from p, unnest(generate_series(1, greatest(1, case when gap / {least} < 1 then least(deepest, floor(0.25 * (gap / {least}) / (1 - gap / {least}))::bigint) else deepest end))) u(k)),
+p as (select max(n) deepest, min(gap) gap, min(ep) a, max(ep) z, arg_max(n, ep) tail, any_value(least) as least, any_value(by_day) as by_day from g, v),
+k as (select k, least(0.92 / (k * ((z - a) / least + 1) + 0.25 * ((z - a) / least)), 0.96 / ceil(deepest / k)) pitch, p.* from p, unnest(generate_series(1, greatest(1, case when gap / least < 1 then least(deepest, floor(0.25 * (gap / least) / (1 - gap / least))::bigint) else deepest end))) u(k)),
 s as (select * from k order by pitch desc, k limit 1),
-q as (select *, (k + 0.25) * pitch / {least} as kt from s), r as (select *, 0.04 + greatest(0, (0.92 - (kt * (z - a) + least(tail, k) * pitch)) / 2) as x0 from q),
-c as (select id, b, ep, row_number() over (partition by d.b order by t, id) - 1 as slot from d join bins using (b))"""
+q as (select *, (k + 0.25) * pitch / least as kt from s), r as (select *, 0.04 + greatest(0, (0.92 - (kt * (z - a) + least(tail, k) * pitch)) / 2) as x0, case when k = 1 then least(0.85 * pitch, 0.85 * kt * gap) else 0.85 * pitch end as side from q),
+c as (select id, b, ep, row_number() over (partition by d.b order by t, id) - 1 as slot from d join bins using (b)),
+cells as (select id, b, slot, x0 + (ep - a) * kt + (slot % k + 0.5) * pitch as x, 0.96 - (slot // k + 0.5) * pitch as y, side as w, side as h from c, r)"""
 
 
-@query(DT_SQL.format(floor="date_trunc('day', o_orderdate)", least="86400.0") + " select id, b::timestamp as bucket, slot::int as slot, round(x0 + (ep - a) * kt + (slot % k + 0.5) * pitch, 6) as x, round(0.96 - (slot // k + 0.5) * pitch, 6) as y from c, r where (select ceil(epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0) <= least(2000, ceil(5 * sqrt(count(*)))) from orders)"
-+ " union all select id, b::timestamp, slot::int, round(x, 6), round(y, 6) from (" + DT_SQL.format(floor="date_trunc('month', o_orderdate)", least="2419200.0") + " select id, b, slot, x0 + (ep - a) * kt + (slot % k + 0.5) * pitch as x, 0.96 - (slot // k + 0.5) * pitch as y from c, r) where not (select ceil(epoch(max(o_orderdate) - min(o_orderdate)) / 86400.0) <= least(2000, ceil(5 * sqrt(count(*)))) from orders)")
+@query(DT_SQL + " select id, b::timestamp as bucket, slot::int as slot, round(x, 6) as x, round(y, 6) as y from cells")
 def dt_layout(t):
     cells, _ = layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")
     return r6(cells.select("id", "bucket", "slot", "x", "y"), "x", "y")
 
 
-@query()
+BOX = "box as (select greatest(0, least(1, min(x - w / 2))) x0, greatest(0, least(1, min(y - h / 2))) y0, greatest(0, least(1, max(x + w / 2))) x1, greatest(0, least(1, max(y + h / 2))) y1 from cells)"
+
+
+def _tile_sql(z: int) -> str:
+    n = 1 << z
+    return f"least({n - 1}, greatest(0, trunc((x - x0) / (x1 - x0) * {n})))::int as tx, least({n - 1}, greatest(0, trunc((y - y0) / (y1 - y0) * {n})))::int as ty"
+
+
+@query(DT_SQL + f", {BOX}, z as (select {_tile_sql(3)} from cells, box) select tx, ty, count(*) as n from z group by tx, ty order by n desc, ty, tx limit 20")
 def dt_histogram_tiles(t):
     cells, _ = layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")
-    box = pyramid.bbox(cells)
-    tiles = pyramid.tiled(cells, box, 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    tiles = pyramid.tiled(cells, pyramid.bbox(cells), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
     return tiles.orderBy(F.desc("n"), "ty", "tx").limit(20)
 
 
-@query()
+@query(DT_SQL + " select case when by_day then 'day' else 'month' end as kind, 1 as step, k::int as k, round(x0, 9) as range_start, round(x0 + kt * (z - a), 9) as range_end from r")
 def dt_axis(t):
     items = t("orders").withColumn("id", F.col("o_orderkey"))
     _, a = layouts.histogram(items, "o_orderdate")
     return items.sparkSession.createDataFrame([(a.get("kind"), a.get("step"), a.get("k"), *a.get("range", [None, None]))], "kind string, step int, k int, range_start double, range_end double")
 
 
-# pyramid over the scatter of embeddings
+@query("""with recursive e as (select min(o_orderdate) a, max(o_orderdate) b from orders), m as (select case when a > date_trunc('month', a) then date_trunc('month', a) + interval 1 month else date_trunc('month', a) end::timestamp as f, date_trunc('month', b)::timestamp as l from e),
+n as (select year(f) * 12 + month(f) - 1 as i, year(l) * 12 + month(l) - 1 as j from m),
+w as (select d from (values (1), (2), (3), (4), (6), (12), (24), (60), (120), (240), (600), (1200)) v(d), n order by abs(ln(((j - i) // d + 1) / 9.0)), d limit 1)
+select epoch(make_timestamp(k // 12, k % 12 + 1, 1, 0, 0, 0))::bigint as t, strftime(make_timestamp(k // 12, k % 12 + 1, 1, 0, 0, 0), '%Y-%m') as label from n, w, unnest(generate_series((ceil(i / d) * d)::bigint, j, d)) u(k)""")
+def month_ticks(t):
+    o = t("orders")
+    a, b = o.select(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    return ticks.interval_ticks(o.sparkSession, a, b, 9, "month", 1)
 
-BOX_SQL = SCATTER_SQL + ", box as (select greatest(0, least(1, min(x - w / 2))) x0, greatest(0, least(1, min(y - h / 2))) y0, greatest(0, least(1, max(x + w / 2))) x1, greatest(0, least(1, max(y + h / 2))) y1 from cells)"
 
+@query("select o_orderkey as id, round(0.1 + (epoch(o_orderdate) - a) * 0.8 / (b - a), 6) as x, epoch(o_orderdate)::bigint as back from orders, (select epoch(min(o_orderdate)) a, epoch(max(o_orderdate)) b from orders)")
+def axis_places(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"))
+    ends, reach = o.agg(F.min("s"), F.max("s")).first(), (0.1, 0.9)
+    x = ticks.place_of(F.col("s"), ends, reach)
+    return o.select("id", F.round(x, 6).alias("x"), F.round(ticks.time_at(x, ends, reach)).cast("long").alias("back"))
 
-def _tile_sql(z: int) -> str:
-    n = 1 << z
-    return f"least({n - 1}, greatest(0, trunc((x - x0) / (x1 - x0) * {n})))::int as tx, least({n - 1}, greatest(0, trunc((y - y0) / (y1 - y0) * {n})))::int as ty"
+
+# pyramid over the scatter of lineitem's prices and quantities
+
+LINES_SQL = SCATTER_SQL.replace("select vec_id as id, embedding[1]::double as px, embedding[2]::double as py from embeddings", "select l_orderkey * 8 + l_linenumber as id, l_extendedprice as px, l_quantity::double as py from lineitem")
+BOX_SQL = LINES_SQL + ", " + BOX
+CAP = 64
+
+
+def _lines(t):
+    items = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("px"), F.col("l_quantity").cast("double").alias("py"))
+    return layouts.scatter(items).drop("placed")
+
+
+def _levels_sql(cells: str) -> str:
+    """Levels 0 to 24 of `cells`, each cell binned anew at each level."""
+    tile = lambda c: f"least((1 << z) - 1, greatest(0, trunc(({c} - {c}0) / ({c}1 - {c}0) * (1 << z))))::int"
+    return f"""{cells}, t as (select z, {tile('x')} as tx, {tile('y')} as ty, count(*) as n, max(x) - min(x) as dx, max(y) - min(y) as dy from cells, box, unnest(generate_series(0, 24)) u(z) group by 1, 2, 3),
+m as (select max(w) as mw, max(h) as mh from cells),
+l as (select z, count(*) as tiles, max(n) as fullest, count(*) filter (n > {CAP}) as over, sum(greatest(n - {CAP}, 0))::bigint as dropped,
+bool_or(n > {CAP} and (dx > (select x1 - x0 from box) / 16777216 or dy > (select y1 - y0 from box) / 16777216)) as separable,
+bool_or(n > {CAP} and n * (mw * mh) <= (dx + mw) * (dy + mh)) as packable from t, m group by z)"""
 
 
 @query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box) select tx, ty, count(*) as n from z group by tx, ty")
 def tile_counts(t):
-    c = _scattered(t)
+    c = _lines(t)
     return pyramid.tiled(c, pyramid.bbox(c), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(BOX_SQL + " " + " union all ".join(f"select {z} as z, count(*) as tiles, max(n) as fullest, count(*) filter (n > 16) as over, sum(greatest(n - 16, 0))::bigint as dropped from (select {_tile_sql(z)}, count(*) as n from cells, box group by 1, 2)" for z in range(7)))
+def _summary(c):
+    box = pyramid.bbox(c)
+    w, h = c.agg(F.max("w"), F.max("h")).first()
+    return pyramid.level_summary(pyramid.levels(c, box), CAP, box, w, h), box, w, h
+
+
+@query(_levels_sql(BOX_SQL) + " select z, tiles, fullest, over, dropped, separable, packable from l")
 def level_summary(t):
-    c = _scattered(t)
-    return pyramid.level_summary(pyramid.levels(c, pyramid.bbox(c)), 16).filter("z <= 6").drop("separable")
+    return _summary(_lines(t))[0]
 
 
-@query(BOX_SQL + " " + " union all ".join(f"select {z} as z, tx, ty from (select distinct {_tile_sql(z)} from cells, box)" for z in range(5)))
+@query(SCATTER_SQL + ", " + BOX + " " + " union all ".join(f"select {z} as z, tx, ty from (select distinct {_tile_sql(z)} from cells, box)" for z in range(25)))
 def occupied_levels(t):
     c = _scattered(t)
-    return pyramid.levels(c, pyramid.bbox(c)).filter("z <= 4").select("z", "tx", "ty")
+    return pyramid.levels(c, pyramid.bbox(c)).select("z", "tx", "ty")
 
 
-@query()
-def choose_z(t):
-    c = _scattered(t)
-    box, n = pyramid.bbox(c), c.count()
-    e = c.agg(F.max("w"), F.max("h")).first()
-    z, why = pyramid.choose_z(pyramid.level_summary(pyramid.levels(c, box), 16), n, 16, box, *e)
+CHOICE_SQL = f""" , a as (select l.*, lead(tiles) over (order by z) as after, (select greatest(0, least(24, floor(log2((x1 - x0) / mw)), floor(log2((y1 - y0) / mh)))) from box, m) as ceiling, (select 16 * greatest(1, ceil(count(*) / {CAP}.0)) from cells) as budget from l),
+w as (select z, case when fullest <= {CAP} then 'fits' when not separable then 'coincident' when z >= ceiling and not packable then 'ceiling' when after > budget then 'budget' end as reason from a where z < 24)
+select z::int as z, reason from (select z, reason from w where reason is not null union all select 24, 'depth') order by z limit 1"""
+
+
+def _choice(c):
+    summary, box, w, h = _summary(c)
+    z, why = pyramid.choose_z(summary, c.count(), CAP, box, w, h)
     return c.sparkSession.createDataFrame([(z, why)], "z int, reason string")
 
 
-@query(BOX_SQL + f", z as (select id, {_tile_sql(3)} from cells, box), sl as (select *, row_number() over (partition by tx, ty order by id) - 1 as slot from z) select id, tx, ty, slot::int as slot, (slot % 4) / 4.0 as u, (slot // 4) / 4.0 as v from sl where slot < 16")
+@query(_levels_sql(BOX_SQL) + CHOICE_SQL)
+def choose_z(t):
+    return _choice(_lines(t))
+
+
+PILES_SQL = "with cells as (select l_orderkey * 8 + l_linenumber as id, ((l_orderkey * 7) % 13) / 13.0 + (l_linenumber % 3) * 1e-9 as x, ((l_orderkey * 5) % 11) / 11.0 as y, 0.004::double as w, 0.004::double as h from lineitem), " + BOX
+
+
+@query(_levels_sql(PILES_SQL) + CHOICE_SQL)
+def choose_z_of_piles(t):
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = (o * 7 % 13) / F.lit(13.0) + (n % 3) * F.lit(1e-9), (o * 5 % 11) / F.lit(11.0)
+    return _choice(t("lineitem").select((o * 8 + n).alias("id"), x.alias("x"), y.alias("y"), F.lit(0.004).alias("w"), F.lit(0.004).alias("h")))
+
+
+@query(BOX_SQL + f" select round(max(w) * 8 / max(x1 - x0), 6) as widest, round(max(h) * 8 / max(y1 - y0), 6) as tallest from cells, box")
+def tile_spans(t):
+    c = _lines(t)
+    return r6(pyramid.tile_spans(c, pyramid.bbox(c), 3), "widest", "tallest")
+
+
+@query(BOX_SQL + f", z as (select id, {_tile_sql(3)} from cells, box), sl as (select *, row_number() over (partition by tx, ty order by id) - 1 as slot from z) select id, tx, ty, slot::int as slot, (slot % 8) / 8.0 as u, (slot // 8) / 8.0 as v from sl where slot < {CAP}")
 def fine_tile_keep(t):
-    c = _scattered(t)
-    return pyramid.fine(c, pyramid.bbox(c), 3, 16).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    c = _lines(t)
+    return pyramid.fine(c, pyramid.bbox(c), 3, CAP).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
 
 
-@query("select count(*) as items, true as whole from embeddings")
+@query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box), k as (select count(*) as n from z group by tx, ty) select sum(n)::bigint as items, sum(least(n, {CAP}))::bigint as kept, sum(greatest(n - {CAP}, 0))::bigint as dropped from k")
 def reconcile(t):
-    c = _scattered(t)
+    c = _lines(t)
     box = pyramid.bbox(c)
-    kept = pyramid.fine(c, box, 3, 16).agg(F.countDistinct("id").alias("kept"))
-    lost = pyramid.level_summary(pyramid.levels(c, box), 16).filter("z = 3").select("dropped")
-    n = c.agg(F.count(F.lit(1)).alias("items"))
-    row = kept.join(lost, F.lit(True)).join(n, F.lit(True))  # single rows
-    return row.select("items", (F.col("kept") + F.col("dropped") == F.col("items")).alias("whole"))
+    kept = pyramid.fine(c, box, 3, CAP).agg(F.count("id").alias("kept"))
+    lost = pyramid.level_summary(pyramid.levels(c, box), CAP).filter("z = 3").select("dropped")
+    return kept.join(lost, F.lit(True)).join(c.agg(F.count(F.lit(1)).alias("items")), F.lit(True))  # single rows
+
+
+@query(SCATTER_SQL + ", " + BOX + f", z as (select a.id, a.x, a.y, a.w, a.h from cells a) select a.id, b.id as other from z a join z b on a.id < b.id and abs(a.x - b.x) < (a.w + b.w) / 2 and abs(a.y - b.y) < (a.h + b.h) / 2")
+def overlapping_neighbours(t):
+    c = _scattered(t)
+    return pyramid.neighbours(c, pyramid.bbox(c), 4)
+
+
+@query(BOX_SQL + f", z as (select {_tile_sql(4)} from cells, box), n as (select tx, ty, least(count(*), {CAP}) / {CAP}.0 as alpha from z group by 1, 2) select tx >> 1 as tx, ty >> 1 as ty, round(sum(alpha) / 4, 6) as coverage, sum(alpha) / 4 >= 0.45 as kept from n group by 1, 2")
+def coverage_gate(t):
+    c = _lines(t)
+    n = pyramid.tiled(c, pyramid.bbox(c), 4).groupBy("tx", "ty").agg((F.least(F.count(F.lit(1)), F.lit(CAP)) / F.lit(float(CAP))).alias("alpha"))
+    return r6(pyramid.covered(n), "coverage")
+
+
+@query(BOX_SQL + f", z as (select {_tile_sql(5)} from cells, box) select (ty::bigint * 32 + tx)::bigint as page, count(*) as n from z group by 1")
+def tile_pages(t):
+    c = _lines(t)
+    return pyramid.tiled(c, pyramid.bbox(c), 5).groupBy(pyramid.page_id(F.col("tx"), F.col("ty"), 5).alias("page")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SCATTER_SQL + " select count(*) as n, 0::bigint as lost, round(max(case when id % 1000 = 7 then 0.01 else 0 end), 9) as dx, 0.0 as dy, false as same from cells")
+def position_difference(t):
+    c = _scattered(t)
+    moved = c.withColumn("x", F.when(F.col("id") % 1000 == 7, F.col("x") + 0.01).otherwise(F.col("x")))
+    return positions.position_difference(c, moved).select("n", "lost", F.round("dx", 9).alias("dx"), "dy", "same")
+
+
+@query(GRID_SQL.replace("round(", "(").replace(", 6)", ")::float").replace("customer", "(select c_custkey from customer)"))
+def position_table(t):
+    c = t("customer").select(F.col("c_custkey").alias("id"))
+    return positions.position_table(layouts.grid(c), c.count())
+
+
+@query("select c.c_custkey as id, 'img' || c_custkey as filename, case when c_custkey % 3 = 0 then c_custkey || '.webp' end as detail_ref from customer c where c_custkey % 5 <> 0")
+def rekey_and_detail(t):
+    name = F.concat(F.lit("img"), "c_custkey").alias("filename")
+    c = t("customer")
+    kept = positions.rekeyed(c.select((F.col("c_custkey") * 10).alias("id"), name), c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), name))
+    return positions.detail_refs(kept, c.filter("c_custkey % 3 = 0").select(F.concat("c_custkey", F.lit(".webp")).alias("name"))).select("id", "filename", "detail_ref")
 
 
 # views
@@ -375,9 +624,9 @@ OVERLAP = "x + w / 2 > 0.3 and x - w / 2 < 0.6 and y + h / 2 > 0.3 and y - h / 2
 VIEW = (0.3, 0.3, 0.6, 0.55)
 
 
-@query(SCATTER_SQL + f" select count(*) as n from cells where {OVERLAP}")
+@query(LINES_SQL + f" select count(*) as n from cells where {OVERLAP}")
 def viewport_count(t):
-    return view.in_view(_scattered(t), VIEW)
+    return view.in_view(_lines(t), VIEW)
 
 
 @query(SCATTER_SQL + f", v as (select id from cells where {OVERLAP}) select id from v where (select count(*) from v) <= 1000")
@@ -385,30 +634,30 @@ def range_scan_cap(t):
     return view.range_scan(_scattered(t), VIEW, 1000)
 
 
-@query(SCATTER_SQL + " select id, round((x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), 9) as d2 from cells where abs(x - 0.5) <= w / 2 and abs(y - 0.475) <= h / 2 order by (x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), id desc limit 1")
+@query(LINES_SQL + " select id, round((x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), 9) as d2 from cells where abs(x - 0.5) <= w / 2 and abs(y - 0.475) <= h / 2 order by (x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), id desc limit 1")
 def point_pick(t):
-    return view.pick(_scattered(t), 0.5, 0.475).withColumn("d2", F.round("d2", 9))
+    return view.pick(_lines(t), 0.5, 0.475).withColumn("d2", F.round("d2", 9))
 
 
-@query(BOX_SQL + f", z as (select *, {_tile_sql(2)} from cells, box) select tx, ty, count(*) as n, count(*) - 40 as dropped, round(arg_min(x, id), 6) as x, round(arg_min(y, id), 6) as y from z group by tx, ty having count(*) > 40")
+@query(BOX_SQL + f", z as (select *, {_tile_sql(2)} from cells, box) select tx, ty, count(*) as n, count(*) - 640 as dropped, round(arg_min(x, id), 6) as x, round(arg_min(y, id), 6) as y from z group by tx, ty having count(*) > 640")
 def hotspots(t):
-    c = _scattered(t)
-    return r6(view.hotspots(c, pyramid.bbox(c), 2, 40), "x", "y")
+    c = _lines(t)
+    return r6(view.hotspots(c, pyramid.bbox(c), 2, 640), "x", "y")
 
 
-@query(SCATTER_SQL + ", e as (select min(x) ax, max(x) bx, min(y) ay, max(y) b2 from cells) select least(5, floor((x - ax) / (bx - ax) * 6))::int as gx, least(5, floor((y - ay) / (b2 - ay) * 6))::int as gy, id % 3 = 0 as matched, count(*) as n, round(min(x - w / 2), 6) as x0, round(min(y - h / 2), 6) as y0, round(max(x + w / 2), 6) as x1, round(max(y + h / 2), 6) as y1 from cells, e group by 1, 2, 3")
+@query(LINES_SQL + ", e as (select min(x) ax, max(x) bx, min(y) ay, max(y) b2 from cells) select least(5, floor((x - ax) / (bx - ax) * 6))::int as gx, least(5, floor((y - ay) / (b2 - ay) * 6))::int as gy, id % 3 = 0 as matched, count(*) as n, round(min(x - w / 2), 6) as x0, round(min(y - h / 2), 6) as y0, round(max(x + w / 2), 6) as x1, round(max(y + h / 2), 6) as y1 from cells, e group by 1, 2, 3")
 def marker_bins(t):
-    return r6(view.marker_bins(_scattered(t), F.col("id") % 3 == 0, 6), "x0", "y0", "x1", "y1")
+    return r6(view.marker_bins(_lines(t), F.col("id") % 3 == 0, 6), "x0", "y0", "x1", "y1")
 
 
-@query(SCATTER_SQL + " select floor(x / 0.05 + 0.5)::bigint as bx, floor(y / 0.05 + 0.5)::bigint as by, min(id) as id, count(*) as n from cells group by 1, 2")
+@query(LINES_SQL + " select floor(x / 0.05 + 0.5)::bigint as bx, floor(y / 0.05 + 0.5)::bigint as by, min(id) as id, count(*) as n from cells group by 1, 2")
 def coincident_reps(t):
-    return view.coincident(_scattered(t), 0.05)
+    return view.coincident(_lines(t), 0.05)
 
 
-@query(SCATTER_SQL + " (select id from cells order by x, id limit 8) union (select id from cells order by x desc, id limit 8)")
+@query(LINES_SQL + " (select id from cells order by x, id limit 8) union (select id from cells order by x desc, id limit 8)")
 def extreme_x_ids(t):
-    return view.extremes(_scattered(t), 8)
+    return view.extremes(_lines(t), 8)
 
 
 @query("select l_extendedprice as median from lineitem order by l_extendedprice limit 1 offset (select (count(*) // 2)::bigint from lineitem)")
@@ -421,15 +670,18 @@ def time_fit(t):
     return view.time_fit(t("lineitem"), "l_quantity", "l_extendedprice").select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("select tx::int as tx, ty::int as ty from unnest(generate_series(1, 5)) a(tx), unnest(generate_series(1, 5)) b(ty)")
+SEEN_SQL = BOX_SQL + ", sp as (select greatest(0, floor((0.3 - x0) / (x1 - x0) * 8) - 1)::int a, least(7, floor((0.6 - x0) / (x1 - x0) * 8) + 1)::int b, greatest(0, floor((0.3 - y0) / (y1 - y0) * 8) - 1)::int c, least(7, floor((0.55 - y0) / (y1 - y0) * 8) + 1)::int d from box), v as (select tx::int as tx, ty::int as ty from sp, unnest(generate_series(a, b)) u(tx), unnest(generate_series(c, d)) w(ty))"
+
+
+@query(SEEN_SQL + " select tx, ty from v")
 def visible_tiles(t):
-    return view.visible_tiles(t("region").sparkSession, (0.0, 0.0, 1.0, 1.0), (0.3, 0.3, 0.6, 0.55), 3)
+    return view.visible_tiles(t("region").sparkSession, pyramid.bbox(_lines(t)), VIEW, 3)
 
 
-@query("select tx::int as tx, ty::int as ty, round(((tx + 0.5) / 8 - 0.4) * ((tx + 0.5) / 8 - 0.4) + ((ty + 0.5) / 8 - 0.4) * ((ty + 0.5) / 8 - 0.4), 9) as d2 from unnest(generate_series(1, 5)) a(tx), unnest(generate_series(1, 5)) b(ty)")
+@query(SEEN_SQL + " select tx, ty, round((x0 + (tx + 0.5) / 8 * (x1 - x0) - 0.4) * (x0 + (tx + 0.5) / 8 * (x1 - x0) - 0.4) + (y0 + (ty + 0.5) / 8 * (y1 - y0) - 0.4) * (y0 + (ty + 0.5) / 8 * (y1 - y0) - 0.4), 9) as d2 from v, box")
 def focal_tiles(t):
-    tiles = view.visible_tiles(t("region").sparkSession, (0.0, 0.0, 1.0, 1.0), (0.3, 0.3, 0.6, 0.55), 3)
-    return view.focal_order(tiles, (0.0, 0.0, 1.0, 1.0), 3, 0.4, 0.4).withColumn("d2", F.round("d2", 9))
+    box = pyramid.bbox(_lines(t))
+    return view.focal_order(view.visible_tiles(t("region").sparkSession, box, VIEW, 3), box, 3, 0.4, 0.4).withColumn("d2", F.round("d2", 9))
 
 
 @query("select 'o_orderpriority' as field, o_orderpriority as value, count(*) as n from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(o_orderdate) from orders where o_custkey % 5 = 0")
@@ -439,7 +691,7 @@ def selection_digest(t):
 
 @query()
 def declutter_chips(t):
-    c = _scattered(t)
+    c = _lines(t)
     chips = view.hotspots(c, pyramid.bbox(c), 3, 4).select((F.col("ty") * 8 + F.col("tx")).cast("long").alias("id"), "n", "x", "y")
     return r6(view.declutter(chips, 0.15, 12), "x", "y")
 
@@ -524,6 +776,73 @@ def dedupe_selection(t):
     return catalog.unique_selection(f)
 
 
+@query("""with b as (select p_brand k, p_type f from part where p_partkey % 3 = 0), a as (select p_brand k, p_type f from part where p_partkey % 3 = 0 and p_partkey % 2 = 0), bak as (select p_size l, p_brand k, case when p_size % 7 = 0 then null else p_type end f from part where p_partkey % 12 = 1),
+need as (select l, k, f, count(*) n from bak group by 1, 2, 3), w as (select l, k, f, n, (select count(*) from b where b.k = need.k and b.f = need.f) sb, (select count(*) from a where a.k = need.k and a.f = need.f) sa from need)
+select l as layout_id, case when max((f is not null)::int) = 0 then 'unknown' when max((f is not null and sa < n)::int) = 0 then 'fresh' when max((f is not null and sb < n)::int) = 1 then 'still' else 'newly' end as state from w group by 1""")
+def newly_stale(t):
+    p = t("part")
+    declared = lambda rule: p.filter(rule).select(F.col("p_brand").alias("key"), F.col("p_type").alias("fingerprint"))
+    bak = p.filter("p_partkey % 12 = 1").select(F.col("p_size").alias("layout_id"), F.col("p_brand").alias("key"), F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("fingerprint"))
+    return catalog.newly_stale(declared("p_partkey % 3 = 0"), declared("p_partkey % 3 = 0 and p_partkey % 2 = 0"), bak)
+
+
+@query("""with a as (select p_brand c, list_sort(list(distinct p_type)) f from part where p_partkey % 40 < 20 group by 1), b as (select p_brand c, list_sort(list(distinct p_type)) f from part where p_partkey % 40 >= 10 and p_brand <> 'Brand#11' group by 1) select count(*) as n from a full join b on a.c = b.c where a.f is distinct from b.f""")
+def changed_columns(t):
+    p = t("part").select("p_partkey", F.col("p_brand").alias("column"), F.col("p_type").alias("fingerprint"))
+    return catalog.changed_columns(p.filter("p_partkey % 40 < 20"), p.filter("p_partkey % 40 >= 10 and column <> 'Brand#11'"))
+
+
+@query("""with own as (select n_nationkey d, case when n_nationkey % 2 = 0 then 'url' else 'text' end v from nation where n_nationkey % 3 <> 0), old as (select n_nationkey d, 'url' v from nation where n_nationkey % 4 <> 0)
+select coalesce(own.d, old.d) as dataset, coalesce(own.v, old.v) as render, case when coalesce(own.v, old.v) = 'url' then 'a,link' else 'link' end as links from own full join old on own.d = old.d""")
+def presentation(t):
+    n, k = t("nation"), F.col("n_nationkey")
+    maps = lambda rule, v: n.filter(rule).select(k.alias("dataset"), F.create_map(F.lit("a"), v, F.lit("link"), F.lit("url")).alias("columns"))
+    out = catalog.presentation(maps("n_nationkey % 3 <> 0", F.when(k % 2 == 0, "url").otherwise("text")), maps("n_nationkey % 4 <> 0", F.lit("url")))
+    return out.select("dataset", F.col("columns")["a"].alias("render"), F.array_join("links", ",").alias("links"))
+
+
+@query("select n_nationkey as dataset, case n_nationkey % 4 when 0 then 'old' when 1 then null when 2 then null else 'new' end as a, case when n_nationkey % 4 = 3 then 'more' end as b from nation")
+def presentation_updates(t):
+    n, k = t("nation"), F.col("n_nationkey")
+    new = F.when(k % 4 == 1, F.create_map(F.lit("a"), F.lit(" "))).when(k % 4 == 2, F.create_map(F.lit("a"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("a"), F.lit("new"), F.lit("b"), F.lit("more")))
+    out = catalog.updated(n.select(k.alias("dataset"), F.create_map(F.lit("a"), F.lit("old")).alias("columns")), n.filter("n_nationkey % 4 <> 0").select(k.alias("dataset"), new.alias("columns")))
+    return out.select("dataset", F.col("columns")["a"].alias("a"), F.col("columns")["b"].alias("b"))
+
+
+@query("select distinct p_size as dataset, p_brand as key from part where p_partkey % 2 = 0 and (p_size, p_brand) not in (select p_size, p_brand from part where p_partkey % 2 = 1)")
+def unresolved_keys(t):
+    p = t("part").select("p_partkey", F.col("p_size").alias("dataset"), F.col("p_brand").alias("key"))
+    return catalog.unresolved(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"))
+
+
+@query("""with c as (select s_suppkey l from supplier where s_suppkey % 3 = 0), p as (select s_suppkey l from supplier where s_suppkey % 2 = 0), g as (select s_suppkey l, case s_suppkey % 5 when 0 then 'running' when 1 then 'queued' when 2 then 'done' else 'failed' end s from supplier where s_suppkey % 7 <> 0),
+e as (select l, max(l in (select l from c)) as k from (select l from c union select l from p union select l from g) group by 1), r as (select e.l, e.k, case when s = 'running' then 'baking' when s = 'queued' or (s is null and e.l in (select l from p)) then 'queued' end as state from e left join g on g.l = e.l)
+select l as layout_id, k as committed, state from r where k or state is not null""")
+def layout_states(t):
+    k = F.col("s_suppkey")
+    s = t("supplier").select(k.alias("layout_id"), F.when(k % 5 == 0, "running").when(k % 5 == 1, "queued").when(k % 5 == 2, "done").otherwise("failed").alias("stage"))
+    return catalog.layout_states(s.filter("layout_id % 3 = 0").select("layout_id"), s.filter("layout_id % 2 = 0").select("layout_id"), s.filter("layout_id % 7 <> 0"))
+
+
+@query("""with b as (select p_brand as text, p_brand = 'Brand#2' as missing, min(p_size)::double as x0, max(p_size)::double as x1 from part group by 1)
+select p_partkey as id, case when not missing then x0 end as x0, case when not missing then x1 end as x1 from part left join b on text = p_brand""")
+def search_bands(t):
+    p = t("part")
+    hits = p.select(F.col("p_partkey").alias("id"), F.lit("Brand").alias("label"), F.col("p_brand").alias("value"))
+    bands = p.groupBy(F.col("p_brand").alias("text")).agg(F.min("p_size").cast("double").alias("x0"), F.max("p_size").cast("double").alias("x1")).withColumns({"label": F.lit("Brand"), "type": F.lit("categorical"), "missing": F.col("text") == "Brand#2", "y0": F.lit(0.0), "y1": F.lit(1.0)})
+    return catalog.band_of(hits, bands).select("id", "x0", "x1")
+
+
+@query()
+def selection_prints(t):
+    return catalog.selection_print(t("part").select(F.col("p_brand").alias("selection"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
+
+
+@query("select kind, count(*) as n, count(distinct filename) as names from (select 'img_' || i as filename, 1 as kind from range(1000) r(i)) group by 1")
+def fixture_rows(t):
+    return fixture(t("region").sparkSession, 1000).withColumn("kind", F.lit(1)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("names"))
+
+
 # keyed state
 
 LIMIT_SQL = """with recursive e as (select user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events),
@@ -555,9 +874,9 @@ def eta(t):
     return stream.eta(s).select("job", F.round("eta", 2).alias("eta"))
 
 
-@query("select user_id as session, min(ts) as created, max(ts) as last from events where event_id % 50 = 0 group by 1 having max(ts) <= timestamp '2024-01-31 00:00:00' - interval 7 days and not bool_or(user_id % 5 = 0)")
+@query("select event_id // 10 as session, min(ts) as created, max(ts) as last from events group by 1 having max(ts) <= timestamp '2024-01-31 00:00:00' - interval 7 days and not bool_or(user_id % 50 = 0)")
 def session_sweep(t):
-    f = t("events").filter("event_id % 50 = 0").select(F.col("user_id").alias("session"), "ts", (F.col("user_id") % 5 == 0).alias("final"))
+    f = t("events").select(F.floor(F.col("event_id") / 10).alias("session"), "ts", (F.col("user_id") % 50 == 0).alias("final"))
     return stream.sessions_to_reap(f, "2024-01-31 00:00:00")
 
 
@@ -576,8 +895,11 @@ def events_sessions(t):
     return stream.session_windows(t("events"), "user_id", "ts", "2 hours")
 
 
-@query("""with c as (select user_id session, event_type name, event_id seq, case when event_id % 5 = 0 then 0 else (event_id % 3) * 10 end off, 10 len, 30 size from events) select session, name, 1 as present from c group by 1, 2""", name="append_files")
+@query("""with recursive c as (select user_id session, event_type name, row_number() over (partition by user_id, event_type order by event_id) i, case when event_id % 5 = 0 then 0 else (event_id % 3) * 10 end off, 10 len, 30 size from events),
+f as (select session, name, i, case when off = 0 then least(len, size) else 0 end as length, case when off = 0 then size else -1 end as size from c where i = 1
+union all select c.session, c.name, c.i, case when c.off = 0 then least(c.len, c.size) when c.off = f.length and c.size = f.size then least(f.length + c.len, f.size) else f.length end, case when c.off = 0 then c.size else f.size end from f join c on c.session = f.session and c.name = f.name and c.i = f.i + 1)
+select session, name, length::bigint as length, size::bigint as size, length = size as complete from f qualify row_number() over (partition by session, name order by i desc) = 1""")
 def append_files(t):
     i = F.col("event_id")
     c = t("events").select(F.col("user_id").alias("session"), F.col("event_type").alias("name"), i.alias("seq"), F.when(i % 5 == 0, 0).otherwise(i % 3 * 10).cast("long").alias("offset"), F.lit(10).cast("long").alias("length"), F.lit(30).cast("long").alias("size"))
-    return stream.appended(c).select("session", "name", F.lit(1).alias("present"))
+    return stream.appended(c)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     kinds = ["png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff"]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length")
     files = files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    return files.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(kinds))
+    return files.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(kinds)).orderBy("filename")
 
 
 def scalar_columns(df: DataFrame) -> list[str]:
@@ -38,10 +40,12 @@ def scalar_columns(df: DataFrame) -> list[str]:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once below spark.checkpoint.dir and read back; a folder of this machine only where that is unset (tests)."""
+    """df written once below spark.checkpoint.dir and read back; a folder of this machine only where that is unset and Spark runs on this machine alone (tests)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
@@ -49,6 +53,42 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def described(df: DataFrame) -> list[tuple[str, str]]:
+    """Name and type of each column, without a scan."""
+    return df.dtypes
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of Arrow IPC files (stream or file form), each file read by the task that holds it."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                raw = content.as_buffer()
+                opened = pa.ipc.open_file(raw) if raw.to_pybytes()[:6] == b"ARROW1" else pa.ipc.open_stream(raw)
+                yield from opened.read_all().to_batches()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
+
+
+def read_tile(spark: SparkSession, path: str, layout_id: str, z: int, tx: int, ty: int) -> DataFrame:
+    """The rows of one tile of write_tiles' table: its folder by layout and level, its row groups by place."""
+    return spark.read.parquet(path).filter((F.col("layout_id") == layout_id) & (F.col("z") == z) & (F.col("tx") == tx) & (F.col("ty") == ty))
+
+
+def fixture(spark: SparkSession, n: int) -> DataFrame:
+    """n rows of id, filename, taken, kind, px, py, tags that depend on the id alone."""
+    i = F.col("id")
+    pick = lambda salt, m: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(m))
+    kinds = F.array(*[F.lit(k) for k in ("bird", "fern", "moss", "")])
+    return spark.range(n).select(
+        i, F.concat(F.lit("img_"), F.lpad(i.cast("string"), 7, "0"), F.lit(".jpg")).alias("filename"),
+        F.when(pick(1, 20) != 0, F.timestamp_seconds(pick(2, 1_500_000_000)).cast("timestamp_ntz")).alias("taken"),
+        F.get(kinds, pick(3, 4).cast("int")).alias("kind"), (pick(4, 100_000) / 1000.0).alias("px"), F.when(pick(5, 30) != 0, pick(6, 100_000) / 1000.0).alias("py"),
+        F.concat_ws("|", F.concat(F.lit("t"), pick(7, 9)), F.concat(F.lit("t"), pick(8, 9))).alias("tags"),
+    )
+
+
 def write_tiles(cells: DataFrame, path: str) -> None:
     """Tile rows by layout and level, each file in tile order, so that a tile's read touches few row groups."""
     cells.repartition("layout_id", "z").sortWithinPartitions("layout_id", "z", "ty", "tx", "id").write.partitionBy("layout_id", "z").mode("overwrite").parquet(path)

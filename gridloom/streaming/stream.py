@@ -9,30 +9,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def limiter_counts(events: DataFrame, key: str, ts: str, window_s: int) -> DataFrame:
-    """key, opened, n of each fixed window; a window opens at its key's first event after the last one closed.
+def limiter_counts(events: DataFrame, key: str, ts: str, window_s: int, limit: int = 1) -> DataFrame:
+    """key, windows, events, rejected; a window opens at its key's first event after the last one closed and lets `limit` events through.
 
-    A fold over each key's sorted times in SQL.  Windows are cut first at gaps of
-    window_s or more, which always close a window, so that a fold covers one
-    busy stretch of a key, not the key's whole history.
+    A fold over each key's sorted times whose state is five numbers.  Times are cut
+    first at gaps of window_s or more, which always close a window, so that a fold
+    covers one busy stretch of a key, not the key's whole history.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.select(F.col(key).alias("key"), t.alias("t"))
+    us = window_s * 1_000_000
+    e = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
     w = Window.partitionBy("key").orderBy("t")
-    e = e.withColumn("cut", (F.col("t") - F.lag("t").over(w) >= F.lit(window_s * 1_000_000)).cast("int"))
+    e = e.withColumn("cut", (F.col("t") - F.lag("t").over(w) >= F.lit(us)).cast("int"))
     e = e.withColumn("stretch", F.sum(F.coalesce("cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = e.groupBy("key", "stretch").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    fold = f"""aggregate(ts, cast(array() as array<struct<o:bigint,n:bigint>>), (a, t) ->
-        if(size(a) > 0 and t - a[size(a) - 1].o < {window_s * 1_000_000}L,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('o', a[size(a) - 1].o, 'n', a[size(a) - 1].n + 1L))),
-           concat(a, array(named_struct('o', t, 'n', 1L)))))"""
-    return runs.select("key", F.explode(F.expr(fold)).alias("w")).select("key", F.col("w.o").alias("opened"), F.col("w.n").alias("n"))
+    state = "named_struct('o', {o}, 'n', {n}, 'windows', {w}, 'rejected', {r})"
+    begin, more = state.format(o="t", n="1L", w="a.windows + 1L", r=f"a.rejected + {int(limit < 1)}L"), state.format(o="a.o", n="a.n + 1L", w="a.windows", r=f"a.rejected + if(a.n + 1 > {limit}, 1L, 0L)")
+    fold = f"aggregate(ts, {state.format(o='ts[0]', n='0L', w='1L', r='0L')}, (a, t) -> if(t - a.o < {us}L, {more}, {begin}))"
+    done = runs.select("key", F.size("ts").alias("n"), F.expr(fold).alias("a"))
+    return done.groupBy("key").agg(F.sum("a.windows").alias("windows"), F.sum("n").alias("events"), F.sum("a.rejected").alias("rejected"))
 
 
 def limited(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60) -> DataFrame:
     """key, windows, events, rejected: what a limit of `limit` a window lets through."""
-    c = limiter_counts(events, key, ts, window_s)
-    return c.groupBy("key").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("events"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("rejected"))
+    return limiter_counts(events, key, ts, window_s, limit)
 
 
 def limiter_stream(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60, expire: bool = True) -> DataFrame:
@@ -82,7 +81,7 @@ def sessions_to_reap(files: DataFrame, now: str, ttl_days: int = 7) -> DataFrame
 
 def throttled(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     """key, kept: events that pass a throttle of one per gap after the last one passed; the windows of limiter_counts open exactly there."""
-    return limiter_counts(events, key, ts, gap_s).groupBy("key").agg(F.count(F.lit(1)).alias("kept"))
+    return limiter_counts(events, key, ts, gap_s).select("key", F.col("windows").alias("kept"))
 
 
 def tumbling(events: DataFrame, ts: str, width: str, watermark: str | None = None) -> DataFrame:

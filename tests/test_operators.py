@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gridloom.functions import columns as C
-from gridloom.operators import catalog, ids, layouts, pyramid, view
+from gridloom.operators import catalog, checks, ids, layouts, positions, profile, pyramid, ranks, roles, search, ticks, view
 from gridloom.plans.queries import ORACLE_SQL, QUERIES
+from gridloom.sources import tables
 from gridloom.streaming import stream
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +52,7 @@ def test_treemap_tiles_the_unit_square(spark):
     rows = layouts.treemap_rects(counts).collect()
     assert sum(r["w"] * r["h"] for r in rows) == pytest.approx(1)
     first = {r["value"]: r for r in rows}
-    # the classic squarified example: the two largest share the first band
+    # the classic example: the two largest share the first band
     assert (first["a"]["w"], first["a"]["h"]) == pytest.approx((0.5, 0.5)) and first["b"]["y0"] != first["a"]["y0"] or first["b"]["x0"] != first["a"]["x0"]
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
@@ -125,3 +126,191 @@ def test_staleness_states(spark):
 def test_formats(spark):
     rows = spark.createDataFrame([(999,), (1500,), (12000,), (1500000,)], "n long").select(C.short_count(F.col("n")).alias("s")).collect()
     assert [r["s"] for r in rows] == ["999", "1.5k", "12k", "1.5M"]
+
+
+def test_ranks_equal_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", 20)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("a"), F.floor(F.col("id") / 1000).cast("double").alias("b"), F.lit(None).cast("double").alias("c"))
+    assert ranks.medians(df, ["a", "b", "c"]) == [2499.5, 2.0, None]
+    assert ranks.ranked(df, {"a": 0.5}, upper=True)["a"] == (2500.0, 2500.0)
+    assert view.upper_median(df, "c").count() == 0
+
+
+@pytest.mark.parametrize("undated", [0, 1, 7, 2000])
+def test_undated_items_fit_the_strip(spark, undated):
+    dated = spark.range(200).select("id", F.expr("timestamp_ntz'2021-01-01 00:00:00' + make_dt_interval(id)").alias("t"))
+    items = dated.union(spark.range(1000, 1000 + undated).select("id", F.lit(None).cast("timestamp_ntz").alias("t")))
+    cells, axis = layouts.histogram(items, "t")
+    alone, same = layouts.histogram(dated, "t")
+    assert cells.count() == 200 + undated and axis == same
+    assert cells.filter("y + h / 2 > 1 + 1e-12 or x + w / 2 > 1 + 1e-12 or (not dated and y - h / 2 < 0.96 - 1e-12)").count() == 0
+    if undated:  # no larger side fits
+        w = cells.filter("not dated").first()["w"]
+        assert w == axis["side"] or math.ceil(undated / math.floor(1 / (w * 1.001))) * w * 1.001 > 0.04
+
+
+def test_times_as_numbers_and_beyond_calendars(spark):
+    seconds = spark.range(100).select("id", (F.col("id") * 86400 + 1_600_000_000).alias("s"), ((F.col("id") * 86400 + 1_600_000_000) * 1000).alias("ms"))
+    a, axis = layouts.histogram(seconds, "s", "unix_seconds")
+    b, same = layouts.histogram(seconds, "ms", "unix_millis")
+    assert axis == same and axis["kind"] == "month" or axis["kind"] == "day"
+    assert a.join(b.select("id", F.col("x").alias("x1"), F.col("y").alias("y1")), "id").filter("abs(x - x1) > 1e-9 or abs(y - y1) > 1e-9").count() == 0
+    wild, none = layouts.histogram(seconds, "ms", "unix_seconds")  # the year 52,000
+    assert none == {} and wild.count() == 100 and wild.filter("x < 0 or x > 1 or y < 0 or y > 0.96").count() == 0
+    one, none = layouts.histogram(seconds.withColumn("s", F.lit(5)), "s", "unix_seconds")
+    assert none == {} and one.count() == 100 and one.select("x").distinct().count() == 1
+
+
+def test_bin_width_is_the_best_of_all(spark):
+    for deepest, span, least, gap in ((5, 10.0, 1.0, 1.0), (40, 300.0, 28.0, 28.0), (17, 9.0, 2.0, 1.9), (1, 1.0, 1.0, 1.0)):
+        k, pitch = layouts.bin_width(spark, deepest, span, least, gap)
+        most = deepest if gap >= least else max(1, min(deepest, int(0.25 * gap / least / (1 - gap / least))))
+        every = [min(0.92 / (j * (span / least + 1) + 0.25 * span / least), 0.96 / math.ceil(deepest / j)) for j in range(1, most + 1)]
+        assert pitch == max(every) and k == every.index(max(every)) + 1
+
+
+def test_levels_stop_for_the_right_reason(spark):
+    def stop(rows, w, h, cap=4):
+        cells = spark.createDataFrame([(i, float(x), float(y), w, h) for i, (x, y) in enumerate(rows)], "id long, x double, y double, w double, h double")
+        box = pyramid.bbox(cells)
+        return pyramid.choose_z(pyramid.level_summary(pyramid.levels(cells, box), cap, box, w, h), len(rows), cap, box, w, h)
+
+    grid = [((i + 0.5) / 16, (j + 0.5) / 16) for i in range(16) for j in range(16)]
+    assert stop(grid, 0.05, 0.05) == (3, "fits")
+    assert stop([(0.5, 0.5)] * 9 + [(0.1, 0.1)], 1e-4, 1e-4)[1] == "coincident"
+    near = [(0.1, 0.1), (0.9, 0.9)] + [(0.5 + i * 1e-9, 0.5) for i in range(9)]  # nearer than the deepest tile
+    assert stop(near, 1e-3, 1e-3)[1] == "coincident"
+    pile = [(0.1, 0.1), (0.9, 0.9)] + [(0.5 + i * 1e-4, 0.5) for i in range(40)]
+    assert stop(pile, 0.1, 0.1) == (3, "ceiling")
+    # laid out side by side in a narrow box: the ceiling yields and every cell is kept
+    narrow = [(0.5 + (i % 2) * 0.01, (i + 0.5) / 200) for i in range(200)]
+    assert stop(narrow, 0.009, 0.0045)[1] == "fits"
+    assert stop([], 0.1, 0.1) == (0, "empty")
+
+
+def test_checks_find_what_is_wrong(spark):
+    df = spark.createDataFrame([("2020-01-01", "3", 1.0, 0.5), ("x", "", -2.0, None), (None, "4e1", 0.0, 2.0)], "t string, n string, a double, b double")
+    got = {r["column"]: (r["n_values"], r["n_parsed"], r["whole"]) for r in checks.parse_counts(df, {"t": "iso8601", "n": "number"}).collect()}
+    assert got == {"t": (2, 1, False), "n": (2, 2, True)}
+    with pytest.raises(ValueError, match="t: values"):
+        checks.strict(df, {"t": "iso8601"})
+    assert [r["n"] for r in checks.strict(df, {"n": "number"}).collect()] == [3.0, None, 40.0]
+    found = {(r["column"], r["rule"]): r["value"] for r in checks.coordinate_findings(df, [checks.Pair("a", "b", x_scale="log", normalize="none")]).collect()}
+    assert found == {("a", "log"): 0.0, ("b", "unit"): 2.0}  # -2 has no partner
+    far = spark.createDataFrame([(181.0, 86.0), (0.0, -91.0), (-500.0, None)], "x double, y double")
+    assert {(r["rule"], r["value"]) for r in checks.degree_findings(far, [checks.Pair("x", "y", projection="mercator")]).collect()} == {("longitude", 181.0), ("latitude", -91.0), ("mercator", -91.0)}
+    assert checks.coordinate_findings(df, []).count() == 0
+
+
+def test_names_of_layouts_and_columns(spark):
+    r = [roles.Role("categorical", ("A b",)), roles.Role("categorical", ("a-b",)), roles.Role("scatter", ("x", "y")), roles.Role("datetime", ("t",))]
+    assert [n for n, _ in roles.layout_names(r)] == ["grid", "datetime", "categorical_a-b", "categorical_a-b-1", "scatter"]
+    assert roles.reserved_names(["id", "meta_id", "k"], {"id", "filename"}) == {"id": "_meta_id"}
+    assert roles.renamed_roles(r, {"x": "meta_x"})[2].columns == ("meta_x", "y")
+    own = spark.createDataFrame([(1, "scatter", ["s", "s"], ["log"])], "entry int, kind string, columns array<string>, options array<string>")
+    assert len({p["print"] for p in roles.prints(own).collect()}) == 2
+
+
+def test_a_layout_can_be_plugged_in(spark):
+    @roles.layout("line")
+    def line(items, role):
+        return items.select("id", (F.col("id") / 10).alias("x"), F.lit(0.5).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+
+    try:
+        assert roles.MAKERS["line"](spark.range(3), None).count() == 3
+    finally:
+        del roles.MAKERS["line"]
+
+
+def test_search_columns_and_titles(spark):
+    df = spark.createDataFrame([(1, "f.jpg", "short", "https://x", ["t"])], "id long, filename string, odd string, link string, tags array<string>")
+    assert search.search_columns(df, {}, ("link",)) == [("odd", "title"), ("filename", "filename"), ("id", "id")]
+    assert search.search_columns(df, {"odd": ("freeform", "Provenance")}, ("link",)) == [("filename", "filename"), ("id", "id")]
+    assert search.title_like("x", "Caption", None) and not search.title_like("notes", "", 3.0) and not search.title_like("x", "", None)
+    with pytest.raises(ValueError):
+        search.search_columns(df, {}, fields="some")
+
+
+def test_ids_of_a_look_up(spark):
+    assert [r["id"] for r in ids.by_ids(spark.range(9), "id", " 3,3,,7 ").orderBy("id").collect()] == [3, 7]
+    for bad in ("", "1;2", "x", ",".join(map(str, range(251)))):
+        with pytest.raises(ValueError):
+            ids.by_ids(spark.range(9), "id", bad)
+
+
+def test_position_tables(spark):
+    cells = spark.range(5).select("id", F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    assert positions.position_table(cells, 5).schema["x"].dataType.simpleString() == "float"
+    for bad, n in ((cells.filter("id != 2"), 5), (cells.filter("id != 2").union(cells.filter("id = 3")), 5), (cells, 6)):
+        with pytest.raises(ValueError):
+            positions.position_table(bad, n)
+    assert positions.position_difference(cells, cells.withColumn("x", F.col("x") + 1e-9)).first()["same"]
+    assert not positions.position_difference(cells, cells.filter("id < 4")).first()["same"]
+
+
+def test_ticks(spark):
+    t = ticks.interval_ticks(spark, 1577836800 + 5, 1609459200, 12, "month", 1).collect()
+    assert [r["label"] for r in t] == [f"2020-{m:02}" for m in range(2, 13)] + ["2021-01"]
+    assert [r["label"] for r in ticks.year_ticks(spark, -27454204800, 1577836800, 9).collect()] == [str(y) for y in range(1100, 2001, 100)]
+    inside = ticks.axis_ticks(spark, 1577836800 + 60, 1577836800 + 120, 9, ("hour", 1))
+    assert inside.count() == 0 or inside.first()["label"] == "2020"
+    assert ticks.interval_ticks(spark, 0, 3600, 5, "minute", 15).count() == 5
+
+
+def test_pages_and_profiles(spark):
+    df = spark.createDataFrame([(2, "b", [1]), (1, "a" * 200, None)], "id long, s string, l array<int>")
+    got = {r["name"]: (r["type"], r["sample"]) for r in profile.column_profile(df).collect()}
+    assert got["id"] == ("bigint", "1") and len(got["s"][1]) == 160 and got["l"] == ("array<int>", None)
+    assert profile.column_profile(df.limit(0)).filter("sample is null").count() == 3
+    assert [(r["id"], r["total"]) for r in profile.page(df, "id", 1, 5).collect()] == [(2, 2)]
+    with pytest.raises(ValueError):
+        profile.page(df, "id", 0, 10_001)
+
+
+def test_sources(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"a": [1, 2, 3], "b": ["x", None, "z"]})
+    with pa.OSFile(str(tmp_path / "one.arrow"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        w.write(table)
+    with pa.OSFile(str(tmp_path / "two.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+        w.write(table)
+    assert tables.read_arrow(spark, str(tmp_path / "*.arrow"), "a long, b string").count() == 6
+    cells = spark.createDataFrame([("g", 1, 0, 1, 5), ("g", 1, 1, 1, 6), ("g", 2, 0, 1, 7)], "layout_id string, z int, tx int, ty int, id long")
+    tables.write_tiles(cells, str(tmp_path / "tiles"))
+    assert [r["id"] for r in tables.read_tile(spark, str(tmp_path / "tiles"), "g", 1, 0, 1).collect()] == [5]
+    (tmp_path / "m.csv").write_text('a,b\n1,"x ""y""\nz"\n,2\n')
+    rows = tables.read_csv(spark, str(tmp_path / "m.csv")).collect()
+    assert [tuple(r) for r in rows] == [("1", 'x "y"\nz'), (None, "2")]
+    same = tables.fixture(spark, 50).collect()
+    assert same == tables.fixture(spark, 50).repartition(3).orderBy("id").collect()
+
+
+def test_selection_print_does_not_follow_order(spark):
+    def fnv(text):
+        h = 0x811C9DC5
+        for c in text:
+            h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    f = spark.createDataFrame([("s", "b.jpg", 2), ("s", "a.jpg", 10)], "selection string, name string, size long")
+    assert catalog.selection_print(f).first()["print"] == fnv("a.jpg 10\nb.jpg 2") == catalog.selection_print(f.orderBy("size")).first()["print"]
+
+
+def test_declutter_equals_a_loop(spark):
+    import random
+
+    random.seed(5)
+    chips = [(i, random.randint(1, 9), random.gauss(0.5, 0.02), random.gauss(0.5, 0.02)) for i in range(400)] + [(1000 + i, 1, 0.1 * i, 0.1) for i in range(8)]
+    got = view.declutter(spark.createDataFrame(chips, "id long, n long, x double, y double"), 0.08, 6).collect()
+    want = []
+    for c in sorted(chips, key=lambda c: (-c[1], c[0])):
+        if len(want) < 6 and all((c[2] - w[2]) ** 2 + (c[3] - w[3]) ** 2 >= 0.08**2 for w in want):
+            want.append(c)
+    assert [tuple(r) for r in got] == want and len(want) == 6
+
+
+def test_evictions_and_level(spark):
+    res = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2), ("d", 9)], "tile string, used long")
+    assert [r["tile"] for r in view.evictions(res, spark.createDataFrame([("b",)], "tile string"), 2).collect()] == ["c", "a"]
+    assert view.level_for(1000, 1, 512, 1, [0, 1, 2]) == 1 and view.level_for(99999, 1, 512, 1, [0, 1]) == 1
