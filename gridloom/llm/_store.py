@@ -33,6 +33,13 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def mounted(path: str) -> str:
     """The path by which Python workers open a shared folder's files, for memory maps.
 

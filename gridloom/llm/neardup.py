@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text
-from gridloom.llm._store import written
+from gridloom.llm._store import free, written
 
 _U = np.uint64
 #: 64-bit words of a shingle set's bitmap.
@@ -37,7 +37,7 @@ class Near:
     """words: shingle length; similarity: least Jaccard similarity of a link;
     bands * rows coordinates a signature: a link at 0.8 is missed with
     probability (1 - 0.8**rows)**bands, 5e-5 here, and less above 0.8.
-    counted: weigh a shingle by its occurrences instead of 1."""
+    counted: weigh a shingle by its occurrences, so that similarity is that of multisets; else by 1."""
 
     words: int = 5
     similarity: float = 0.8
@@ -166,7 +166,7 @@ def _linked(pairs: DataFrame, documents: DataFrame, near: Near) -> DataFrame:
     """
     pairs = written(pairs)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = written(_sets(documents.join(ids, "doc_id", "left_semi"), near).dropDuplicates(["doc_id"]))
+    sets = written(_sets(documents.join(ids, "doc_id", "left_semi"), near))
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("common") >= F.lit(near.similarity - 1e-12) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
@@ -213,21 +213,15 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "doc_id")
 
 
-def _keyed(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame) -> DataFrame:
     """doc_id, copy_of: the least doc_id with exactly the same text (itself, for a text without words)."""
     hashed = documents.select("doc_id", F.when(F.regexp_like("text", F.lit(_text.WORD_PATTERN)), F.unhex(F.md5("text"))).alias("digest"))
     first = hashed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return hashed.join(first, "digest", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
-def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), copy_of: one row per document.
-
-    A class is a connected component of links of similarity >= near.similarity;
-    exact copies join their first document's class.  Texts that are null or hold
-    no word are classes of their own.  Rows that repeat a doc_id count as one
-    document.  Those with a null doc_id take no part: they have a null class_id,
-    or the class of the document that they copy exactly.
+def _classes(documents: DataFrame, near: Near) -> DataFrame:
+    """doc_id, class_id, copy_of of (doc_id, text) rows whose doc_id is a key.
 
     Within a band's bucket, the members meet one of them, not each other: the one
     that shares buckets with the most documents, as the text that near copies were
@@ -237,12 +231,9 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     and bitmaps allow a link.  So no link between different texts is lost and no
     component pairs within itself.
     """
-    near = near or Near()
-    spark = documents.sparkSession
-    documents = documents.select("doc_id", "text")
-    keyed = written(_keyed(spark, documents).distinct())
+    keyed = written(_keyed(documents))
     firsts = keyed.filter("copy_of = doc_id").select("doc_id")
-    own = written(prints(documents.filter("doc_id is not null"), near))
+    own = written(prints(documents, near))
     copies = keyed.filter("copy_of != doc_id").select("doc_id")
     own = own.join(copies, "doc_id", "left_anti") if not copies.isEmpty() else own
     bands = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
@@ -254,7 +245,7 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     center = ranked.groupBy("band").agg(F.min("r").alias("r")).select("band", F.col("r.a").alias("b"))
     members = written(members.join(center, "band").select("band", "a", "b"))
     involved = members.select(F.col("a").alias("doc_id")).distinct()
-    marks = written(own.select("doc_id", "n", "marks").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marks = written(own.select("doc_id", "n", "marks").join(involved, "doc_id", "left_semi"))
     met = members.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = written(_linked(_close(met, marks, near), documents, near))
     found = components(stars)
@@ -276,7 +267,34 @@ def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
     return keyed.join(per_first, "copy_of", "left").select("doc_id", "class_id", "copy_of")
 
 
+def _rowed(documents: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, str]:
+    """documents written once with a row key, its name, and row, class_row, copy_row, lead (least (null id last, doc_id, row) of the class), copied (least doc_id of the exact copies)."""
+    row = free(documents.columns, "_row")
+    docs = written(documents.withColumn(row, F.monotonically_increasing_id()))
+    found = written(_classes(docs.select(F.col(row).alias("doc_id"), "text"), near).join(docs.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("doc_id").alias("row"))
+    # single texts need no look-up; groups are one row each
+    lead = found.groupBy("class_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copied = found.groupBy("copy_of").agg(F.min("id").alias("copied"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    out = found.join(lead, "class_id", "left").join(copied, "copy_of", "left")
+    return docs, out.select(F.col("doc_id").alias("row"), "id", F.coalesce("lead", order).alias("lead"), F.coalesce("copied", "id").alias("copied")), row
+
+
+def classes(documents: DataFrame, near: Near | None = None) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), copy_of (least doc_id of its exact copies): one row per row of documents.
+
+    A class is a connected component of links of similarity >= near.similarity;
+    exact copies are of one class.  Texts that are null or hold no word are classes of
+    their own.  Rows that repeat a doc_id are documents of their own, as are rows with
+    a null one; a class of such rows alone has a null class_id.  An empty table gives
+    no rows; columns beside doc_id and text are not read; texts are compared whole.
+    """
+    _, found, _ = _rowed(documents.select("doc_id", "text"), near or Near())
+    return found.select(F.col("id").alias("doc_id"), F.col("lead.id").alias("class_id"), F.col("copied").alias("copy_of"))
+
+
 def keep_firsts(documents: DataFrame, near: Near | None = None) -> DataFrame:
-    """The documents that are the least of their class, with all their columns; rows that repeat a doc_id stay once, rows with a null one all stay."""
-    firsts = classes(documents, near).filter("doc_id = class_id").select("doc_id")
-    return documents.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns).union(documents.filter("doc_id is null"))
+    """One row of each class, with all its columns: that of the least doc_id, a null one only where the class has no other."""
+    docs, found, row = _rowed(documents, near or Near())
+    firsts = found.filter("row = lead.row").select(F.col("row").alias(row))
+    return docs.join(firsts, row, "left_semi").select(*documents.columns)
