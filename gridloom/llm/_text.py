@@ -36,6 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+_OTHER = mix(np.arange(1001, 1257, dtype=_U) * _U(_BASE))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
@@ -90,10 +91,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(~SPACES[data], offsets)
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span's content and length: a polynomial of random byte values modulo 2**64, then mixed."""
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte span's content and length: a polynomial of random byte values modulo 2**64, then mixed; other: of other values."""
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _power("up", len(data)), out=total[1:])
+    np.cumsum((_OTHER if other else _BYTE)[data] * _power("up", len(data)), out=total[1:])
     return mix((total[ends] - total[starts]) * _power("down", len(data) + 1)[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 

@@ -14,8 +14,11 @@ with a smaller id.  Sorting all suffixes at once would need a record a byte, so:
    their anchor, so this one residue class covers every difference that a general
    difference cover must; each suffix meets a sample within 8 bytes.)  Tasks send
    equal segments once, with their least document, so copies do not pile up.
+   The strings of an anchor that very many segments share go to buckets of their
+   own hash instead, so that a common phrase does not fill one bucket.
 4. A bucket's repeated strings, with their least documents, are stored as sorted
-   arrays in the shared folder; workers map them into memory and cut each text.
+   arrays in the shared folder; workers map them into memory and cut each text.  A
+   string is known by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,10 +46,12 @@ _LAST = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a repeat; seed: bytes of a seed (24 or more; the segment of an anchor spans length - seed more)."""
+    """length: bytes of a repeat; seed: bytes of a seed (24 or more; the segment of an anchor spans length - seed more);
+    hot: segments from which an anchor's strings are dealt out by their own hash."""
 
     length: int = 50
     seed: int = 24
+    hot: int = 1 << 16
 
     def __post_init__(self):
         if self.seed < 24 or self.length < self.seed + 18:
@@ -114,13 +119,21 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _least(key: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their least document and whether several documents have them."""
+def _least(key: np.ndarray, doc: np.ndarray, many: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their least document, whether several documents have them, and their segments' number."""
     order = np.lexsort((doc, key))
     key, doc, many = key[order], doc[order], many[order]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     several = (np.maximum.reduceat(doc, edge) != doc[edge]) | np.logical_or.reduceat(many, edge)
-    return key[edge], doc[edge], several
+    return key[edge], doc[edge], several, np.add.reduceat(n[order], edge)
+
+
+def _check(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A second hash of the `length` bytes at each place, by their 8-byte words."""
+    word, h = _words_at(data), np.zeros(len(places), _U)
+    for k in (*range(0, length - 8, 8), length - 8):
+        h = _text.mix(h * _U(0x9E3779B97F4A7C15) + word[places + k])
+    return h
 
 
 @dataclass(frozen=True)
@@ -146,7 +159,7 @@ class _Maps:
 
     def look_up(self, keys: str, shard: np.ndarray, key: np.ndarray, values: str | None = None) -> np.ndarray:
         """Whether each key is stored or, with values, its value (the largest integer where unknown)."""
-        out = np.full(len(key), _LAST) if values else np.zeros(len(key), bool)
+        out = np.full(len(key), _LAST, np.uint64 if values == "checks" else np.int64) if values else np.zeros(len(key), bool)
         if not len(key):
             return out
         order = np.lexsort((key, shard))
@@ -225,8 +238,8 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            key, doc, many = _least(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            return _send(_spread(key, shards), key, key, doc, many)
+            key, doc, many, n = _least(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return _send(_spread(key, shards), key, key, doc, many, n.astype(np.uint32))
 
         for batch in batches:
             ids = _ids(batch.column(0))
@@ -235,7 +248,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                 first, _ = _segments(anchor)
                 if len(first):
                     doc = ids[lo + np.searchsorted(offsets, first, "right") - 1]
-                    parts.append((_text.mix(hashes[anchor[first]]), doc, np.zeros(len(first), bool)))
+                    parts.append((_text.mix(hashes[anchor[first]]), doc, np.zeros(len(first), bool), np.ones(len(first), np.int64)))
                     held += len(first)
                 if held > GATHER:
                     yield flush()
@@ -245,9 +258,10 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
 
     def shared_seeds(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        loaded = [_unpack(b.as_py(), np.uint64, np.int64, np.bool_) for b in table.column("blob")]
-        seed, _, several = _least(*(np.concatenate(x) for x in zip(*loaded, strict=True)))
+        loaded = [_unpack(b.as_py(), np.uint64, np.int64, np.bool_, np.uint32) for b in table.column("blob")]
+        seed, _, several, n = _least(*(np.concatenate(x) for x in zip(*loaded, strict=True)))
         _save(f"{folder}/seeds-{shard}.npy", seed[several])
+        _save(f"{folder}/hot-{shard}.npy", seed[several & (n > how.hot)])
         return pa.table({"n": pa.array([int(several.sum())])})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +293,16 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                 key = _text.mix(hashes[anchor[first]])
                 shard = _spread(key, shards)
                 kept = maps.look_up("seeds", shard, key)
-                doc = ids[lo + np.searchsorted(offsets, first[kept], "right") - 1]
+                shard, first, end = shard[kept], first[kept], end[kept]
+                hot = maps.look_up("hot", shard, key[kept])
+                if hot.any():  # one segment a string
+                    n = (end - first)[hot]
+                    single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    shard = np.concatenate((shard[~hot], _spread(_text.spans_hash(data, single, single + how.length), shards)))
+                    first, end = np.concatenate((first[~hot], single)), np.concatenate((end[~hot], single + 1))
+                doc = ids[lo + np.searchsorted(offsets, first, "right") - 1]
                 raw = data.tobytes()
-                for s, a, b, p, d in zip(shard[kept].tolist(), first[kept].tolist(), (end[kept] + how.length - 1).tolist(), (anchor[first[kept]] - first[kept]).tolist(), doc.tolist(), strict=True):
+                for s, a, b, p, d in zip(shard.tolist(), first.tolist(), (end + how.length - 1).tolist(), (anchor[first] - first).tolist(), doc.tolist(), strict=True):
                     k = s, p, raw[a:b]
                     old = segments.get(k)
                     if old is None:
@@ -309,8 +330,9 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         starts = np.cumsum(sizes) - sizes
         # equal segments of several tasks count once
         same = _text.mix(_text.spans_hash(text, starts, starts + sizes) + anchor.astype(_U))
-        order = np.lexsort((doc, same))
-        edge = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+        other = _text.spans_hash(text, starts, starts + sizes, other=True)
+        order = np.lexsort((doc, other, same))
+        edge = np.flatnonzero(np.concatenate(([True], (same[order][1:] != same[order][:-1]) | (other[order][1:] != other[order][:-1]))))
         many = (np.maximum.reduceat(doc[order], edge) != doc[order][edge]) | np.logical_or.reduceat(many[order], edge)
         order = order[edge]
         starts, sizes, anchor, doc = starts[order], sizes[order], anchor[order], doc[order]
@@ -324,6 +346,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         least = least[several]
         order = np.argsort(hashed)
         _save(f"{folder}/strings-{shard}.npy", hashed[order])
+        _save(f"{folder}/checks-{shard}.npy", _check(text, first[order], how.length))
         _save(f"{folder}/least-{shard}.npy", least[order].astype(np.int64 if len(least) and (least.max() >= 1 << 31 or least.min() < 0) else np.int32))
         return pa.table({"n": pa.array([len(order)])})
 
@@ -341,10 +364,15 @@ def cover(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: Found)
     shard = _spread(key, found.shards)
     kept = maps.look_up("seeds", shard, key)
     first, end, shard = first[kept], end[kept], shard[kept]
+    hot = maps.look_up("hot", shard, key[kept])
     n = end - first
     place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    least = maps.look_up("strings", np.repeat(shard, n), _text.spans_hash(data, place, place + how.length), "least")
-    place = place[least < ids[np.searchsorted(offsets, place, "right") - 1]]
+    hashed = _text.spans_hash(data, place, place + how.length)
+    shard = np.where(np.repeat(hot, n), _spread(hashed, found.shards), np.repeat(shard, n))
+    least = maps.look_up("strings", shard, hashed, "least")
+    gone = least < ids[np.searchsorted(offsets, place, "right") - 1]
+    place, shard, hashed = place[gone], shard[gone], hashed[gone]
+    place = place[maps.look_up("strings", shard, hashed, "checks") == _check(data, place, how.length)]
     edges = np.zeros(len(data) + 1, np.int64)
     np.add.at(edges, place, 1)
     np.add.at(edges, place + how.length, -1)
