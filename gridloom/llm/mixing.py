@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._store import written
+from gridloom.llm._store import free, written
 from gridloom.llm._text import WORD_PATTERN
 
-#: Documents in one cell of a source's shuffled order; bounds what one task sorts.
-CELL = 20_000
+#: Documents in one cell of a source's shuffled order, which bounds what one task sorts; cells of time in one round.
+CELL, STEPS = 20_000, 4096
 
 
 def word_count(text: str = "text"):
@@ -74,20 +74,33 @@ def finish_times(docs: DataFrame, targets: DataFrame, seed: int = 17, most: int
 def _cut(copies: DataFrame, budget: float) -> tuple[float, int]:
     """(finish, at) of the last copy whose running total, in the global order, is within the budget.
 
-    Time is cut into cells by size of the data; only the one cell in which the
-    budget runs out is sorted by row.  What reaches the driver is one row a step.
+    Time is cut into at most STEPS cells; the one in which the budget runs out is cut
+    again until it holds about CELL copies or a single moment.  Only that cell is
+    sorted by row, and what reaches the driver is one row a round.
     """
-    n = max(1, copies.count() // CELL)
-    cell = F.floor(F.least(F.col("finish"), F.lit(4.0)) * F.lit(n))
-    totals = copies.groupBy(cell.alias("cell")).agg(F.sum("size").alias("s"))
-    run = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("run", F.sum("s").over(run))
-    hit = totals.filter(F.col("run") > F.lit(budget)).orderBy("cell").select("cell", (F.col("run") - F.col("s")).alias("base")).first()
-    if hit is None:
-        return float("inf"), 0
-    last = copies.filter(cell == hit["cell"]).withColumn("run", F.sum("size").over(Window.orderBy("finish", "at", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(hit["base"]))
+    low, high, base = 0.0, None, 0
+    while True:
+        here = F.col("finish") >= F.lit(low)
+        if high is not None:
+            here = here & (F.col("finish") < F.lit(high))
+        part = copies.filter(here)
+        s = part.agg(F.count(F.lit(1)).alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b"), F.sum("size").alias("s")).first()
+        if not s["n"] or base + s["s"] <= budget:
+            return float("inf"), 0  # only in the first round: a chosen cell exceeds the budget
+        if s["n"] <= 2 * CELL or s["a"] == s["b"]:
+            break
+        steps = min(STEPS, s["n"] // CELL + 1)
+        width = (s["b"] - s["a"]) / steps
+        cell = F.least(F.lit(steps - 1), F.floor((F.col("finish") - F.lit(s["a"])) / F.lit(width)))
+        ends = part.groupBy(cell.alias("cell")).agg(F.sum("size").alias("s"), F.min("finish").alias("first"))
+        run = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most STEPS rows
+        ends = ends.withColumn("run", F.sum("s").over(run) + F.lit(base)).withColumn("next", F.lead("first").over(Window.orderBy("cell")))
+        hit = ends.filter(F.col("run") > F.lit(budget)).orderBy("cell").first()
+        low, base = hit["first"], hit["run"] - hit["s"]
+        high = hit["next"] if hit["next"] is not None else high
+    last = part.withColumn("run", F.sum("size").over(Window.orderBy("finish", "at", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(base))
     row = last.filter(F.col("run") <= F.lit(budget)).orderBy(F.desc("finish"), F.desc("at")).select("finish", "at").first()
-    return (row["finish"], row["at"]) if row else (hit["cell"] / n, -(1 << 63))
+    return (row["finish"], row["at"]) if row else (low, -(1 << 63))
 
 
 def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
@@ -127,7 +140,8 @@ def mixed_documents(documents: DataFrame, **knobs) -> DataFrame:
     The documents are written once with a row key, by which the taken copies are
     joined back: rows that repeat a doc_id, or have a null one, are taken each alone.
     """
-    keyed = written(documents.withColumn("_size", word_count()).withColumn("_row", F.monotonically_increasing_id()))
-    sized = keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row"))
-    taken = _mixed(sized, **knobs).filter("taken").select(F.col("row").alias("_row"), F.col("finish").alias("_finish"))
-    return keyed.join(taken, "_row").orderBy("_finish", "doc_id", "_row").select(*documents.columns)
+    size, row, finish = (free(documents.columns, n) for n in ("_size", "_row", "_finish"))
+    keyed = written(documents.withColumn(size, word_count()).withColumn(row, F.monotonically_increasing_id()))
+    sized = keyed.select("doc_id", "source", F.col(size).alias("size"), F.col(row).alias("row"))
+    taken = _mixed(sized, **knobs).filter("taken").select(F.col("row").alias(row), F.col("finish").alias(finish))
+    return keyed.join(taken, row).orderBy(finish, "doc_id", row).select(*documents.columns)
