@@ -2,7 +2,8 @@
 
 The lexicon is learned: words, and word beginnings (open entries), that labelled
 toxic documents hold and clean ones do not.  Its trie is intersected with the
-Levenshtein automaton of distance 1 (sets of (trie node, edits) states, made
+Levenshtein automaton of distance 1, in which two neighbouring letters that change
+places are one edit too (sets of (trie node, edits, letter still to come) states, made
 deterministic once), and all distinct words of a slice run through the result
 together.  Each hit is weighed by what hits of its kind (exact or misspelled,
 quoted or not, by term) meant in the labelled documents.
@@ -79,37 +80,44 @@ class Matcher:
         for i, c in enumerate(letters):
             self.column[ord(c)] = i + 1
 
-        def close(states: set[tuple[int, int]]) -> frozenset:
+        def close(states: set[tuple[int, int, str]]) -> frozenset:
             """With the lexicon's letters that the word may lack."""
             more = set(states)
-            for node, edits in states:
+            for node, edits, _ in states:
                 if edits == 0:
-                    more.update((child, 1) for child in nodes[node].values() if deep[child])
+                    more.update((child, 1, "") for child in nodes[node].values() if deep[child])
             return frozenset(more)
 
         def step(states: frozenset, c: str | None) -> frozenset:
-            out: set[tuple[int, int]] = set()
-            for node, edits in states:
+            out: set[tuple[int, int, str]] = set()
+            for node, edits, owed in states:
+                if owed:  # the second of two letters that change places
+                    if c == owed:
+                        out.add((node, 1, ""))
+                    continue
                 if c is not None and c in nodes[node]:
-                    out.add((nodes[node][c], edits))
+                    out.add((nodes[node][c], edits, ""))
                 if edits == 0 and deep[node]:
-                    out.add((node, 1))
-                    out.update((child, 1) for child in nodes[node].values() if deep[child])
+                    out.add((node, 1, ""))
+                    out.update((child, 1, "") for child in nodes[node].values() if deep[child])
+                    if c is not None:
+                        out.update((nodes[child][c], 1, first) for first, child in nodes[node].items() if first != c and c in nodes[child] and deep[nodes[child][c]])
             return close(out)
 
         def hit(states: frozenset) -> int:
-            exact = [closed[n] for n, e in states if e == 0 and n in closed]
-            close_by = [closed[n] for n, e in states if e == 1 and n in closed and len(terms[closed[n]][0]) >= fuzzy]
+            exact = [closed[n] for n, e, _ in states if e == 0 and n in closed]
+            close_by = [closed[n] for n, e, owed in states if e == 1 and not owed and n in closed and len(terms[closed[n]][0]) >= fuzzy]
             return 2 * min(exact) if exact else 2 * min(close_by) + 1 if close_by else -1
 
-        start = close({(0, 0)})
+        start = close({(0, 0, "")})
         number = {start: 0}
         place = {c: i + 1 for i, c in enumerate(letters)}
         rows, hits, reached, queue = [], [], [], deque([start])
         while queue:
             states = queue.popleft()
             # letters that no state goes on with act as one outside the lexicon
-            on = {c for node, _ in states for c in nodes[node]}
+            on = {c for node, _, owed in states for c in ([owed] if owed else nodes[node])}
+            on |= {c for node, edits, owed in states if edits == 0 and not owed and deep[node] for child in nodes[node].values() for c in nodes[child]}
             row = [0] * (len(letters) + 1)
             for c in [None, *sorted(on)]:
                 to = step(states, c)
@@ -122,7 +130,7 @@ class Matcher:
                     row[place[c]] = number[to]
             rows.append(row)
             hits.append(hit(states))
-            begun = [opened[n] for n, e in states if e == 0 and n in opened]
+            begun = [opened[n] for n, e, _ in states if e == 0 and n in opened]
             reached.append(2 * min(begun) if begun else -1)
         self.table, self.hits, self.reached = np.array(rows, np.int32), np.array(hits, np.int32), np.array(reached, np.int32)
 
