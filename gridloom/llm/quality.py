@@ -277,7 +277,7 @@ def judged(documents: DataFrame, rules: Rules, prefix: str) -> DataFrame:
 def _prefix(columns: list[str]) -> str:
     """A beginning that no column's name has."""
     prefix = "_q_"
-    while any(c.startswith(prefix) for c in columns):
+    while any(c.lower().startswith(prefix) for c in columns):
         prefix = "_" + prefix
     return prefix
 
