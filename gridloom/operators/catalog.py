@@ -139,3 +139,36 @@ def selection_print(files: DataFrame) -> DataFrame:
     units = F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("long"))
     fnv = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
     return lines.select("selection", F.lpad(F.lower(F.hex(fnv)), 8, "0").alias("print"))
+
+
+#: The endings of image files.
+IMAGE_KINDS = ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")
+
+
+def selection_counts(files: DataFrame) -> DataFrame:
+    """images, archives, duplicates, ignored of a selection of (name, at) files: an image whose name came before, case aside, is a duplicate."""
+    end = F.lower(F.element_at(F.split("name", r"\."), -1))
+    kind = F.when(end.isin(*IMAGE_KINDS), "image").when(end == "zip", "archive").otherwise("other")
+    first = files.groupBy(F.lower("name").alias("key"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    image = F.col("kind") == "image"
+    sums = {"images": F.when(image, 1), "archives": F.when(F.col("kind") == "archive", F.col("n")), "duplicates": F.when(image, F.col("n") - 1), "ignored": F.when(F.col("kind") == "other", F.col("n"))}
+    return first.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()])
+
+
+def baked_staleness(baked: DataFrame, declared: DataFrame) -> DataFrame:
+    """layout_id, checkable, stale_columns of layouts' (layout_id, column, print) records against the declared (column, print).
+
+    A record without prints can't be checked and is never called fresh; a layout
+    that reads no column has a record with a null column and is fresh.
+    """
+    known = declared.select("column", "print").distinct().withColumn("still", F.lit(True))
+    j = baked.join(known, ["column", "print"], "left")
+    lost = F.when(F.col("column").isNotNull() & F.col("print").isNotNull() & F.col("still").isNull(), F.col("column"))
+    sure = F.bool_and(F.col("column").isNull() | F.col("print").isNotNull())
+    return j.groupBy("layout_id").agg(sure.alias("checkable"), F.array_sort(F.collect_set(lost)).alias("stale_columns"))
+
+
+def restamped(entries: DataFrame, version: str) -> DataFrame:
+    """entries (with print, version) under a new version, if every one of them has a print; else as they are."""
+    whole = entries.agg(F.bool_and(F.col("print").isNotNull()).alias("_whole"))
+    return entries.join(F.broadcast(whole), F.lit(True)).withColumn("version", F.when(F.col("_whole"), F.lit(version)).otherwise(F.col("version"))).drop("_whole")  # one row

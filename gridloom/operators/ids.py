@@ -31,6 +31,12 @@ def join_first(base: DataFrame, metadata: DataFrame, key: str, order: str) -> Da
     return joined.select(*base.columns, *[F.col(f"_m.{c}").alias(c) for c in columns], F.col("_m").isNotNull().alias("matched"))
 
 
+def matched_count(base: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """n, matched: rows of base, and those whose key metadata has."""
+    known = metadata.select(key).distinct().withColumn("_known", F.lit(True))
+    return base.join(known, key, "left").agg(F.count(F.lit(1)).alias("n"), F.count("_known").alias("matched"))
+
+
 def survivors(base: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """Rows of base whose key is in kept, renumbered densely in the old order."""
     return dense_ids(base.join(kept.select(key).distinct(), key, "left_semi").withColumnRenamed("id", "old_id"), "old_id")

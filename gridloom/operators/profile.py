@@ -30,4 +30,4 @@ def page(df: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     """Rows offset … offset + limit of the sorted table, each with the table's total."""
     if offset < 0 or not 0 < limit <= PAGE:
         raise ValueError(f"a page begins at 0 or later and has 1 to {PAGE} rows")
-    return df.orderBy(order).offset(offset).limit(limit).withColumn("total", F.lit(df.count()))
+    return df.orderBy(order).offset(offset).limit(limit).withColumn("total", F.lit(df.count()).cast("long"))

@@ -134,6 +134,24 @@ def declutter(chips: DataFrame, gap: float, most: int) -> DataFrame:
     return spark.createDataFrame([(t["id"], t["n"], t["x"], t["y"]) for t in taken], "id long, n long, x double, y double")
 
 
+def declutter_boxes(labels: DataFrame, most: int) -> DataFrame:
+    """The labels (id, n, x0, y0, x1, y1) that stay: by count, none over one before it, at most `most`; in rounds as declutter()."""
+    kind = "array<struct<m:bigint,id:bigint,n:bigint,x0:double,y0:double,x1:double,y1:double>>"
+    columns = ["id", "n", "x0", "y0", "x1", "y1"]
+    taken: list = []
+    while len(taken) < most:
+        free = labels
+        for t in taken:  # at most `most` tests
+            free = free.filter((F.col("x0") >= F.lit(t["x1"])) | (F.col("x1") <= F.lit(t["x0"])) | (F.col("y0") >= F.lit(t["y1"])) | (F.col("y1") <= F.lit(t["y0"])))
+        one = free.orderBy(F.desc("n"), "id").limit(16 * most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), *columns))).alias("c"))
+        fold = f"aggregate(c, cast(array() as {kind}), (a, p) -> if(size(a) < {most - len(taken)} and forall(a, q -> p.x0 >= q.x1 or p.x1 <= q.x0 or p.y0 >= q.y1 or p.y1 <= q.y0), concat(a, array(p)), a))"
+        more = one.select(F.expr(fold).alias("c")).first()["c"]
+        if not more:
+            break
+        taken += more
+    return labels.sparkSession.createDataFrame([tuple(t[c] for c in columns) for t in taken], "id long, n long, x0 double, y0 double, x1 double, y1 double")
+
+
 def members_box(cells: DataFrame, members: DataFrame) -> DataFrame:
     """value, n and the box x0, y0, x1, y1 around the footprints of each value's members (value, id)."""
     x, y, w, h = (F.col(c) for c in "xywh")

@@ -520,7 +520,7 @@ def _summary(c):
     return pyramid.level_summary(pyramid.levels(c, box), CAP, box, w, h), box, w, h
 
 
-@query(_levels_sql(BOX_SQL) + " select z, tiles, fullest, over, dropped, separable, packable from l")
+@query(_levels_sql(BOX_SQL) + " select z::int as z, tiles, fullest, over, dropped, separable, packable from l")
 def level_summary(t):
     return _summary(_lines(t))[0]
 
@@ -597,7 +597,7 @@ def tile_pages(t):
     return pyramid.tiled(c, pyramid.bbox(c), 5).groupBy(pyramid.page_id(F.col("tx"), F.col("ty"), 5).alias("page")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(SCATTER_SQL + " select count(*) as n, 0::bigint as lost, round(max(case when id % 1000 = 7 then 0.01 else 0 end), 9) as dx, 0.0 as dy, false as same from cells")
+@query(SCATTER_SQL + " select count(*) as n, 0::bigint as lost, round(max(case when id % 1000 = 7 then 0.01 else 0 end), 9)::double as dx, 0.0::double as dy, false as same from cells")
 def position_difference(t):
     c = _scattered(t)
     moved = c.withColumn("x", F.when(F.col("id") % 1000 == 7, F.col("x") + 0.01).otherwise(F.col("x")))
@@ -843,6 +843,38 @@ def fixture_rows(t):
     return fixture(t("region").sparkSession, 1000).withColumn("kind", F.lit(1)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("names"))
 
 
+@query("""with f as (select case p_partkey % 4 when 0 then upper(p_name) || '.JPG' when 1 then p_name || '.jpg' when 2 then p_name || '.zip' else p_name end as name from part), k as (select lower(name) as k, case p when 'jpg' then 'i' when 'zip' then 'z' else 'o' end as t, count(*) as n from (select name, lower(split_part(name, '.', -1)) p from f) group by 1, 2)
+select count(*) filter (t = 'i') as images, coalesce(sum(n) filter (t = 'z'), 0)::bigint as archives, coalesce(sum(n - 1) filter (t = 'i'), 0)::bigint as duplicates, coalesce(sum(n) filter (t = 'o'), 0)::bigint as ignored from k""")
+def selection_counts(t):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(".JPG"))).when(k == 1, F.concat("p_name", F.lit(".jpg"))).when(k == 2, F.concat("p_name", F.lit(".zip"))).otherwise(F.col("p_name"))
+    return catalog.selection_counts(t("part").select(name.alias("name"), F.col("p_partkey").alias("at")))
+
+
+@query("""with b as (select p_partkey % 50 as layout_id, p_brand as c, case when p_partkey % 50 <> 7 then p_type end as p from part where p_partkey % 3 = 0), d as (select distinct p_brand c, p_type p from part where p_partkey % 3 = 1 and p_partkey % 2 = 0)
+select layout_id, count(p) = count(*) as checkable, coalesce(string_agg(distinct c, ',' order by c) filter (p is not null and (c, p) not in (select c, p from d)), '') as stale_columns from b group by 1""")
+def baked_staleness(t):
+    k, p = F.col("p_partkey"), t("part")
+    baked = p.filter(k % 3 == 0).select((k % 50).alias("layout_id"), F.col("p_brand").alias("column"), F.when(k % 50 != 7, F.col("p_type")).alias("print"))
+    declared = p.filter((k % 3 == 1) & (k % 2 == 0)).select(F.col("p_brand").alias("column"), F.col("p_type").alias("print"))
+    return catalog.baked_staleness(baked, declared).withColumn("stale_columns", F.array_join("stale_columns", ","))
+
+
+@query("select n_nationkey as layout_id, case when (select count(*) = count(nullif(n_regionkey, 9)) from nation) then '2.10' else '2.8' end as version from nation")
+def manifest_restamp(t):
+    return catalog.restamped(t("nation").select(F.col("n_nationkey").alias("layout_id"), F.col("n_regionkey").cast("string").alias("print"), F.lit("2.8").alias("version")), "2.10").select("layout_id", "version")
+
+
+@query("select count(*) as n, count(*) filter (c_custkey in (select o_custkey from orders where o_orderkey % 3 = 0)) as matched from customer")
+def matched_metadata(t):
+    return ids.matched_count(t("customer").select(F.col("c_custkey").alias("k")), t("orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("select unnest(string_split(p_name, ' ')) as value from part where p_partkey = 25")
+def tags_of_one(t):
+    return search.tags_of(_tagged(t), "tags", 25)
+
+
 # keyed state
 
 LIMIT_SQL = """with recursive e as (select user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events),
@@ -874,6 +906,24 @@ def eta(t):
     return stream.eta(s).select("job", F.round("eta", 2).alias("eta"))
 
 
+@query("""with s as (select o_custkey job, o_orderpriority unit, o_totalprice total, o_totalprice * (o_orderkey % 4) / 4 done, (o_orderkey % 100)::double secs, case when o_orderkey % 3 = 0 then 'running' when o_orderkey % 3 = 1 then 'queued' else 'done' end state, o_orderkey ordinal from orders),
+r as (select job, unit, arg_max(done / secs, ordinal) rate from s where state = 'done' and secs > 0 group by 1, 2),
+l as (select s.job, state, case when state = 'running' then (total - done) / nullif(done / nullif(secs, 0), 0) else total / nullif(rate, 0) end e from s left join r using (job, unit) where state <> 'done')
+select job, round(case when count(e) = count(*) and count(*) filter (state = 'running') > 0 then sum(e) end, 2) as eta from l group by 1""")
+def job_eta(t):
+    k = F.col("o_orderkey")
+    state = F.when(k % 3 == 0, "running").when(k % 3 == 1, "queued").otherwise("done")
+    s = t("orders").select(F.col("o_custkey").alias("job"), F.col("o_orderpriority").alias("unit"), F.col("o_totalprice").alias("total"), (F.col("o_totalprice") * (k % 4) / 4).alias("done"), (k % 100).cast("double").alias("seconds"), state.alias("state"), k.alias("ordinal"))
+    return stream.job_eta(s).select("job", F.round("eta", 2).alias("eta"))
+
+
+@query("""with p as (select user_id as job, event_type as stage, max(event_id) as done, case when max(event_id) % 3 = 0 then 'done' else 'running' end as state from events group by 1, 2)
+select job, stage, done, case when state = 'running' and job % 4 = 0 then 'failed' else state end as state from p""")
+def progress_closed(t):
+    e = t("events").select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("event_id").alias("done"), F.lit(1.0).alias("total"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("running").alias("state"))
+    return stream.closed(stream.progress(e), t("events").filter("user_id % 4 = 0").select(F.col("user_id").alias("job"))).select("job", "stage", "done", "state")
+
+
 @query("select event_id // 10 as session, min(ts) as created, max(ts) as last from events group by 1 having max(ts) <= timestamp '2024-01-31 00:00:00' - interval 7 days and not bool_or(user_id % 50 = 0)")
 def session_sweep(t):
     f = t("events").select(F.floor(F.col("event_id") / 10).alias("session"), "ts", (F.col("user_id") % 50 == 0).alias("final"))

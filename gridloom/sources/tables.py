@@ -94,5 +94,18 @@ def write_tiles(cells: DataFrame, path: str) -> None:
     cells.repartition("layout_id", "z").sortWithinPartitions("layout_id", "z", "ty", "tx", "id").write.partitionBy("layout_id", "z").mode("overwrite").parquet(path)
 
 
+def checked_images(files: DataFrame) -> DataFrame:
+    """scan_images' rows, or an error where there is none or where names repeat, which names some of them."""
+    if files.isEmpty():
+        raise ValueError("the folder holds no image")
+    twice = [r["filename"] for r in files.groupBy("filename").count().filter("count > 1").orderBy("filename").limit(20).collect()]
+    if twice:
+        raise ValueError(f"several images have these names: {', '.join(twice)}")
+    return files
+
+
 def write_tags(metadata: DataFrame, tags: list[str], path: str) -> None:
+    """id and the tag columns; nothing where there is no tag column."""
+    if not tags:
+        return
     metadata.select("id", *tags).write.mode("overwrite").parquet(path)

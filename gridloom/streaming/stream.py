@@ -73,6 +73,33 @@ def eta(stages: DataFrame) -> DataFrame:
     return left.groupBy("job").agg(F.when(F.count("s") == F.count(F.lit(1)), F.sum("s")).alias("eta"))
 
 
+def job_eta(stages: DataFrame) -> DataFrame:
+    """job, eta of (job, unit, total, done, seconds, state, ordinal) stages: what the running ones need at their own rate, and the waiting ones at the last finished rate of their unit.
+
+    Null where a running stage has no rate yet, where none runs, and where a waiting one's unit has no rate.
+    """
+    own = F.try_divide(F.col("done"), F.when(F.col("seconds") > 0, F.col("seconds")))
+    rates = stages.filter("state = 'done'").withColumn("r", own).filter("r is not null").groupBy("job", "unit").agg(F.max_by("r", "ordinal").alias("rate"))
+    j = stages.filter("state in ('running', 'queued')").join(rates, ["job", "unit"], "left")
+    need = F.when(F.col("state") == "running", F.try_divide(F.col("total") - F.col("done"), F.nullif(own, F.lit(0.0)))).otherwise(F.try_divide(F.col("total").cast("double"), F.nullif("rate", F.lit(0.0))))
+    whole = (F.count("need") == F.count(F.lit(1))) & (F.count_if(F.col("state") == "running") > 0)
+    return j.withColumn("need", need).groupBy("job").agg(F.when(whole, F.sum("need")).alias("eta"))
+
+
+def closed(stages: DataFrame, failed: DataFrame) -> DataFrame:
+    """progress()'s rows once jobs (job) have failed: what still ran there has failed too."""
+    j = stages.join(failed.select("job").distinct().withColumn("_f", F.lit(True)), "job", "left")
+    return j.withColumn("state", F.when(F.col("_f") & (F.col("state") == "running"), "failed").otherwise(F.col("state"))).drop("_f")
+
+
+def flushes(events: DataFrame, gap_s: int = 1) -> DataFrame:
+    """job, stage, kept: how many progress events (job, stage, state, ts) are written: at most one every gap_s a stage, but for changes of state, which always are."""
+    w = Window.partitionBy("job", "stage").orderBy("ts")
+    e = events.withColumn("turn", F.coalesce(F.col("state") != F.lag("state").over(w), F.lit(True)).cast("int"))
+    e = e.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("key", F.struct("job", "stage", "run"))
+    return throttled(e, "key", "ts", gap_s).groupBy("key.job", "key.stage").agg(F.sum("kept").alias("kept"))
+
+
 def sessions_to_reap(files: DataFrame, now: str, ttl_days: int = 7) -> DataFrame:
     """session, created, last of sessions whose last file is at least ttl_days old; finalised ones (any file with final) stay."""
     s = files.groupBy("session").agg(F.min("ts").alias("created"), F.max("ts").alias("last"), F.bool_or("final").alias("final"))

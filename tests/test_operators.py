@@ -314,3 +314,42 @@ def test_evictions_and_level(spark):
     res = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2), ("d", 9)], "tile string, used long")
     assert [r["tile"] for r in view.evictions(res, spark.createDataFrame([("b",)], "tile string"), 2).collect()] == ["c", "a"]
     assert view.level_for(1000, 1, 512, 1, [0, 1, 2]) == 1 and view.level_for(99999, 1, 512, 1, [0, 1]) == 1
+
+
+def test_labels_do_not_overlap(spark):
+    import random
+
+    random.seed(6)
+    boxes = [(i, random.randint(1, 9), x, y, x + 0.2, y + 0.1) for i in range(300) for x, y in [(random.random(), random.random())]]
+    got = view.declutter_boxes(spark.createDataFrame(boxes, "id long, n long, x0 double, y0 double, x1 double, y1 double"), 5).collect()
+    want = []
+    for b in sorted(boxes, key=lambda b: (-b[1], b[0])):
+        if len(want) < 5 and all(b[2] >= w[4] or b[4] <= w[2] or b[3] >= w[5] or b[5] <= w[3] for w in want):
+            want.append(b)
+    assert [tuple(r) for r in got] == want
+
+
+def test_progress_is_written_at_most_once_a_gap(spark):
+    rows = [("j", "s", "running", t) for t in (0, 100, 900, 1000, 1500, 2100)] + [("j", "s", "done", 2150), ("j", "t", "running", 5)]
+    e = spark.createDataFrame(rows, "job string, stage string, state string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    assert {(r["job"], r["stage"]): r["kept"] for r in stream.flushes(e).collect()} == {("j", "s"): 4, ("j", "t"): 1}
+
+
+def test_image_folders(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for n in ("b.PNG", "a.jpg", "x.txt"):
+        (tmp_path / n).write_bytes(b"1")
+    found = tables.checked_images(tables.scan_images(spark, str(tmp_path)))
+    assert [r["filename"] for r in found.collect()] == ["a.jpg", "b.PNG"]
+    with pytest.raises(ValueError, match="a.jpg"):
+        tables.checked_images(found.union(found.limit(1)))
+    with pytest.raises(ValueError, match="no image"):
+        tables.checked_images(found.limit(0))
+
+
+def test_versions_and_missing_prints(spark):
+    e = spark.createDataFrame([("a", "p", "1"), ("b", None, "1")], "layout_id string, print string, version string")
+    assert {r["version"] for r in catalog.restamped(e, "2").collect()} == {"1"} and {r["version"] for r in catalog.restamped(e.filter("print is not null"), "2").collect()} == {"2"}
+    baked = spark.createDataFrame([("g", None, None), ("x", "c", "old"), ("y", "c", None)], "layout_id string, column string, print string")
+    got = {r["layout_id"]: (r["checkable"], r["stale_columns"]) for r in catalog.baked_staleness(baked, spark.createDataFrame([("c", "new")], "column string, print string")).collect()}
+    assert got == {"g": (True, []), "x": (True, ["c"]), "y": (False, [])}
