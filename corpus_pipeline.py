@@ -49,7 +49,7 @@ STAGES = [
     ("source_mix", source_mix),
     ("encoded", encoded),
 ]
-#: Signatures, suffix sorting and encoding are beyond SQL; tests hold each operator against brute force, and run() only against invariants so far.
+#: Signatures, suffix sorting and encoding are beyond SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
