@@ -32,7 +32,7 @@ from gridloom.llm import _store, _text
 _U = np.uint64
 BEGIN, END = _U(0x1234567890ABCDEF), _U(0x0FEDCBA987654321)
 #: Texts' bytes for each range of context hashes; files a level at most; n-grams that a task gathers before it sends or adds up.
-RANGE_BYTES, FILES, GATHER = 10 << 20, 1 << 16, 1 << 20
+RANGE_BYTES, FILES, GATHER = 6 << 20, 1 << 16, 3 << 18
 #: Files that a worker keeps mapped.
 MAPPED = 512
 
@@ -329,8 +329,8 @@ def train(texts: DataFrame, order: int = 3) -> Model:
     rows = texts.select("text").mapInArrow(count, "shard int, blob binary")
     discounts, stats = [], np.zeros(7, np.int64)
     for level in range(order, 0, -1):
-        # whole files come to one task each, in order of their ranges
-        dealt = rows.repartition(F.floor(F.col("shard") / ranges)).sortWithinPartitions("shard")
+        # one task a file, in order of its ranges
+        dealt = rows.repartitionById(files, F.floor(F.col("shard") / ranges).cast("int")).sortWithinPartitions("shard")
         done = _store.written(dealt.mapInArrow(_reduced(level, order, folder, files, ranges), "shard int, blob binary"))
         stats = np.sum([np.frombuffer(r["blob"], np.int64) for r in done.filter("shard = -1").collect()] or [np.zeros(7, np.int64)], axis=0)  # one small row a task
         discounts.append(_discounts(stats[:4].tolist()))
@@ -383,7 +383,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             _opened.clear()
             _opened[model.folder] = _Mapped(model)
         for batch in batches:
-            for lo, hi, data, offsets in _text.slices(batch.column(1), 4 * _text.SLICE_BYTES):
+            for lo, hi, data, offsets in _text.slices(batch.column(1), 2 * _text.SLICE_BYTES):
                 n, known, base, total = _score_slice(_opened[model.folder], data, offsets)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(known), pa.array(np.full(hi - lo, model.train_tokens)), pa.array(base), pa.array(total), pa.array(10 ** np.minimum(-total / n, 300))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
