@@ -39,18 +39,37 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once below spark.checkpoint.dir and read back; a folder of this machine only where that is unset and Spark runs on this machine alone (tests)."""
-    spark = df.sparkSession
+def _home(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir.
+
+    Where that is unset (tests, one machine), a temporary folder of this machine is
+    used; on a cluster the setting is required, as executors share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path in the application's folder, which the driver and all executors share."""
+    return f"{_home(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application stored; DataFrames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once in the application's folder and read back."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def described(df: DataFrame) -> list[tuple[str, str]]:

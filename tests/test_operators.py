@@ -353,3 +353,13 @@ def test_versions_and_missing_prints(spark):
     baked = spark.createDataFrame([("g", None, None), ("x", "c", "old"), ("y", "c", None)], "layout_id string, column string, print string")
     got = {r["layout_id"]: (r["checkable"], r["stale_columns"]) for r in catalog.baked_staleness(baked, spark.createDataFrame([("c", "new")], "column string, print string")).collect()}
     assert got == {"g": (True, []), "x": (True, ["c"]), "y": (False, [])}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    assert tables.stored(spark.range(3)).count() == 3
+    home = tables._home(spark).removeprefix("file://")
+    assert os.path.isdir(home)
+    tables.clear(spark)
+    assert not os.path.exists(home) and tables.stored(spark.range(3)).count() == 3
