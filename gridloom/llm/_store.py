@@ -3,26 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir.
-
-    Where that is unset (tests, one machine), a temporary folder of this machine is
-    used; on a cluster the setting is required, as executors share no local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+from gridloom.sources.tables import shared_dir
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
