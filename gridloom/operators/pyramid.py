@@ -68,7 +68,7 @@ def choose_z(summary: DataFrame, n: int, cap: int, box: tuple, w: float, h: floa
     """
     if not n:
         return 0, "empty"
-    ceiling, budget = size_ceiling(box, w, h, deepest), 16 * max(1, math.ceil(n / cap))
+    ceiling, budget = size_ceiling(box, w, h), 16 * max(1, math.ceil(n / cap))
     after = F.lead("tiles").over(Window.orderBy("z"))  # one row a level
     why = (
         F.when(F.col("fullest") <= cap, "fits").when(~F.col("separable"), "coincident")
@@ -78,6 +78,17 @@ def choose_z(summary: DataFrame, n: int, cap: int, box: tuple, w: float, h: floa
     return (stop["z"], stop["why"]) if stop else (deepest, "depth")
 
 
+def settle(cells: DataFrame, cap: int) -> tuple[int, str]:
+    """choose_z of cells: looked for in the first 8 levels, then in 16, then in all, so that shallow pyramids never bin deep."""
+    box = bbox(cells)
+    n, w, h = cells.agg(F.count(F.lit(1)), F.max("w"), F.max("h")).first()
+    for deepest in (8, 16, DEEPEST):
+        z, why = choose_z(level_summary(levels(cells, box, deepest), cap, box, w or 0.0, h or 0.0), n, cap, box, w or 0.0, h or 0.0, deepest)
+        if why != "depth":
+            break
+    return z, why
+
+
 def tile_spans(cells: DataFrame, box: tuple, z: int) -> DataFrame:
     """widest, tallest: how many tiles of level z the largest cell spans on each axis."""
     x, y = ((1 << z) / (b - a) if b > a else 0.0 for a, b in ((box[0], box[2]), (box[1], box[3])))

@@ -537,9 +537,7 @@ select z::int as z, reason from (select z, reason from w where reason is not nul
 
 
 def _choice(c):
-    summary, box, w, h = _summary(c)
-    z, why = pyramid.choose_z(summary, c.count(), CAP, box, w, h)
-    return c.sparkSession.createDataFrame([(z, why)], "z int, reason string")
+    return c.sparkSession.createDataFrame([pyramid.settle(c, CAP)], "z int, reason string")
 
 
 @query(_levels_sql(BOX_SQL) + CHOICE_SQL)
