@@ -18,7 +18,8 @@ with a smaller id.  Sorting all suffixes at once would need a record a byte, so:
    own hash instead, so that a common phrase does not fill one bucket.
 4. A bucket's repeated strings, with their least documents, are stored as sorted
    arrays in the shared folder; workers map them into memory and cut each text.  A
-   string is known by two independent 64-bit hashes.
+   string is known by its bucket, 64 bits of a hash and 8 bits of another: of 10**13
+   strings looked up in buckets of a million, chance finds about 0.002.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +130,35 @@ def _least(key: np.ndarray, doc: np.ndarray, many: np.ndarray, n: np.ndarray) ->
 
 
 def _check(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A second hash of the `length` bytes at each place, by their 8-byte words."""
-    word, h = _words_at(data), np.zeros(len(places), _U)
-    for k in (*range(0, length - 8, 8), length - 8):
-        h = _text.mix(h * _U(0x9E3779B97F4A7C15) + word[places + k])
-    return h
+    """8 bits of a second hash of the `length` bytes at each place, by their 8-byte words."""
+    word = _words_at(data)
+    h = word[places]
+    for k in (*range(8, length - 8, 8), length - 8):
+        h ^= h >> _U(29)
+        h *= _U(0x9E3779B97F4A7C15)
+        h += word[places + k]
+    h *= _U(0xC2B2AE3D27D4EB4F)
+    return (h >> _U(56)).astype(np.uint8)
+
+
+def _save_keys(folder: str, name: str, shard: int, keys: np.ndarray) -> None:
+    """Sorted hashes, and where those with each beginning start, about eight hashes apart: a search then touches one or two memory lines."""
+    bits = max(1, len(keys).bit_length() - 4)
+    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << _U(64 - bits))
+    _save(f"{folder}/{name}-{shard}.npy", keys)
+    _save(f"{folder}/{name}-starts-{shard}.npy", np.append(starts, len(keys)).astype(np.uint32))
+
+
+def _find(keys: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted hash is in the sorted keys, or would be."""
+    begin = (wanted >> _U(64 - (len(starts) - 1).bit_length() + 1)).astype(np.int64)
+    low, high = starts[begin].astype(np.int64), starts[begin + 1].astype(np.int64)
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = keys[np.minimum(mid, len(keys) - 1)] < wanted
+        less &= low < high
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    return low
 
 
 @dataclass(frozen=True)
@@ -143,6 +168,8 @@ class Found:
     folder: str
     shards: int
     how: Repeats
+    #: Whether some anchor's strings are dealt out by their own hash.
+    hot: bool = False
 
 
 class _Maps:
@@ -152,30 +179,29 @@ class _Maps:
     def get(self, name: str, shard: int) -> np.ndarray | None:
         if (name, shard) not in self.maps:
             try:
-                self.maps[name, shard] = np.load(f"{self.found.folder}/{name}-{shard}.npy", mmap_mode="r")
+                self.maps[name, shard] = np.load(f"{self.found.folder}/{name}-{shard}.npy", mmap_mode="r").view(np.ndarray)
             except FileNotFoundError:
                 self.maps[name, shard] = None
         return self.maps[name, shard]
 
-    def look_up(self, keys: str, shard: np.ndarray, key: np.ndarray, values: str | None = None) -> np.ndarray:
-        """Whether each key is stored or, with values, its value (the largest integer where unknown)."""
-        out = np.full(len(key), _LAST, np.uint64 if values == "checks" else np.int64) if values else np.zeros(len(key), bool)
-        if not len(key):
-            return out
-        order = np.lexsort((key, shard))
-        s, k = shard[order], key[order]
-        edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        for i, j in zip(edge.tolist(), np.append(edge[1:], len(s)).tolist(), strict=True):
-            known = self.get(keys, int(s[i]))
-            if known is None or not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, k[i:j]), len(known) - 1)
-            same = known[at] == k[i:j]
-            if values:
-                out[order[i:j][same]] = self.get(values, int(s[i]))[at[same]]
-            else:
-                out[order[i:j]] = same
-        return out
+    def look_up(self, keys: str, shard: np.ndarray, key: np.ndarray, *values: str) -> np.ndarray | list[np.ndarray]:
+        """Whether each key is stored or, with values, its values (the largest integer where unknown)."""
+        out = [np.full(len(key), _LAST) for _ in values] or [np.zeros(len(key), bool)]
+        if len(key):
+            order = np.lexsort((key, shard))
+            s, k = shard[order], key[order]
+            edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            for i, j in zip(edge.tolist(), np.append(edge[1:], len(s)).tolist(), strict=True):
+                known = self.get(keys, int(s[i]))
+                if known is None or not len(known):
+                    continue
+                at = np.minimum(_find(known, self.get(f"{keys}-starts", int(s[i])), k[i:j]), len(known) - 1)
+                same = known[at] == k[i:j]
+                if not values:
+                    out[0][order[i:j]] = same
+                for o, name in zip(out, values, strict=False):
+                    o[order[i:j][same]] = self.get(name, int(s[i]))[at[same]]
+        return out if values else out[0]
 
 
 _opened: dict[str, _Maps] = {}
@@ -260,9 +286,9 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         shard = key[0].as_py()
         loaded = [_unpack(b.as_py(), np.uint64, np.int64, np.bool_, np.uint32) for b in table.column("blob")]
         seed, _, several, n = _least(*(np.concatenate(x) for x in zip(*loaded, strict=True)))
-        _save(f"{folder}/seeds-{shard}.npy", seed[several])
-        _save(f"{folder}/hot-{shard}.npy", seed[several & (n > how.hot)])
-        return pa.table({"n": pa.array([int(several.sum())])})
+        _save_keys(folder, "seeds", shard, seed[several])
+        _save_keys(folder, "hot", shard, seed[several & (n > how.hot)])
+        return pa.table({"n": pa.array([int((several & (n > how.hot)).sum())])})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = _maps(found)
@@ -294,7 +320,7 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                 shard = _spread(key, shards)
                 kept = maps.look_up("seeds", shard, key)
                 shard, first, end = shard[kept], first[kept], end[kept]
-                hot = maps.look_up("hot", shard, key[kept])
+                hot = maps.look_up("hot", shard, key[kept]) if found.hot else np.zeros(len(first), bool)
                 if hot.any():  # one segment a string
                     n = (end - first)[hot]
                     single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -330,9 +356,12 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         starts = np.cumsum(sizes) - sizes
         # equal segments of several tasks count once
         same = _text.mix(_text.spans_hash(text, starts, starts + sizes) + anchor.astype(_U))
-        other = _text.spans_hash(text, starts, starts + sizes, other=True)
-        order = np.lexsort((doc, other, same))
-        edge = np.flatnonzero(np.concatenate(([True], (same[order][1:] != same[order][:-1]) | (other[order][1:] != other[order][:-1]))))
+        order = np.lexsort((doc, same))
+        word = _words_at(text)
+        new = np.concatenate(([True], same[order][1:] != same[order][:-1]))
+        for part in (sizes, word[starts], word[starts + sizes - 8]):  # of one hash only those that begin and end alike
+            new[1:] |= part[order][1:] != part[order][:-1]
+        edge = np.flatnonzero(new)
         many = (np.maximum.reduceat(doc[order], edge) != doc[order][edge]) | np.logical_or.reduceat(many[order], edge)
         order = order[edge]
         starts, sizes, anchor, doc = starts[order], sizes[order], anchor[order], doc[order]
@@ -345,12 +374,13 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         hashed = _text.spans_hash(text, first, first + how.length)
         least = least[several]
         order = np.argsort(hashed)
-        _save(f"{folder}/strings-{shard}.npy", hashed[order])
+        _save_keys(folder, "strings", shard, hashed[order])
         _save(f"{folder}/checks-{shard}.npy", _check(text, first[order], how.length))
         _save(f"{folder}/least-{shard}.npy", least[order].astype(np.int64 if len(least) and (least.max() >= 1 << 31 or least.min() < 0) else np.int32))
         return pa.table({"n": pa.array([len(order)])})
 
-    documents.mapInArrow(seeds, "shard int, blob binary").groupBy("shard").applyInArrow(shared_seeds, "n long").agg(F.sum("n")).collect()
+    n_hot = documents.mapInArrow(seeds, "shard int, blob binary").groupBy("shard").applyInArrow(shared_seeds, "n long").agg(F.sum("n")).first()[0]
+    found = replace(found, hot=bool(n_hot))
     documents.mapInArrow(gather, "shard int, n long, blob binary").groupBy("shard").applyInArrow(sort, "n long").agg(F.sum("n")).collect()
     return found
 
@@ -364,15 +394,14 @@ def cover(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: Found)
     shard = _spread(key, found.shards)
     kept = maps.look_up("seeds", shard, key)
     first, end, shard = first[kept], end[kept], shard[kept]
-    hot = maps.look_up("hot", shard, key[kept])
     n = end - first
     place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    hashed = _text.spans_hash(data, place, place + how.length)
-    shard = np.where(np.repeat(hot, n), _spread(hashed, found.shards), np.repeat(shard, n))
-    least = maps.look_up("strings", shard, hashed, "least")
-    gone = least < ids[np.searchsorted(offsets, place, "right") - 1]
-    place, shard, hashed = place[gone], shard[gone], hashed[gone]
-    place = place[maps.look_up("strings", shard, hashed, "checks") == _check(data, place, how.length)]
+    hashed, at = _text.spans_hash(data, place, place + how.length), np.repeat(shard, n)
+    if found.hot:
+        at = np.where(np.repeat(maps.look_up("hot", shard, key[kept]), n), _spread(hashed, found.shards), at)
+    least, check = maps.look_up("strings", at, hashed, "least", "checks")
+    gone = np.flatnonzero(least < ids[np.searchsorted(offsets, place, "right") - 1])
+    place = place[gone[check[gone] == _check(data, place[gone], how.length)]]
     edges = np.zeros(len(data) + 1, np.int64)
     np.add.at(edges, place, 1)
     np.add.at(edges, place + how.length, -1)
