@@ -8,6 +8,8 @@ texts are never cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,3 +121,10 @@ def counts(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """The bytes with A to Z in lower case."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def release() -> None:
+    """Gives memory that ended work has freed back to the machine, as workers live on between tasks, beside other work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

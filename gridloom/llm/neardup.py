@@ -140,6 +140,7 @@ def prints(documents: DataFrame, near: Near) -> DataFrame:
                 n = np.bincount(row, minlength=hi - lo)[some]
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(some))
                 yield pa.RecordBatch.from_arrays([ids, _lists(band), pa.array(n.astype(np.int64)), _lists(marks[some])], names=["doc_id", "bands", "n", "marks"])
+        _text.release()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, n long, marks array<long>")
 
@@ -153,6 +154,7 @@ def _sets(documents: DataFrame, near: Near) -> DataFrame:
                 row, element, _ = _elements(data, offsets, near)
                 places = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(places), pa.array(element.view(np.int64)))], names=["doc_id", "shingles"])
+        _text.release()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 

@@ -36,7 +36,7 @@ _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 #: Fixed value: how far an unknown character's score lies below the least of a unigram model's.
 UNKNOWN_PENALTY = 10.0
 #: Texts' bytes looked at together; bytes of remembered segments, and remembered pairs, beyond which all are forgotten.
-SLICE, REMEMBERED, PAIRS = 1 << 20, 64 << 20, 1 << 20
+SLICE, REMEMBERED, PAIRS = 1 << 20, 32 << 20, 1 << 19
 
 
 class Normaliser:
@@ -465,6 +465,9 @@ def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
                 null = pa.array(missing[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_ids))).astype(np.int32)), pa.array(ids), mask=null)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_ids), pa.array(n_bytes), lists, pa.array(same, mask=missing[lo:hi])], names=["doc_id", "n_ids", "n_bytes", "ids", "round_trip"])
+        t.forget()  # the worker goes on to other tasks, of other stages too
+        t.spines.clear()
+        _text.release()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids array<int>, round_trip boolean")
 

@@ -35,7 +35,7 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Measures of a vocabulary, and the steps in which they are counted.
 MEASURES = {"chars_per_token": 0.002, "byte_share": 0.001, "entropy": 0.005}
 #: Bytes of remembered words beyond which all are forgotten.
-REMEMBERED = 48 << 20
+REMEMBERED = 20 << 20
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Rules:
 
 
 class _Vocabularies:
-    """Encoders of single words by each vocabulary, with the words seen; kept while the worker lives."""
+    """Encoders of single words by each vocabulary, with the words seen; kept for a task."""
 
     def __init__(self, paths: tuple[str, ...]):
         self.encode, self.single, self.sizes = [], [], []
@@ -211,6 +211,8 @@ def measured(documents: DataFrame, rules: Rules, prefix: str) -> DataFrame:
                 m = measure(data, offsets, rules)
                 columns = [c.slice(lo, hi - lo) for c in batch.columns] + [pa.array(m[f.name].tolist() if f.name == "script" else m[f.name]) for f in added]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(prefix + f.name for f in added)])
+        _loaded.clear()  # the worker goes on to other tasks, of other stages too
+        _text.release()
 
     schema = T.StructType([*documents.schema.fields, *(T.StructField(prefix + f.name, f.dataType) for f in added)])
     return written(documents.mapInArrow(run, schema))
