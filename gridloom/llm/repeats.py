@@ -39,7 +39,7 @@ from gridloom.llm.ngram import _pack, _save, _send, _spread, _unpack
 
 _U = np.uint64
 #: Text bytes for each bucket file; anchors or segment bytes that a task gathers before it sends them.
-SHARD_BYTES, GATHER = 8 << 20, 1 << 20
+SHARD_BYTES, GATHER = 8 << 20, 1 << 19
 #: Text bytes looked at together; small enough for a processor's cache.
 SLICE = 1 << 17
 _LAST = np.iinfo(np.int64).max
@@ -281,6 +281,8 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                     parts, held = [], 0
         if parts:
             yield flush()
+            parts = []
+        _text.release()
 
     def shared_seeds(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -336,11 +338,13 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
                         held += b - a + 100
                     elif old[0] != d:
                         old[0], old[1] = min(d, old[0]), True
-                if held > 24 * GATHER:
+                if held > 48 * GATHER:
                     yield flush()
                     segments, held = {}, 0
         if segments:
             yield flush()
+            segments = {}
+        _text.release()
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -462,5 +466,6 @@ def remove(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
                 else:
                     columns.append(batch.column(i))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+        _text.release()
 
     return documents.mapInArrow(run, schema)
