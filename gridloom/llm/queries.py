@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, neardup, ngram, pieces, quality, quotes, repeats, topk, toxicity
+from gridloom.llm import divergence, language, mixing, neardup, ngram, pieces, quality, quotes, repeats, resampling, topk, toxicity, urls
 from gridloom.session import ship
 
 
@@ -69,7 +69,68 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold(4) == 2).select("doc_id", "held_out", "score", "predicted", "n_hits")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op5_quotation_linking, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op1_topk_search, op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op5_quotation_linking, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity, op11_resampling, op12_divergence, op13_url_filters)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 byte by byte, from a table of 256 steps made bit by bit.
+OP11_SQL = rf"""with recursive bits(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+steps as (select list(v order by i) as step from bits where k = 8),
+d as (select doc_id, row_number() over () as row, unnest(regexp_extract_all({_LOW.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents),
+b as (select unnest(regexp_extract_all({_LOW.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+h as (select w, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::bigint, 2))::bigint)), lambda c, x: xor(c >> 8, step[(xor(c & 255, x) + 1)::bigint]))) % 10000 as bucket from (select w from d union select w from b), steps),
+s as (select bucket, count(*) as s from d join h using (w) group by 1), t as (select bucket, count(*) as t from b join h using (w) group by 1),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from d) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from b) + 10000)::double)))::bigint as gain from s full join t using (bucket)),
+f as (select row, count(*) as n, sum(gain)::bigint as total from d join h using (w) join g using (bucket) group by 1),
+e as (select doc_id, coalesce(n, 0)::bigint as n_features, case when n is null then 0 else (total - ((total % n) + n) % n) // n end::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as u from (select doc_id, row_number() over () as row from documents) left join f using (row)),
+z as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5::double) / 4294967296::double)))::bigint as score from e),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from z where n_features >= 20 qualify rank <= (select count(*) from z where n_features >= 20) * 10 // 100)
+select doc_id, n_features as n_words, n_features, weight, score, rank from z left join r using (doc_id)"""
+
+OP12_SQL = rf"""with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select row, lang, source, unnest(words) as term from d), c as (select lang, source, term, count(*) as n from w group by all),
+kept as (select lang, term from w group by all having count(distinct row) >= 10),
+groups as (select distinct lang, source from d), langs as (select distinct lang from d),
+v as (select lang, count(kept.term) as v from langs left join kept using (lang) group by 1),
+counts as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from groups g join kept k using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) as p from counts join v using (lang)),
+lang_counts as (select lang, term, sum(n) as n from counts group by all),
+q as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v) as q from lang_counts join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+left join (select p.lang, p.source, o.source as item, sum((p.p - o.p) * (p.p - o.p) // (p.p + o.p)) as value from p join p o on p.lang = o.lang and p.term = o.term and p.source <> o.source group by all) x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, term as item, (p - q) * (p - q) // (p + q) as value from p join q using (lang, term) where n > 0 and p > q),
+a as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from terms)
+select lang, source, part, item, value::bigint as value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from a qualify part = 'pair' or rank <= 10"""
+
+#: Rules and links of absolute, host-relative and scheme-relative form, without dot segments, comments or scripts; aliases by the closure of links.
+OP13_SQL = r"""with recursive u as (select page_id, url, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
+h as (select page_id, url, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) as query from u),
+rules(verdict, rule_host, rule_path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+links as (select url, host, regexp_extract(url, '^([^:/?#]*)://', 1) as scheme, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\srel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?is)\shref\s*=\s*["'']([^"'']*)', 1) as link from h where contains(lower(html), 'canonical')),
+whole as (select url, case when contains(link, '://') then link when starts_with(link, '//') then scheme || ':' || link else scheme || '://' || host || link end as link from links where link <> ''),
+n as (select url, regexp_extract(x.link, '://([^/?#]*[^#]*)', 1) as b, regexp_extract(url, '://([^/?#]*[^#]*)', 1) as a from whole x),
+both_ as (select a, b from n union select b, a from n),
+reach(a, b) as (select a, b from both_ union select r.a, e.b from reach r join both_ e on r.b = e.a),
+judged as (select h.*, r.verdict as own, case when r.verdict is not null then rule_host || rule_path end as rule from h left join rules r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) qualify row_number() over (partition by page_id, url order by length(rule_host || rule_path) desc) = 1),
+named as (select *, host || case when path = '' then '/' else path end || coalesce(query, '') as node from judged),
+touched as (select m.page_id, m.url, bool_or(o.own = 'block') and not coalesce(bool_or(o.own = 'allow'), false) as hit from named m join reach on reach.a = m.node join named o on o.node = reach.b where m.own is null group by all)
+select page_id, host, path, rule, case when own is not null then own when coalesce(hit, false) then 'block' else 'allow' end as verdict, own is null and coalesce(hit, false) as inherited from named left join touched using (page_id, url)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL, "op13_url_filters": OP13_SQL}
