@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -38,10 +39,12 @@ from gridloom.llm import _store, _text
 from gridloom.llm.ngram import _pack, _save, _send, _spread, _unpack
 
 _U = np.uint64
-#: Text bytes for each bucket file; anchors or segment bytes that a task gathers before it sends them.
-SHARD_BYTES, GATHER = 8 << 20, 1 << 19
-#: Text bytes looked at together; small enough for a processor's cache.
-SLICE = 1 << 17
+#: Text bytes for each bucket file; anchors, or 1/48 of the segment bytes, that a task gathers before it sends them.
+SHARD_BYTES, GATHER = 16 << 20, 1 << 19
+#: Text bytes hashed together, small enough for a processor's cache; and looked up together, so that a file is asked seldom.
+SLICE, LOOK = 1 << 17, 1 << 21
+#: Suffixes sorted together; files that a worker keeps mapped.
+SORTED, MAPPED = 1 << 18, 1024
 _LAST = np.iinfo(np.int64).max
 
 
@@ -173,15 +176,20 @@ class Found:
 
 
 class _Maps:
+    """A table's files, mapped when first used; the MAPPED last used stay."""
+
     def __init__(self, found: Found):
-        self.found, self.maps = found, {}
+        self.found, self.maps = found, OrderedDict()
 
     def get(self, name: str, shard: int) -> np.ndarray | None:
         if (name, shard) not in self.maps:
             try:
                 self.maps[name, shard] = np.load(f"{self.found.folder}/{name}-{shard}.npy", mmap_mode="r").view(np.ndarray)
-            except FileNotFoundError:
+            except (FileNotFoundError, ValueError):  # nothing stored, or an array of no length, which can't be mapped
                 self.maps[name, shard] = None
+            if len(self.maps) > MAPPED:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end((name, shard))
         return self.maps[name, shard]
 
     def look_up(self, keys: str, shard: np.ndarray, key: np.ndarray, *values: str) -> np.ndarray | list[np.ndarray]:
@@ -249,6 +257,104 @@ def sort_bucket(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchor:
     return place[order], segment[order], new
 
 
+def _take(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    i = 0
+    while i < len(starts):  # an index of each byte, for about a megabyte at a time
+        low = int(ends[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + (1 << 20), "right")))
+        some = sizes[i:j]
+        at = np.repeat(starts[i:j] - (ends[i:j] - some - low), some)
+        at += np.arange(len(at))
+        out[low : low + len(at)] = text[at]
+        i = j
+    return out
+
+
+def _span_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skip: np.ndarray | int = 0, length: int | None = None) -> np.ndarray:
+    """The hash of each of consecutive spans or, with length, of that many of its bytes from `skip` on."""
+    out = [np.zeros(0, _U)]
+    for i in range(0, len(starts), 4096):
+        j = min(i + 4096, len(starts))
+        low = int(starts[i])
+        at = starts[i:j] - low + (skip if isinstance(skip, int) else skip[i:j])
+        out.append(_text.spans_hash(text[low : int(starts[j - 1] + sizes[j - 1])], at, at + (sizes[i:j] if length is None else length)))
+    return np.concatenate(out)
+
+
+def _distinct(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One segment of each kind, its least document, and whether several documents have it."""
+    same = _text.mix(_span_hashes(text, starts, sizes) + anchor.astype(_U))
+    order = np.lexsort((doc, same))
+    new = np.concatenate(([True], same[order][1:] != same[order][:-1]))[: len(order)]
+    word = np.lib.stride_tricks.sliding_window_view(text, 8)
+    ends = (np.ascontiguousarray(word[at]).view(np.uint64)[:, 0] for at in (starts, starts + sizes - 8))
+    for part in (sizes, *ends):  # of one hash only those that begin and end alike
+        new[1:] |= part[order][1:] != part[order][:-1]
+    edge = np.flatnonzero(new)
+    many = (np.maximum.reduceat(doc[order], edge) != doc[order][edge]) | np.logical_or.reduceat(many[order], edge)
+    return order[edge], doc[order][edge], many
+
+
+@dataclass
+class _Piece:
+    """A slice of texts and its segments whose anchors several documents have."""
+
+    lo: int
+    hi: int
+    data: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    shard: np.ndarray
+    hot: np.ndarray
+
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.offsets, place, "right") - 1]
+
+
+def _groups(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[list[_Piece]]:
+    """Slices of the texts, about LOOK bytes together, whose segments are looked up at once."""
+    maps, how = _maps(found), found.how
+    group: list[_Piece] = []
+    keys: list[np.ndarray] = []
+    held = 0
+
+    def known() -> list[_Piece]:
+        key = np.concatenate(keys)
+        shard = _spread(key, found.shards)
+        kept = maps.look_up("seeds", shard, key)
+        hot = maps.look_up("hot", shard, key) if found.hot else np.zeros(len(key), bool)
+        begin = 0
+        for piece in group:
+            own = slice(begin, begin + len(piece.first))
+            begin = own.stop
+            some = kept[own]
+            piece.first, piece.end, piece.shard, piece.hot = piece.first[some], piece.end[some], shard[own][some], hot[own][some]
+        return group
+
+    for lo, hi, data, offsets in _text.slices(column, SLICE):
+        anchor, hashes = anchors(data, offsets, how)
+        first, end = _segments(anchor)
+        keys.append(_text.mix(hashes[anchor[first]]))
+        group.append(_Piece(lo, hi, data, offsets, ids[lo:hi], anchor, first, end, first, first))
+        held += len(data)
+        if held >= LOOK:
+            yield known()
+            group, keys, held = [], [], 0
+    if group:
+        yield known()
+
+
+def _known(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[_Piece]:
+    for group in _groups(column, ids, found):
+        yield from group
+
+
 def find(documents: DataFrame, how: Repeats | None = None) -> Found:
     """Finds and stores all strings of how.length bytes that start in two or more of documents' texts, with the least doc_id of each."""
     how = how or Repeats()
@@ -293,123 +399,126 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         return pa.table({"n": pa.array([int((several & (n > how.hot)).sum())])})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = _maps(found)
-        segments: dict[tuple[int, int, bytes], list] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            shard = np.fromiter((k[0] for k in segments), np.int32, len(segments))
-            order = np.argsort(shard, kind="stable")
-            keys = list(segments)
-            values = list(segments.values())
-            shard = shard[order]
+            shard, size, anchor, doc, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = np.cumsum(size) - size
+            at, doc, many = _distinct(text, starts, size, anchor, doc, np.zeros(len(doc), bool))
+            order = np.argsort(shard[at], kind="stable")
+            at, doc, many = at[order], doc[order], many[order]
+            shard, size, anchor, starts = shard[at], size[at], anchor[at], starts[at]
             edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             blobs = []
             for i, j in zip(edge.tolist(), np.append(edge[1:], len(shard)).tolist(), strict=True):
-                own = [keys[k] for k in order[i:j]]
-                text = np.frombuffer(b"".join(k[2] for k in own), np.uint8)
-                about = [np.array([len(k[2]) for k in own], np.uint32), np.array([k[1] for k in own], np.uint32), np.array([values[k][0] for k in order[i:j]], np.int64), np.array([values[k][1] for k in order[i:j]], np.bool_)]
-                whole = _pack(*about) + text.tobytes()
+                own = _take(text, starts[i:j], size[i:j])
+                whole = _pack(size[i:j].astype(np.uint32), anchor[i:j].astype(np.uint32), doc[i:j], many[i:j]) + own.tobytes()
                 blobs.append(len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True))
-            return pa.RecordBatch.from_arrays([pa.array(shard[edge]), pa.array(np.diff(np.append(edge, len(shard))).astype(np.int64)), pa.array(blobs, pa.binary())], names=["shard", "n", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(shard[edge]), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, _, data, offsets in _text.slices(batch.column(1), SLICE):
-                anchor, hashes = anchors(data, offsets, how)
-                first, end = _segments(anchor)
-                key = _text.mix(hashes[anchor[first]])
-                shard = _spread(key, shards)
-                kept = maps.look_up("seeds", shard, key)
-                shard, first, end = shard[kept], first[kept], end[kept]
-                hot = maps.look_up("hot", shard, key[kept]) if found.hot else np.zeros(len(first), bool)
+            for piece in _known(batch.column(1), ids, found):
+                first, end, shard, hot = piece.first, piece.end, piece.shard, piece.hot
                 if hot.any():  # one segment a string
                     n = (end - first)[hot]
                     single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    shard = np.concatenate((shard[~hot], _spread(_text.spans_hash(data, single, single + how.length), shards)))
+                    shard = np.concatenate((shard[~hot], _spread(_text.spans_hash(piece.data, single, single + how.length), shards)))
                     first, end = np.concatenate((first[~hot], single)), np.concatenate((end[~hot], single + 1))
-                doc = ids[lo + np.searchsorted(offsets, first, "right") - 1]
-                raw = data.tobytes()
-                for s, a, b, p, d in zip(shard.tolist(), first.tolist(), (end + how.length - 1).tolist(), (anchor[first] - first).tolist(), doc.tolist(), strict=True):
-                    k = s, p, raw[a:b]
-                    old = segments.get(k)
-                    if old is None:
-                        segments[k] = [d, False]
-                        held += b - a + 100
-                    elif old[0] != d:
-                        old[0], old[1] = min(d, old[0]), True
+                if len(first):
+                    size = end - first + how.length - 1
+                    parts.append((shard, size, piece.anchor[first] - first, piece.doc(first), _take(piece.data, first, size)))
+                    held += int(size.sum())
                 if held > 48 * GATHER:
                     yield flush()
-                    segments, held = {}, 0
-        if segments:
+                    parts, held = [], 0
+        if parts:
             yield flush()
-            segments = {}
+            parts = []
         _text.release()
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        sizes, anchor, doc, many, texts = [], [], [], [], []
-        for n, blob in zip(table.column("n").to_pylist(), table.column("blob"), strict=True):
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def together() -> None:
+            """Equal segments of several tasks count once."""
+            nonlocal parts, held
+            sizes, anchor, doc, many, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = np.cumsum(sizes) - sizes
+            at, doc, many = _distinct(text, starts, sizes, anchor, doc, many)
+            at, doc, many = at[order := np.argsort(at)], doc[order], many[order]
+            parts = [(sizes[at], anchor[at], doc, many, _take(text, starts[at], sizes[at]))]
+            held = 0
+
+        for blob in table.column("blob"):
             blob = blob.as_py()
             blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
             a, b, c, d = _unpack(blob, np.uint32, np.uint32, np.int64, np.bool_)
-            sizes.append(a.astype(np.int64)), anchor.append(b.astype(np.int64)), doc.append(c), many.append(d)
-            texts.append(np.frombuffer(blob, np.uint8, count=int(a.sum()), offset=len(blob) - int(a.sum())))
-            del n
-        sizes, anchor, doc, many, text = (np.concatenate(x) for x in (sizes, anchor, doc, many, texts))
+            parts.append((a.astype(np.int64), b.astype(np.int64), c, d, np.frombuffer(blob, np.uint8, count=int(a.sum()), offset=len(blob) - int(a.sum()))))
+            held += len(parts[-1][4])
+            if held > 32 * GATHER and held > len(parts[0][4]):
+                together()
+        together()
+        ((sizes, anchor, doc, many, text),) = parts
         starts = np.cumsum(sizes) - sizes
-        # equal segments of several tasks count once
-        same = _text.mix(_text.spans_hash(text, starts, starts + sizes) + anchor.astype(_U))
-        order = np.lexsort((doc, same))
-        word = _words_at(text)
-        new = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-        for part in (sizes, word[starts], word[starts + sizes - 8]):  # of one hash only those that begin and end alike
-            new[1:] |= part[order][1:] != part[order][:-1]
-        edge = np.flatnonzero(new)
-        many = (np.maximum.reduceat(doc[order], edge) != doc[order][edge]) | np.logical_or.reduceat(many[order], edge)
-        order = order[edge]
-        starts, sizes, anchor, doc = starts[order], sizes[order], anchor[order], doc[order]
-        place, segment, new = sort_bucket(text, starts, sizes, anchor, how.length)
-        edge = np.flatnonzero(new)
-        owner = doc[segment]
-        least = np.minimum.reduceat(owner, edge)
-        several = (np.maximum.reduceat(owner, edge) != least) | np.logical_or.reduceat(many[segment], edge)
-        first = place[edge[several]]
-        hashed = _text.spans_hash(text, first, first + how.length)
-        least = least[several]
+        # equal strings have equal seeds: a seed's hash deals the segments out to buckets that are sorted one at a time
+        seed = _span_hashes(text, starts, sizes, anchor, how.seed)
+        bucket = _spread(seed, max(1, int((sizes - how.length + 1).sum()) // SORTED))
+        order = np.argsort(bucket, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+        made = []
+        for i, j in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
+            some = order[i:j]
+            size = sizes[some]
+            own = _take(text, starts[some], size)
+            place, segment, new = sort_bucket(own, np.cumsum(size) - size, size, anchor[some], how.length)
+            first = np.flatnonzero(new)
+            owner = doc[some][segment]
+            least = np.minimum.reduceat(owner, first)
+            several = (np.maximum.reduceat(owner, first) != least) | np.logical_or.reduceat(many[some][segment], first)
+            at = place[first[several]]
+            made.append((_text.spans_hash(own, at, at + how.length), least[several], _check(own, at, how.length)))
+        hashed, least, check = (np.concatenate(x) for x in zip(*made, strict=True))
         order = np.argsort(hashed)
         _save_keys(folder, "strings", shard, hashed[order])
-        _save(f"{folder}/checks-{shard}.npy", _check(text, first[order], how.length))
+        _save(f"{folder}/checks-{shard}.npy", check[order])
         _save(f"{folder}/least-{shard}.npy", least[order].astype(np.int64 if len(least) and (least.max() >= 1 << 31 or least.min() < 0) else np.int32))
+        _text.release()
         return pa.table({"n": pa.array([len(order)])})
 
     n_hot = documents.mapInArrow(seeds, "shard int, blob binary").groupBy("shard").applyInArrow(shared_seeds, "n long").agg(F.sum("n")).first()[0]
     found = replace(found, hot=bool(n_hot))
-    documents.mapInArrow(gather, "shard int, n long, blob binary").groupBy("shard").applyInArrow(sort, "n long").agg(F.sum("n")).collect()
+    documents.mapInArrow(gather, "shard int, blob binary").groupBy("shard").applyInArrow(sort, "n long").agg(F.sum("n")).collect()
     return found
 
 
-def cover(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: Found) -> np.ndarray:
-    """Which bytes of the texts go."""
+def covered(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, end row, bytes, offsets of slices of the texts, and which bytes go."""
     maps, how = _maps(found), found.how
-    anchor, hashes = anchors(data, offsets, how)
-    first, end = _segments(anchor)
-    key = _text.mix(hashes[anchor[first]])
-    shard = _spread(key, found.shards)
-    kept = maps.look_up("seeds", shard, key)
-    first, end, shard = first[kept], end[kept], shard[kept]
-    n = end - first
-    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    hashed, at = _text.spans_hash(data, place, place + how.length), np.repeat(shard, n)
-    if found.hot:
-        at = np.where(np.repeat(maps.look_up("hot", shard, key[kept]), n), _spread(hashed, found.shards), at)
-    least, check = maps.look_up("strings", at, hashed, "least", "checks")
-    gone = np.flatnonzero(least < ids[np.searchsorted(offsets, place, "right") - 1])
-    place = place[gone[check[gone] == _check(data, place[gone], how.length)]]
-    edges = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edges, place, 1)
-    np.add.at(edges, place + how.length, -1)
-    return np.cumsum(edges[:-1]) > 0
+    for group in _groups(column, ids, found):
+        looked = []
+        for piece in group:
+            n = piece.end - piece.first
+            place = np.repeat(piece.first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            hashed, at = _text.spans_hash(piece.data, place, place + how.length), np.repeat(piece.shard, n)
+            if found.hot:
+                at = np.where(np.repeat(piece.hot, n), _spread(hashed, found.shards), at)
+            looked.append((place, hashed, at))
+        least, check = maps.look_up("strings", np.concatenate([x[2] for x in looked]), np.concatenate([x[1] for x in looked]), "least", "checks")
+        begin = 0
+        for piece, (place, _, _) in zip(group, looked, strict=True):
+            own = slice(begin, begin + len(place))
+            begin += len(place)
+            gone = np.flatnonzero(least[own] < piece.doc(place))
+            place, known = place[gone], check[own][gone]
+            place = place[known == _check(piece.data, place, how.length)]
+            edges = np.zeros(len(piece.data) + 1, np.int32)
+            edges[place] += 1  # each place once
+            edges[place + how.length] -= 1
+            yield piece.lo, piece.hi, piece.data, piece.offsets, np.cumsum(edges[:-1]) > 0
 
 
 def measure(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
@@ -423,8 +532,7 @@ def measure(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, hi, data, offsets in _text.slices(batch.column(1), SLICE):
-                gone = cover(data, offsets, ids[lo:hi], found)
+            for lo, hi, data, offsets, gone in covered(batch.column(1), ids, found):
                 starts, ends, rows = _text.runs(gone, offsets)
                 removed = np.bincount(rows, ends - starts, hi - lo).astype(np.int64)
                 left = data[~gone].tobytes()
@@ -450,8 +558,7 @@ def remove(documents: DataFrame, how: Repeats | None = None) -> DataFrame:
         for batch in batches:
             text, ids = batch.column(names.index("text")), _ids(batch.column(names.index("doc_id")))
             out: list[str | None] = []
-            for lo, hi, data, offsets in _text.slices(text, SLICE):
-                gone = cover(data, offsets, ids[lo:hi], found)
+            for _, _, data, offsets, gone in covered(text, ids, found):
                 left, places = data[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[offsets].tolist()
                 out += [left[a:b].decode("utf-8", "ignore") for a, b in zip(places[:-1], places[1:], strict=True)]
             old = text.to_pylist()
