@@ -13,33 +13,55 @@ from gridloom.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep, with all their columns as they were, whatever their names.
+
+    Null and empty texts have too few words and go; very long texts are judged whole;
+    rows that repeat are judged alike; an empty table gives no rows.
+    """
     ship(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each near-duplicate class."""
+    """The least document of each near-duplicate class, with all its columns.
+
+    Null and empty texts are classes of their own; rows that repeat a doc_id, or have a
+    null one, are documents of their own, and exact copies are one class; ties go to the
+    earlier row; an empty table gives no rows.
+    """
     ship(spark)
     return neardup.keep_firsts(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the bytes that repeat across documents; empty ones go."""
+    """The documents without the bytes that repeat across documents; those of which nothing is left go.
+
+    Null texts stay null; rows of one doc_id don't cut each other; very long texts are
+    cut whole; an empty table gives no rows; the other columns stay but for n_chars,
+    which follows the text.
+    """
     ship(spark)
     return repeats.remove(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, one row for each time, in the mix's order."""
+    """The documents that the mix takes, one row for each time, with the columns of documents.
+
+    Null texts have size 0; null sources are a source of their own; rows that repeat a
+    doc_id, or have a null one, are taken each alone; an empty table gives no rows.
+    """
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, n_bytes, ids, round_trip of each document of the mix."""
+    """doc_id, n_ids, n_bytes, ids, round_trip, position of each document of the mix; position is its place in the mix's order.
+
+    Null texts have null ids; repeated rows have places of their own; an empty table
+    gives no rows; other columns are not read.
+    """
     ship(spark)
-    return pieces.encode(docs)
+    return pieces.encode(mixing.placed(docs), keep=("position",))
 
 
 STAGES = [
@@ -54,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; each stage's rows are written to the shared folder and read again."""
+    """The stages in turn over documents; each stage's rows are written to the shared folder and read again.
+
+    Nulls, repeats, ties, very long texts, empty tables and clashing columns: as each stage says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = _store.written(stage(spark, docs, sf_dir))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._store import free, written
 from gridloom.llm._text import WORD_PATTERN
+from gridloom.operators.ids import dense_ids
 
 #: Documents in one cell of a source's shuffled order, which bounds what one task sorts; cells of time in one round.
 CELL, STEPS = 20_000, 4096
@@ -145,3 +146,21 @@ def mixed_documents(documents: DataFrame, **knobs) -> DataFrame:
     sized = keyed.select("doc_id", "source", F.col(size).alias("size"), F.col(row).alias("row"))
     taken = _mixed(sized, **knobs).filter("taken").select(F.col("row").alias(row), F.col("finish").alias(finish))
     return keyed.join(taken, row).orderBy(finish, "doc_id", row).select(*documents.columns)
+
+
+def placed(mixed: DataFrame, name: str = "position", seed: int = 17) -> DataFrame:
+    """The rows of a mix with their places 0, 1, 2 … in the mix's order, as tables keep no order.
+
+    What the mix took of each source is shuffled and served at the rate of its size, so
+    that any prefix of the places holds the sources in the whole mix's proportions.
+    Rows are placed one by one, alike or not; null texts and sources count as in the
+    mix; an empty table gives no rows.  All columns come back, whatever their names.
+    """
+    row = free([*mixed.columns, name], "_row")
+    keyed = written(mixed.withColumn(row, F.monotonically_increasing_id()))
+    # without an id the shuffle goes by row: copies of one document do not stand together
+    sized = written(keyed.select(F.lit(None).cast("long").alias("doc_id"), "source", word_count().alias("size"), F.col(row).alias("row")))
+    rates = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    rates = rates.select(F.col("source").alias("t_source"), "source_size", "n_docs", F.col("source_size").cast("double").alias("target"))
+    order = dense_ids(finish_times(sized, rates, seed, 1).select("finish", "at", "row"), "finish", "at", "row", name=name)
+    return keyed.join(order.select(F.col("row").alias(row), name), row).select(*mixed.columns, name)

@@ -445,8 +445,8 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
-def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_ids, n_bytes (ids of byte fallback), ids, round_trip (decoding gives the text again) of each whole text.
+def encode(documents: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_ids, n_bytes (ids of byte fallback), ids, round_trip (decoding gives the text again) of each whole text, and the columns of `keep`.
 
     A null text has null ids and round_trip, an empty one no ids.  Texts that hold
     U+2581 itself encode as the model does and decode to spaces: round_trip is
@@ -464,12 +464,14 @@ def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
                 ids, n_ids, n_bytes, same = t.encode_slice(data, offsets)
                 null = pa.array(missing[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_ids))).astype(np.int32)), pa.array(ids), mask=null)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_ids), pa.array(n_bytes), lists, pa.array(same, mask=missing[lo:hi])], names=["doc_id", "n_ids", "n_bytes", "ids", "round_trip"])
+                kept = [batch.column(2 + k).slice(lo, hi - lo) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_ids), pa.array(n_bytes), lists, pa.array(same, mask=missing[lo:hi]), *kept], names=["doc_id", "n_ids", "n_bytes", "ids", "round_trip", *keep])
         t.forget()  # the worker goes on to other tasks, of other stages too
         t.spines.clear()
         _text.release()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids array<int>, round_trip boolean")
+    more = "".join(f", `{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
+    return documents.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids array<int>, round_trip boolean" + more)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -499,8 +499,29 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     out = stage["encoded"](spark, mixed, SMALL).collect()
     assert len(out) == sum(copies.values()) and all(r["ids"] == library.encode(want[r["doc_id"]]) for r in out)
+    assert sorted(r["position"] for r in out) == list(range(len(out)))
     whole = corpus_pipeline.run(spark, SMALL)
-    assert whole.columns == ["doc_id", "n_ids", "n_bytes", "ids", "round_trip"] and whole.count() > 0
+    assert whole.columns == ["doc_id", "n_ids", "n_bytes", "ids", "round_trip", "position"]
+    rows = sorted(whole.select("position", "doc_id").collect())
+    assert [r["position"] for r in rows] == list(range(len(rows))) and rows
+
+
+def test_prefixes_of_the_pipeline_hold_the_sources_in_proportion(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    out = corpus_pipeline.run(spark, sf).join(docs, "doc_id").select("position", "source", "n_ids").orderBy("position").collect()
+    assert [r["position"] for r in out] == list(range(len(out)))
+    total = sum(r["n_ids"] for r in out)
+    share = Counter()
+    for r in out:
+        share[r["source"]] += r["n_ids"] / total
+    largest = max(r["n_ids"] for r in out)
+    seen, n = Counter(), 0
+    for k, r in enumerate(out):
+        seen[r["source"]] += r["n_ids"]
+        n += r["n_ids"]
+        if k % 50 == 0:  # a source runs ahead or behind by about a document, beside what words and ids differ by
+            assert all(abs(seen[s] - p * n) <= 2 * largest + 0.03 * n for s, p in share.items())
 
 
 def test_columns_whose_names_clash(spark):
