@@ -23,6 +23,29 @@ def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     return ranged.join(base, "_dense_part").withColumn(name, F.col("_dense_base") + F.col("_dense_at")).drop("_dense_part", "_dense_at", "_dense_base")
 
 
+#: Rows of a group that one task may sort.
+GROUP = 200_000
+
+
+def ranks_within(df: DataFrame, group: str, *order: str, largest: int | None = None, name: str = "rank") -> DataFrame:
+    """df with each row's place 0 … n-1 in its group, by `order`; ties in no fixed order. No group may be null.
+
+    The table is dealt out by ranges of (group, order), so a group of any size is
+    sorted by many tasks; a row's place is its place in the task's part of the group,
+    plus the group's rows in the parts before, of which there is one number a part and
+    group.  Where the caller knows that no group holds more than GROUP rows (largest),
+    a window does the same without storing the table.
+    """
+    if largest is not None and largest <= GROUP:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    ranged = stored(ranged.withColumn("_w_part", F.spark_partition_id()).withColumn("_w_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    parts = ranged.groupBy("_w_part", group).agg(F.count(F.lit(1)).alias("_w_n"), F.min("_w_at").alias("_w_first"))
+    before = Window.partitionBy(group).orderBy("_w_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.withColumn("_w_base", F.coalesce(F.sum("_w_n").over(before), F.lit(0)) - F.col("_w_first")).drop("_w_n", "_w_first")
+    return ranged.join(base, ["_w_part", group]).withColumn(name, F.col("_w_at") + F.col("_w_base")).select(*df.columns, name)
+
+
 def join_first(base: DataFrame, metadata: DataFrame, key: str, order: str) -> DataFrame:
     """base with the first (by order) metadata row of its key, if any; matched says whether there is one. Null keys never match."""
     columns = [c for c in metadata.columns if c != key]

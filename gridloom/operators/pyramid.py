@@ -30,16 +30,79 @@ def tiled(cells: DataFrame, box: tuple, z: int) -> DataFrame:
     return cells.withColumn("tx", tile(F.col("x"), box[0], box[2], z)).withColumn("ty", tile(F.col("y"), box[1], box[3], z))
 
 
+#: The level whose tiles deal deeper ones out to tasks.
+KNEE = 8
+
+
+def spots(cells: DataFrame, box: tuple, deepest: int = DEEPEST) -> DataFrame:
+    """The occupied tiles of the deepest level: tx, ty, n and the extents ax, bx, ay, by of their cells' centres."""
+    return tiled(cells, box, deepest).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
+
+
+def _sums():
+    return [F.sum("n").alias("n"), F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")]
+
+
+def _up(column: str, by) -> Column:
+    return F.expr(f"shiftright({column}, {by})")
+
+
+def _apart(df: DataFrame, column: str) -> DataFrame:
+    """df with the bits of a number below 2**16 moved apart, a zero before each."""
+    for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        df = df.withColumn(column, F.col(column).bitwiseOR(F.shiftleft(column, step)).bitwiseAND(F.lit(mask)))
+    return df
+
+
+def roll_up(fine: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """z, z_to, tx, ty (of level z_to), n and extents of the occupied tiles of all levels, from those of the deepest.
+
+    The deepest tiles move once, to the task of their tile at level KNEE; the levels
+    below that are made there.  In Morton order a tile shares its levels with the
+    tiles before and after it and is alone on deeper ones: a row with z_to > z
+    stands for a tile that holds one and the same deepest tile on all those levels.
+    So only shared levels are added up, and there are no more rows than about twice
+    the deepest tiles.  Levels down to KNEE are few tiles.
+    """
+    knee = min(KNEE, deepest)
+    size = deepest - knee
+    columns = ["z", "z_to", "tx", "ty", "n", "ax", "bx", "ay", "by"]
+    at = fine.withColumn("px", _up("tx", size)).withColumn("py", _up("ty", size)).repartition("px", "py")
+    top = at.groupBy("px", "py").agg(*_sums()).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(knee))))
+    top = top.withColumn("tx", _up("px", f"{knee} - z")).withColumn("ty", _up("py", f"{knee} - z")).groupBy("z", "tx", "ty").agg(*_sums())
+    top = top.withColumn("z_to", F.col("z")).select(columns)
+    if not size:
+        return top
+    low = (1 << size) - 1
+    k = at.withColumn("_x", F.col("tx").bitwiseAND(low).cast("long")).withColumn("_y", F.col("ty").bitwiseAND(low).cast("long"))
+    k = _apart(_apart(k, "_x"), "_y").withColumn("_k", F.col("_x").bitwiseOR(F.shiftleft("_y", 1)))
+    order = Window.partitionBy("px", "py").orderBy("_k")
+
+    def shared(other: Column) -> Column:
+        """The deepest level at which this tile and the other are one."""
+        return F.coalesce(F.lit(deepest) - F.ceil(F.length(F.bin(F.col("_k").bitwiseXOR(other))) / 2).cast("int"), F.lit(knee))
+
+    k = k.withColumn("_s", F.greatest(F.lit(knee), shared(F.lag("_k").over(order)), shared(F.lead("_k").over(order))))
+    single = k.filter(F.col("_s") < deepest).withColumn("z", F.col("_s") + 1).withColumn("z_to", F.lit(deepest)).select(columns)
+    many = k.filter(F.col("_s") > knee).withColumn("z", F.explode(F.sequence(F.lit(knee + 1), F.col("_s"))))
+    many = many.withColumn("_tx", _up("tx", f"{deepest} - z")).withColumn("_ty", _up("ty", f"{deepest} - z")).groupBy("px", "py", "z", "_tx", "_ty").agg(*_sums())
+    many = many.withColumn("z_to", F.col("z")).withColumnsRenamed({"_tx": "tx", "_ty": "ty"}).select(columns)
+    return top.unionByName(single).unionByName(many)
+
+
+def each_level(tiles: DataFrame) -> DataFrame:
+    """z, tx, ty, n and extents: roll_up()'s tiles with a row for each level."""
+    wide = tiles.withColumn("_l", F.explode(F.sequence("z", "z_to")))
+    return wide.select(F.col("_l").alias("z"), _up("tx", "z_to - _l").alias("tx"), _up("ty", "z_to - _l").alias("ty"), "n", "ax", "bx", "ay", "by")
+
+
 def levels(cells: DataFrame, box: tuple, deepest: int = DEEPEST) -> DataFrame:
-    """z, tx, ty, n and extents of every level's occupied tiles: one scan at the deepest level, then a roll-up by halving tile numbers."""
-    fine = tiled(cells, box, deepest).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
-    every = fine.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
-    every = every.withColumn("tx", F.expr(f"shiftright(tx, {deepest} - z)")).withColumn("ty", F.expr(f"shiftright(ty, {deepest} - z)"))
-    return every.groupBy("z", "tx", "ty").agg(F.sum("n").alias("n"), F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by"))
+    """z, tx, ty, n and extents of every level's occupied tiles: one scan at the deepest level, then a roll-up."""
+    return each_level(roll_up(spots(cells, box, deepest), deepest))
 
 
 def level_summary(tiles: DataFrame, cap: int, box: tuple = (0.0, 0.0, 1.0, 1.0), w: float = 0.0, h: float = 0.0, deepest: int = DEEPEST) -> DataFrame:
-    """z, tiles, fullest, over (tiles above the cap), dropped, separable, packable.
+    """z, tiles, fullest, over (tiles above the cap), dropped, separable, packable of levels()' or roll_up()'s tiles.
 
     separable: some overfull tile's cells lie further apart than a tile of the deepest
     level, so deeper levels part them.  packable: some overfull tile's cells, each as
@@ -49,7 +112,10 @@ def level_summary(tiles: DataFrame, cap: int, box: tuple = (0.0, 0.0, 1.0, 1.0),
     wide, tall = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     apart = over & ((wide > F.lit((box[2] - box[0]) / (1 << deepest))) | (tall > F.lit((box[3] - box[1]) / (1 << deepest))))
     room = over & (F.col("n") * F.lit(w * h) <= (wide + F.lit(w)) * (tall + F.lit(h)))
-    return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.max("n").alias("fullest"), F.count_if(over).alias("over"), F.sum(F.greatest(F.col("n") - cap, F.lit(0))).alias("dropped"), F.bool_or(apart).alias("separable"), F.bool_or(room).alias("packable"))
+    runs = tiles if "z_to" in tiles.columns else tiles.withColumn("z_to", F.col("z"))
+    runs = runs.groupBy("z", "z_to").agg(F.count(F.lit(1)).alias("tiles"), F.max("n").alias("fullest"), F.count_if(over).alias("over"), F.sum(F.greatest(F.col("n") - cap, F.lit(0))).alias("dropped"), F.bool_or(apart).alias("separable"), F.bool_or(room).alias("packable"))
+    each = runs.withColumn("z", F.explode(F.sequence("z", "z_to")))  # a few hundred rows
+    return each.groupBy("z").agg(F.sum("tiles").alias("tiles"), F.max("fullest").alias("fullest"), F.sum("over").alias("over"), F.sum("dropped").alias("dropped"), F.bool_or("separable").alias("separable"), F.bool_or("packable").alias("packable"))
 
 
 def size_ceiling(box: tuple, w: float, h: float, deepest: int = DEEPEST) -> int:
@@ -78,12 +144,15 @@ def choose_z(summary: DataFrame, n: int, cap: int, box: tuple, w: float, h: floa
     return (stop["z"], stop["why"]) if stop else (deepest, "depth")
 
 
-def settle(cells: DataFrame, cap: int) -> tuple[int, str]:
-    """choose_z of cells: looked for in the first 8 levels, then in 16, then in all, so that shallow pyramids never bin deep."""
-    box = bbox(cells)
-    n, w, h = cells.agg(F.count(F.lit(1)), F.max("w"), F.max("h")).first()
+def coarser(fine: DataFrame, deepest: int, z: int) -> DataFrame:
+    """The occupied tiles of level z, from those of a deeper one."""
+    return fine.groupBy(_up("tx", deepest - z).alias("tx"), _up("ty", deepest - z).alias("ty")).agg(*_sums()) if z < deepest else fine
+
+
+def settle(fine: DataFrame, n: int, cap: int, box: tuple, w: float, h: float) -> tuple[int, str]:
+    """choose_z of a layout by its deepest tiles (spots()): looked for in the first 8 levels, then in 16, then in all, so that shallow pyramids never go deep."""
     for deepest in (8, 16, DEEPEST):
-        z, why = choose_z(level_summary(levels(cells, box, deepest), cap, box, w or 0.0, h or 0.0), n, cap, box, w or 0.0, h or 0.0, deepest)
+        z, why = choose_z(level_summary(roll_up(coarser(fine, DEEPEST, deepest), deepest), cap, box, w, h, deepest), n, cap, box, w, h, deepest)
         if why != "depth":
             break
     return z, why

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import columns as C
-from gridloom.operators import catalog, checks, ids, layouts, positions, profile, pyramid, roles, search, ticks, view
+from gridloom.operators import baked, catalog, checks, ids, layouts, positions, profile, pyramid, roles, search, ticks, view
 from gridloom.session import ship
 from gridloom.sources.tables import fixture, scalar_columns, table
 from gridloom.streaming import stream
@@ -31,9 +31,13 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
+    """Doubles to so many places, on both sides of the comparison; -0 as 0."""
+    return df.withColumns({n: F.round(F.col(n), places) + F.lit(0.0) for n in names})
+
+
 def r6(df: DataFrame, *names: str) -> DataFrame:
-    """Doubles to six places, on both sides of the comparison; -0 as 0."""
-    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+    return rounded(df, 6, *names)
 
 
 # ids, joins, integrity
@@ -328,12 +332,31 @@ def scatter_log(t):
     return r6(layouts.scatter(items, log=True).drop("placed"), "x", "y", "w", "h")
 
 
-@query("""with raw as (select vec_id as id, abs(embedding[1]::double) px, abs(embedding[2]::double) py from embeddings),
-s as (select greatest(max(px) - min(px), max(py) - min(py)) * 0.9 / greatest(1, ceil(sqrt(count(*)))) side from raw)
-select id, round(px * 0.95, 6) as x, round(py * 0.95, 6) as y, round(side, 6) as w, round(side, 6) as h from raw, s""")
+def _passthrough_sql(scale: str) -> str:
+    """Values as they are; every 23rd vector has none and stands in a block below the others, or in the strip where that has no room."""
+    return f"""with raw as (select vec_id as id, case when vec_id % 23 <> 5 then abs(embedding[1]::double) * {scale} end px, abs(embedding[2]::double) * {scale} py from embeddings),
+s as (select min(px) ax, max(py) by_, greatest(max(px) - min(px), max(py) - min(py)) * (0.9::double / greatest(1, ceil(sqrt(count(*))))) side, (select count(*) from raw where px is null) m from raw where px is not null),
+g as (select *, greatest(1, ceil(sqrt(m))) c, 0.95::double * by_ + side as top from s), f as (select *, top + ceil(m / c) * side <= 1 and c * side <= 1 as fits, least(greatest(0.95::double * ax, 0), 1 - c * side) as lft, floor(1 / side) as k from g),
+u as (select id, row_number() over (order by id) - 1 as j from raw where px is null)
+select id, round(px * 0.95, 9) as x, round(py * 0.95, 9) as y, round(side, 9) as w, round(side, 9) as h, true as placed from raw, f where px is not null
+union all select id, round(case when fits then lft + (j % c + 0.5) * side else (j % k + 0.5) / k end, 9), round(case when fits then top + (floor(j / c) + 0.5) * side else 0.96 + (floor(j / k) + 0.5) * (0.04 / ceil(m / k)) end, 9), round(side, 9), round(side, 9), false from u, f"""
+
+
+def _passthrough(t, scale: float):
+    px, py = F.abs("px") * F.lit(scale), F.abs("py") * F.lit(scale)
+    items = _vectors(t).select("id", F.when(F.col("id") % 23 != 5, px).alias("px"), py.alias("py"))
+    return rounded(layouts.scatter(items, normalize="none"), 9, "x", "y", "w", "h")
+
+
+@query(_passthrough_sql("0.5::double"))
 def scatter_passthrough(t):
-    items = _vectors(t).withColumn("px", F.abs("px")).withColumn("py", F.abs("py"))
-    return r6(layouts.scatter(items, normalize="none").drop("placed"), "x", "y", "w", "h")
+    return _passthrough(t, 0.5)
+
+
+@query(_passthrough_sql("(1 / (select max(abs(embedding[2]::double)) from embeddings))"))
+def scatter_passthrough_full(t):
+    tallest = _vectors(t).agg(F.max(F.abs("py"))).first()[0]
+    return _passthrough(t, 1 / tallest)
 
 
 def _geo_sql(px: str, py: str) -> str:
@@ -395,9 +418,9 @@ def treemap_rects(t):
 
 @query(_treemap_sql("p_type") + """, k as (select p_partkey as id, p_type as value, row_number() over (partition by p_type order by p_partkey) - 1 as j from part),
 q as (select *, greatest(1, least(n, round_even(sqrt(n * rw / rh), 0))) as c from r)
-select id, value, round(x0 + rw * (0.05 + 0.9 * (j % c + 0.5) / c), 6) + 0.0 as x, round(y0 + rh * (0.05 + 0.9 * (floor(j / c) + 0.5) / ceil(n / c)), 6) + 0.0 as y, round(rw * 0.9 / c * 0.9, 6) as w, round(rh * 0.9 / ceil(n / c) * 0.9, 6) as h from k join q using (value)""")
+select id, value, round(x0 + rw * (1 - 0.9::double) / 2 + (j % c + 0.5) * (rw * 0.9 / c), 9) + 0.0 as x, round(y0 + rh * (1 - 0.9::double) / 2 + (floor(j / c) + 0.5) * (rh * 0.9 / ceil(n / c)), 9) + 0.0 as y, round(rw * 0.9 / c * 0.9, 9) as w, round(rh * 0.9 / ceil(n / c) * 0.9, 9) as h from k join q using (value)""")
 def treemap_cells(t):
-    return r6(layouts.treemap_cells(t("part").withColumn("id", F.col("p_partkey")), "p_type"), "x", "y", "w", "h")
+    return rounded(layouts.treemap_cells(t("part").withColumn("id", F.col("p_partkey")), "p_type"), 9, "x", "y", "w", "h")
 
 
 @query(_treemap_sql("case when p_partkey % 97 = 0 then '' else p_brand end") + ", o as (select *, row_number() over (order by n desc, value) as k from r) select value, n, value = '' as missing, round(x0, 6) + 0.0 as x0, round(y0, 6) + 0.0 as y0, round(x0 + rw, 6) as x1, round(y0 + rh, 6) as y1 from o where k <= 10 - (select max((value = '' and k > 10)::int) from o) or value = ''")
@@ -488,14 +511,34 @@ def axis_places(t):
 
 # pyramid over the scatter of lineitem's prices and quantities
 
-LINES_SQL = SCATTER_SQL.replace("select vec_id as id, embedding[1]::double as px, embedding[2]::double as py from embeddings", "select l_orderkey * 8 + l_linenumber as id, l_extendedprice as px, l_quantity::double as py from lineitem")
+LINES_SQL = SCATTER_SQL.replace("select vec_id as id, embedding[1]::double as px, embedding[2]::double as py from embeddings", "select row_number() over (order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 as id, l_extendedprice as px, l_quantity::double as py from lineitem")
 BOX_SQL = LINES_SQL + ", " + BOX
 CAP = 64
 
 
+_baked: dict[tuple[str, str], baked.Baked] = {}
+
+
+def _stored(t, name: str, cells) -> baked.Baked:
+    """The layout of that name, baked when an application first asks for it; its cells() and spots() are stored tables."""
+    source = t("lineitem")
+    key = source.sparkSession.sparkContext.applicationId, f"{name}:{','.join(sorted(source.inputFiles()))}"
+    if key not in _baked:
+        _baked[key] = baked.bake(cells())
+    return _baked[key]
+
+
+def _layout(t) -> baked.Baked:
+    def cells():
+        order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+        items = ids.dense_ids(t("lineitem").select(*order), *order).select("id", F.col("l_extendedprice").alias("px"), F.col("l_quantity").cast("double").alias("py"))
+        return layouts.scatter(items).drop("placed")
+
+    return _stored(t, "lines", cells)
+
+
 def _lines(t):
-    items = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("px"), F.col("l_quantity").cast("double").alias("py"))
-    return layouts.scatter(items).drop("placed")
+    return _layout(t).cells(t("region").sparkSession).drop("key")
 
 
 def _levels_sql(cells: str) -> str:
@@ -510,19 +553,17 @@ bool_or(n > {CAP} and n * (mw * mh) <= (dx + mw) * (dy + mh)) as packable from t
 
 @query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box) select tx, ty, count(*) as n from z group by tx, ty")
 def tile_counts(t):
-    c = _lines(t)
-    return pyramid.tiled(c, pyramid.bbox(c), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    return pyramid.tiled(_lines(t), _layout(t).box, 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _summary(c):
-    box = pyramid.bbox(c)
-    w, h = c.agg(F.max("w"), F.max("h")).first()
-    return pyramid.level_summary(pyramid.levels(c, box), CAP, box, w, h), box, w, h
+def _summary(t):
+    b = _layout(t)
+    return pyramid.level_summary(pyramid.roll_up(b.spots(t("region").sparkSession)), CAP, b.box, b.w, b.h)
 
 
 @query(_levels_sql(BOX_SQL) + " select z::int as z, tiles, fullest, over, dropped, separable, packable from l")
 def level_summary(t):
-    return _summary(_lines(t))[0]
+    return _summary(t)
 
 
 @query(SCATTER_SQL + ", " + BOX + " " + " union all ".join(f"select {z} as z, tx, ty from (select distinct {_tile_sql(z)} from cells, box)" for z in range(25)))
@@ -536,13 +577,14 @@ w as (select z, case when fullest <= {CAP} then 'fits' when not separable then '
 select z::int as z, reason from (select z, reason from w where reason is not null union all select 24, 'depth') order by z limit 1"""
 
 
-def _choice(c):
-    return c.sparkSession.createDataFrame([pyramid.settle(c, CAP)], "z int, reason string")
+def _choice(t, b):
+    spark = t("region").sparkSession
+    return spark.createDataFrame([pyramid.settle(b.spots(spark), b.n, CAP, b.box, b.w, b.h)], "z int, reason string")
 
 
 @query(_levels_sql(BOX_SQL) + CHOICE_SQL)
 def choose_z(t):
-    return _choice(_lines(t))
+    return _choice(t, _layout(t))
 
 
 PILES_SQL = "with cells as (select l_orderkey * 8 + l_linenumber as id, ((l_orderkey * 7) % 13) / 13.0 + (l_linenumber % 3) * 1e-9 as x, ((l_orderkey * 5) % 11) / 11.0 as y, 0.004::double as w, 0.004::double as h from lineitem), " + BOX
@@ -552,27 +594,24 @@ PILES_SQL = "with cells as (select l_orderkey * 8 + l_linenumber as id, ((l_orde
 def choose_z_of_piles(t):
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     x, y = (o * 7 % 13) / F.lit(13.0) + (n % 3) * F.lit(1e-9), (o * 5 % 11) / F.lit(11.0)
-    return _choice(t("lineitem").select((o * 8 + n).alias("id"), x.alias("x"), y.alias("y"), F.lit(0.004).alias("w"), F.lit(0.004).alias("h")))
+    return _choice(t, _stored(t, "piles", lambda: t("lineitem").select((o * 8 + n).alias("id"), x.alias("x"), y.alias("y"), F.lit(0.004).alias("w"), F.lit(0.004).alias("h"))))
 
 
 @query(BOX_SQL + f" select round(max(w) * 8 / max(x1 - x0), 6) as widest, round(max(h) * 8 / max(y1 - y0), 6) as tallest from cells, box")
 def tile_spans(t):
-    c = _lines(t)
-    return r6(pyramid.tile_spans(c, pyramid.bbox(c), 3), "widest", "tallest")
+    return r6(pyramid.tile_spans(_lines(t), _layout(t).box, 3), "widest", "tallest")
 
 
 @query(BOX_SQL + f", z as (select id, {_tile_sql(3)} from cells, box), sl as (select *, row_number() over (partition by tx, ty order by id) - 1 as slot from z) select id, tx, ty, slot::int as slot, (slot % 8) / 8.0 as u, (slot // 8) / 8.0 as v from sl where slot < {CAP}")
 def fine_tile_keep(t):
-    c = _lines(t)
-    return pyramid.fine(c, pyramid.bbox(c), 3, CAP).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    return pyramid.fine(_lines(t), _layout(t).box, 3, CAP).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
 
 
 @query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box), k as (select count(*) as n from z group by tx, ty) select sum(n)::bigint as items, sum(least(n, {CAP}))::bigint as kept, sum(greatest(n - {CAP}, 0))::bigint as dropped from k")
 def reconcile(t):
     c = _lines(t)
-    box = pyramid.bbox(c)
-    kept = pyramid.fine(c, box, 3, CAP).agg(F.count("id").alias("kept"))
-    lost = pyramid.level_summary(pyramid.levels(c, box), CAP).filter("z = 3").select("dropped")
+    kept = pyramid.fine(c, _layout(t).box, 3, CAP).agg(F.count("id").alias("kept"))
+    lost = _summary(t).filter("z = 3").select("dropped")
     return kept.join(lost, F.lit(True)).join(c.agg(F.count(F.lit(1)).alias("items")), F.lit(True))  # single rows
 
 
@@ -584,15 +623,13 @@ def overlapping_neighbours(t):
 
 @query(BOX_SQL + f", z as (select {_tile_sql(4)} from cells, box), n as (select tx, ty, least(count(*), {CAP}) / {CAP}.0 as alpha from z group by 1, 2) select tx >> 1 as tx, ty >> 1 as ty, round(sum(alpha) / 4, 6) as coverage, sum(alpha) / 4 >= 0.45 as kept from n group by 1, 2")
 def coverage_gate(t):
-    c = _lines(t)
-    n = pyramid.tiled(c, pyramid.bbox(c), 4).groupBy("tx", "ty").agg((F.least(F.count(F.lit(1)), F.lit(CAP)) / F.lit(float(CAP))).alias("alpha"))
+    n = pyramid.tiled(_lines(t), _layout(t).box, 4).groupBy("tx", "ty").agg((F.least(F.count(F.lit(1)), F.lit(CAP)) / F.lit(float(CAP))).alias("alpha"))
     return r6(pyramid.covered(n), "coverage")
 
 
 @query(BOX_SQL + f", z as (select {_tile_sql(5)} from cells, box) select (ty::bigint * 32 + tx)::bigint as page, count(*) as n from z group by 1")
 def tile_pages(t):
-    c = _lines(t)
-    return pyramid.tiled(c, pyramid.bbox(c), 5).groupBy(pyramid.page_id(F.col("tx"), F.col("ty"), 5).alias("page")).agg(F.count(F.lit(1)).alias("n"))
+    return pyramid.tiled(_lines(t), _layout(t).box, 5).groupBy(pyramid.page_id(F.col("tx"), F.col("ty"), 5).alias("page")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(SCATTER_SQL + " select count(*) as n, 0::bigint as lost, round(max(case when id % 1000 = 7 then 0.01 else 0 end), 9)::double as dx, 0.0::double as dy, false as same from cells")
@@ -618,29 +655,48 @@ def rekey_and_detail(t):
 
 # views
 
-OVERLAP = "x + w / 2 > 0.3 and x - w / 2 < 0.6 and y + h / 2 > 0.3 and y - h / 2 < 0.55"
 VIEW = (0.3, 0.3, 0.6, 0.55)
 
 
+def _overlap_sql(v: tuple) -> str:
+    return f"x + w / 2 > {v[0]} and x - w / 2 < {v[2]} and y + h / 2 > {v[1]} and y - h / 2 < {v[3]}"
+
+
+OVERLAP = _overlap_sql(VIEW)
+
+
 @query(LINES_SQL + f" select count(*) as n from cells where {OVERLAP}")
 def viewport_count(t):
-    return view.in_view(_lines(t), VIEW)
+    return view.in_view(_layout(t).near(t("region").sparkSession, VIEW), VIEW)
 
 
-@query(SCATTER_SQL + f", v as (select id from cells where {OVERLAP}) select id from v where (select count(*) from v) <= 1000")
+SMALL_VIEW = (0.41, 0.47, 0.4102, 0.476)
+
+
+@query(LINES_SQL + f", v as (select id from cells where {_overlap_sql(SMALL_VIEW)}) select id from v where (select count(*) from v) <= 1000")
 def range_scan_cap(t):
-    return view.range_scan(_scattered(t), VIEW, 1000)
+    return view.range_scan(_layout(t).near(t("region").sparkSession, SMALL_VIEW), SMALL_VIEW, 1000)
+
+
+@query(LINES_SQL + f", v as (select id from cells where {OVERLAP}) select id from v where (select count(*) from v) <= 40")
+def range_scan_over_cap(t):
+    return view.range_scan(_layout(t).near(t("region").sparkSession, VIEW), VIEW, 40)
+
+
+@query(BOX_SQL + f", z as (select id, x, y, {_tile_sql(5)} from cells, box) select id, round(x, 9) + 0.0 as x, round(y, 9) + 0.0 as y from z where tx = 13 and ty = 17")
+def tile_read(t):
+    found = baked.in_tile(_layout(t), t("region").sparkSession, 5, 13, 17)
+    return found.select("id", (F.round("x", 9) + 0.0).alias("x"), (F.round("y", 9) + 0.0).alias("y"))
 
 
 @query(LINES_SQL + " select id, round((x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), 9) as d2 from cells where abs(x - 0.5) <= w / 2 and abs(y - 0.475) <= h / 2 order by (x - 0.5) * (x - 0.5) + (y - 0.475) * (y - 0.475), id desc limit 1")
 def point_pick(t):
-    return view.pick(_lines(t), 0.5, 0.475).withColumn("d2", F.round("d2", 9))
+    return view.pick(_layout(t).near(t("region").sparkSession, (0.5, 0.475, 0.5, 0.475)), 0.5, 0.475).withColumn("d2", F.round("d2", 9))
 
 
 @query(BOX_SQL + f", z as (select *, {_tile_sql(2)} from cells, box) select tx, ty, count(*) as n, count(*) - 640 as dropped, round(arg_min(x, id), 6) as x, round(arg_min(y, id), 6) as y from z group by tx, ty having count(*) > 640")
 def hotspots(t):
-    c = _lines(t)
-    return r6(view.hotspots(c, pyramid.bbox(c), 2, 640), "x", "y")
+    return r6(view.hotspots(_lines(t), _layout(t).box, 2, 640), "x", "y")
 
 
 @query(LINES_SQL + ", e as (select min(x) ax, max(x) bx, min(y) ay, max(y) b2 from cells) select least(5, floor((x - ax) / (bx - ax) * 6))::int as gx, least(5, floor((y - ay) / (b2 - ay) * 6))::int as gy, id % 3 = 0 as matched, count(*) as n, round(min(x - w / 2), 6) as x0, round(min(y - h / 2), 6) as y0, round(max(x + w / 2), 6) as x1, round(max(y + h / 2), 6) as y1 from cells, e group by 1, 2, 3")
@@ -673,12 +729,12 @@ SEEN_SQL = BOX_SQL + ", sp as (select greatest(0, floor((0.3 - x0) / (x1 - x0) *
 
 @query(SEEN_SQL + " select tx, ty from v")
 def visible_tiles(t):
-    return view.visible_tiles(t("region").sparkSession, pyramid.bbox(_lines(t)), VIEW, 3)
+    return view.visible_tiles(t("region").sparkSession, _layout(t).box, VIEW, 3)
 
 
 @query(SEEN_SQL + " select tx, ty, round((x0 + (tx + 0.5) / 8 * (x1 - x0) - 0.4) * (x0 + (tx + 0.5) / 8 * (x1 - x0) - 0.4) + (y0 + (ty + 0.5) / 8 * (y1 - y0) - 0.4) * (y0 + (ty + 0.5) / 8 * (y1 - y0) - 0.4), 9) as d2 from v, box")
 def focal_tiles(t):
-    box = pyramid.bbox(_lines(t))
+    box = _layout(t).box
     return view.focal_order(view.visible_tiles(t("region").sparkSession, box, VIEW, 3), box, 3, 0.4, 0.4).withColumn("d2", F.round("d2", 9))
 
 
@@ -689,8 +745,7 @@ def selection_digest(t):
 
 @query()
 def declutter_chips(t):
-    c = _lines(t)
-    chips = view.hotspots(c, pyramid.bbox(c), 3, 4).select((F.col("ty") * 8 + F.col("tx")).cast("long").alias("id"), "n", "x", "y")
+    chips = view.hotspots(_lines(t), _layout(t).box, 3, 4).select((F.col("ty") * 8 + F.col("tx")).cast("long").alias("id"), "n", "x", "y")
     return r6(view.declutter(chips, 0.15, 12), "x", "y")
 
 

@@ -174,7 +174,7 @@ def test_levels_stop_for_the_right_reason(spark):
         cells = spark.createDataFrame([(i, float(x), float(y), w, h) for i, (x, y) in enumerate(rows)], "id long, x double, y double, w double, h double")
         box = pyramid.bbox(cells)
         whole = pyramid.choose_z(pyramid.level_summary(pyramid.levels(cells, box), cap, box, w, h), len(rows), cap, box, w, h)
-        assert pyramid.settle(cells, cap) == whole
+        assert pyramid.settle(pyramid.spots(cells, box), len(rows), cap, box, w, h) == whole
         return whole
 
     grid = [((i + 0.5) / 16, (j + 0.5) / 16) for i in range(16) for j in range(16)]
