@@ -998,11 +998,39 @@ def events_sessions(t):
     return stream.session_windows(t("events"), "user_id", "ts", "2 hours")
 
 
-@query("""with recursive c as (select user_id session, event_type name, row_number() over (partition by user_id, event_type order by event_id) i, case when event_id % 5 = 0 then 0 else (event_id % 3) * 10 end off, 10 len, 30 size from events),
-f as (select session, name, i, case when off = 0 then least(len, size) else 0 end as length, case when off = 0 then size else -1 end as size from c where i = 1
-union all select c.session, c.name, c.i, case when c.off = 0 then least(c.len, c.size) when c.off = f.length and c.size = f.size then least(f.length + c.len, f.size) else f.length end, case when c.off = 0 then c.size else f.size end from f join c on c.session = f.session and c.name = f.name and c.i = f.i + 1)
-select session, name, length::bigint as length, size::bigint as size, length = size as complete from f qualify row_number() over (partition by session, name order by i desc) = 1""")
+CHUNKS_SQL = """c as (select user_id session, event_type name, event_id as seq, case when event_id % 17 = 0 then null when event_id % 5 = 0 then 0 when event_id % 29 = 0 then 30 else (event_id % 3) * 10 end off,
+case when event_id % 19 = 0 then 25 else 10 end as len, case when event_id % 13 = 0 then 20 else 30 end as size, event_id % 7 <> 3 as ok, case when event_id % 2 = 0 then 'a' else 'b' end as sha from events)"""
+
+
+@query(f"""with recursive {CHUNKS_SQL}, o as (select *, row_number() over (partition by session, name order by seq) i from c),
+f as (select session, name, 0::bigint i, 0::bigint staged, null::bigint declared, null::bigint fsize, null::varchar fsha, 0::bigint refused, 0::bigint failed, 0::bigint already, 0::bigint conflicts from (select distinct session, name from c)
+union all select session, name, i, case when done and not whole then 0 when act in ('refused', 'none') then staged when act = 'drop' then 0 when act = 'cut' then off else off + len end, case when done and not whole then null when act in ('refused', 'none') then declared when act = 'drop' then null else size end,
+case when done and fsize is null then size else fsize end, case when done and fsize is null then sha else fsha end, refused + (act in ('refused', 'drop'))::int, failed + ((act = 'cut') or (whole and not ok))::int, already + (done and fsize is not null and fsize = size and fsha = sha)::int, conflicts + (done and fsize is not null and not (fsize = size and fsha = sha))::int
+from (select *, (whole and ok) or (act = 'add' and off + len = size) as done from (select o.*, f.staged, f.declared, f.fsize, f.fsha, f.refused, f.failed, f.already, f.conflicts, off is null as whole,
+case when off is null then 'none' when off < 0 or off >= size or (off > 0 and (off <> staged or size is distinct from declared)) then 'refused' when not ok then 'cut' when off + len > size then 'drop' else 'add' end as act from f join o on o.session = f.session and o.name = f.name and o.i = f.i + 1)))
+select session, name, staged, fsize as size, fsha as sha, refused, failed, already, conflicts from f qualify row_number() over (partition by session, name order by i desc) = 1""")
 def append_files(t):
     i = F.col("event_id")
-    c = t("events").select(F.col("user_id").alias("session"), F.col("event_type").alias("name"), i.alias("seq"), F.when(i % 5 == 0, 0).otherwise(i % 3 * 10).cast("long").alias("offset"), F.lit(10).cast("long").alias("length"), F.lit(30).cast("long").alias("size"))
+    long = lambda c: c.cast("long")
+    c = t("events").select(
+        F.col("user_id").alias("session"), F.col("event_type").alias("name"), i.alias("seq"),
+        long(F.when(i % 17 == 0, None).when(i % 5 == 0, 0).when(i % 29 == 0, 30).otherwise(i % 3 * 10)).alias("offset"), long(F.when(i % 19 == 0, 25).otherwise(10)).alias("length"),
+        long(F.when(i % 13 == 0, 20).otherwise(30)).alias("size"), (i % 7 != 3).alias("ok"), F.when(i % 2 == 0, "a").otherwise("b").alias("sha"),
+    )
     return stream.appended(c)
+
+
+@query("""with recursive e as (select epoch_us(ts) t from events), w as (select min(t) o from e union all select (select min(t) from e where t >= o + 21600000000) from w where o is not null),
+k as (select o, (select count(*) from e where t >= o and t < o + 21600000000) n from w where o is not null)
+select 'all' as key, count(*) as windows, sum(n)::bigint as events, sum(greatest(n - 5, 0))::bigint as rejected from k""")
+def rate_limit_one_key(t):
+    return stream.limiter_counts(t("events").select(F.lit("all").alias("k"), "ts"), "k", "ts", 21600, 5, busy=1000)
+
+
+@query("""with recursive e as (select user_id job, event_type stage, event_id % 7 < 4 as busy, epoch_us(ts) t, event_id from events), l as (select *, lag(busy) over (partition by job, stage order by t, event_id) p from e),
+r as (select *, sum((p is null or p <> busy)::int) over (partition by job, stage order by t, event_id rows unbounded preceding) run from l), o as (select *, row_number() over (partition by job, stage, run order by t, event_id) i from r),
+f as (select job, stage, run, i, t as o, true as kept from o where i = 1 union all select o.job, o.stage, o.run, o.i, case when o.t - f.o >= 7200000000 then o.t else f.o end, o.t - f.o >= 7200000000 from f join o on o.job = f.job and o.stage = f.stage and o.run = f.run and o.i = f.i + 1)
+select job, stage, count(*) filter (kept) as kept from f group by 1, 2""")
+def progress_flushes(t):
+    e = t("events").select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), (F.col("event_id") % 7 < 4).alias("state"), "ts", F.col("event_id").alias("seq"))
+    return stream.flushes(e, 7200)

@@ -1,23 +1,47 @@
-"""Keyed state over events: limiters, sessions, progress, appends; batch folds and their streaming twins."""
+"""Keyed state over events: limiters, sessions, progress, appends, as batch jobs; `keyed` has their streaming twins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ids import ranks_within
+from gridloom.sources.tables import stored
+
+
+#: Events of a key from which it is busy: its windows are found by links, not by a fold.
+BUSY = 100_000
 
-def limiter_counts(events: DataFrame, key: str, ts: str, window_s: int, limit: int = 1) -> DataFrame:
+
+def limiter_counts(events: DataFrame, key: str, ts: str, window_s: int, limit: int = 1, busy: int = BUSY) -> DataFrame:
     """key, windows, events, rejected; a window opens at its key's first event after the last one closed and lets `limit` events through.
 
     A fold over each key's sorted times whose state is five numbers.  Times are cut
     first at gaps of window_s or more, which always close a window, so that a fold
-    covers one busy stretch of a key, not the key's whole history.
+    covers one busy stretch of a key.  Keys of more than `busy` events take part in no
+    window and no array: see busy_counts().  Both ways give the same counts.
     """
     us = window_s * 1_000_000
     e = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    many = [r["key"] for r in e.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > busy).orderBy(F.desc("n")).limit(KEYS + 1).collect()]
+    if not many:
+        return _folded(e, us, limit)
+    if len(many) > KEYS:  # too many to name: they are looked up
+        known = e.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > busy).select(F.col("key").alias("k"))
+        is_busy = e.join(known, F.col("key").eqNullSafe(F.col("k")), "left_semi")
+        rest = e.join(known, F.col("key").eqNullSafe(F.col("k")), "left_anti")
+    else:
+        test = F.coalesce(F.col("key").isin([k for k in many if k is not None]), F.lit(False)) | (F.col("key").isNull() & F.lit(None in many))
+        is_busy, rest = e.filter(test), e.filter(~test)
+    return _folded(rest, us, limit).unionByName(busy_counts(is_busy, us, limit))
+
+
+#: Busy keys that a filter names.
+KEYS = 200
+
+
+def _folded(e: DataFrame, us: int, limit: int) -> DataFrame:
+    """limiter_counts of (key, t) by a fold a stretch."""
     w = Window.partitionBy("key").orderBy("t")
     e = e.withColumn("cut", (F.col("t") - F.lag("t").over(w) >= F.lit(us)).cast("int"))
     e = e.withColumn("stretch", F.sum(F.coalesce("cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -26,39 +50,41 @@ def limiter_counts(events: DataFrame, key: str, ts: str, window_s: int, limit: i
     begin, more = state.format(o="t", n="1L", w="a.windows + 1L", r=f"a.rejected + {int(limit < 1)}L"), state.format(o="a.o", n="a.n + 1L", w="a.windows", r=f"a.rejected + if(a.n + 1 > {limit}, 1L, 0L)")
     fold = f"aggregate(ts, {state.format(o='ts[0]', n='0L', w='1L', r='0L')}, (a, t) -> if(t - a.o < {us}L, {more}, {begin}))"
     done = runs.select("key", F.size("ts").alias("n"), F.expr(fold).alias("a"))
-    return done.groupBy("key").agg(F.sum("a.windows").alias("windows"), F.sum("n").alias("events"), F.sum("a.rejected").alias("rejected"))
-
+    return done.groupBy("key").agg(F.sum("a.windows").alias("windows"), F.sum("n").cast("long").alias("events"), F.sum("a.rejected").alias("rejected"))
 
-def limited(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60) -> DataFrame:
-    """key, windows, events, rejected: what a limit of `limit` a window lets through."""
-    return limiter_counts(events, key, ts, window_s, limit)
 
+def busy_counts(e: DataFrame, us: int, limit: int) -> DataFrame:
+    """limiter_counts of (key, t) by links: a key's events may be any number, and no task holds them.
 
-def limiter_stream(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60, expire: bool = True) -> DataFrame:
-    """The limiter over a stream of (key, ts): key, ts, allowed; one (opened, n) state a key that expires after a window.
-
-    Without expire, states stay; a stream that must end by itself (availableNow) needs that."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    Each event has a place in its key and a link to the first event a window later,
+    whose place is the number of events before that time: both are ranks of a table
+    that is dealt out by ranges.  The windows open at the events that the links reach
+    from place 0; doubling the links' length each round finds them in a logarithmic
+    number of joins on (key, place), each round stored.
+    """
+    named = stored(e.filter("t is not null").withColumn("g", F.coalesce(F.concat(F.lit("k"), F.col("key").cast("string")), F.lit(""))))
+    placed = stored(ranks_within(named.select("g", "t"), "g", "t", name="i"))
+    marks = placed.select("g", "t", F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("i")).unionByName(placed.select("g", (F.col("t") + us).alias("t"), F.lit(0).alias("kind"), "i"))
+    # before a mark stand the events before its time, and the marks of the events before its own
+    links = ranks_within(marks, "g", "t", "kind", "i", name="r").filter("kind = 0").select("g", "i", (F.col("r") - F.col("i")).alias("to"))
+    n = named.groupBy("g").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    links = stored(links)
+    jump = links
+    reached = stored(n.select("g", F.lit(0).cast("long").alias("i")))
+    while True:
+        more = stored(reached.join(jump, ["g", "i"]).select("g", F.col("to").alias("i")).join(links.select("g", "i"), ["g", "i"], "left_semi").join(reached, ["g", "i"], "left_anti"))
+        if more.isEmpty():
+            break
+        reached = stored(reached.unionByName(more))
+        far = jump.select("g", F.col("i").alias("to"), F.col("to").alias("then"))
+        jump = stored(jump.join(far, ["g", "to"]).select("g", "i", F.col("then").alias("to")))
+    opened = reached.join(links, ["g", "i"]).groupBy("g").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.greatest(F.col("to") - F.col("i") - limit, F.lit(0))).alias("rejected"))
+    return n.join(opened, "g").select("key", "windows", F.col("n").alias("events"), "rejected")
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, n = state.get if state.exists else (None, 0)
-        for frame in frames:
-            out = []
-            for t in sorted(frame["ts"]):
-                if opened is None or t.timestamp() - opened >= window_s:
-                    opened, n = t.timestamp(), 0
-                n += 1
-                out.append((k[0], t, n <= limit))
-            yield pd.DataFrame(out, columns=["key", "ts", "allowed"])
-        state.update((opened, n))
-        if expire:
-            state.setTimeoutDuration(window_s * 1000)
 
-    keyed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return keyed.groupBy("key").applyInPandasWithState(step, f"key {keyed.schema['key'].dataType.simpleString()}, ts timestamp, allowed boolean", "opened double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+def limited(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 60) -> DataFrame:
+    """key, windows, events, rejected: what a limit of `limit` a window lets through."""
+    return limiter_counts(events, key, ts, window_s, limit)
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -93,8 +119,8 @@ def closed(stages: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def flushes(events: DataFrame, gap_s: int = 1) -> DataFrame:
-    """job, stage, kept: how many progress events (job, stage, state, ts) are written: at most one every gap_s a stage, but for changes of state, which always are."""
-    w = Window.partitionBy("job", "stage").orderBy("ts")
+    """job, stage, kept: how many progress events (job, stage, state, ts, seq) are written: at most one every gap_s a stage, but for changes of state, which always are."""
+    w = Window.partitionBy("job", "stage").orderBy("ts", "seq")
     e = events.withColumn("turn", F.coalesce(F.col("state") != F.lag("state").over(w), F.lit(True)).cast("int"))
     e = e.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("key", F.struct("job", "stage", "run"))
     return throttled(e, "key", "ts", gap_s).groupBy("key.job", "key.stage").agg(F.sum("kept").alias("kept"))
@@ -130,13 +156,43 @@ def session_windows(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame
 
 
 def appended(chunks: DataFrame) -> DataFrame:
-    """session, name, length, size, complete after (session, name, seq, offset, length, size) chunks in order of seq.
-
-    Offset 0 starts anew; another chunk counts only if it begins where the file
-    ends and names the same size.  A file's chunks are folded in SQL.
+    """What becomes of files sent in chunks: session, name, staged, size, sha, refused, failed, already, conflicts.
+
+    chunks: session, name, seq, offset, length, size, ok, sha.  A chunk must have
+    0 <= offset < size.  Offset 0 drops what is staged and starts anew; another chunk
+    counts only where the staged bytes end and for the same size, else it is refused.
+    A chunk that failed (not ok) is cut off again.  One that brings more than the size
+    drops the staged bytes.  A file that reaches its size is stored, unless its name
+    is: then it is already present (same size and sha) or a conflict.  A row without
+    offset sends a whole file, beside the staged one.
+
+    A new start makes a run of its own, folded from its own chunks; runs that
+    complete and whole files then meet by name, where the first is the stored one.
     """
-    files = chunks.filter((F.col("offset") >= 0) & (F.col("offset") < F.col("size"))).groupBy("session", "name").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length", "size"))).alias("c"))
-    fold = """aggregate(c, named_struct('length', 0L, 'size', -1L), (a, x) ->
-        if(x.offset = 0, named_struct('length', least(x.length, x.size), 'size', x.size),
-           if(x.offset = a.length and x.size = a.size, named_struct('length', least(a.length + x.length, a.size), 'size', a.size), a)))"""
-    return files.select("session", "name", F.expr(fold).alias("f")).select("session", "name", F.col("f.length").alias("length"), F.col("f.size").alias("size"), (F.col("f.length") == F.col("f.size")).alias("complete"))
+    valid = (F.col("offset") >= 0) & (F.col("offset") < F.col("size"))
+    order = Window.partitionBy("session", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    c = chunks.filter("offset is not null").withColumn("valid", F.coalesce(valid, F.lit(False)))
+    c = c.withColumn("run", F.sum((F.col("valid") & (F.col("offset") == 0)).cast("int")).over(order))
+    runs = c.groupBy("session", "name", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length", "size", "ok", "sha", "valid"))).alias("c"))
+    state = lambda staged, declared, refused="a.refused", failed="a.failed", done="a.done": f"named_struct('staged', {staged}, 'declared', {declared}, 'refused', {refused}, 'failed', {failed}, 'done', {done})"
+    nothing, kind = "cast(null as bigint)", "cast(null as struct<seq:bigint,size:bigint,sha:string>)"
+    fold = f"""aggregate(c, {state("0L", nothing, "0L", "0L", kind)}, (a, x) -> case
+        when not x.valid or (x.offset > 0 and (x.offset != a.staged or not (x.size <=> a.declared))) then {state("a.staged", "a.declared", "a.refused + 1L")}
+        when not x.ok then {state("x.offset", "x.size", failed="a.failed + 1L")}
+        when x.offset + x.length > x.size then {state("0L", nothing, "a.refused + 1L")}
+        when x.offset + x.length = x.size then {state("0L", nothing, done="named_struct('seq', cast(x.seq as bigint), 'size', x.size, 'sha', x.sha)")}
+        else {state("x.offset + x.length", "x.size")} end)"""
+    done = runs.select("session", "name", "run", F.expr(fold).alias("f"))
+    whole = chunks.filter("offset is null")
+    ends = done.filter("f.done is not null").select("session", "name", "f.done.*").unionByName(whole.filter("ok").select("session", "name", F.col("seq").cast("long").alias("seq"), "size", "sha"))
+    # of like files one row, as the rest of them are already present
+    ends = ends.groupBy("session", "name", "size", "sha").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+    first = F.min_by(F.struct("size", "sha", "n"), "seq").alias("first")
+    files = ends.groupBy("session", "name").agg(first, F.sum("n").alias("n"))
+    files = files.select("session", "name", F.col("first.size").alias("size"), F.col("first.sha").alias("sha"), (F.col("first.n") - 1).alias("already"), (F.col("n") - F.col("first.n")).alias("conflicts"))
+    staged = done.groupBy("session", "name").agg(F.max_by("f.staged", "run").alias("staged"), F.sum("f.refused").alias("refused"), F.sum("f.failed").alias("failed"))
+    lost = whole.filter("not ok").groupBy("session", "name").agg(F.count(F.lit(1)).alias("lost"))
+    names = chunks.select("session", "name").distinct()
+    j = names.join(staged, ["session", "name"], "left").join(lost, ["session", "name"], "left").join(files, ["session", "name"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return j.select("session", "name", zero("staged"), "size", "sha", zero("refused"), (F.coalesce("failed", F.lit(0)) + F.coalesce("lost", F.lit(0))).cast("long").alias("failed"), zero("already"), zero("conflicts"))
