@@ -51,7 +51,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id, or have a null one, are taken each alone; an empty table gives no rows.
     """
     ship(spark)
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, ordered=False)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,9 +135,12 @@ def mix_totals(documents: DataFrame, **knobs) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(documents: DataFrame, **knobs) -> DataFrame:
+def mixed_documents(documents: DataFrame, ordered: bool = True, **knobs) -> DataFrame:
     """The taken documents with all their columns, one row per taken copy, in the mix's order of finish times.
 
+    Without `ordered` they come in no order: for a table, which keeps none, and where
+    placed() gives the order back.
+
     The documents are written once with a row key, by which the taken copies are
     joined back: rows that repeat a doc_id, or have a null one, are taken each alone.
     """
@@ -145,7 +148,8 @@ def mixed_documents(documents: DataFrame, **knobs) -> DataFrame:
     keyed = written(documents.withColumn(size, word_count()).withColumn(row, F.monotonically_increasing_id()))
     sized = keyed.select("doc_id", "source", F.col(size).alias("size"), F.col(row).alias("row"))
     taken = _mixed(sized, **knobs).filter("taken").select(F.col("row").alias(row), F.col("finish").alias(finish))
-    return keyed.join(taken, row).orderBy(finish, "doc_id", row).select(*documents.columns)
+    out = keyed.join(taken, row)
+    return (out.orderBy(finish, "doc_id", row) if ordered else out).select(*documents.columns)
 
 
 def placed(mixed: DataFrame, name: str = "position", seed: int = 17) -> DataFrame:
