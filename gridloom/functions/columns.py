@@ -62,19 +62,28 @@ def iso(c: Column) -> Column:
     return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")))
 
 
+#: The units of sizes, each 1,024 of the one before.
+SIZES = ("KiB", "MiB", "GiB", "TiB")
+
+
 def bytes_text(c: Column) -> Column:
-    """999 B, 1.5 KB, 2.0 MB: units of 1,000."""
+    """999 B, 1.5 KiB, 2.0 MiB, 310 GiB: one decimal below 100."""
+    v = c.cast("double")
     out = F.concat(c.cast("string"), F.lit(" B"))
-    for size, unit in ((1e3, "KB"), (1e6, "MB"), (1e9, "GB"), (1e12, "TB")):
-        out = F.when(c >= F.lit(int(size)), F.concat(F.format_string("%.1f", c / F.lit(size)), F.lit(f" {unit}"))).otherwise(out)
+    for k, unit in enumerate(SIZES, 1):
+        n = v / F.lit(float(1024**k))
+        text = F.when(n >= 100, F.floor(n + 0.5).cast("string")).otherwise(F.format_string("%.1f", n))
+        out = F.when(v >= F.lit(float(1024**k)), F.concat(text, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def duration_text(seconds: Column) -> Column:
-    """45s, 2m 5s, 3h 10m."""
-    s = F.round(seconds).cast("long")
-    h, m = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(m, F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(h, F.lit("h "), m, F.lit("m")))
+    """45 s, 2 min, 3 h, 3 h 10 min: whole seconds below a minute, then whole minutes; below 0 as 0."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5))
+    minutes = F.floor(s / 60 + 0.5)
+    h, m = F.floor(minutes / 60), minutes % 60
+    hours = F.concat(h.cast("string"), F.lit(" h"), F.when(m > 0, F.concat(F.lit(" "), m.cast("string"), F.lit(" min"))).otherwise(""))
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit(" s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(hours)
 
 
 def instant(c: Column, form: str) -> Column:

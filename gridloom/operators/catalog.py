@@ -86,7 +86,7 @@ def newly_stale(before: DataFrame, after: DataFrame, baked: DataFrame) -> DataFr
 
 
 def changed_columns(before: DataFrame, after: DataFrame) -> DataFrame:
-    """n: how many columns a change of roles reads in another way."""
+    """n: how many columns a change of roles reads in another way; roles.role_changes counts the edits."""
     return role_diff(before, after).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,13 +131,16 @@ def band_of(hits: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def selection_print(files: DataFrame) -> DataFrame:
-    """selection, print of (selection, name, size) files, whatever their order: FNV-1a of 32 bits over the sorted lines, as hex.
+    """selection, print of (selection, name, size) files, whatever their order: FNV-1a of 32 bits over the sorted lines of base name and size, as hex.
 
-    A selection is one value here, as it is one request of a user.
+    Lines sort and count by UTF-16 units.  A selection is one value here, as it is one
+    request of a user.
     """
-    lines = files.groupBy("selection").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", F.col("size").cast("string")))), "\n").alias("t"))
-    units = F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("long"))
-    fnv = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    line = F.concat_ws(" ", F.element_at(F.split(F.translate("name", "\\", "/"), "/"), -1), F.col("size").cast("string"))
+    units = F.hex(F.encode(line, "UTF-16BE"))
+    lines = files.groupBy("selection").agg(F.array_join(F.array_sort(F.collect_list(units)), "000A").alias("t"))
+    codes = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(4)), lambda i: F.conv(F.substring("t", i, F.lit(4)), 16, 10).cast("long"))
+    fnv = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
     return lines.select("selection", F.lpad(F.lower(F.hex(fnv)), 8, "0").alias("print"))
 
 
@@ -172,3 +175,14 @@ def restamped(entries: DataFrame, version: str) -> DataFrame:
     """entries (with print, version) under a new version, if every one of them has a print; else as they are."""
     whole = entries.agg(F.bool_and(F.col("print").isNotNull()).alias("_whole"))
     return entries.join(F.broadcast(whole), F.lit(True)).withColumn("version", F.when(F.col("_whole"), F.lit(version)).otherwise(F.col("version"))).drop("_whole")  # one row
+
+
+def tag_sidecars(datasets: DataFrame) -> DataFrame:
+    """dataset, missing, orphan of (dataset, declared, served, sidecar): declared tag columns that its tag file does not serve, and whether a file stands there that no role asks for."""
+    d = datasets.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("declared", "served")})
+    return d.select("dataset", F.array_sort(F.array_except("declared", "served")).alias("missing"), (F.coalesce("sidecar", F.lit(False)) & (F.size("declared") == 0)).alias("orphan"))
+
+
+def minted(records: DataFrame, owner: str, upload: str) -> DataFrame:
+    """The first record by (created, id) that an owner's upload made; no row where there is none."""
+    return records.filter((F.col("owner") == owner) & (F.col("upload") == upload)).orderBy("created", "id").limit(1)

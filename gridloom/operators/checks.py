@@ -109,8 +109,14 @@ def _wanted(kind: str, found: T.DataType) -> str | None:
     return None
 
 
-def role_findings(df: DataFrame, roles: list[tuple[str, str]]) -> DataFrame:
-    """role, column, finding (missing, or the type it should have) of (role, column) pairs against df's schema; no scan."""
+def role_findings(df: DataFrame, roles: list[tuple[str, ...]]) -> DataFrame:
+    """role, column, finding (missing, the type it should have, or iso8601) of (role, column) or (role, column, form) against df's schema; no scan.
+
+    A stored time has no form but iso8601: numbers have been read as what they count by then.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    found = [(k, c, "missing" if c not in types else _wanted(k, types[c])) for k, c in roles]
+    found = []
+    for kind, c, *form in roles:
+        wrong = "missing" if c not in types else _wanted(kind, types[c])
+        found.append((kind, c, wrong or ("iso8601" if kind == "datetime" and form and form[0] != "iso8601" else None)))
     return df.sparkSession.createDataFrame([x for x in found if x[2]], "role string, column string, finding string")

@@ -185,6 +185,12 @@ def fine(cells: DataFrame, box: tuple, z: int, cap: int) -> DataFrame:
     return kept.select("id", "tx", "ty", "slot", ((F.col("slot") % per) / per).alias("u"), (F.floor(F.col("slot") / per) / per).alias("v"))
 
 
+def fine_tiles(cells: DataFrame, box: tuple, z: int, cap: int) -> DataFrame:
+    """tx, ty, kept, dropped of each occupied tile: what fine() keeps there and what it leaves out."""
+    n = tiled(cells, box, z).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("tx", "ty", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))
+
+
 def neighbours(cells: DataFrame, box: tuple, z: int) -> DataFrame:
     """Pairs (id, other) of cells whose footprints overlap, found among the 3 x 3 tiles around each cell; tiles must be no smaller than cells."""
     t = tiled(cells, box, z)

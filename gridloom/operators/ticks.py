@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Steps of ticks on an axis without bins, in years.
 YEAR_STEPS = (1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500, 1000, 2000, 5000, 10000)
-#: Units of the next larger calendar unit, and a unit's seconds.
+#: Units of the next larger calendar unit; a unit's months or seconds.
 CYCLE = {"second": 60, "minute": 60, "hour": 24, "month": 12}
-SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+MONTHS, SECONDS = {"year": 12, "month": 1}, {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 _LABEL = {"year": "y", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:mm", "minute": "yyyy-MM-dd HH:mm", "second": "yyyy-MM-dd HH:mm:ss"}
 
 
@@ -25,56 +23,58 @@ def time_at(place: Column, domain: tuple[float, float], reach: tuple[float, floa
     return F.lit(domain[0]) + (place - F.lit(reach[0])) * F.lit((domain[1] - domain[0]) / (reach[1] - reach[0]))
 
 
-def _nearest(candidates, wanted: float, of) -> int:
-    """The candidate whose value is nearest to the wanted one as a ratio; the first of equals."""
-    return min(candidates, key=lambda c: abs(math.log(of(c) / wanted)))
-
+def uniform(kind: str, step: int) -> bool:
+    """Whether all bins of a calendar step are alike: smaller steps start anew with their next unit, and days only go one by one."""
+    return step >= 1 and (kind in MONTHS or (kind in CYCLE and CYCLE[kind] % step == 0) or (kind, step) == ("day", 1))
 
-def _bin(seconds: float, kind: str, step: int) -> Column:
-    """Number of the bin that holds a moment, counted from year 0 or 1970."""
-    t = F.timestamp_seconds(F.lit(seconds))
-    if kind == "year":
-        return F.floor(F.year(t) / step)
-    if kind == "month":
-        return F.floor((F.year(t) * 12 + F.month(t) - 1) / step)
-    return F.floor(F.lit(seconds) / (SECONDS[kind] * step))
 
+def _ordinal(seconds: Column, kind: str) -> Column:
+    """A moment in whole months since year 0, or in seconds since 1970, as the unit counts."""
+    t = F.timestamp_seconds(seconds)
+    return F.year(t) * 12 + F.month(t) - 1 if kind in MONTHS else seconds
 
-def _start(number: Column, kind: str, step: int) -> Column:
-    """When a bin begins; years begin with year 1."""
-    if kind in ("year", "month"):
-        months = number * step * (12 if kind == "year" else 1)
-        year = F.greatest(F.lit(1), F.floor(months / 12)).cast("int")
-        return F.unix_seconds(F.make_timestamp(year, (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    return number * (SECONDS[kind] * step)
 
-
-def _spacings(kind: str, step: int, span: int) -> list[int]:
-    """Distances of ticks, in units, that are whole numbers of bins: parts of the next unit, then 1, 2 and 5 times powers of ten of it."""
-    cycle = CYCLE.get(kind)
-    parts = {d for d in range(step, (cycle or 0) + 1, step) if cycle % d == 0}
-    powers = range(0, max(1, math.ceil(math.log10(max(span, 1)))) + 2)
-    return sorted({step} | parts | {m for p in powers for k in (1, 2, 5) if (m := (cycle or step) * k * 10**p) % step == 0})
+def _moment(ordinal: Column, kind: str) -> Column:
+    """The seconds of an ordinal; what lies before year 1 is its beginning."""
+    if kind in SECONDS:
+        return ordinal
+    months = F.greatest(F.lit(12), ordinal)
+    return F.unix_seconds(F.make_timestamp(F.floor(months / 12).cast("int"), (months % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
 
 
 def interval_ticks(spark: SparkSession, low: float, high: float, wanted: int, kind: str, step: int) -> DataFrame:
-    """t (seconds), label of about `wanted` ticks between two moments, all of them beginnings of bins of this rung."""
-    edges = spark.range(1).select(_bin(low, kind, step).alias("a"), _bin(high, kind, step).alias("b"))
-    edges = edges.withColumn("a", F.when(_start(F.col("a"), kind, step) < F.lit(low), F.col("a") + 1).otherwise(F.col("a")))
-    a, b = edges.first()
-    if b < a:
+    """t (seconds), label of about `wanted` ticks between two moments, all of them beginnings of bins of this rung; none for a rung of uneven bins.
+
+    The bins are rows with their numbers, and so are the distances that ticks may have:
+    parts of the next larger unit, and 1, 2 and 5 times powers of ten of it.  An
+    aggregate takes the distance that brings the nearest number of ticks, as a ratio.
+    """
+    if not uniform(kind, step):
         return spark.createDataFrame([], "t long, label string")
-    stride = max(1, round(_nearest(_spacings(kind, step, (b - a + 1) * step), max(1, wanted), lambda m: (b - a) * step // m + 1) / step))
-    ticks = spark.range(-(-a // stride) * stride, b + 1, stride).select(_start(F.col("id"), kind, step).cast("long").alias("t")).distinct()
-    ticks = ticks.filter((F.col("t") >= F.lit(low)) & (F.col("t") <= F.lit(high)))
-    return ticks.withColumn("label", F.date_format(F.timestamp_seconds("t"), _LABEL[kind])).orderBy("t")
+    size = (MONTHS.get(kind) or SECONDS[kind]) * step
+    number = lambda at: F.floor(_ordinal(F.lit(at), kind) / size)
+    bins = spark.range(1).select(F.explode(F.sequence(number(low), number(high))).alias("bin"))
+    bins = bins.withColumn("t", _moment(F.col("bin") * size, kind).cast("double")).filter(F.col("t").between(low, high))
+    cycle = CYCLE.get(kind, step)
+    parts = F.filter(F.sequence(F.lit(step), F.lit(max(cycle, step)), F.lit(step)), lambda d: (F.lit(cycle) % d == 0) | (d == step))
+    powers = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda p: F.transform(F.array(F.lit(1), F.lit(2), F.lit(5)), lambda k: (F.pow(F.lit(10), p) * k * cycle).cast("long"))))
+    strides = spark.range(1).select(F.explode(F.array_union(parts.cast("array<bigint>"), F.filter(powers, lambda m: m % step == 0))).alias("stride"))
+    span = bins.agg((F.max("bin") - F.min("bin")).alias("span"))
+    ticks = F.floor(F.col("span") * step / F.col("stride")) + 1
+    off = F.abs(F.log(ticks / F.lit(float(max(1, wanted)))))
+    best = strides.join(span, F.lit(True)).agg(F.min_by("stride", F.struct(off.alias("off"), "stride")).alias("best"))  # a few rows by one
+    kept = bins.join(best, F.col("bin") % F.greatest(F.lit(1), F.round(F.col("best") / step)) == 0)
+    return kept.select(F.col("t").cast("long").alias("t")).distinct().withColumn("label", F.date_format(F.timestamp_seconds("t"), _LABEL[kind])).orderBy("t")
 
 
 def year_ticks(spark: SparkSession, low: float, high: float, wanted: int) -> DataFrame:
     """t (seconds), label of the years on the step that brings about `wanted` ticks."""
-    a, b = spark.range(1).select(F.year(F.timestamp_seconds(F.lit(low))), F.year(F.timestamp_seconds(F.lit(high)))).first()
-    step = _nearest(YEAR_STEPS, max(1, b - a) / max(1, wanted), lambda y: y)
-    years = spark.range(-(-a // step) * step, b + 1, step).select(F.col("id").cast("int").alias("y")).filter("y >= 1")
+    ends = spark.range(1).select(F.year(F.timestamp_seconds(F.lit(low))).alias("a"), F.year(F.timestamp_seconds(F.lit(high))).alias("b"))
+    steps = ends.withColumn("step", F.explode(F.array(*map(F.lit, YEAR_STEPS))))
+    off = F.abs(F.log(F.col("step") * max(1, wanted) / F.greatest(F.lit(1), F.col("b") - F.col("a"))))
+    one = steps.groupBy("a", "b").agg(F.min_by("step", F.struct(off.alias("off"), "step")).alias("step"))
+    first = F.greatest(F.ceil(F.col("a") / F.col("step")) * F.col("step"), F.when(F.col("step") == 1, 1).otherwise(F.col("step"))).cast("int")
+    years = one.filter(first <= F.col("b")).select(F.explode(F.sequence(first, "b", "step")).alias("y"))
     return years.select(F.unix_seconds(F.make_timestamp("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).alias("t"), F.col("y").cast("string").alias("label")).orderBy("t")
 
 

@@ -100,11 +100,10 @@ def scalar_columns_profile(t):
     return e.sparkSession.createDataFrame([(c,) for c in scalar_columns(e)], "column_name string")
 
 
-@query("""with k(name, type) as (values ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')),
-f as (select c_custkey::varchar c_custkey, c_name, c_nationkey::varchar c_nationkey, c_mktsegment from customer order by customer.c_custkey limit 1)
-select 'c_custkey' as name, c_custkey as sample from f union all select 'c_name', c_name from f union all select 'c_nationkey', c_nationkey from f union all select 'c_mktsegment', c_mktsegment from f""")
+@query("""with k as (select column_name as name, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' else 'string' end as type from (describe select c_custkey, c_name, c_nationkey, c_mktsegment from customer)), f as (select c_custkey::varchar c_custkey, c_name, c_nationkey::varchar c_nationkey, c_mktsegment from customer order by customer.c_custkey limit 1),
+s as (select 'c_custkey' as name, c_custkey as sample from f union all select 'c_name', c_name from f union all select 'c_nationkey', c_nationkey from f union all select 'c_mktsegment', c_mktsegment from f) select name, type, sample from k join s using (name)""")
 def column_profile(t):
-    return profile.column_profile(t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey").select("name", "sample")
+    return profile.column_profile(t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey").select("name", "type", "sample")
 
 
 @query("select p_partkey, p_name, (select count(*) from part) as total from part order by p_name, p_partkey limit 20 offset 40")
@@ -136,11 +135,11 @@ def degree_findings(t):
     return checks.degree_findings(c, [checks.Pair("lon", "lat", projection="mercator")])
 
 
-@query("""with d as (select column_name c, column_type t from (describe select * from events)), r(role, c) as (values ('datetime', 'ts'), ('scatter', 'value'), ('scatter', 'user_id'), ('tag', 'event_type'), ('categorical', 'colour'))
-select role, r.c as "column", case when t is null then 'missing' when role = 'datetime' then 'timestamp' when role = 'scatter' then 'float' else 'list' end as finding from r left join d on d.c = r.c
-where t is null or (role = 'datetime' and t not like 'TIMESTAMP%') or (role = 'scatter' and t not in ('DOUBLE', 'FLOAT')) or (role = 'tag' and t not like '%[]')""")
+@query("""with d as (select column_name c, column_type t from (describe select * from events)), r(role, c, form) as (values ('datetime', 'ts', 'iso8601'), ('datetime', 'ts', 'unix_millis'), ('scatter', 'value', null), ('scatter', 'user_id', null), ('tag', 'event_type', null), ('categorical', 'colour', null))
+select role, r.c as "column", case when t is null then 'missing' when role = 'datetime' and t like 'TIMESTAMP%' then 'iso8601' when role = 'datetime' then 'timestamp' when role = 'scatter' then 'float' else 'list' end as finding from r left join d on d.c = r.c
+where t is null or (role = 'datetime' and (t not like 'TIMESTAMP%' or form <> 'iso8601')) or (role = 'scatter' and t not in ('DOUBLE', 'FLOAT')) or (role = 'tag' and t not like '%[]')""")
 def role_findings(t):
-    return checks.role_findings(t("events"), [("datetime", "ts"), ("scatter", "value"), ("scatter", "user_id"), ("tag", "event_type"), ("categorical", "colour")])
+    return checks.role_findings(t("events"), [("datetime", "ts"), ("datetime", "ts", "unix_millis"), ("scatter", "value"), ("scatter", "user_id"), ("tag", "event_type"), ("categorical", "colour")])
 
 
 @query("select event_id::varchar as _key, ts as ts, event_type, [event_type] as tags, value from events")
@@ -166,10 +165,97 @@ def role_prints(t):
     return roles.prints(e)
 
 
-@query("""select doc_id, 'title_' || source as columns from documents""")
+_DECLARED = """'{"roles": [{"kind": "tag", "column": "a\\\\"' || source || '", "label": "column"}, [{"x_column": "x_' || lang || '", "y_column": ["column", {"column": "deep"}], "note": "\\\\"column\\\\": \\\\"no\\\\""}]], "column": {"lon_column": "in_' || source || '"}, "columns": "never", "column_n": 3, "z_column": 4}'"""
+
+
+@query(f"""with d as (select doc_id, {_DECLARED.replace(chr(92) * 2, chr(92))} as j from documents), n as (select doc_id, json_extract_string(t.value, '$') as c from d, json_tree(d.j) t where t.type = 'VARCHAR' and (t.key = 'column' or ends_with(t.key, '_column')))
+select d.doc_id, coalesce(string_agg(distinct c, ',' order by c), '') as columns from d left join n using (doc_id) group by 1""")
 def declared_columns(t):
-    json = F.concat(F.lit('{"roles": [{"kind": "tag", "column": "title_'), "source", F.lit('", "label": "column"}], "x_column": "title_'), "source", F.lit('"}'))
-    return t("documents").select("doc_id", F.array_join(roles.declared_columns(json), ",").alias("columns"))
+    docs = t("documents").select("doc_id", F.expr(_DECLARED).alias("j"))
+    return roles.declared_columns(docs, "doc_id", "j").withColumn("columns", F.array_join("columns", ","))
+
+
+_ENTRIES = """{side} as (select p_size as dataset, p_partkey as entry, p_partkey % 4 as k, p_brand a, p_type b, case when {log} then 'log' else '' end as o from part where {rule}),
+{side}_r as (select dataset, entry, 'scatter' as kind, unnest([a, b]) as col, 'scatter|' || unnest(['first', 'second']) || '|' || unnest([b, a]) || '|' || o as print from {side} where k = 0 union all select dataset, entry, 'geographic', unnest([b, a]), 'geographic|' || unnest(['first', 'second']) || '|' || unnest([a, b]) || '|' || o from {side} where k = 3
+union all select dataset, entry, 'categorical', a, 'categorical|' || o from {side} where k = 1 union all select dataset, entry, 'freeform', b, 'freeform|' || o from {side} where k = 2)"""
+
+
+@query(f"""with {_ENTRIES.format(side="was", log="false", rule="p_partkey % 7 <> 0")}, {_ENTRIES.format(side="now", log="p_partkey % 9 = 0", rule="p_partkey % 7 <> 1 and p_size % 5 <> 2 or p_partkey % 7 <> 0 and p_size % 5 = 2").replace("p_partkey % 9 = 0 then", "p_partkey % 9 = 0 and p_size % 5 <> 2 then")},
+pw as (select distinct dataset, kind, reading from (select dataset, kind, entry, list_sort(list(distinct col || '>' || print)) as reading from was_r where kind in ('scatter', 'geographic') group by all)), pn as (select distinct dataset, kind, reading from (select dataset, kind, entry, list_sort(list(distinct col || '>' || print)) as reading from now_r where kind in ('scatter', 'geographic') group by all)),
+lft as (select * from pw except select * from pn), arr as (select * from pn except select * from pw),
+fam as (select dataset, kind, greatest(count(*) filter (s = 0), count(*) filter (s = 1)) as n from (select *, 0 as s from lft union all select *, 1 from arr) group by 1, 2),
+ax as (select distinct dataset, split_part(unnest(reading), '>', 1) as col from (select * from lft union all select * from arr)),
+now_ax as (select distinct dataset, col from now_r where kind in ('scatter', 'geographic')),
+gone as (select dataset, kind, col, print from was_r except select dataset, kind, col, print from now_r), come as (select dataset, kind, col, print from now_r except select dataset, kind, col, print from was_r),
+ch as (select distinct dataset, col from (select dataset, col from gone union all select dataset, col from come)),
+own as (select distinct dataset, col from (select dataset, col from come where kind not in ('scatter', 'geographic') union all select dataset, col from gone where kind not in ('scatter', 'geographic') and not (kind = 'freeform' and (dataset, col) in (select dataset, col from now_ax)))),
+m as (select dataset, count(*) filter ((dataset, col) not in (select dataset, col from ax) or (dataset, col) in (select dataset, col from own)) as m from ch group by 1)
+select m.dataset, (m.m + coalesce((select sum(n) from fam where fam.dataset = m.dataset), 0))::bigint as n from m""")
+def role_changes(t):
+    k, size = F.col("p_partkey"), F.col("p_size")
+
+    def side(rule, log):
+        kind = F.element_at(F.array(*map(F.lit, ("scatter", "categorical", "freeform", "geographic"))), (k % 4 + 1).cast("int"))
+        columns = F.when(k % 4 == 0, F.array("p_brand", "p_type")).when(k % 4 == 3, F.array("p_type", "p_brand")).when(k % 4 == 1, F.array("p_brand")).otherwise(F.array("p_type"))
+        e = t("part").filter(rule).select(size.alias("dataset"), k.alias("entry"), kind.alias("kind"), columns.alias("columns"), F.array(F.when(log, "log").otherwise("")).alias("options"))
+        return roles.prints(e).join(e.select("dataset", "entry", "kind"), "entry").select("dataset", "entry", "kind", "column", "print")
+
+    quiet = size % 5 == 2
+    return roles.role_changes(side(k % 7 != 0, F.lit(False)), side(((k % 7 != 1) & ~quiet) | ((k % 7 != 0) & quiet), (k % 9 == 0) & ~quiet))
+
+
+@query("""with c as (select o_custkey dataset, o_orderkey seq, o_orderkey layout_id, o_orderpriority pair, o_orderstatus knobs from orders where o_orderkey % 3 <> 1), o as (select o_custkey dataset, o_orderkey seq, o_orderpriority pair, o_orderstatus knobs from orders where o_orderkey % 3 = 1),
+h as (select *, layout_id % 2 = 0 as told from c where layout_id % 4 <> 0), l as (select dataset, pair, arg_max(knobs, seq) k, max(layout_id) filter (not told) as layout_id from h group by 1, 2),
+f as (select o.dataset, o.pair, l.layout_id, o.seq from o join l on l.dataset = o.dataset and l.pair = o.pair where l.layout_id is not null and o.knobs is distinct from l.k qualify row_number() over (partition by o.dataset order by o.seq) = 1)
+select dataset, pair, layout_id, (select count(*) from c where c.dataset = f.dataset and c.pair = f.pair) = 1 and (select count(*) from o where o.dataset = f.dataset and o.pair = f.pair) = 1 as exact from f""")
+def stale_knobs(t):
+    k = F.col("o_orderkey")
+    o = t("orders").select(F.col("o_custkey").alias("dataset"), k.alias("seq"), k.alias("layout_id"), F.col("o_orderpriority").alias("pair"), F.col("o_orderstatus").alias("knobs"))
+    seq = F.col("seq")
+    committed = o.filter(seq % 3 != 1)
+    return roles.stale_knobs(committed, o.filter(seq % 3 == 1).drop("layout_id"), committed.filter(seq % 4 != 0), committed.filter(seq % 2 == 0))
+
+
+@query("""with c as (select c_nationkey l, c_custkey id, (c_custkey * 37 % 1000) / 1000.0::double as x, (c_custkey * 91 % 1000) / 1000.0::double as y from customer), b as (select l, count(*) n, round(min(x), 6) x0, round(min(y), 6) y0, round(max(x), 6) x1, round(max(y), 6) y1 from c group by 1),
+k as (select l, min(id) filter (x > xl and x < xh) as inner_id, min(id) as first_id from (select *, min(x) over (partition by l) xl, max(x) over (partition by l) xh from c) group by 1)
+select b.l as layout_id, case when l % 7 = 5 then 'newer' when l % 7 = 6 then 'current' when l = 13 then 'lost' when l % 5 = 1 then 'moved' when l % 5 = 4 then 'unchecked' when l % 5 = 3 then 'shrunk' when l % 5 = 2 and inner_id is not null then 'diverged' else 'same' end as verdict from b join k using (l)""")
+def refresh_verdicts(t):
+    n, i = F.col("layout_id"), F.col("id")
+    c = t("customer").select(F.col("c_nationkey").alias("layout_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 1000 / F.lit(1000.0)).alias("x"), (F.col("c_custkey") * 91 % 1000 / F.lit(1000.0)).alias("y"), F.lit(0.001).alias("w"), F.lit(0.001).alias("h"))
+    ends = [f(a).alias(f"{a}{k}") for k, f in ((0, F.min), (1, F.max)) for a in "xy"]
+    boxes = c.groupBy("layout_id").agg(F.count(F.lit(1)).alias("n"), *ends)
+    version = F.when(n % 7 == 5, "2.11").when(n % 7 == 6, "2.10").otherwise("2.9")
+    committed = boxes.withColumn("version", version).withColumn("x1", F.when(n % 5 == 1, F.col("x1") + 2e-6).otherwise(F.col("x1")))
+    inner = c.join(boxes, "layout_id").filter("x > x0 and x < x1").groupBy("layout_id").agg(F.min("id").alias("inner_id"))
+    first = c.groupBy("layout_id").agg(F.min("id").alias("first_id"))
+    marked = c.join(inner, "layout_id", "left").join(first, "layout_id").filter((n % 5 != 4) & ~((n % 5 == 3) & (i == F.col("first_id"))))
+    baked_ = marked.withColumn("x", F.when((n % 5 == 2) & (i == F.col("inner_id")), F.col("x") + 5e-5).otherwise(F.col("x")))
+    floats = baked_.select("layout_id", "id", *[F.col(a).cast("float").alias(a) for a in "xywh"])
+    return positions.refresh_verdicts(committed, boxes.drop("n").filter("layout_id != 13"), floats, c, "2.10")
+
+
+_SIZE = "(p_partkey * p_partkey * p_partkey * p_size)::bigint"
+
+
+@query(f"""with b as (select p_partkey as id, {_SIZE} as v, p_partkey * p_size / 7.0::double as s from part), u as (select *, case when v < 1024 then 0 when v < 1048576 then 1 when v < 1073741824 then 2 when v < 1099511627776 then 3 else 4 end as k from b), w as (select *, v / pow(1024, k) as n, floor(s + 0.5)::bigint as r from u), m as (select *, floor(r / 60.0::double + 0.5)::bigint as m from w)
+select id, case when k = 0 then v::varchar || ' B' else case when n >= 100 then floor(n + 0.5)::bigint::varchar else (floor(n * 10 + 0.5) / 10)::decimal(10, 1)::varchar end || ' ' || ['KiB', 'MiB', 'GiB', 'TiB'][k] end as size, case when r < 60 then r::varchar || ' s' when m < 60 then m::varchar || ' min' else (m // 60)::varchar || ' h' || case when m % 60 > 0 then ' ' || (m % 60)::varchar || ' min' else '' end end as took from m""")
+def readable_figures(t):
+    k, s = F.col("p_partkey").cast("long"), F.col("p_size")
+    return t("part").select(F.col("p_partkey").alias("id"), C.bytes_text((k * k * k * s).cast("long")).alias("size"), C.duration_text(k * s / F.lit(7.0)).alias("took"))
+
+
+@query("""select s_nationkey as dataset, coalesce(array_to_string(list_sort(list_filter(list(distinct s_name) filter (s_suppkey % 3 <> 0), lambda x: not list_contains(coalesce(list(distinct s_name) filter (s_suppkey % 2 = 0), []), x))), ','), '') as missing, bool_or(s_suppkey % 5 = 0) and count(*) filter (s_suppkey % 3 <> 0) = 0 as orphan from supplier group by 1""")
+def tag_sidecars(t):
+    k = F.col("s_suppkey")
+    d = t("supplier").groupBy(F.col("s_nationkey").alias("dataset")).agg(F.collect_set(F.when(k % 3 != 0, F.col("s_name"))).alias("declared"), F.collect_set(F.when(k % 2 == 0, F.col("s_name"))).alias("served"), F.bool_or(k % 5 == 0).alias("sidecar"))
+    return catalog.tag_sidecars(d).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("select o_orderkey as id, o_custkey::varchar as owner, o_orderpriority as upload from orders where o_custkey = 7 and o_orderpriority = (select min(o_orderpriority) from orders where o_custkey = 7) order by o_orderdate, o_orderkey limit 1")
+def minted_record(t):
+    r = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("owner"), F.col("o_orderpriority").alias("upload"), F.col("o_orderdate").alias("created"))
+    upload = r.filter("owner = '7'").agg(F.min("upload")).first()[0]
+    return catalog.minted(r, "7", upload).select("id", "owner", "upload")
 
 
 @query("select c_custkey as id, c_name, round(c_acctbal, 2) as bal from customer where c_custkey in (3, 5, 8, 13, 21, 34)")
@@ -607,6 +693,11 @@ def fine_tile_keep(t):
     return pyramid.fine(_lines(t), _layout(t).box, 3, CAP).select("id", "tx", "ty", "slot", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
 
 
+@query(BOX_SQL + f", z as (select {_tile_sql(5)} from cells, box) select tx, ty, least(count(*), {CAP}) as kept, greatest(count(*) - {CAP}, 0) as dropped from z group by 1, 2")
+def fine_tiles(t):
+    return pyramid.fine_tiles(_lines(t), _layout(t).box, 5, CAP)
+
+
 @query(BOX_SQL + f", z as (select {_tile_sql(3)} from cells, box), k as (select count(*) as n from z group by tx, ty) select sum(n)::bigint as items, sum(least(n, {CAP}))::bigint as kept, sum(greatest(n - {CAP}, 0))::bigint as dropped from k")
 def reconcile(t):
     c = _lines(t)
@@ -886,9 +977,10 @@ def search_bands(t):
     return catalog.band_of(hits, bands).select("id", "x0", "x1")
 
 
-@query()
+@query("""with l as (select p_brand as selection, string_agg(split_part(n, '/', -1) || ' ' || p_size, chr(10) order by split_part(n, '/', -1) || ' ' || p_size) as t from (select *, 'a/' || p_name as n from part) group by 1)
+select selection, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length(t) + 1), lambda i: unicode(substr(t, i, 1))::bigint)), lambda h, u: ((xor(h, u)::hugeint * 16777619) % 4294967296)::bigint))), 8, '0') as print from l""")
 def selection_prints(t):
-    return catalog.selection_print(t("part").select(F.col("p_brand").alias("selection"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
+    return catalog.selection_print(t("part").select(F.col("p_brand").alias("selection"), F.concat(F.lit("a/"), "p_name").alias("name"), F.col("p_size").alias("size")))
 
 
 @query("select kind, count(*) as n, count(distinct filename) as names from (select 'img_' || i as filename, 1 as kind from range(1000) r(i)) group by 1")
