@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.tables import IMAGE_KINDS
+
 
 def readable(datasets: DataFrame, user: str | None) -> DataFrame:
     """Public ones and the user's own; the owner shows only to the owner."""
@@ -144,10 +146,6 @@ def selection_print(files: DataFrame) -> DataFrame:
     return lines.select("selection", F.lpad(F.lower(F.hex(fnv)), 8, "0").alias("print"))
 
 
-#: The endings of image files.
-IMAGE_KINDS = ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")
-
-
 def selection_counts(files: DataFrame) -> DataFrame:
     """images, archives, duplicates, ignored of a selection of (name, at) files: an image whose name came before, case aside, is a duplicate."""
     end = F.lower(F.element_at(F.split("name", r"\."), -1))

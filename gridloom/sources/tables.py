@@ -26,12 +26,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', sep="\t" if path.endswith(".tsv") else ",")
 
 
+#: The endings of image files.
+IMAGE_KINDS = ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")
+
+
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """filename, path, length of the image files directly in a folder; repeated base names are an error for the caller to see in n."""
-    kinds = ["png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff"]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length")
     files = files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    return files.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(kinds)).orderBy("filename")
+    return files.filter(F.lower(F.element_at(F.split("filename", r"\."), -1)).isin(*IMAGE_KINDS)).orderBy("filename")
 
 
 def scalar_columns(df: DataFrame) -> list[str]:
@@ -54,9 +57,27 @@ def _home(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
 
 
+#: The folders that this driver has named, by application, in order.
+_named: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path in the application's folder, which the driver and all executors share."""
-    return f"{_home(spark)}/{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{uuid.uuid4().hex}"
+    named(spark).append(path)
+    return path
+
+
+def named(spark: SparkSession) -> list[str]:
+    """The paths that shared_dir() has given out in this application, in order."""
+    return _named.setdefault(spark.sparkContext.applicationId, [])
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored folders that no DataFrame in use reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
