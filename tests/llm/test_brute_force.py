@@ -506,6 +506,26 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert [r["position"] for r in rows] == list(range(len(rows))) and rows
 
 
+def test_stages_delete_what_earlier_ones_stored(spark, tmp_path):
+    from pathlib import Path
+
+    from gridloom.sources.tables import named
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    there = lambda paths: [p for p in paths if Path(p.removeprefix("file://").removeprefix("file:")).exists()]
+    stages["quality_rules"](spark, docs, SMALL).write.parquet(str(tmp_path / "a"))  # after which nothing of earlier tests counts
+    before = len(named(spark))
+    stages["near_duplicates"](spark, spark.read.parquet(str(tmp_path / "a")), SMALL).write.parquet(str(tmp_path / "b"))
+    own = named(spark)[before:]
+    assert there(own)
+    lazy = stages["repeated_strings"](spark, spark.read.parquet(str(tmp_path / "b")), SMALL)
+    assert not there(own)
+    before = len(named(spark))
+    mixed = stages["source_mix"](spark, lazy, SMALL)  # not written: what it needs stays
+    assert mixed.count() > 0 and there(named(spark)[before:])
+
+
 def test_prefixes_of_the_pipeline_hold_the_sources_in_proportion(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
