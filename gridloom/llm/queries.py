@@ -84,8 +84,23 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+# What SQL can tell of operators whose whole result it can't: the same rows, fewer columns.
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def kneser_ney_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_kneser_ney(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk_search, op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op5_quotation_linking, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity, op11_resampling, op12_divergence, op13_url_filters)
+    f.__name__: f for f in (op1_topk_search, op2_minhash_neardup, op3_sentencepiece, op4_quality_rules, op5_quotation_linking, op6_suffix_dedup, op7_language_id, op8_kneser_ney, op9_mixing, op10_toxicity, op11_resampling, op12_divergence, op13_url_filters, quality_base, kneser_ney_base, mixing_targets)
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,4 +148,27 @@ named as (select *, host || case when path = '' then '/' else path end || coales
 touched as (select m.page_id, m.url, bool_or(o.own = 'block') and not coalesce(bool_or(o.own = 'allow'), false) as hit from named m join reach on reach.a = m.node join named o on o.node = reach.b where m.own is null group by all)
 select page_id, host, path, rule, case when own is not null then own when coalesce(hit, false) then 'block' else 'allow' end as verdict, own is null and coalesce(hit, false) as inherited from named left join touched using (page_id, url)"""
 
-ORACLE_SQL: dict[str, str] = {"op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL, "op13_url_filters": OP13_SQL}
+QUALITY_SQL = r"""with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t from documents), w as (select row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+lines as (select row, sum(n - 1) as dup from (select row, line, count(*) as n from (select row, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1, 2) group by 1),
+win as (select row, i, array_to_string(list_slice(ws, i, i + 7), ' ') as s from w, unnest(range(1, len(ws) - 6)) u(i)),
+rep as (select row, count(distinct p) as n from (select row, unnest(range(i, i + 8)) as p from win qualify count(*) over (partition by row, s) > 1) group by 1),
+m as (select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from w left join lines using (row) left join rep using (row))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m"""
+
+#: The CRC-32 of the ids by the steps of OP11_SQL.
+KNESER_NEY_SQL = rf"""with recursive bits(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+steps as (select list(v order by i) as step from bits where k = 8),
+d as (select row_number() over () as row, doc_id, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(doc_id::varchar)), lambda i: ('0x' || substr(hex(encode(doc_id::varchar)), (2 * i + 1)::bigint, 2))::bigint)), lambda c, x: xor(c >> 8, step[(xor(c & 255, x) + 1)::bigint]))) % 7 = 2, false) as held_out, {_LOW.format("coalesce(text, '')")} as t from documents, steps),
+k as (select row, held_out, unnest(list_append(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), ' end ')) as w from d),
+c as (select w, count(*) as c from k where not held_out group by 1), n as (select sum(c)::bigint as n, count(*) as v from c),
+s as (select row, count(*) as n_tokens, count(c.c) as n_known, sum(log10((coalesce(c.c, 0) + 1)::double / (n.n + n.v + 1))) as base from k left join c using (w), n group by 1)
+select doc_id, held_out, n_tokens, n_known, n.n as train_tokens, round(base, 6) as base_score from d join s using (row), n"""
+
+MIXING_SQL = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size)::bigint as source_size, [3.0, 1.0, 2.0][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int]::double as weight from d group by 1),
+o as (select *, 2.0 * source_size as cap, sum(source_size) over () * 1.5 as budget, row_number() over (order by 2.0 * source_size / weight, source) as i from s),
+l as (select *, (budget - coalesce(sum(cap) over (order by i rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by i rows between current row and unbounded following) as level from o),
+f as (select min(i) as i from l where level * weight <= cap), t as (select source, source_size, case when f.i is null or l.i < f.i then cap else (select level from l m where m.i = f.i) * weight end as target from l, f)
+select doc_id, size::bigint as size, source_size, round(target, 6) as target from d join t on d.source is not distinct from t.source"""
+
+ORACLE_SQL: dict[str, str] = {"op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL, "op13_url_filters": OP13_SQL, "quality_base": QUALITY_SQL, "kneser_ney_base": KNESER_NEY_SQL, "mixing_targets": MIXING_SQL}
