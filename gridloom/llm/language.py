@@ -157,7 +157,9 @@ def identify(documents: DataFrame, profiles: DataFrame, orders: int = ORDERS, to
     Texts that are null or have no letter get 'und' and score 0, as do all texts
     where no language was learned.  Equal distances go to the smaller language
     name.  The profiles, `top` rows a language, go to all tasks: their size is
-    bounded by the number of languages.
+    bounded by the number of languages.  Every row is judged alone, repeats alike, and
+    whole, however long its text; an empty table gives no rows; columns beside doc_id
+    and text are not read.
     """
     rows = profiles.select("lang", "gram", "rank").collect()
     tables = {}

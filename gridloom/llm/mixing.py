@@ -112,7 +112,9 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), bu
     sorted by finish.  Null texts have size 0 and are taken (they cost nothing)
     once their time is due; sources of size 0 have target 0 and give nothing.  An
     empty table gives no rows.  Rows that repeat a doc_id, or have a null one, are
-    documents of their own; row is their key.
+    documents of their own; row is their key.  Copies of one finish time go by their
+    shuffle hash, then size.  Texts are counted whole, however long; columns beside
+    doc_id, source and text are not read.
     """
     return _mixed(written(documents.select("doc_id", "source", word_count().alias("size")).withColumn("row", F.monotonically_increasing_id())), weights, budget, most, seed)
 

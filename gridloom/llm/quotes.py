@@ -73,6 +73,20 @@ def _runs(words: DataFrame, size: int, whole: bool) -> DataFrame:
     return at.filter(same).select("conv_id", "turn", level(0).alias("level"), run[0]["at"].alias("lo"), run[size - 1]["at"].alias("hi"), F.xxhash64(run["w"], F.lit(size)).alias("h"))
 
 
+#: Tasks that the rows of one hash are dealt out to, as everyone may quote one line.
+SALTS = 16
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with _salt, a number below SALTS that spreads the rows of one hash."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+
+
+def _for_all(hashes: DataFrame) -> DataFrame:
+    """One row a hash, once for each _salt."""
+    return hashes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _sources(quoted: DataFrame, first: DataFrame, abroad) -> DataFrame:
     """quoted's rows with src_conv, src_turn: the conversation's own first message of first (h, conv_id, src_turn), if earlier; else, where `abroad`, the first of the others."""
     own = quoted.join(first, ["conv_id", "h"], "left").withColumn("src_conv", F.when(F.col("src_turn") < F.col("turn"), F.col("conv_id")))
@@ -80,8 +94,9 @@ def _sources(quoted: DataFrame, first: DataFrame, abroad) -> DataFrame:
     where = F.struct("conv_id", "src_turn")
     least = first.groupBy("h").agg(F.min(where).alias("one"))
     second = first.join(least, "h").filter(F.col("conv_id") != F.col("one.conv_id")).groupBy("h").agg(F.min(where).alias("two"))
+    both = least.join(second, "h", "left")  # one row a hash
     lost = own.filter(F.col("src_conv").isNull() & abroad).drop("src_conv", "src_turn")
-    other = lost.join(least, "h").join(second, "h", "left").withColumn("src", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))).filter("src is not null")
+    other = _dealt(lost, "conv_id", "turn").join(_for_all(both), ["h", "_salt"]).withColumn("src", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))).filter("src is not null")
     out = [*quoted.columns, "src_conv", "src_turn"]
     return own.filter("src_conv is not null").select(*out).unionByName(other.withColumn("src_conv", F.col("src.conv_id")).withColumn("src_turn", F.col("src.src_turn")).select(*out))
 
@@ -113,7 +128,7 @@ def links(messages: DataFrame) -> DataFrame:
         if k > 0:
             wrote = wrote.unionByName(_runs(_words(messages), k, False).filter("level = 0").select("h", F.lit(k).alias("size"), "conv_id", "turn"))
     wanted = quoted.select("h").distinct()
-    first = written(wrote.join(wanted, "h", "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("src_turn")))
+    first = written(_dealt(wrote, "conv_id").join(_for_all(wanted), ["h", "_salt"], "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("src_turn")))
     votes = written(_sources(quoted, first, (F.col("size") == 0) | (F.col("size") == RUN)).withColumn("whole", (F.col("size") == 0).cast("int")))
     key = ["conv_id", "turn", "level", "src_conv", "src_turn"]
     units = votes.groupBy(key).agg(F.sum("whole").alias("n_whole"), F.count(F.lit(1)).alias("n_units"))
@@ -145,8 +160,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     without one).  thread_turn: the message at which its chain of replies in its
     conversation ends (itself without one); depth: the chain's length; quotes: the
     sources by level.  Rows are sorted by conv_id, thread_turn, turn, so that
-    replies follow what they answer, thread by thread.  Null texts stay null; an
-    empty table gives no rows; rows that repeat a (conv_id, turn) share its links;
+    replies follow what they answer, thread by thread.  Null texts stay null and empty
+    ones empty; texts are read whole, however long; ties are as links() says; other
+    columns are not read; an empty table gives no rows; rows that repeat a (conv_id, turn) share its links;
     rows with a null conv_id or turn are never linked.
     """
     messages = messages.select("conv_id", "turn", "role", "text").withColumn("row", F.lit(0))

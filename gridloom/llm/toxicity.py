@@ -346,6 +346,9 @@ def score(documents: DataFrame, labels: DataFrame, lexicon: Lexicon | None = Non
     share of toxic documents of the document's strongest kind of hit, so that chance
     likenesses in a long text don't add up; without a hit it is the share among
     documents without one, also for null and empty texts.  Without labels all score 0.02.
+    Every row is scored alone, repeats alike, texts whole, however long; of several
+    labels of one doc_id the highest counts; kinds of equal share make no difference;
+    an empty table gives no rows; columns beside doc_id and text are not read.
     """
     lexicon = lexicon or Lexicon()
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -468,6 +468,82 @@ def test_toxicity_of_awkward_rows(spark):
     assert [r["predicted"] for r in got if r["doc_id"] is None] == [1] and sorted(r["n_hits"] for r in got if r["doc_id"] == 502) == [0, 1]
 
 
+def test_toxicity_score_is_the_share_of_the_strongest_kind(spark):
+    rng = random.Random(5)
+    vocab = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    bad = ["grimbly", "snarkle", "vexation"]
+
+    def text(toxic, i):
+        w = [rng.choice(vocab) for _ in range(40)]
+        if toxic:
+            w[rng.randrange(40)] = rng.choice(bad) if i % 5 else "snarkel"
+        elif i % 9 == 0:
+            w[3:6] = ['he', 'said:', '"grimbly"']
+        return " ".join(w)
+
+    rows = [(i, text(i % 4 == 0, i)) for i in range(600)] + [(600, None), (601, ""), (602, "x " * 200_000 + "snarkle"), (0, "again " * 30)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(5, None), (0, 0), (999, 1)]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, kind string, n string, t string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.Lexicon()
+    got = toxicity.score(docs, lab, lexicon).collect()
+    # the same from the labelled documents' hits, counted and weighed one by one
+    known = {}
+    for i, x in labels:
+        if x is not None:
+            known[i] = max(known.get(i, 0), x)
+    labelled = spark.createDataFrame([(i, t, known[i]) for i, t in rows if t is not None and i in known], "doc_id long, text string, toxic int")
+    labelled = toxicity.without_copies(labelled)
+    terms, trust = toxicity.learn_lexicon(labelled, lexicon)
+    matcher = toxicity.Matcher(terms, lexicon.fuzzy)
+    assert {"grimbly", "snarkle", "vexation"} & {t for t, _ in terms}
+
+    def kinds(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        return set(toxicity.hits(raw, np.array([0, len(raw)]), matcher, lexicon.window)[1].tolist())
+
+    n, tox, none = Counter(), Counter(), [0, 0]
+    for r in labelled.collect():
+        own = kinds(r["text"])
+        for k in own:
+            n[k] += 1
+            tox[k] += r["toxic"]
+        if not own:
+            none[0] += 1
+            none[1] += r["toxic"]
+    rest = (none[1] + 0.2) / (none[0] + 10)
+    sure = lambda k: trust[k // 4]
+    prior = [(sum(sure(j) * tox[j] for j in n if j % 4 == c) + 5 * start) / (sum(sure(j) * n[j] for j in n if j % 4 == c) + 5) for c, start in enumerate((0.9, 0.2, 0.5, 0.15))]
+    firm = (2, 4, 12, 12)
+    weight = lambda k: sure(k) * (tox[k] + firm[k % 4] * prior[k % 4]) / (n[k] + firm[k % 4]) + (1 - sure(k)) * rest
+    want = defaultdict(list)
+    for i, t in rows:
+        want[i].append(max([rest, *map(weight, kinds(t))]))
+    have = defaultdict(list)
+    for r in got:
+        have[r["doc_id"]].append(r["score"])
+        assert r["predicted"] == int(r["score"] >= 0.3)
+    assert {i: sorted(x) for i, x in have.items()} == {i: pytest.approx(sorted(x)) for i, x in want.items()}
+    assert have[602][0] > 0.3 > have[601][0] == have[600][0]
+
+
+# op5
+
+def test_a_very_long_quoted_message_links(spark):
+    long = "\n".join(prose(20, k) for k in range(3000))  # 60,000 words
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "> " + long.replace("\n", "\n> ") + "\nyes"), (2, 0, "user", "> " + prose(20, 17) + "\nwhat?"), (2, 1, "user", None), (2, 1, "user", "")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1]["reply_turn"] == 0 and got[1, 1]["n_quoted"] == 3000 and got[1, 1]["text"].strip() == "yes"
+    assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"]) == (1, 0)
+
+
+def test_a_line_that_everyone_quotes(spark):
+    line = prose(9, 1)
+    rows = [(0, 0, "user", line)] + [(i, 0, "user", f"> {line}\nanswer {i}") for i in range(1, 400)]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert got.filter("reply_conv = 0 and reply_turn = 0").count() == 399
+
+
 # pipeline
 
 def test_pipeline_equals_its_stages_by_hand(spark):
