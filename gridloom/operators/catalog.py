@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.sources.tables import IMAGE_KINDS
@@ -184,3 +184,62 @@ def tag_sidecars(datasets: DataFrame) -> DataFrame:
 def minted(records: DataFrame, owner: str, upload: str) -> DataFrame:
     """The first record by (created, id) that an owner's upload made; no row where there is none."""
     return records.filter((F.col("owner") == owner) & (F.col("upload") == upload)).orderBy("created", "id").limit(1)
+
+
+#: What a dataset's block may say, and which of it an older record may hold.
+BLOCK_FIELDS = ("display_name", "attribution", "attribution_url", "default_layout", "title_column")
+OLD_FIELDS = BLOCK_FIELDS[:3]
+#: Signs of a value at most.
+LONGEST = 200
+
+
+def _block(own: Column, old: Column) -> Column:
+    """A dataset's own block or, where there is none, what an older record holds of it."""
+    held = F.map_filter(old, lambda k, v: k.isin(*OLD_FIELDS) & v.isNotNull())
+    return F.coalesce(own, held, F.create_map().cast("map<string,string>"))
+
+
+def _joined(records: DataFrame, other: DataFrame, **names: str) -> DataFrame:
+    return records.join(other.select("dataset", *[F.col(c).alias(n) for n, c in names.items()]), "dataset", "full_outer")
+
+
+def effective(records: DataFrame, older: DataFrame, legacy: DataFrame) -> DataFrame:
+    """dataset, block, columns, links of records (dataset, block, columns), with what stands in where they are silent.
+
+    older: dataset, block of former records, which count where a dataset has no block
+    at all.  legacy: dataset, url: columns that were links by an older rule; they are, but
+    for those that the record describes, were it by an empty entry.  links: the
+    columns that render as url, sorted.
+    """
+    j = _joined(_joined(records, older, old="block"), legacy, url="url")
+    kind = "map<string,map<string,string>>"
+    described = F.coalesce("columns", F.create_map().cast(kind))
+    silent = F.filter(F.array_distinct(F.coalesce("url", F.array().cast("array<string>"))), lambda c: (c != "") & ~F.map_contains_key(described, c))
+    columns = F.map_concat(described, F.map_from_entries(F.transform(silent, lambda c: F.struct(c.alias("key"), F.create_map(F.lit("render"), F.lit("url")).alias("value")))))
+    out = j.select("dataset", _block(F.col("block"), F.col("old")).alias("block"), columns.alias("columns"))
+    return out.withColumn("links", F.array_sort(F.map_keys(F.map_filter("columns", lambda k, v: F.coalesce(v["render"] == "url", F.lit(False))))))
+
+
+def applied(records: DataFrame, updates: DataFrame, older: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """dataset, block, columns, refused: records after updates (dataset, block, columns), each of which counts whole or not at all.
+
+    A key with a value is written, with null or blank text cleared, without one kept; in
+    columns also by entry, where a null entry removes it and one that is cleared empty
+    stays as such.  The first write of a block begins with what older records hold, as
+    those stop counting then.  An update with an unknown field, a blank column or a value
+    over `longest` signs is refused.
+    """
+    kind = "map<string,map<string,string>>"
+    j = _joined(_joined(records, updates, new="block", entries="columns"), older, old="block")
+    none, empty = F.create_map().cast("map<string,string>"), F.create_map().cast(kind)
+    new, entries, own = F.coalesce("new", none), F.coalesce("entries", empty), F.coalesce("columns", empty)
+    long = lambda v: F.coalesce(F.length(F.trim(v)) > longest, F.lit(False))
+    bad = F.exists(F.map_keys(new), lambda k: ~k.isin(*BLOCK_FIELDS)) | F.exists(F.map_values(new), long)
+    bad = bad | F.exists(F.map_keys(entries), lambda k: F.trim(k) == "") | F.exists(F.map_values(entries), lambda e: F.exists(F.map_values(F.coalesce(e, none)), long))
+    written = lambda m: F.map_filter(m, lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+    merged = lambda was, now: F.map_concat(F.map_filter(was, lambda k, v: ~F.map_contains_key(now, k)), written(now))
+    block = F.when(F.size(new) > 0, merged(_block(F.col("block"), F.col("old")), new)).otherwise(F.col("block"))
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(entries, k))
+    named = F.filter(F.map_entries(entries), lambda e: e["value"].isNotNull())
+    columns = F.map_concat(kept, F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].alias("key"), merged(F.coalesce(F.try_element_at(own, e["key"]), none), e["value"]).alias("value")))))
+    return j.select("dataset", F.when(bad, F.col("block")).otherwise(block).alias("block"), F.when(bad, own).otherwise(columns).alias("columns"), bad.alias("refused"))

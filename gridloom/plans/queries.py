@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as C
 from gridloom.operators import baked, catalog, checks, ids, layouts, positions, profile, pyramid, roles, search, ticks, view
 from gridloom.session import ship
-from gridloom.sources.tables import fixture, scalar_columns, table
+from gridloom.sources.tables import fixture_of, scalar_columns, table
 from gridloom.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -829,9 +829,9 @@ def focal_tiles(t):
     return view.focal_order(view.visible_tiles(t("region").sparkSession, box, VIEW, 3), box, 3, 0.4, 0.4).withColumn("d2", F.round("d2", 9))
 
 
-@query("select 'o_orderpriority' as field, o_orderpriority as value, count(*) as n from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders where o_custkey % 5 = 0 group by 2 union all select 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(o_orderdate) from orders where o_custkey % 5 = 0")
+@query("select 'o_orderpriority' as field, o_orderpriority as value, count(*) as n from orders group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders group by 2 union all select 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' .. ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(o_orderdate) from orders")
 def selection_digest(t):
-    return view.selection_digest(t("orders").filter("o_custkey % 5 = 0"), ["o_orderpriority", "o_orderstatus"], "o_orderdate")
+    return view.selection_digest(t("orders"), ["o_orderpriority", "o_orderstatus"], "o_orderdate")
 
 
 @query()
@@ -953,6 +953,27 @@ def presentation_updates(t):
     return out.select("dataset", F.col("columns")["a"].alias("a"), F.col("columns")["b"].alias("b"))
 
 
+@query("""with k as (select p_partkey k, p_partkey % 5 in (2, 4) as refused, p_partkey % 5 in (0, 1) as wrote from part),
+u as (select *, not refused and k % 4 = 0 as a_off, not refused and k % 4 = 1 as b_gone from k)
+select k as dataset, refused, case when wrote and k % 5 = 1 then null when k % 3 = 0 then 'own' when wrote and k % 2 = 0 then 'old' end as display_name, case when k % 3 = 0 then 'x' end as attribution, case when wrote and k % 3 <> 0 and k % 2 = 0 then 'u' end as attribution_url, case when k % 5 = 0 then 'grid' end as default_layout,
+case when a_off then null else 'url' end as a_render, not b_gone as b_described, case when not refused and k % 4 = 2 then 'C' end as c_label, case when a_off then '' else 'a,' end || case when b_gone then 'b,' else '' end || 'd' as links,
+case when wrote then case when k % 5 = 1 then null when k % 3 = 0 then 'own' when k % 2 = 0 then 'old' end when k % 3 = 0 then 'own' when k % 2 = 0 then 'old' end as shown_name from u""")
+def presentation_applied(t):
+    p, k = t("part"), F.col("p_partkey")
+    text = lambda **kv: F.create_map(*[x for n, v in kv.items() for x in (F.lit(n), F.lit(v).cast("string"))])
+    none, gone = F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,map<string,string>>")
+    records = p.select(k.alias("dataset"), F.when(k % 3 == 0, text(display_name="own", attribution="x")).otherwise(none).alias("block"), F.create_map(F.lit("a"), text(render="url", label="A"), F.lit("b"), text(label="B")).alias("columns"))
+    older = p.filter(k % 2 == 0).select(k.alias("dataset"), text(display_name="old", attribution=None, attribution_url="u", note="n").alias("block"))
+    block = F.when(k % 5 == 0, text(default_layout="grid")).when(k % 5 == 1, text(display_name=" ")).when(k % 5 == 2, text(display_name="new", bogus="1")).when(k % 5 == 4, text(attribution="z" * 300)).otherwise(none)
+    entries = F.when(k % 4 == 0, F.create_map(F.lit("a"), text(render=None))).when(k % 4 == 1, F.create_map(F.lit("b"), none)).when(k % 4 == 2, F.create_map(F.lit("c"), text(label="C"))).otherwise(gone)
+    after = catalog.applied(records, p.select(k.alias("dataset"), block.alias("block"), entries.alias("columns")), older)
+    legacy = p.select(k.alias("dataset"), F.array(F.lit("a"), F.lit("b"), F.lit("d")).alias("url"))
+    shown = catalog.effective(after, older, legacy).select("dataset", F.col("block")["display_name"].alias("shown_name"), F.array_join("links", ",").alias("links"))
+    b, c = F.col("block"), F.col("columns")
+    own = after.select("dataset", "refused", *[b[f].alias(f) for f in catalog.BLOCK_FIELDS[:4]], c["a"]["render"].alias("a_render"), F.map_contains_key(c, "b").alias("b_described"), c["c"]["label"].alias("c_label"))
+    return own.join(shown, "dataset")
+
+
 @query("select distinct p_size as dataset, p_brand as key from part where p_partkey % 2 = 0 and (p_size, p_brand) not in (select p_size, p_brand from part where p_partkey % 2 = 1)")
 def unresolved_keys(t):
     p = t("part").select("p_partkey", F.col("p_size").alias("dataset"), F.col("p_brand").alias("key"))
@@ -983,9 +1004,14 @@ def selection_prints(t):
     return catalog.selection_print(t("part").select(F.col("p_brand").alias("selection"), F.concat(F.lit("a/"), "p_name").alias("name"), F.col("p_size").alias("size")))
 
 
-@query("select kind, count(*) as n, count(distinct filename) as names from (select 'img_' || i as filename, 1 as kind from range(1000) r(i)) group by 1")
+@query("select o_orderkey as id, 'img_' || lpad(o_orderkey::varchar, 7, '0') || '.jpg' as filename, true as stable from orders")
 def fixture_rows(t):
-    return fixture(t("region").sparkSession, 1000).withColumn("kind", F.lit(1)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("names"))
+    o = t("orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    rows, again = fixture_of(o), fixture_of(o.repartition("o_custkey").select("id"))
+    same = F.lit(True)
+    for c in ("taken", "kind", "px", "py", "tags"):
+        same = same & rows[c].eqNullSafe(again[c])
+    return rows.join(again, "id").select("id", rows["filename"], same.alias("stable"))
 
 
 @query("""with f as (select case p_partkey % 4 when 0 then upper(p_name) || '.JPG' when 1 then p_name || '.jpg' when 2 then p_name || '.zip' else p_name end as name from part), k as (select lower(name) as k, case p when 'jpg' then 'i' when 'zip' then 'z' else 'o' end as t, count(*) as n from (select name, lower(split_part(name, '.', -1)) p from f) group by 1, 2)

@@ -117,11 +117,16 @@ def read_tile(spark: SparkSession, path: str, layout_id: str, z: int, tx: int, t
 
 
 def fixture(spark: SparkSession, n: int) -> DataFrame:
-    """n rows of id, filename, taken, kind, px, py, tags that depend on the id alone."""
+    """fixture_of the ids 0 … n - 1."""
+    return fixture_of(spark.range(n))
+
+
+def fixture_of(ids: DataFrame) -> DataFrame:
+    """id, filename, taken, kind, px, py, tags of rows (id) that depend on the id alone, in whatever order and with whatever others they come."""
     i = F.col("id")
     pick = lambda salt, m: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(m))
     kinds = F.array(*[F.lit(k) for k in ("bird", "fern", "moss", "")])
-    return spark.range(n).select(
+    return ids.select(
         i, F.concat(F.lit("img_"), F.lpad(i.cast("string"), 7, "0"), F.lit(".jpg")).alias("filename"),
         F.when(pick(1, 20) != 0, F.timestamp_seconds(pick(2, 1_500_000_000)).cast("timestamp_ntz")).alias("taken"),
         F.get(kinds, pick(3, 4).cast("int")).alias("kind"), (pick(4, 100_000) / 1000.0).alias("px"), F.when(pick(5, 30) != 0, pick(6, 100_000) / 1000.0).alias("py"),
