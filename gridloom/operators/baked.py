@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.pyramid import DEEPEST, bbox, spots, tiled
+from gridloom.operators.pyramid import DEEPEST, clamped, ends, spots, tiled
 from gridloom.sources.tables import shared_dir
 
 #: Key ranges of one view at most; more would be joined into coarser ones.
@@ -123,8 +123,8 @@ def bake(cells: DataFrame, path: str | None = None) -> Baked:
     """
     spark = cells.sparkSession
     path = path or shared_dir(spark)
-    box = bbox(cells)
-    n, w, h = cells.agg(F.count(F.lit(1)), F.max("w"), F.max("h")).first()
+    about = cells.agg(*ends(), F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.max("h").alias("h")).first()
+    box, (n, w, h) = clamped(about[:4]), about[4:]
     ordered = keyed(cells, box).repartitionByRange("key").sortWithinPartitions("key", "id")
     ordered.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/cells")
     out = Baked(path, n, box, w or 0.0, h or 0.0)
@@ -133,6 +133,12 @@ def bake(cells: DataFrame, path: str | None = None) -> Baked:
     return out
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a layout is stored there, to its end."""
+    about = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about/_SUCCESS")
+    return about.getFileSystem(spark._jsc.hadoopConfiguration()).exists(about)
+
+
 def opened(spark: SparkSession, path: str) -> Baked:
     """A layout that bake() has stored."""
     r = spark.read.parquet(f"{path}/about").first()

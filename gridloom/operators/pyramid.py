@@ -14,10 +14,19 @@ def cap_for(tile_px: int = 512, thumb_px: int = 64) -> int:
     return (tile_px // thumb_px) ** 2
 
 
+def ends() -> list[Column]:
+    """Aggregates: left, top, right and bottom end of the cells' footprints."""
+    return [F.min(F.col("x") - F.col("w") / 2), F.min(F.col("y") - F.col("h") / 2), F.max(F.col("x") + F.col("w") / 2), F.max(F.col("y") + F.col("h") / 2)]
+
+
+def clamped(box) -> tuple[float, float, float, float]:
+    """A box within the unit square; nothing is a point at 0."""
+    return tuple(min(1.0, max(0.0, v or 0.0)) for v in box)  # type: ignore[return-value]
+
+
 def bbox(cells: DataFrame) -> tuple[float, float, float, float]:
     """Left, top, right, bottom of the cells' footprints, within the unit square."""
-    r = cells.agg(F.min(F.col("x") - F.col("w") / 2), F.min(F.col("y") - F.col("h") / 2), F.max(F.col("x") + F.col("w") / 2), F.max(F.col("y") + F.col("h") / 2)).first()
-    return tuple(min(1.0, max(0.0, v or 0.0)) for v in r)  # type: ignore[return-value]
+    return clamped(cells.agg(*ends()).first())
 
 
 def tile(c: Column, low: float, high: float, z: int) -> Column:

@@ -2,65 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Values that may meet in one place.
 FEW = 50_000
 
 
-def ranked(df: DataFrame, columns: dict[str, float], upper: bool = False) -> dict[str, tuple[float, float]]:
+#: How far a first bracket reaches beside the wanted share.
+SLACK = 0.002
+
+
+def looks(columns: dict[str, float]) -> list[Column]:
+    """Aggregates that ranked() begins with: each column's count and a sketch around its share q. A caller may take them with its own in one pass."""
+    sketch = lambda c, q: F.percentile_approx(c, [max(0.0, q - SLACK), min(1.0, q + SLACK)], 10_000)
+    return [x for c, q in columns.items() for x in (F.count(c).alias(f"{c}_n"), sketch(c, q).alias(f"{c}_s"))]
+
+
+def ranked(df: DataFrame, columns: dict[str, float], upper: bool = False, looked: Row | None = None) -> dict[str, tuple[float, float]]:
     """For each column's share q, the non-null values at places floor(q (n - 1)) and ceil(q (n - 1)) of n sorted ones; upper: floor(q n) for both.
 
-    A pass sketches a bracket around the wanted places and counts what lies below
-    and inside it; a bracket that the count refutes is drawn wider, one
-    that holds over FEW values is bracketed again.  So no task and no driver sorts a column.
+    A sketch brackets the wanted places; a pass counts what lies below and inside it.
+    A bracket that the count refutes is drawn wider, one that holds over FEW values is
+    bracketed again.  So no task and no driver sorts a column.  looked: the row of
+    looks(), if the caller has it.
     """
-    bounds: dict[str, tuple | None] = dict.fromkeys(columns)
-    found: dict[str, tuple[float, float]] = {}
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    wanted = {}
-    for c, q in columns.items():
-        n = counts[c]
-        if not n:
-            found[c] = (None, None)  # type: ignore[assignment]
-        elif upper:
-            wanted[c] = (min(n - 1, int(q * n)),) * 2
-        else:
-            wanted[c] = int(q * (n - 1)), -int(-q * (n - 1) // 1)
-    below, slack = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0.002)
-    inside = {c: counts[c] for c in wanted}
-    while len(found) < len(columns):
-        open_ = [c for c in columns if c not in found]
+    looked = looked or df.agg(*looks(columns)).first()
+    found: dict[str, tuple[float, float]] = {c: (None, None) for c in columns if not looked[f"{c}_n"]}  # type: ignore[misc]
+    count = {c: looked[f"{c}_n"] for c in columns if c not in found}
+    place = {c: (min(n - 1, int(columns[c] * n)),) * 2 if upper else (int(columns[c] * (n - 1)), -int(-columns[c] * (n - 1) // 1)) for c, n in count.items()}
+    #: By column: the bracket that holds (None: all values), values below it and in it; the one to be tried; how wide to draw the next.
+    held, below, inside = dict.fromkeys(count), dict.fromkeys(count, 0), dict(count)
+    tried = {c: tuple(looked[f"{c}_s"]) for c in count}
+    slack = dict.fromkeys(count, SLACK)
 
-        def within(c: str):
-            b = bounds[c]
-            return F.col(c) if b is None else F.when((F.col(c) >= F.lit(b[0])) & (F.col(c) <= F.lit(b[1])), F.col(c))
+    def within(c: str) -> Column:
+        return F.col(c) if held[c] is None else F.when(F.col(c).between(F.lit(held[c][0]), F.lit(held[c][1])), F.col(c))
 
-        few = [c for c in open_ if inside[c] <= FEW]
+    while len(found) < len(columns):
+        few = [c for c in count if c not in found and inside[c] <= FEW]
+        many = [c for c in count if c not in found and inside[c] > FEW]
         if few:
             row = df.agg(*[F.sort_array(F.collect_list(within(c))).alias(c) for c in few]).first()
-            for c in few:
-                found[c] = row[c][wanted[c][0] - below[c]], row[c][wanted[c][1] - below[c]]
-        many = [c for c in open_ if c not in few]
+            found |= {c: (row[c][place[c][0] - below[c]], row[c][place[c][1] - below[c]]) for c in few}
+        drawn = [c for c in many if tried[c] is None]
+        if drawn:
+            ends = {c: [max(0.0, (place[c][0] - below[c]) / inside[c] - slack[c]), min(1.0, (place[c][1] - below[c]) / inside[c] + slack[c])] for c in drawn}
+            row = df.agg(*[F.percentile_approx(within(c), ends[c], 10_000).alias(c) for c in drawn]).first()
+            tried |= {c: tuple(row[c]) for c in drawn}
         if many:
-            share = {c: [max(0.0, (wanted[c][0] - below[c]) / inside[c] - slack[c]), min(1.0, (wanted[c][1] - below[c]) / inside[c] + slack[c])] for c in many}
-            sketch = df.agg(*[F.percentile_approx(within(c), share[c], 10_000).alias(c) for c in many]).first()
-            ends = {c: (sketch[c][0], sketch[c][1]) for c in many}
-            tests = [x for c in many for x in (F.count_if(F.col(c) < F.lit(ends[c][0])).alias(f"{c}_l"), F.count_if(F.col(c) <= F.lit(ends[c][1])).alias(f"{c}_u"))]
-            row = df.agg(*tests).first()
-            for c in many:
-                low, high = row[f"{c}_l"], row[f"{c}_u"]
-                if low <= wanted[c][0] and wanted[c][1] < high:
-                    if ends[c][0] == ends[c][1]:
-                        found[c] = ends[c]
-                    bounds[c], below[c], inside[c], slack[c] = ends[c], low, high - low, 0.002
-                else:
-                    slack[c] *= 4
+            row = df.agg(*[x for c in many for x in (F.count_if(F.col(c) < F.lit(tried[c][0])).alias(f"{c}_l"), F.count_if(F.col(c) <= F.lit(tried[c][1])).alias(f"{c}_u"))]).first()
+        for c in many:
+            low, high = row[f"{c}_l"], row[f"{c}_u"]
+            if low <= place[c][0] and place[c][1] < high:
+                if tried[c][0] == tried[c][1]:
+                    found[c] = tried[c]
+                held[c], below[c], inside[c], slack[c] = tried[c], low, high - low, SLACK
+            else:
+                slack[c] *= 4
+            tried[c] = None
     return found
 
 
-def medians(df: DataFrame, columns: list[str]) -> list[float]:
-    """Each column's median: the mean of the two middle values of an even number."""
-    found = ranked(df, dict.fromkeys(columns, 0.5))
+def medians(df: DataFrame, columns: list[str], looked: Row | None = None) -> list[float]:
+    """Each column's median: the mean of the two middle values of an even number. looked: as ranked() takes it, for shares of 0.5."""
+    found = ranked(df, dict.fromkeys(columns, 0.5), looked=looked)
     return [(found[c][0] + found[c][1]) / 2 if found[c][0] is not None else None for c in columns]  # type: ignore[misc]

@@ -565,8 +565,8 @@ def _tile_sql(z: int) -> str:
 
 @query(DT_SQL + f", {BOX}, z as (select {_tile_sql(3)} from cells, box) select tx, ty, count(*) as n from z group by tx, ty order by n desc, ty, tx limit 20")
 def dt_histogram_tiles(t):
-    cells, _ = layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")
-    tiles = pyramid.tiled(cells, pyramid.bbox(cells), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    calendar = _stored(t, "calendar", lambda: layouts.histogram(t("orders").withColumn("id", F.col("o_orderkey")), "o_orderdate")[0].select("id", "x", "y", "w", "h"), "orders")
+    tiles = pyramid.tiled(calendar.cells(t("region").sparkSession), calendar.box, 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
     return tiles.orderBy(F.desc("n"), "ty", "tx").limit(20)
 
 
@@ -605,11 +605,11 @@ CAP = 64
 _baked: dict[tuple[str, str], baked.Baked] = {}
 
 
-def _stored(t, name: str, cells) -> baked.Baked:
+def _stored(t, name: str, cells, of: str = "lineitem") -> baked.Baked:
     """The layout of that name, baked when an application first asks for it; its cells() and spots() are stored tables."""
-    source = t("lineitem")
+    source = t(of)
     key = source.sparkSession.sparkContext.applicationId, f"{name}:{','.join(sorted(source.inputFiles()))}"
-    if key not in _baked:
+    if key not in _baked or not baked.is_whole(source.sparkSession, _baked[key].path):
         _baked[key] = baked.bake(cells())
     return _baked[key]
 
