@@ -91,3 +91,8 @@ def instant(c: Column, form: str) -> Column:
     n = to_number(c)
     ms = F.when(n.isNotNull(), n * (1.0 if form == "unix_millis" else 1000.0)).otherwise(F.unix_millis(F.trim(c).try_cast("timestamp")))
     return F.when(F.abs(ms) <= F.lit(8.64e15), F.round(ms).cast("long"))
+
+
+def sha256(c: Column) -> Column:
+    """The SHA-256 of a text's UTF-8 bytes, or of binary content, as lowercase hex; null of null."""
+    return F.sha2(c.cast("binary"), 256)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.morton import key_of, with_key
 from gridloom.operators.pyramid import DEEPEST, clamped, ends, spots, tiled
 from gridloom.sources.tables import shared_dir
 
@@ -23,23 +24,9 @@ RANGES = 24
 GROUP_BYTES = 1 << 20
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """df with the bits of a number below 2**24 moved apart, a zero before each."""
-    df = df.withColumn(column, F.col(column).cast("long"))
-    for step, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        df = df.withColumn(column, F.col(column).bitwiseOR(F.shiftleft(column, step)).bitwiseAND(F.lit(mask)))
-    return df
-
-
 def keyed(cells: DataFrame, box: tuple, z: int = DEEPEST, name: str = "key") -> DataFrame:
     """cells with the Morton key of their tile at level z."""
-    t = spread(spread(tiled(cells, box, z), "tx"), "ty")
-    return t.withColumn(name, F.col("tx").bitwiseOR(F.shiftleft("ty", 1))).drop("tx", "ty")
-
-
-def morton(tx: int, ty: int) -> int:
-    """The key of one tile."""
-    return sum(((tx >> i & 1) << 2 * i) | ((ty >> i & 1) << 2 * i + 1) for i in range(DEEPEST))
+    return with_key(tiled(cells, box, z), name).drop("tx", "ty")
 
 
 @dataclass(frozen=True)
@@ -107,7 +94,7 @@ def ranges(box: tuple, view: tuple, most: int = RANGES) -> list[tuple[int, int]]
 def _joined(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Key ranges of tiles (z, tx, ty), neighbouring ones as one."""
     out: list[tuple[int, int]] = []
-    for low, high in sorted((morton(tx, ty) << 2 * (DEEPEST - z), (morton(tx, ty) + 1 << 2 * (DEEPEST - z)) - 1) for z, tx, ty in tiles):
+    for low, high in sorted((key_of(tx, ty) << 2 * (DEEPEST - z), (key_of(tx, ty) + 1 << 2 * (DEEPEST - z)) - 1) for z, tx, ty in tiles):
         if out and low <= out[-1][1] + 1:
             out[-1] = out[-1][0], max(high, out[-1][1])
         else:
@@ -148,4 +135,4 @@ def opened(spark: SparkSession, path: str) -> Baked:
 def in_tile(baked: Baked, spark: SparkSession, z: int, tx: int, ty: int) -> DataFrame:
     """The cells of one tile: one range of keys."""
     size = 2 * (DEEPEST - z)
-    return baked.cells(spark).filter(F.col("key").between(morton(tx, ty) << size, (morton(tx, ty) + 1 << size) - 1))
+    return baked.cells(spark).filter(F.col("key").between(key_of(tx, ty) << size, (key_of(tx, ty) + 1 << size) - 1))

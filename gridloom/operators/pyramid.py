@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEEPEST = 24
+from gridloom.functions.morton import BITS, with_key
+
+DEEPEST = BITS
 
 
 def cap_for(tile_px: int = 512, thumb_px: int = 64) -> int:
@@ -56,13 +58,6 @@ def _up(column: str, by) -> Column:
     return F.expr(f"shiftright({column}, {by})")
 
 
-def _apart(df: DataFrame, column: str) -> DataFrame:
-    """df with the bits of a number below 2**16 moved apart, a zero before each."""
-    for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-        df = df.withColumn(column, F.col(column).bitwiseOR(F.shiftleft(column, step)).bitwiseAND(F.lit(mask)))
-    return df
-
-
 def roll_up(fine: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """z, z_to, tx, ty (of level z_to), n and extents of the occupied tiles of all levels, from those of the deepest.
 
@@ -83,8 +78,7 @@ def roll_up(fine: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     if not size:
         return top
     low = (1 << size) - 1
-    k = at.withColumn("_x", F.col("tx").bitwiseAND(low).cast("long")).withColumn("_y", F.col("ty").bitwiseAND(low).cast("long"))
-    k = _apart(_apart(k, "_x"), "_y").withColumn("_k", F.col("_x").bitwiseOR(F.shiftleft("_y", 1)))
+    k = with_key(at.withColumn("_x", F.col("tx").bitwiseAND(low)).withColumn("_y", F.col("ty").bitwiseAND(low)), "_k", "_x", "_y")
     order = Window.partitionBy("px", "py").orderBy("_k")
 
     def shared(other: Column) -> Column:
@@ -200,8 +194,14 @@ def fine_tiles(cells: DataFrame, box: tuple, z: int, cap: int) -> DataFrame:
     return n.select("tx", "ty", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))
 
 
-def neighbours(cells: DataFrame, box: tuple, z: int) -> DataFrame:
-    """Pairs (id, other) of cells whose footprints overlap, found among the 3 x 3 tiles around each cell; tiles must be no smaller than cells."""
+def neighbours(cells: DataFrame, box: tuple, z: int | None = None) -> DataFrame:
+    """Pairs (id, other) of cells whose footprints overlap, found among the 3 x 3 tiles around each cell.
+
+    Tiles must be no smaller than cells; without z they are as small as that allows, so
+    that cells which meet in a tile and don't overlap are few.
+    """
+    if z is None:
+        z = size_ceiling(box, *(v or 0.0 for v in cells.agg(F.max("w"), F.max("h")).first()))
     t = tiled(cells, box, z)
     near = t.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), F.col("h").alias("oh"), (F.col("tx") + F.col("dx")).alias("tx"), (F.col("ty") + F.col("dy")).alias("ty"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as C
 from gridloom.operators import baked, catalog, checks, ids, layouts, positions, profile, pyramid, roles, search, ticks, view
 from gridloom.session import ship
-from gridloom.sources.tables import fixture_of, scalar_columns, table
+from gridloom.sources.tables import fixture_of, read_csv, read_tile, scalar_columns, shared_dir, table, write_tags, write_tiles
 from gridloom.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,6 +280,28 @@ def samples(t):
     return t("documents").select(F.col("doc_id").alias("id"), C.ellipsis(F.col("text")).alias("sample"))
 
 
+@query("select doc_id as id, sha256(text) as sha from documents")
+def text_hashes(t):
+    return t("documents").select(F.col("doc_id").alias("id"), C.sha256(F.col("text")).alias("sha"))
+
+
+# sources and sinks: a table written and read again
+
+@query("select c_custkey::varchar as c_custkey, 'a, \"b\"' || chr(10) || c_name as name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer")
+def csv_scan(t):
+    path = shared_dir(t("customer").sparkSession)
+    name = F.concat(F.lit('a, "b"\n'), "c_name").alias("name")
+    t("customer").select("c_custkey", name, F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")).write.csv(path, header=True, escape='"', quoteAll=False)
+    return read_csv(t("customer").sparkSession, path)
+
+
+@query("select p_partkey as id, case when p_partkey % 7 <> 0 then array_to_string(string_split(p_name, ' '), '|') end as tags from part")
+def tag_table(t):
+    path = shared_dir(t("part").sparkSession)
+    write_tags(_tagged(t).withColumn("other", F.lit(1)), ["tags"], path)
+    return t("part").sparkSession.read.parquet(path).select("id", F.array_join("tags", "|").alias("tags"))
+
+
 # tags
 
 def _tagged(t):
@@ -587,6 +609,14 @@ def month_ticks(t):
     return ticks.interval_ticks(o.sparkSession, a, b, 9, "month", 1)
 
 
+@query("""with e as (select year(min(o_orderdate)) a, year(max(o_orderdate)) b from orders), s as (select d, a, b from (values (1), (2), (5), (10), (20), (25), (50), (100)) v(d), e order by abs(ln(d * 5.0 / greatest(1, b - a))), d limit 1)
+select epoch(make_timestamp(y, 1, 1, 0, 0, 0))::bigint as t, y::varchar as label from s, unnest(generate_series((ceil(a / d) * d)::bigint, b, d)) u(y)""")
+def year_ticks(t):
+    o = t("orders")
+    a, b = o.select(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    return ticks.axis_ticks(o.sparkSession, a, b, 5, ("hour", 5))  # uneven bins: years
+
+
 @query("select o_orderkey as id, round(0.1 + (epoch(o_orderdate) - a) * 0.8 / (b - a), 6) as x, epoch(o_orderdate)::bigint as back from orders, (select epoch(min(o_orderdate)) a, epoch(max(o_orderdate)) b from orders)")
 def axis_places(t):
     o = t("orders").select(F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("s"))
@@ -599,7 +629,7 @@ def axis_places(t):
 
 LINES_SQL = SCATTER_SQL.replace("select vec_id as id, embedding[1]::double as px, embedding[2]::double as py from embeddings", "select row_number() over (order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 as id, l_extendedprice as px, l_quantity::double as py from lineitem")
 BOX_SQL = LINES_SQL + ", " + BOX
-CAP = 64
+CAP = pyramid.cap_for()
 
 
 _baked: dict[tuple[str, str], baked.Baked] = {}
@@ -709,7 +739,7 @@ def reconcile(t):
 @query(SCATTER_SQL + ", " + BOX + f", z as (select a.id, a.x, a.y, a.w, a.h from cells a) select a.id, b.id as other from z a join z b on a.id < b.id and abs(a.x - b.x) < (a.w + b.w) / 2 and abs(a.y - b.y) < (a.h + b.h) / 2")
 def overlapping_neighbours(t):
     c = _scattered(t)
-    return pyramid.neighbours(c, pyramid.bbox(c), 4)
+    return pyramid.neighbours(c, pyramid.bbox(c))
 
 
 @query(BOX_SQL + f", z as (select {_tile_sql(4)} from cells, box), n as (select tx, ty, least(count(*), {CAP}) / {CAP}.0 as alpha from z group by 1, 2) select tx >> 1 as tx, ty >> 1 as ty, round(sum(alpha) / 4, 6) as coverage, sum(alpha) / 4 >= 0.45 as kept from n group by 1, 2")
@@ -774,6 +804,14 @@ def range_scan_over_cap(t):
     return view.range_scan(_layout(t).near(t("region").sparkSession, VIEW), VIEW, 40)
 
 
+@query(BOX_SQL + f", z as (select id, {_tile_sql(5)} from cells, box) select id from z where tx = 13 and ty = 17")
+def tile_container(t):
+    spark, path = t("region").sparkSession, shared_dir(t("region").sparkSession)
+    levels = [pyramid.tiled(_lines(t), _layout(t).box, z).withColumn("z", F.lit(z)) for z in (3, 5)]
+    write_tiles(levels[0].unionByName(levels[1]).withColumn("layout_id", F.lit("scatter")), path)
+    return read_tile(spark, path, "scatter", 5, 13, 17).select("id")
+
+
 @query(BOX_SQL + f", z as (select id, x, y, {_tile_sql(5)} from cells, box) select id, round(x, 9) + 0.0 as x, round(y, 9) + 0.0 as y from z where tx = 13 and ty = 17")
 def tile_read(t):
     found = baked.in_tile(_layout(t), t("region").sparkSession, 5, 13, 17)

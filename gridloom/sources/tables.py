@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.morton import key_of, with_key
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -112,8 +114,9 @@ def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_tile(spark: SparkSession, path: str, layout_id: str, z: int, tx: int, ty: int) -> DataFrame:
-    """The rows of one tile of write_tiles' table: its folder by layout and level, its row groups by place."""
-    return spark.read.parquet(path).filter((F.col("layout_id") == layout_id) & (F.col("z") == z) & (F.col("tx") == tx) & (F.col("ty") == ty))
+    """The rows of one tile of write_tiles' table: its folder by layout and level, its row groups by the tile's key."""
+    rows = spark.read.parquet(path).filter((F.col("layout_id") == layout_id) & (F.col("z") == z) & (F.col("key") == key_of(tx, ty)))
+    return rows.drop("key")
 
 
 def fixture(spark: SparkSession, n: int) -> DataFrame:
@@ -135,8 +138,13 @@ def fixture_of(ids: DataFrame) -> DataFrame:
 
 
 def write_tiles(cells: DataFrame, path: str) -> None:
-    """Tile rows by layout and level, each file in tile order, so that a tile's read touches few row groups."""
-    cells.repartition("layout_id", "z").sortWithinPartitions("layout_id", "z", "ty", "tx", "id").write.partitionBy("layout_id", "z").mode("overwrite").parquet(path)
+    """Tile rows (layout_id, z, tx, ty, id and others) by layout and level, each file sorted by the tiles' Morton keys, so that a tile's read, or a view's, touches few row groups.
+
+    The rows are dealt out by ranges of (layout_id, z, key): a level of any size is written by many tasks.
+    """
+    keyed = with_key(cells)
+    ordered = keyed.repartitionByRange("layout_id", "z", "key").sortWithinPartitions("layout_id", "z", "key", "id")
+    ordered.write.partitionBy("layout_id", "z").option("parquet.block.size", 1 << 20).mode("overwrite").parquet(path)
 
 
 def checked_images(files: DataFrame) -> DataFrame:
