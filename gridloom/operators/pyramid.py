@@ -86,11 +86,13 @@ def roll_up(fine: DataFrame, deepest: int = DEEPEST) -> DataFrame:
         return F.coalesce(F.lit(deepest) - F.ceil(F.length(F.bin(F.col("_k").bitwiseXOR(other))) / 2).cast("int"), F.lit(knee))
 
     k = k.withColumn("_s", F.greatest(F.lit(knee), shared(F.lag("_k").over(order)), shared(F.lead("_k").over(order))))
-    single = k.filter(F.col("_s") < deepest).withColumn("z", F.col("_s") + 1).withColumn("z_to", F.lit(deepest)).select(columns)
-    many = k.filter(F.col("_s") > knee).withColumn("z", F.explode(F.sequence(F.lit(knee + 1), F.col("_s"))))
-    many = many.withColumn("_tx", _up("tx", f"{deepest} - z")).withColumn("_ty", _up("ty", f"{deepest} - z")).groupBy("px", "py", "z", "_tx", "_ty").agg(*_sums())
-    many = many.withColumn("z_to", F.col("z")).withColumnsRenamed({"_tx": "tx", "_ty": "ty"}).select(columns)
-    return top.unionByName(single).unionByName(many)
+    # a level alone, the first one, stands for all below it: its row is its group, under the deepest number
+    each = k.withColumn("z", F.explode(F.sequence(F.lit(knee + 1), F.least(F.col("_s") + 1, F.lit(deepest))))).withColumn("_lone", F.col("z") > F.col("_s"))
+    each = each.withColumn("_tx", _up("tx", f"{deepest} - z")).withColumn("_ty", _up("ty", f"{deepest} - z")).groupBy("px", "py", "z", "_tx", "_ty")
+    low_ = each.agg(*_sums(), F.max("_lone").alias("_lone"), F.max("tx").alias("tx"), F.max("ty").alias("ty"))
+    own = lambda c: F.when(F.col("_lone"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    deep = low_.select("z", F.when(F.col("_lone"), deepest).otherwise(F.col("z")).alias("z_to"), own("tx"), own("ty"), "n", "ax", "bx", "ay", "by")
+    return top.unionByName(deep)
 
 
 def each_level(tiles: DataFrame) -> DataFrame:
