@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text
@@ -30,6 +30,8 @@ from gridloom.llm._store import free, written
 _U = np.uint64
 #: 64-bit words of a shingle set's bitmap.
 MARKS = 16
+#: Parts that the rows of one key are dealt to, one bit of a long each; members of a bucket that one task compares with the whole bucket.
+PARTS, WIDE = 64, 2048
 
 
 @dataclass(frozen=True)
@@ -192,6 +194,24 @@ def _may_link(near: Near):
     return alike & (apart <= F.lit((1 - near.similarity) / (1 + near.similarity) + 1e-12) * (F.col("n") + F.col("m")))
 
 
+def _with(rows: DataFrame, key: str, by: str, keep: str = "true", how: str = "left", values: DataFrame | None = None, **found: Column) -> DataFrame:
+    """rows with their key's aggregates `found` or, given values (key, ... once a key), with those columns; only of keys that pass `keep`.
+
+    A key may hold a third of all rows.  So its rows are dealt to PARTS parts by the
+    hash of `by`: they are aggregated before they move, and what is found comes back
+    to each part that has rows of the key, so at most once a row.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_part"))
+    whole = dealt.filter(F.col(key).isNotNull()).groupBy(key).agg(*[v.alias(k) for k, v in found.items()], F.bit_or(bit).alias("_parts"))
+    names = list(found)
+    if values is not None:
+        whole, names = whole.join(values, key), [c for c in values.columns if c != key]
+    parts = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.call_function("getbit", F.col("_parts"), i) == 1)
+    back = whole.filter(keep).select(key, *names, F.explode(parts).alias("_part"))
+    return dealt.join(back, [key, "_part"], how).drop("_part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its component) of all ids on links (a, b).
 
@@ -202,11 +222,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        near = _with(both, "u", "v", how="inner", m=F.min("v")).filter(F.col("v") > F.col("u"))
+        large = near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
         large = written(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = _with(large, "u", "v", how="inner", m=F.min("v"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         small = written(small)
         moved = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
@@ -218,8 +238,8 @@ def components(links: DataFrame) -> DataFrame:
 def _keyed(documents: DataFrame) -> DataFrame:
     """doc_id, copy_of: the least doc_id with exactly the same text (itself, for a text without words)."""
     hashed = documents.select("doc_id", F.when(F.regexp_like("text", F.lit(_text.WORD_PATTERN)), F.unhex(F.md5("text"))).alias("digest"))
-    first = hashed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return hashed.join(first, "digest", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    first = _with(hashed, "digest", "doc_id", "n > 1", copy_of=F.min("doc_id"), n=F.count(F.lit(1)))
+    return first.select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
 def _classes(documents: DataFrame, near: Near) -> DataFrame:
@@ -231,7 +251,9 @@ def _classes(documents: DataFrame, near: Near) -> DataFrame:
     the components' members meet only across components, and a pair goes on to the
     exact check once, from the least bucket it shares, and only if the sets' sizes
     and bitmaps allow a link.  So no link between different texts is lost and no
-    component pairs within itself.
+    component pairs within itself.  Copies, buckets, components and classes are dealt
+    in parts (_with), and a bucket of more than WIDE members meets itself in slices of
+    about WIDE members.
     """
     keyed = written(_keyed(documents))
     firsts = keyed.filter("copy_of = doc_id").select("doc_id")
@@ -239,13 +261,12 @@ def _classes(documents: DataFrame, near: Near) -> DataFrame:
     copies = keyed.filter("copy_of != doc_id").select("doc_id")
     own = own.join(copies, "doc_id", "left_anti") if not copies.isEmpty() else own
     bands = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo < hi").select("band", "n")
-    members = written(bands.join(shared, "band").select("band", "a", "n").distinct())
+    shared = _with(bands, "band", "a", "lo < hi", "inner", n=F.count(F.lit(1)), lo=F.min("a"), hi=F.max("a"))
+    members = written(shared.select("band", "a", "n").distinct())
     # the document that shares buckets with the most others is most likely what near copies were made from
     known = members.groupBy("a").agg(F.sum("n").alias("met"))
     ranked = members.join(known, "a").select("band", "a", F.struct((-F.col("met")).alias("met"), "a").alias("r"))
-    center = ranked.groupBy("band").agg(F.min("r").alias("r")).select("band", F.col("r.a").alias("b"))
-    members = written(members.join(center, "band").select("band", "a", "b"))
+    members = written(_with(ranked.withColumnRenamed("r", "own"), "band", "a", how="inner", r=F.min("own")).select("band", "a", F.col("r.a").alias("b")))
     involved = members.select(F.col("a").alias("doc_id")).distinct()
     marks = written(own.select("doc_id", "n", "marks").join(involved, "doc_id", "left_semi"))
     met = members.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -253,20 +274,21 @@ def _classes(documents: DataFrame, near: Near) -> DataFrame:
     found = components(stars)
     # what a bucket's centre did not settle: members of different components meet
     labelled = members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("band", "a", F.coalesce("class_id", "a").alias("c"))
-    open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    labelled = written(labelled.join(open_bands, "band", "left_semi"))
+    labelled = _with(labelled, "band", "a", "lo < hi", "inner", lo=F.min("c"), hi=F.max("c"), size=F.count(F.lit(1)))
+    labelled = written(labelled.select("band", "a", "c", F.ceil(F.col("size") / WIDE).alias("slices")))
     kinds = labelled.groupBy("a").agg(F.collect_set("band").alias("bands"))  # near.bands at most
     labelled = labelled.join(kinds, "a").join(marks.select(F.col("doc_id").alias("a"), "n", F.col("marks").alias("p")), "a")
-    x = labelled.select("band", "a", F.col("c").alias("ca"), F.col("bands").alias("va"), "n", "p")
-    y = labelled.select("band", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("bands").alias("vb"), F.col("n").alias("m"), F.col("p").alias("q"))
+    x = labelled.select(F.col("band").alias("k"), F.pmod(F.xxhash64("a"), "slices").alias("slice"), "a", F.col("c").alias("ca"), F.col("bands").alias("va"), "n", "p")
+    y = labelled.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("at"), F.col("a").alias("b"), F.col("c").alias("cb"), F.col("bands").alias("vb"), F.col("n").alias("m"), F.col("p").alias("q"))
     once = F.col("band") == F.array_min(F.array_intersect("va", "vb"))  # of the bands that a pair shares, the least one brings it
-    across = x.withColumnRenamed("band", "k").join(y, (F.col("k") == F.col("band")) & (F.col("ca") < F.col("cb")) & _may_link(near) & once).select("a", "b")
+    across = x.join(y, (F.col("k") == F.col("band")) & (F.col("slice") == F.col("at")) & (F.col("ca") < F.col("cb")) & _may_link(near) & once).select("a", "b")
     done = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = written(_linked(across.join(done, ["a", "b"], "left_anti"), documents, near))
     if not more.isEmpty():
         found = components(stars.union(more))
     per_first = firsts.join(found, "doc_id", "left").select(F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return keyed.join(per_first, "copy_of", "left").select("doc_id", "class_id", "copy_of")
+    copied = _with(keyed.filter("copy_of != doc_id"), "copy_of", "doc_id", values=per_first)
+    return per_first.select(F.col("copy_of").alias("doc_id"), "class_id", "copy_of").union(copied.select("doc_id", "class_id", "copy_of"))
 
 
 def _rowed(documents: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, str]:
@@ -276,9 +298,8 @@ def _rowed(documents: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, str]
     found = written(_classes(docs.select(F.col(row).alias("doc_id"), "text"), near).join(docs.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("doc_id").alias("row"))
     # single texts need no look-up; groups are one row each
-    lead = found.groupBy("class_id").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copied = found.groupBy("copy_of").agg(F.min("id").alias("copied"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    out = found.join(lead, "class_id", "left").join(copied, "copy_of", "left")
+    led = _with(found, "class_id", "doc_id", "n > 1", lead=F.min(order), n=F.count(F.lit(1))).drop("n")
+    out = _with(led, "copy_of", "doc_id", "n > 1", copied=F.min("id"), n=F.count(F.lit(1)))
     return docs, out.select(F.col("doc_id").alias("row"), "id", F.coalesce("lead", order).alias("lead"), F.coalesce("copied", "id").alias("copied")), row
 
 

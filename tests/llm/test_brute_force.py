@@ -82,8 +82,9 @@ def classes_by_hand(rows, counted=False):
     return {d: min(g) for g in groups.values() for d in g}, links
 
 
-@pytest.mark.parametrize("counted", [False, True])
-def test_near_duplicates_lose_no_link(spark, counted):
+@pytest.mark.parametrize(("counted", "wide"), [(False, 2048), (True, 2048), (False, 2)])
+def test_near_duplicates_lose_no_link(spark, monkeypatch, counted, wide):
+    monkeypatch.setattr(neardup, "WIDE", wide)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     random.seed(4)
     rows = [tuple(r) for r in docs.collect()]
@@ -99,6 +100,19 @@ def test_near_duplicates_lose_no_link(spark, counted):
     assert links > 40 and found == want
 
 
+def test_aggregates_come_back_to_dealt_rows(spark):
+    rows = [(None if i % 7 == 3 else 0 if i % 2 else i, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    least = {k: min(v for x, v in rows if x == k) for k, _ in rows if k is not None}
+    many = {k for k in least if sum(x == k for x, _ in rows) > 1}
+    out = neardup._with(df, "k", "v", "n > 1", m=F.min("v"), n=F.count(F.lit(1)))
+    assert sorted((r["v"], r["m"]) for r in out.collect()) == [(v, least[k] if k in many else None) for k, v in rows]
+    other = spark.createDataFrame([(0, "hot"), (2, "lone"), (999, "none")], "k long, name string")
+    found = neardup._with(df, "k", "v", how="inner", values=other).groupBy("name").count().collect()
+    assert {r["name"]: r["count"] for r in found} == {"hot": sum(k == 0 for k, _ in rows), "lone": 1}
+    assert neardup._with(df.limit(0), "k", "v", m=F.min("v")).count() == 0
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     rows = [(1, prose(40, 1)), (1, prose(40, 3)), (1, prose(40, 3) + " z"), (2, prose(40, 1)), (3, prose(3000, 5)), (None, None)]
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
