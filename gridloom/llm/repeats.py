@@ -42,7 +42,7 @@ _U = np.uint64
 #: Text bytes for each bucket file; anchors, or 1/48 of the segment bytes, that a task gathers before it sends them.
 SHARD_BYTES, GATHER = 16 << 20, 1 << 19
 #: Text bytes hashed together, small enough for a processor's cache; and looked up together, so that a file is asked seldom.
-SLICE, LOOK = 1 << 17, 1 << 21
+SLICE, LOOK = 1 << 17, 1 << 20
 #: Suffixes sorted together; files that a worker keeps mapped.
 SORTED, MAPPED = 1 << 18, 1024
 _LAST = np.iinfo(np.int64).max
@@ -481,11 +481,16 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
             several = (np.maximum.reduceat(owner, first) != least) | np.logical_or.reduceat(many[some][segment], first)
             at = place[first[several]]
             made.append((_text.spans_hash(own, at, at + how.length), least[several], _check(own, at, how.length)))
-        hashed, least, check = (np.concatenate(x) for x in zip(*made, strict=True))
+        del parts, text, seed, bucket, order  # what is found may be as large again
+        hashed = np.concatenate([m[0] for m in made])
         order = np.argsort(hashed)
         _save_keys(folder, "strings", shard, hashed[order])
-        _save(f"{folder}/checks-{shard}.npy", check[order])
-        _save(f"{folder}/least-{shard}.npy", least[order].astype(np.int64 if len(least) and (least.max() >= 1 << 31 or least.min() < 0) else np.int32))
+        del hashed
+        _save(f"{folder}/checks-{shard}.npy", np.concatenate([m[2] for m in made])[order])
+        least = np.concatenate([m[1] for m in made])
+        del made
+        least = least[order]
+        _save(f"{folder}/least-{shard}.npy", least.astype(np.int64 if len(least) and (least.max() >= 1 << 31 or least.min() < 0) else np.int32))
         _text.release()
         return pa.table({"n": pa.array([len(order)])})
 
