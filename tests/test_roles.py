@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import columns as C
 from gridloom.operators import catalog, checks, positions, roles, ticks
+from gridloom.plans.queries import QUERIES
 
 
 def named(x):
@@ -158,6 +159,13 @@ def test_prints_of_selections_count_utf16_units(spark):
     assert {r[0]: r[1] for r in catalog.selection_print(df).collect()} == {"s": by_hand(files), "t": by_hand([("one", 1)])}
 
 
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    keys = [0, 11, 20_000, 570_000, 1_200_000]
+    spark.createDataFrame([(k, 50) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["id"]: r["size"] for r in QUERIES["readable_figures"](spark, str(tmp_path)).collect()}
+    assert got == {0: "0 B", 11: "65.0 KiB", 20_000: "364 TiB", 570_000: f"{round(570_000**3 * 50 / 2**40)} TiB", 1_200_000: f"{round(1_200_000**3 * 50 / 2**40)} TiB"}
+
+
 def test_ticks_are_bins_at_the_nearest_stride(spark):
     assert ticks.uniform("hour", 6) and ticks.uniform("year", 250) and not any(ticks.uniform(*r) for r in (("hour", 5), ("day", 2), ("minute", 7), ("week", 1), ("year", 0)))
     assert ticks.interval_ticks(spark, 0, 86400, 5, "hour", 5).count() == 0
