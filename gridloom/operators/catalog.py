@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.sources.tables import IMAGE_KINDS
 
@@ -132,18 +137,67 @@ def band_of(hits: DataFrame, bands: DataFrame) -> DataFrame:
     return hits.join(b, ["label", "value"], "left")
 
 
+#: FNV-1a of 32 bits: where a hash begins, and its factor.
+FNV_BEGIN, FNV_FACTOR = 0x811C9DC5, 0x01000193
+
+
+def _fnv(h: int, units: np.ndarray) -> int:
+    """The hash h carried on over 16-bit units, in time that follows their number.
+
+    A unit meets only the low 16 bits, and a product's bit k is the factor's bit k
+    changed by lower ones: so all states' low bits come bit by bit, each a running
+    xor.  What the units added to each state is then a sum with the factor's powers.
+    """
+    factor = np.uint32(FNV_FACTOR)
+    for i in range(0, len(units), 1 << 16):
+        u = units[i : i + (1 << 16)].astype(np.uint32)
+        met = np.zeros(len(u), np.uint32)  # low bits of each state after its unit
+        for k in range(16):
+            bit = u >> k & 1
+            bit[1:] ^= (met[:-1] * factor) >> k & 1
+            bit[0] ^= h >> k & 1
+            met |= np.bitwise_xor.accumulate(bit) << k
+        power = np.multiply.accumulate(np.full(len(u), factor))
+        added = np.sum((met - (met ^ u)) * power[::-1], dtype=np.uint32)
+        h = (h * int(power[-1]) + int(added)) & 0xFFFFFFFF
+    return h
+
+
 def selection_print(files: DataFrame) -> DataFrame:
     """selection, print of (selection, name, size) files, whatever their order: FNV-1a of 32 bits over the sorted lines of base name and size, as hex.
 
-    Lines sort and count by UTF-16 units.  A selection is one value here, as it is one
-    request of a user.
+    Lines sort and count by UTF-16 units.  A hash is a chain, so one task follows a
+    selection's lines, but it reads them in sorted batches and holds none.
     """
     line = F.concat_ws(" ", F.element_at(F.split(F.translate("name", "\\", "/"), "/"), -1), F.col("size").cast("string"))
-    units = F.hex(F.encode(line, "UTF-16BE"))
-    lines = files.groupBy("selection").agg(F.array_join(F.array_sort(F.collect_list(units)), "000A").alias("t"))
-    codes = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(4)), lambda i: F.conv(F.substring("t", i, F.lit(4)), 16, 10).cast("long"))
-    fnv = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return lines.select("selection", F.lpad(F.lower(F.hex(fnv)), 8, "0").alias("print"))
+    units = F.encode(F.concat(F.lit("\n"), line), "UTF-16BE")  # the first line's break is skipped
+    lines = files.select("selection", units.alias("units")).repartition("selection").sortWithinPartitions("selection", "units")
+    shape = T.StructType([lines.schema["selection"], T.StructField("print", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, h = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([last, pa.array([f"{h:08x}"])], names=["selection", "print"])
+
+        for batch in batches:
+            column, text = batch.column(0), batch.column(1).cast(pa.large_binary())
+            _, places, data = text.buffers()
+            at = np.frombuffer(places, np.int64, count=len(text) + 1, offset=8 * text.offset)
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)] if len(codes) else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                begins = h is None or not column.slice(i, 1).equals(last)
+                if begins and h is not None:
+                    yield row()
+                if begins:
+                    last, h = column.slice(i, 1), FNV_BEGIN
+                start = int(at[i]) + 2 * begins
+                h = _fnv(h, np.frombuffer(data, ">u2", count=(int(at[j]) - start) // 2, offset=start))
+        if h is not None:
+            yield row()
+
+    return lines.mapInArrow(run, shape)
 
 
 def selection_counts(files: DataFrame) -> DataFrame:

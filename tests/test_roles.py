@@ -4,8 +4,10 @@ import datetime as dt
 import json
 import math
 import random
+import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,21 @@ def test_prints_of_selections_count_utf16_units(spark):
     assert {r[0]: r[1] for r in catalog.selection_print(df).collect()} == {"s": by_hand(files), "t": by_hand([("one", 1)])}
 
 
+def test_a_selection_of_many_lines_is_printed_in_one_pass(spark):
+    files = [(f"f{i % 977}é￮.png", i) for i in range(20_000)]
+    h = 0x811C9DC5
+    raw = "\n".join(sorted(f"{n} {s}" for n, s in files)).encode("utf-16-be")
+    for i in range(0, len(raw), 2):
+        h = ((h ^ int.from_bytes(raw[i : i + 2], "big")) * 0x01000193) & 0xFFFFFFFF
+    rows = [("s", n, s) for n, s in files] + [(None, "one", 1), (None, None, None)]
+    df = spark.createDataFrame(rows, "selection string, name string, size long").repartition(7)
+    began = time.monotonic()
+    got = catalog.selection_print(df).collect()
+    assert time.monotonic() - began < 30  # a place looked up in the whole text for each unit takes minutes
+    nulls = catalog._fnv(0x811C9DC5, np.frombuffer("\none 1".encode("utf-16-be"), ">u2"))
+    assert {r[0]: r[1] for r in got} == {"s": f"{h:08x}", None: f"{nulls:08x}"}
+
+
 def test_sizes_beyond_64_bits(spark, tmp_path):
     keys = [0, 11, 20_000, 570_000, 1_200_000]
     spark.createDataFrame([(k, 50) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
