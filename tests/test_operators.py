@@ -351,3 +351,44 @@ def test_stored_tables_can_be_cleared(spark):
     assert os.path.isdir(home)
     tables.clear(spark)
     assert not os.path.exists(home) and tables.stored(spark.range(3)).count() == 3
+
+
+def test_medians_between_values_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", 100)
+    rounds = []
+    find = ranks.F.count_if
+    monkeypatch.setattr(ranks.F, "count_if", lambda c: (rounds.append(1), find(c))[1])
+    def look(rows, **how):
+        df = spark.createDataFrame([(float(v),) for v in rows], "v double").repartition(4)
+        del rounds[:]
+        got = ranks.ranked(df, {"v": 0.5}, **how)["v"]
+        assert len(rounds) <= 40  # without an end before: the bracket of both middle values stayed
+        s, n = sorted(rows), len(rows)
+        assert got == ((s[n // 2],) * 2 if how else (s[(n - 1) // 2], s[n // 2]))
+
+    look([25] * 1000 + [26] * 1000)
+    look([25] * 1000 + [26] * 1000, upper=True)
+    look([1] * 999 + [2] + [3] * 1000)
+    look([1] * 900 + [*range(2, 202)] + [300] * 900)
+    look([1] * 900 + [*range(2, 502)] + [900] * 900)
+    look([i % 50 for i in range(5000)])
+    look([7] * 3000)
+
+
+def test_reading_dense_ids_moves_no_row(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table whose size is not known to be small
+    try:
+        got = ids.dense_ids(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5), "k", n=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert [tuple(r) for r in got.orderBy("id").collect()] == [(i, i) for i in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ids, "SORTED", 50)
+    got = ids.dense_ids(spark.range(1000).select((-F.col("id")).alias("k")), "k", n=1000)
+    assert sorted(tuple(r) for r in got.collect()) == [(i - 999, i) for i in range(1000)]
+    assert ids.by_range(spark.range(1000), "id", n=1000).rdd.getNumPartitions() == 20 == ids.by_hash(spark.range(1000), "id", n=1000).rdd.getNumPartitions()
