@@ -33,8 +33,12 @@ _U = np.uint64
 BEGIN, END = _U(0x1234567890ABCDEF), _U(0x0FEDCBA987654321)
 #: Texts' bytes for each range of context hashes; files a level at most; n-grams that a task gathers before it sends or adds up.
 RANGE_BYTES, FILES, GATHER = 6 << 20, 1 << 16, 3 << 18
-#: Files that a worker keeps mapped.
-MAPPED = 512
+#: Ranges of texts' bytes whose words share a file at order 1: distinct words grow slower than texts.
+WORDS = 16
+#: Files that a worker keeps mapped: all of a table of some 90 GB, as a text asks most of them (a machine allows 65,530 maps).
+MAPPED = 1 << 15
+#: Text bytes looked up together, least and most, and for each range: a look-up asks most ranges, so the more there are the more is asked at once.
+LOOK, LOOK_MOST, LOOK_RANGE = 1 << 20, 1 << 23, 1 << 12
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, order: int = 2) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -64,16 +68,20 @@ def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays byte plane by byte plane, which leaves high zero bytes to the shuffle's compression."""
-    out = io.BytesIO()
+    """Arrays byte plane by byte plane, which leaves high zero bytes to the shuffle's compression; each after its length."""
+    out = []
     for a in arrays:
-        np.save(out, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T))
-    return out.getvalue()
+        out += [len(a).to_bytes(8, "little"), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()]
+    return b"".join(out)
 
 
 def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
-    f = io.BytesIO(blob)
-    return [np.ascontiguousarray(np.load(f).T).reshape(-1).view(t) for t in types]
+    out, at = [], 0
+    for t in types:
+        n, width = int.from_bytes(blob[at : at + 8], "little"), np.dtype(t).itemsize
+        out.append(np.frombuffer(blob, np.uint8, n * width, at + 8).reshape(width, n).T.copy("C").reshape(-1).view(t))
+        at += 8 + n * width
+    return out
 
 
 def _sum_by(key: np.ndarray, *n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,6 +131,8 @@ class Model:
     files: int
     #: Ranges of context hashes in a file.
     ranges: int
+    #: Files of order 1, of one range each.
+    words: int
     train_tokens: int
     distinct: int
     #: Discounts of each order, from 1.
@@ -131,6 +141,10 @@ class Model:
     mass: int
     rest: float
 
+    def dealt(self, level: int) -> tuple[int, int]:
+        """Files of an order, and ranges in each."""
+        return (self.words, 1) if level == 1 else (self.files, self.ranges)
+
 
 def _save(path: str, array: np.ndarray) -> None:
     out = io.BytesIO()
@@ -176,7 +190,7 @@ class _Mapped:
 
     def arrays(self, level: int, part: int) -> list[np.ndarray] | None:
         """The arrays of one range of context hashes, None where it holds nothing."""
-        file, number = divmod(part, self.model.ranges)
+        file, number = divmod(part, self.model.dealt(level)[1])
         if (level, file) not in self.open:
             path = f"{self.model.folder}/{level}-{file}"
             try:
@@ -210,8 +224,8 @@ class _Mapped:
         return out
 
 
-def _reduced(level: int, order: int, folder: str, files: int, ranges: int):
-    """The mapInArrow function of one level: rows (shard, blob) sorted by shard, in whole files, become stored ranges and the next level's rows.
+def _reduced(level: int, order: int, folder: str, ranges: int, below: int):
+    """The mapInArrow function of one level: rows (shard, blob) sorted by shard, in whole files, become stored ranges and the next level's rows, dealt to `below` ranges.
 
     Rows with shard -1 carry statistics: the level's counts of counts; at order 1 also the sums.
     """
@@ -267,7 +281,7 @@ def _reduced(level: int, order: int, folder: str, files: int, ranges: int):
             key, at, n, raw = _sum_by(gram_key(columns[0], columns[-1]) if lower > 1 else columns[0], n, raw)
             columns = [c[at] for c in columns]
             out, sent = [], 0
-            return _send(_spread(_text.mix(columns[0]), files * ranges), columns[0], *columns, n.astype(np.uint64), raw.astype(np.uint64))
+            return _send(_spread(_text.mix(columns[0]), below), columns[0], *columns, n.astype(np.uint64), raw.astype(np.uint64))
 
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -302,6 +316,7 @@ def train(texts: DataFrame, order: int = 3) -> Model:
     parts = max(8, math.ceil(size / RANGE_BYTES))
     ranges = math.ceil(parts / FILES)
     files = math.ceil(parts / ranges)
+    words = min(FILES, max(8, math.ceil(parts / WORDS)))
     folder = _store.mounted(_store.shared_dir(spark))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +345,16 @@ def train(texts: DataFrame, order: int = 3) -> Model:
     discounts, stats = [], np.zeros(7, np.int64)
     for level in range(order, 0, -1):
         # one task a file, in order of its ranges
-        dealt = rows.repartitionById(files, F.floor(F.col("shard") / ranges).cast("int")).sortWithinPartitions("shard")
-        done = _store.written(dealt.mapInArrow(_reduced(level, order, folder, files, ranges), "shard int, blob binary"))
+        n_files, each = (words, 1) if level == 1 else (files, ranges)
+        dealt = rows.repartitionById(n_files, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
+        done = _store.written(dealt.mapInArrow(_reduced(level, order, folder, each, words if level == 2 else files * ranges), "shard int, blob binary"))
         stats = np.sum([np.frombuffer(r["blob"], np.int64) for r in done.filter("shard = -1").collect()] or [np.zeros(7, np.int64)], axis=0)  # one small row a task
         discounts.append(_discounts(stats[:4].tolist()))
         rows = done.filter("shard >= 0")
     mass, distinct, train_tokens = (int(x) for x in stats[4:])
     d, (n1, n2) = discounts[-1], stats[:2].tolist()
     rest = (d[0] * n1 + d[1] * n2 + d[2] * (distinct - n1 - n2)) / mass if mass else 1.0
-    return Model(folder, order, files, ranges, train_tokens, distinct, tuple(reversed(discounts)), mass, rest)
+    return Model(folder, order, files, ranges, words, train_tokens, distinct, tuple(reversed(discounts)), mass, rest)
 
 
 def _minus(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -348,21 +364,42 @@ def _minus(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 _opened: dict[str, _Mapped] = {}
 
 
-def _score_slice(mapped: _Mapped, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    m, n = mapped.model, len(offsets) - 1
-    rows, word, contexts = tokens(data, offsets, m.order)
-    place = lambda h: _spread(_text.mix(h), m.files * m.ranges)
+def _together(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """First row, end row and tokens() of slices that are looked up at once."""
+    most = max(LOOK, min(LOOK_MOST, LOOK_RANGE * model.files * model.ranges))
+    held: list[tuple] = []
+    begin = size = 0
+
+    def joined(end: int):
+        rows, word, contexts = zip(*held, strict=True)
+        return begin, end, np.concatenate(rows), np.concatenate(word), [np.concatenate(c) for c in zip(*contexts, strict=True)]
+
+    for lo, hi, data, offsets in _text.slices(column, 2 * _text.SLICE_BYTES):
+        rows, word, contexts = tokens(data, offsets, model.order)
+        held.append((rows + (lo - begin), word, contexts))
+        size += len(data)
+        if size + LOOK > most:  # a slice more would go beyond
+            yield joined(hi)
+            held, begin, size = [], hi, 0
+    if held:
+        yield joined(len(column))
+
+
+def _score(mapped: _Mapped, n: int, rows: np.ndarray, word: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of n texts by their tokens."""
+    m = mapped.model
+    place = lambda h, level: _spread(_text.mix(h), math.prod(m.dealt(level)))
     every, which = np.unique(word, return_inverse=True)
-    of_word = mapped.look_up(1, 0, [1, 2], place(every), every)
+    of_word = mapped.look_up(1, 0, [1, 2], place(every, 1), every)
     seen = of_word[:, 1]
     p = (_minus(of_word[:, 0], m.discounts[0]) / max(m.mass, 1) + m.rest / (m.distinct + 1))[which]
     for level in range(2, m.order + 1):
         context, d = contexts[level - 2], m.discounts[level - 1]
         known, back = np.unique(context, return_inverse=True)
-        total, *few = mapped.look_up(level, 2, [3], place(known), known, 4).T
+        total, *few = mapped.look_up(level, 2, [3], place(known, level), known, 4).T
         kept = (d[0] * few[0] + d[1] * few[1] + d[2] * few[2]) / np.maximum(total, 1)
         gram, first, at = np.unique(gram_key(context, word), return_index=True, return_inverse=True)
-        count = mapped.look_up(level, 0, [1], place(context[first]), gram)[at, 0]
+        count = mapped.look_up(level, 0, [1], place(context[first], level), gram)[at, 0]
         total, kept = total[back], kept[back]
         p = np.where(total > 0, _minus(count, d) / np.maximum(total, 1) + kept * p, p)
     base = np.log10((seen + 1) / (m.train_tokens + m.distinct + 1))
@@ -383,8 +420,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             _opened.clear()
             _opened[model.folder] = _Mapped(model)
         for batch in batches:
-            for lo, hi, data, offsets in _text.slices(batch.column(1), 2 * _text.SLICE_BYTES):
-                n, known, base, total = _score_slice(_opened[model.folder], data, offsets)
+            for lo, hi, *found in _together(batch.column(1), model):
+                n, known, base, total = _score(_opened[model.folder], hi - lo, *found)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(known), pa.array(np.full(hi - lo, model.train_tokens)), pa.array(base), pa.array(total), pa.array(10 ** np.minimum(-total / n, 300))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,3 +654,29 @@ def test_filtering_stages_on_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for f in (quality.keep_good, neardup.keep_firsts, repeats.remove, mixing.mixed_documents, pieces.encode):
         assert f(none).count() == 0
+
+
+def _counted(monkeypatch, module):
+    opened = []
+    load = module.np.load
+    monkeypatch.setattr(module.np, "load", lambda *a, **b: (opened.append(a[0]), load(*a, **b))[1])
+    return opened
+
+
+def test_model_files_of_a_large_corpus_stay_mapped(tmp_path, monkeypatch):
+    files = 600
+    for f in range(files):
+        w = ngram._Writer(f"{tmp_path}/1-{f}", 1, 3)
+        w.add(0, np.array([f], np.uint64), np.array([1], np.uint8), np.array([2], np.uint8))
+        w.close()
+    model = ngram.Model(str(tmp_path), 2, files, 1, files, 10, 10, (), 10, 0.5)
+    mapped, opened = ngram._Mapped(model), _counted(monkeypatch, ngram)
+    look = lambda: mapped.look_up(1, 0, [1, 2], np.arange(files), np.arange(files, dtype=np.uint64))
+    assert (look() == [1, 2]).all() and len(opened) == files
+    assert (look() == [1, 2]).all() and len(opened) == files
+
+
+def test_packed_arrays_come_back():
+    given = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.array([-1, 3], np.int64), np.zeros(0, np.uint32), np.array([True, False])]
+    back = ngram._unpack(ngram._pack(*given), np.uint64, np.int64, np.uint32, np.bool_)
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(given, back, strict=True))
