@@ -41,10 +41,12 @@ from gridloom.llm.ngram import _pack, _save, _send, _spread, _unpack
 _U = np.uint64
 #: Text bytes for each bucket file; anchors, or 1/48 of the segment bytes, that a task gathers before it sends them.
 SHARD_BYTES, GATHER = 16 << 20, 1 << 19
-#: Text bytes hashed together, small enough for a processor's cache; and looked up together, so that a file is asked seldom.
+#: Text bytes hashed together, small enough for a processor's cache; places, or text bytes at least, looked up together, so that a file is asked seldom.
 SLICE, LOOK = 1 << 17, 1 << 20
-#: Suffixes sorted together; files that a worker keeps mapped.
-SORTED, MAPPED = 1 << 18, 1024
+#: Text bytes whose anchors are looked up together: so many a bucket file, as a look-up asks most files, and at most.
+LOOK_FILE, LOOK_MOST = 1 << 13, 1 << 23
+#: Suffixes sorted together; files that a worker keeps mapped: all of a table of some 50 GB, as a text asks most of them (a machine allows 65,530 maps).
+SORTED, MAPPED = 1 << 18, 1 << 15
 _LAST = np.iinfo(np.int64).max
 
 
@@ -300,7 +302,7 @@ def _distinct(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchor: n
 
 @dataclass
 class _Piece:
-    """A slice of texts and its segments whose anchors several documents have."""
+    """A slice of texts and its segments whose anchors several documents have; anchor: each one's place."""
 
     lo: int
     hi: int
@@ -318,8 +320,9 @@ class _Piece:
 
 
 def _groups(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[list[_Piece]]:
-    """Slices of the texts, about LOOK bytes together, whose segments are looked up at once."""
+    """Slices of the texts whose segments are looked up at once: more of them together, the more files there are."""
     maps, how = _maps(found), found.how
+    most = max(LOOK, min(LOOK_MOST, LOOK_FILE * found.shards))
     group: list[_Piece] = []
     keys: list[np.ndarray] = []
     held = 0
@@ -334,16 +337,16 @@ def _groups(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[list[_P
             own = slice(begin, begin + len(piece.first))
             begin = own.stop
             some = kept[own]
-            piece.first, piece.end, piece.shard, piece.hot = piece.first[some], piece.end[some], shard[own][some], hot[own][some]
+            piece.anchor, piece.first, piece.end, piece.shard, piece.hot = piece.anchor[some], piece.first[some], piece.end[some], shard[own][some], hot[own][some]
         return group
 
     for lo, hi, data, offsets in _text.slices(column, SLICE):
         anchor, hashes = anchors(data, offsets, how)
         first, end = _segments(anchor)
         keys.append(_text.mix(hashes[anchor[first]]))
-        group.append(_Piece(lo, hi, data, offsets, ids[lo:hi], anchor, first, end, first, first))
+        group.append(_Piece(lo, hi, data, offsets, ids[lo:hi], anchor[first], first, end, first, first))
         held += len(data)
-        if held >= LOOK:
+        if held >= most:
             yield known()
             group, keys, held = [], [], 0
     if group:
@@ -420,15 +423,16 @@ def find(documents: DataFrame, how: Repeats | None = None) -> Found:
         for batch in batches:
             ids = _ids(batch.column(0))
             for piece in _known(batch.column(1), ids, found):
-                first, end, shard, hot = piece.first, piece.end, piece.shard, piece.hot
+                first, end, shard, hot, anchor = piece.first, piece.end, piece.shard, piece.hot, piece.anchor
                 if hot.any():  # one segment a string
                     n = (end - first)[hot]
                     single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                     shard = np.concatenate((shard[~hot], _spread(_text.spans_hash(piece.data, single, single + how.length), shards)))
                     first, end = np.concatenate((first[~hot], single)), np.concatenate((end[~hot], single + 1))
+                    anchor = np.concatenate((anchor[~hot], np.repeat(anchor[hot], n)))
                 if len(first):
                     size = end - first + how.length - 1
-                    parts.append((shard, size, piece.anchor[first] - first, piece.doc(first), _take(piece.data, first, size)))
+                    parts.append((shard, size, anchor - first, piece.doc(first), _take(piece.data, first, size)))
                     held += int(size.sum())
                 if held > 48 * GATHER:
                     yield flush()
@@ -504,26 +508,37 @@ def covered(column: pa.Array, ids: np.ndarray, found: Found) -> Iterator[tuple[i
     """First row, end row, bytes, offsets of slices of the texts, and which bytes go."""
     maps, how = _maps(found), found.how
     for group in _groups(column, ids, found):
-        looked = []
-        for piece in group:
-            n = piece.end - piece.first
-            place = np.repeat(piece.first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            hashed, at = _text.spans_hash(piece.data, place, place + how.length), np.repeat(piece.shard, n)
-            if found.hot:
-                at = np.where(np.repeat(piece.hot, n), _spread(hashed, found.shards), at)
-            looked.append((place, hashed, at))
-        least, check = maps.look_up("strings", np.concatenate([x[2] for x in looked]), np.concatenate([x[1] for x in looked]), "least", "checks")
-        begin = 0
-        for piece, (place, _, _) in zip(group, looked, strict=True):
-            own = slice(begin, begin + len(place))
-            begin += len(place)
-            gone = np.flatnonzero(least[own] < piece.doc(place))
-            place, known = place[gone], check[own][gone]
-            place = place[known == _check(piece.data, place, how.length)]
-            edges = np.zeros(len(piece.data) + 1, np.int32)
-            edges[place] += 1  # each place once
-            edges[place + how.length] -= 1
-            yield piece.lo, piece.hi, piece.data, piece.offsets, np.cumsum(edges[:-1]) > 0
+        n_places = np.cumsum([int((piece.end - piece.first).sum()) for piece in group])
+        lo = 0
+        while lo < len(group):  # about LOOK places at once, however many of the bytes repeat
+            hi = max(lo + 1, int(np.searchsorted(n_places, (n_places[lo - 1] if lo else 0) + LOOK, "right")))
+            yield from _covered(group[lo:hi], maps, found, how)
+            group[lo:hi] = [None] * (hi - lo)
+            lo = hi
+
+
+def _covered(group: list[_Piece], maps: _Maps, found: Found, how: Repeats) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """covered() of some slices, whose strings are looked up together."""
+    looked = []
+    for piece in group:
+        n = piece.end - piece.first
+        place = np.repeat(piece.first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hashed, at = _text.spans_hash(piece.data, place, place + how.length), np.repeat(piece.shard, n)
+        if found.hot:
+            at = np.where(np.repeat(piece.hot, n), _spread(hashed, found.shards), at)
+        looked.append((place, hashed, at))
+    least, check = maps.look_up("strings", np.concatenate([x[2] for x in looked]), np.concatenate([x[1] for x in looked]), "least", "checks")
+    begin = 0
+    for piece, (place, _, _) in zip(group, looked, strict=True):
+        own = slice(begin, begin + len(place))
+        begin += len(place)
+        gone = np.flatnonzero(least[own] < piece.doc(place))
+        place, known = place[gone], check[own][gone]
+        place = place[known == _check(piece.data, place, how.length)]
+        edges = np.zeros(len(piece.data) + 1, np.int32)
+        edges[place] += 1  # each place once
+        edges[place + how.length] -= 1
+        yield piece.lo, piece.hi, piece.data, piece.offsets, np.cumsum(edges[:-1]) > 0
 
 
 def measure(documents: DataFrame, how: Repeats | None = None) -> DataFrame:

@@ -663,6 +663,26 @@ def _counted(monkeypatch, module):
     return opened
 
 
+def test_bucket_files_of_a_large_table_stay_mapped(tmp_path, monkeypatch):
+    """One pass over the files maps each, the next none: texts ask most files, so reopening them grows with the square of the table."""
+    shards = 900
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 9 * shards, dtype=np.uint64))
+    shard = repeats._spread(keys, shards)
+    for s in np.unique(shard).tolist():
+        repeats._save_keys(str(tmp_path), "seeds", s, keys[shard == s])
+    maps = repeats._Maps(repeats.Found(str(tmp_path), shards, repeats.Repeats()))
+    opened = _counted(monkeypatch, repeats)
+    assert maps.look_up("seeds", shard, keys).all()
+    first = len(opened)
+    assert maps.look_up("seeds", shard, keys).all() and first > 1024 and len(opened) == first
+
+
+def test_more_bucket_files_are_asked_for_more_text_at_once():
+    column, ids = pa.array(["".join(chr(97 + (i * i + j * 7 * i) % 26) for j in range(1 << 14)) for i in range(320)]), np.arange(320)
+    sizes = [len(list(repeats._groups(column, ids, repeats.Found("/nowhere", n, repeats.Repeats())))) for n in (8, 1000)]
+    assert sizes == [5, 1]
+
+
 def test_model_files_of_a_large_corpus_stay_mapped(tmp_path, monkeypatch):
     files = 600
     for f in range(files):
